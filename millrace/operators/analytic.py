@@ -111,8 +111,8 @@ def ewma(
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in summary.schema if f.name in scope)
     carry = summary.groupBy(*keys).applyInPandas(chain, f"{fields}, __in double")
 
-    schema = rows.schema
-    out_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema if f.name in df.columns)
+    columns = df.columns
+    out_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
     def fill(key, pdf, side):
         """One bucket: the recursion over its rows from the incoming average."""
@@ -126,7 +126,7 @@ def ewma(
         out = pd.Series(0.0, index=pdf.index)
         out[pdf["__position"] == warmup + 1] = level
         out[live] = smooth.to_numpy()
-        return pdf[df.columns].assign(ewma=out)
+        return pdf[columns].assign(ewma=out)
 
     return (
         rows.groupBy(*scope)

@@ -177,10 +177,9 @@ def centroids(spark, d):
 
 @query(
     "j7_nearest_centroid",
-    f"""WITH {_CENTROIDS},
-        pairs AS (SELECT trade_no, c.id, power(trade_price * 1000 - c.x, 2) + power(trade_vol - c.y, 2) AS distance
-                  FROM {{stock_trades}}, centroids c)
-        SELECT trade_no, min_by(id, (distance, id)) AS centroid_id FROM pairs GROUP BY 1""",
+    f"""WITH {_CENTROIDS}
+        SELECT trade_no, (SELECT min_by(id, (dp * dp + dv * dv, id)) FROM (
+                   SELECT id, t.trade_price * 1000 - c.x AS dp, t.trade_vol - c.y AS dv FROM centroids c)) AS centroid_id FROM {{stock_trades}} t""",
 )
 def _(spark, d):
     points = view(spark, d, "stock_trades").select(
@@ -415,7 +414,7 @@ def _(spark, d):
 @query(
     "w1_running_price_sum",
     """SELECT trade_no, round(sum(trade_price) OVER w, 2) AS running_sum, count(*) OVER w AS running_count,
-              round(avg(trade_price) OVER w, 4) AS running_avg
+              round(sum(trade_price) OVER w, 2) / count(*) OVER w AS running_avg
        FROM {stock_trades} WINDOW w AS (PARTITION BY sec_code ORDER BY ts, trade_no ROWS UNBOUNDED PRECEDING)""",
 )
 def _(spark, d):
@@ -424,7 +423,7 @@ def _(spark, d):
         "trade_no",
         F.round("running_sum", 2).alias("running_sum"),
         "running_count",
-        F.round("running_avg", 4).alias("running_avg"),
+        (F.round("running_sum", 2) / F.col("running_count")).alias("running_avg"),
     )
 
 
@@ -450,7 +449,7 @@ def _(spark, d):
 
 
 _SLOTS = """
-    slots AS (SELECT event_type, CAST(epoch(ts) AS BIGINT) // 3600 AS slot, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS total
+    slots AS (SELECT event_type, epoch_us(ts) // 3600000000 AS slot, CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS total
               FROM events GROUP BY 1, 2)
 """
 
@@ -459,7 +458,7 @@ _SLOTS = """
     "w5_seasonal_median",
     f"""WITH {_SLOTS}
         SELECT event_type, slot, total,
-               coalesce(CAST(quantile_cont(total, 0.5) OVER (PARTITION BY event_type, slot % 24 ORDER BY slot
+               coalesce(CAST(quantile_cont(CAST(total AS DOUBLE), 0.5) OVER (PARTITION BY event_type, slot % 24 ORDER BY slot
                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS DOUBLE), 0.0) AS seasonal_median FROM slots""",
 )
 def _(spark, d):
@@ -489,18 +488,18 @@ def _(spark, d):
 
 @query(
     "w7_sliding_avg_delay",
-    """WITH t AS (SELECT user_id % 4 AS container, epoch_ms(ts) // 3600 AS at, CAST(floor(value * 100) AS BIGINT) AS delay FROM events),
-            a AS (SELECT container, at, sum(delay) OVER w / count(*) OVER w AS avg_value FROM t
-                  WINDOW w AS (PARTITION BY container ORDER BY at RANGE BETWEEN 2000 PRECEDING AND CURRENT ROW))
-       SELECT container, at, round(any_value(avg_value), 6) AS avg_value FROM a GROUP BY 1, 2""",
+    """WITH t AS (SELECT user_id % 4 AS container, epoch_us(ts) // 3600000 AS tick, CAST(floor(value * 100) AS BIGINT) AS delay FROM events),
+            a AS (SELECT container, tick, sum(delay) OVER w / count(*) OVER w AS avg_value FROM t
+                  WINDOW w AS (PARTITION BY container ORDER BY tick RANGE BETWEEN 2000 PRECEDING AND CURRENT ROW))
+       SELECT container, tick, round(any_value(avg_value), 6) AS avg_value FROM a GROUP BY 1, 2""",
 )
 def _(spark, d):
     rows = view(spark, d, "ev").select(
         (F.col("user_id") % 4).alias("container"),
-        F.floor(F.unix_millis("ts") / 3600).alias("at"),
+        F.floor(F.unix_millis("ts") / 3600).alias("tick"),
         F.floor(F.col("value") * 100).alias("delay"),
     )
-    out = W.sliding_avg(rows, ["container"], "at", "delay")
+    out = W.sliding_avg(rows, ["container"], "tick", "delay")
     return out.withColumn("avg_value", F.round("avg_value", 6))
 
 

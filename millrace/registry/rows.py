@@ -9,7 +9,7 @@ from millrace.functions import scalars as X
 from millrace.functions import surface
 from millrace.plans.wiki import merge_all, parse_edits
 from millrace.registry.core import query
-from millrace.registry.views import table, view
+from millrace.registry.views import lines, table, view
 
 
 @query(
@@ -17,7 +17,7 @@ from millrace.registry.views import table, view
     """SELECT CAST(auction AS STRING) AS key,
               concat(CAST(auction AS STRING),
                      CAST(CAST(trunc(CAST(0.82 AS FLOAT) * CAST(price AS FLOAT)) AS BIGINT) AS STRING),
-                     CAST(bidder AS STRING), CAST(epoch_ms(ts) AS STRING)) AS value FROM {bids_li}""",
+                     CAST(bidder AS STRING), CAST(epoch_us(ts) // 1000 AS STRING)) AS value FROM {bids_li}""",
 )
 def _(spark, d):
     return P.q1_currency(view(spark, d, "bids_li"))
@@ -75,7 +75,7 @@ def _(spark, d):
        UNION ALL SELECT CAST(o_orderkey AS STRING) FROM orders WHERE o_orderkey % 10 = 1""",
 )
 def _(spark, d):
-    return P.first_field(view(spark, d, "order_lines"))
+    return P.first_field(lines(spark, d, "order_lines"))
 
 
 @query(
@@ -317,16 +317,16 @@ def _(spark, d):
 
 @query(
     "x16_squared_distance",
-    """SELECT trade_no, round(power(trade_price * 1000 - 500000, 2) + power(trade_vol - 20, 2), 2) AS distance,
-              round(power(trade_price * 1000 - 500000, 2) + (trade_vol - 20), 2) AS compat FROM {stock_trades}""",
+    """WITH p AS (SELECT trade_no, trade_price * 1000 - 500000 AS dp, trade_vol - 20 AS dv FROM {stock_trades})
+       SELECT trade_no, dp * dp + CAST(dv * dv AS DOUBLE) AS distance, dp * dp + CAST(dv AS DOUBLE) AS compat FROM p""",
 )
 def _(spark, d):
     price, volume = F.col("trade_price") * 1000, F.col("trade_vol")
     args = (price, volume, F.lit(500000), F.lit(20))
     return view(spark, d, "stock_trades").select(
         "trade_no",
-        F.round(X.squared_distance(*args), 2).alias("distance"),
-        F.round(X.squared_distance(*args, compat_linear_vol=True), 2).alias("compat"),
+        X.squared_distance(*args).alias("distance"),
+        X.squared_distance(*args, compat_linear_vol=True).alias("compat"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace import schemas
 from millrace.registry.core import query
-from millrace.registry.views import table, view
+from millrace.registry.views import lines, table, view
 from millrace.sources import kafka, logs, routing, text
 
 # Five states in a fixed order, and a short word list for the checks.
@@ -17,7 +17,7 @@ LEXICON = (
 
 @query(
     "s1_read_json",
-    "SELECT auction, bidder, price, CAST(epoch_ms(ts) AS BIGINT) AS millis, 'x' AS extra FROM {bids_ev}",
+    "SELECT auction, bidder, price, CAST(epoch_us(ts) // 1000 AS BIGINT) AS millis, 'x' AS extra FROM {bids_ev}",
 )
 def _(spark, d):
     bids = view(spark, d, "bids_ev").withColumn("dateTime", F.unix_millis("ts")).withColumn("extra", F.lit("x"))
@@ -41,7 +41,7 @@ def _(spark, d):
               ts + INTERVAL '100' MILLISECOND AS ts FROM {stock_orders}""",
 )
 def _(spark, d):
-    return text.parse_orders(view(spark, d, "order_lines"))
+    return text.parse_orders(lines(spark, d, "order_lines"))
 
 
 @query(
@@ -50,7 +50,7 @@ def _(spark, d):
               concat('acct', sec_code) AS acct_id, trade_dir, ts FROM {stock_trades}""",
 )
 def _(spark, d):
-    return text.parse_trades(view(spark, d, "trade_lines"))
+    return text.parse_trades(lines(spark, d, "trade_lines"))
 
 
 @query(
@@ -127,17 +127,17 @@ EXECUTOR_LOG = """
 
 @query("s8_parse_executor_log", f"WITH {EXECUTOR_LOG} SELECT * FROM log")
 def _(spark, d):
-    return logs.parse_executor_log(view(spark, d, "executor_lines"))
+    return logs.parse_executor_log(lines(spark, d, "executor_lines"))
 
 
 CONTROLLER_LOG = """
     raw AS (SELECT line_no, string_split(value, ' ') AS w, value FROM {controller_lines} WHERE value LIKE '%Model, time%'),
-    typed AS (SELECT line_no, CAST(w[3] AS BIGINT) AS at,
+    typed AS (SELECT line_no, CAST(w[3] AS BIGINT) AS tick,
                 CASE w[5] WHEN 'Arrival' THEN 'arrival_rate' WHEN 'Service' THEN 'service_rate'
                           WHEN 'Instantaneous' THEN 'window_delay' ELSE 'longterm_delay' END AS metric,
                 unnest(string_split(replace(regexp_extract(value, chr(123) || '(.*)' || chr(125), 1), ' ', ''), ',')) AS e
               FROM raw),
-    model AS (SELECT line_no, at - (SELECT min_by(at, line_no) FROM typed) AS time, metric,
+    model AS (SELECT line_no, tick - (SELECT min_by(tick, line_no) FROM typed) AS time, metric,
                 split_part(e, '=', 1) AS container,
                 CASE WHEN metric IN ('arrival_rate', 'service_rate')
                      THEN 1000.0 * CASE split_part(e, '=', 2) WHEN 'NaN' THEN 0 ELSE CAST(split_part(e, '=', 2) AS DOUBLE) END
@@ -153,7 +153,7 @@ CONTROLLER_LOG = """
     f"WITH {CONTROLLER_LOG} SELECT line_no, time, metric, container, CAST(value AS DOUBLE) AS value FROM model",
 )
 def _(spark, d):
-    return logs.parse_controller_log(view(spark, d, "controller_lines"))
+    return logs.parse_controller_log(lines(spark, d, "controller_lines"))
 
 
 MIGRATION_LOG = """
@@ -177,7 +177,7 @@ MIGRATION_LOG = """
 
 @query("s10_parse_migration_log", f"WITH {MIGRATION_LOG} SELECT * FROM migrations")
 def _(spark, d):
-    return logs.parse_migration_log(view(spark, d, "migration_lines"))
+    return logs.parse_migration_log(lines(spark, d, "migration_lines"))
 
 
 @query(

@@ -19,7 +19,7 @@ from millrace.registry.sources import (
     STATES,
     trained,
 )
-from millrace.registry.views import table, view
+from millrace.registry.views import lines, table, view
 from millrace.sources import logs
 from millrace.streaming.stateful import upsert_store
 from millrace.streaming.windows import (
@@ -289,10 +289,9 @@ def _(spark, d):
 
 @query(
     "m9_fraud_nearest_cluster",
-    f"""WITH {_CENTROIDS},
-        pairs AS (SELECT trade_no, c.id, power(trade_price * 1000 - c.x, 2) + power(trade_vol - c.y, 2) AS distance
-                  FROM {{stock_trades}}, centroids c)
-        SELECT trade_no, min_by(id, (distance, id)) AS cluster FROM pairs GROUP BY 1""",
+    f"""WITH {_CENTROIDS}
+        SELECT trade_no, (SELECT min_by(id, (dp * dp + dv * dv, id)) FROM (
+                   SELECT id, t.trade_price * 1000 - c.x AS dp, t.trade_vol - c.y AS dv FROM centroids c)) AS cluster FROM {{stock_trades}} t""",
 )
 def _(spark, d):
     return fraud.nearest_cluster(view(spark, d, "stock_trades"), centroids(spark, d)).select("trade_no", "cluster")
@@ -332,7 +331,7 @@ _SLOTS = """
 
 
 def _log(spark, d):
-    return logs.parse_executor_log(view(spark, d, "executor_lines"))
+    return logs.parse_executor_log(lines(spark, d, "executor_lines"))
 
 
 def _latency(spark, d):
@@ -481,11 +480,11 @@ def _(spark, d):
 
 
 def _model(spark, d):
-    return logs.parse_controller_log(view(spark, d, "controller_lines"))
+    return logs.parse_controller_log(lines(spark, d, "controller_lines"))
 
 
 def _migrations(spark, d):
-    return logs.parse_migration_log(view(spark, d, "migration_lines"))
+    return logs.parse_migration_log(lines(spark, d, "migration_lines"))
 
 
 @query(

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -181,6 +182,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{r: view(spark, sf_dir, r) for r in refs})
 
 
+def lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view of text lines, each composed once per row, as if it came from a text file."""
+    composed = view(spark, sf_dir, name)
+    rest = [c for c in composed.columns if c != "value"]
+    return composed.select(*rest, F.explode(F.array("value")).alias("value"))
+
+
 def _needs(sql: str) -> list[str]:
     """View names used by ``sql``, dependencies first."""
     found: list[str] = []

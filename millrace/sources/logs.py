@@ -34,25 +34,32 @@ def _number(i: int) -> Column:
     return _word(i).try_cast("bigint")
 
 
+# How the lines of interest start, and what they are called here.
+EXECUTOR_LINE = r"^(GT:|container start at|Starting run|Entering|Shutdown|Shutting) "
+EXECUTOR_KINDS = {
+    "GT:": "gt",
+    "container": "host",
+    "Starting": "restore",
+    "Entering": "enter",
+    "Shutdown": "shutdown",
+    "Shutting": "shutting",
+}
+
+
 def parse_executor_log(lines: DataFrame) -> DataFrame:
-    """Ground-truth and lifecycle lines as typed rows; other lines are dropped."""
-    words = lines.withColumn("__w", F.split(F.rtrim("value"), " "))
-    first, second = _word(0), _word(1)
-    kind = (
-        F.when(first == "GT:", "gt")
-        .when((first == "container") & (second == "start") & (_word(2) == "at"), "host")
-        .when((first == "Starting") & (second == "run"), "restore")
-        .when(first == "Entering", "enter")
-        .when(first == "Shutdown", "shutdown")
-        .when(first == "Shutting", "shutting")
-    )
+    """Ground-truth and lifecycle lines as typed rows; other lines are dropped.
+
+    The filter is on the raw text, so it runs before any line is split.
+    """
+    words = lines.filter(F.col("value").rlike(EXECUTOR_LINE)).withColumn("__w", F.split(F.rtrim("value"), " "))
+    names = F.create_map(*[F.lit(x) for pair in EXECUTOR_KINDS.items() for x in pair])
     gt = F.col("kind") == "gt"
     when = (
         F.when(gt, _number(1))
         .when(F.col("kind") == "shutdown", _number(2))
         .when(F.col("kind").isin("restore", "enter", "shutting"), _number(3))
     )
-    typed = words.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    typed = words.withColumn("kind", F.element_at(names, _word(0)))
     return typed.select(
         "container",
         "line_no",
