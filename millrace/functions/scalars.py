@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 WIKI_LINE = r"\[\[(.*)\]\]\s(.*)\s(.*)\s\*\s(.*)\s\*\s\(\+?(.\d*)\)\s(.*)"
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 WHITESPACE_ENDS = r"^\s+|\s+$"
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SPACES = "\t\n\x0b\x0c\r \x85\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a\u2028\u2029\u205f\u3000"
 
 
 def split_tokens(text: Column, pattern: str = " ") -> Column:
@@ -24,31 +26,33 @@ def split_tokens(text: Column, pattern: str = " ") -> Column:
     )
 
 
-def non_blank_tokens(text: Column, pattern: str = " ") -> Column:
-    """Tokens with surrounding whitespace removed; empty ones are dropped anywhere in the list."""
-    trimmed = F.transform(F.split(text, pattern), lambda x: F.regexp_replace(x, WHITESPACE_ENDS, ""))
-    return F.filter(trimmed, lambda x: x != "")
+def trim_token(token: Column) -> Column:
+    """Surrounding whitespace of any kind removed."""
+    return F.btrim(token, F.lit(SPACES))
 
 
 def clean_text(text: Column) -> Column:
     """ASCII punctuation and newlines become spaces; the rest is lowered."""
-    return F.lower(F.regexp_replace(text, r"\p{Punct}|\n", " "))
+    marks = PUNCTUATION + "\n"
+    return F.lower(F.translate(text, marks, " " * len(marks)))
+
+
+WIKI_PARTS = ("title", "flags", "diff_url", "user", "byte_diff", "summary")
 
 
 def parse_wiki_line(raw: Column) -> Column:
-    """A struct of the six parts of an edit line, or null where the line does not match."""
-    part = [F.regexp_extract(raw, WIKI_LINE, i) for i in range(7)]
-    return F.when(
-        part[0] != "",
-        F.struct(
-            part[1].alias("title"),
-            part[2].alias("flags"),
-            part[3].alias("diff_url"),
-            part[4].alias("user"),
-            part[5].try_cast("int").alias("byte_diff"),
-            part[6].alias("summary"),
-        ),
-    )
+    """The six parts of an edit line as an array, or null where the line does not match.
+
+    The expression is matched once and its groups are split apart; a line that already holds
+    the separator is matched group by group.
+    """
+    mark = "\x1e"
+    marked = mark + mark.join(f"${i}" for i in range(1, 7))
+    once = F.split(F.regexp_replace(raw, r"^.*?" + WIKI_LINE + r".*$", marked), mark)
+    fast = F.filter(F.array(once), lambda parts: F.size(parts) == 7)
+    fast = F.slice(F.get(fast, F.lit(0)), 2, 6)
+    slow = F.when(raw.rlike(WIKI_LINE), F.array(*[F.regexp_extract(raw, WIKI_LINE, i) for i in range(1, 7)]))
+    return F.when(F.contains(raw, F.lit(mark)), slow).otherwise(fast)
 
 
 def wiki_flags(title: Column, flags: Column) -> Column:

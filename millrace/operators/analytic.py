@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from millrace.operators.ordered import (
     BUCKET,
+    HALO,
+    with_carry,
     drop_lookback,
+    fold_sorted,
     lookback_window,
     running_totals,
     time_bucket,
@@ -77,7 +80,7 @@ def ewma(
     warmup: int = 10,
     width: float = DAY,
 ) -> DataFrame:
-    """Exponentially weighted average with decay 2/(age+1).
+    """Exponentially weighted average with decay 2/(age+1); returns keys, order, value, ``ewma``.
 
     It is 0 for the first ``warmup`` rows of a key, starts as their mean at the next row, and
     takes up each later value. The recursion is linear, so a bucket of rows is summed up by two
@@ -85,54 +88,68 @@ def ewma(
     over the buckets of a key, and every bucket is then computed on its own.
     """
     decay = 2.0 / (age + 1.0)
-    placed = with_position(df, keys, order, width, "__position")
+    keep = 1.0 - decay
+    columns = [*keys, *order, value]
+    placed = with_position(df.select(*columns), keys, order, width, "__position")
     rows = placed.withColumn(BUCKET, time_bucket(placed, order[0], width))
     scope = [*keys, BUCKET]
     active = F.col("__position") > warmup + 1
 
-    last_first = Window.partitionBy(*scope).orderBy(*[F.col(c).desc() for c in order])
-    weighted = rows.withColumn("__after", F.row_number().over(last_first) - 1)
-    summary = weighted.groupBy(*scope).agg(
-        F.sum(F.when(F.col("__position") <= warmup, F.col(value))).alias("warm_sum"),
-        F.sum(active.cast("int")).cast("bigint").alias("steps"),
-        F.sum(F.when(active, decay * F.pow(F.lit(1 - decay), F.col("__after")) * F.col(value))).alias("added"),
-    )
-
-    def chain(pdf):
-        """Incoming average of each bucket of one key: one summary row per bucket comes in."""
-        pdf = pdf.sort_values(BUCKET)
-        start = pdf["warm_sum"].fillna(0).sum() / warmup
-        incoming, level = [], start
-        for steps, added in zip(pdf["steps"], pdf["added"].fillna(0)):
-            incoming.append(level)
-            level = level * (1 - decay) ** steps + added
-        return pdf[scope].assign(__in=incoming)
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in summary.schema if f.name in scope)
-    carry = summary.groupBy(*keys).applyInPandas(chain, f"{fields}, __in double")
-
-    columns = df.columns
-    out_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-
-    def fill(key, pdf, side):
-        """One bucket: the recursion over its rows from the incoming average."""
-        import pandas as pd
-
-        pdf = pdf.sort_values(list(order))
-        level = float(side["__in"].iloc[0])
-        live = pdf["__position"] > warmup + 1
-        chained = pd.concat([pd.Series([level]), pdf.loc[live, value].astype(float)])
-        smooth = chained.ewm(alpha=decay, adjust=False).mean().iloc[1:]
-        out = pd.Series(0.0, index=pdf.index)
-        out[pdf["__position"] == warmup + 1] = level
-        out[live] = smooth.to_numpy()
-        return pdf[columns].assign(ewma=out)
-
-    return (
-        rows.groupBy(*scope)
-        .cogroup(carry.groupBy(*scope))
-        .applyInPandas(fill, f"{out_fields}, ewma double")
+    newest_first = Window.partitionBy(*scope).orderBy(*[F.col(c).desc() for c in order])
+    summary = (
+        rows.withColumn("__after", F.row_number().over(newest_first) - 1)
+        .groupBy(*scope)
+        .agg(
+            F.coalesce(F.sum(F.when(F.col("__position") <= warmup, F.col(value))), F.lit(0.0)).alias("__warm"),
+            F.max("__position").alias("__last"),
+            F.sum(active.cast("bigint")).alias("__steps"),
+            F.coalesce(
+                F.sum(F.when(active, decay * F.pow(F.lit(keep), F.col("__after")) * F.col(value))), F.lit(0.0)
+            ).alias("__added"),
+        )
     )
+    n = len(keys)
+
+    def chain(state, row):
+        """Incoming average of each bucket of a key, from one summary row per bucket."""
+        bucket, warm, last, steps, added = row[n:]
+        if "level" not in state:
+            state["warm"] = state.get("warm", 0.0) + warm
+            if last <= warmup:
+                return []
+            state["level"] = state["warm"] / warmup
+        incoming = state["level"]
+        state["level"] = incoming * keep**steps + added
+        return [(*row[:n], bucket, incoming)]
+
+    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    carry = fold_sorted(
+        summary, keys, [BUCKET], dict, chain, None, f"{fields}, {BUCKET} bigint, {value} double",
+        [BUCKET, "__warm", "__last", "__steps", "__added"],
+    )
+
+    marked = with_carry(rows, carry).withColumn("__turn", F.when(F.col(HALO), 0).otherwise(1))
+    m = len(scope)
+
+    def smooth(state, row):
+        """One bucket: the recursion over its rows, from the marker row that comes first."""
+        turn, position, number = row[m : m + 3]
+        if turn == 0:
+            state["level"] = number
+            return []
+        if position <= warmup:
+            shown = 0.0
+        elif position == warmup + 1:
+            shown = state["level"]
+        else:
+            shown = state["level"] = number * decay + state["level"] * keep
+        return [(*row[:n], *row[m + 3 :], number, shown)]
+
+    out = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, *order])
+    return fold_sorted(
+        marked, scope, ["__turn", *order], dict, smooth, None, f"{out}, `{value}` double, ewma double",
+        ["__turn", "__position", value, *order],
+    )
 
 
 def sliding_avg(

@@ -11,6 +11,7 @@ from millrace.operators.bounded import broadcast_if_small
 from millrace.operators.ordered import latest_before
 
 _SLOT = "__slot"
+MAX_INLINE_CENTROIDS = 64  # written out as one compiled expression; a longer list is an array
 
 
 def _slot(ts: Column, micros: int) -> Column:
@@ -179,20 +180,27 @@ def nearest_centroid(
         if len(rows) > max_centroids:
             raise ValueError(f"more than {max_centroids} centroids")
         centroids = [(r[0], r[1], r[2]) for r in rows]
-    fixed = F.array(
-        *[
-            F.struct(F.lit(i).cast("bigint").alias("id"), F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y"))
-            for i, a, b in sorted(centroids)
-        ]
-    )
-    distances = F.transform(
-        fixed,
-        lambda c: F.struct(
-            squared_distance(F.col(x), F.col(y), c["x"], c["y"], compat_linear_vol).alias("distance"),
-            c["id"].alias("id"),
-        ),
-    )
-    best = F.array_min(distances)
+    fixed = sorted(centroids)
+
+    def candidate(i, cx, cy) -> Column:
+        distance = squared_distance(F.col(x), F.col(y), F.lit(float(cx)), F.lit(float(cy)), compat_linear_vol)
+        return F.struct(distance.alias("distance"), F.lit(i).cast("bigint").alias("id"))
+
+    if 1 < len(fixed) <= MAX_INLINE_CENTROIDS:
+        best = F.least(*[candidate(*c) for c in fixed])
+    else:
+        listed = F.array(
+            *[F.struct(F.lit(i).alias("i"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for i, a, b in fixed]
+        )
+        best = F.array_min(
+            F.transform(
+                listed,
+                lambda c: F.struct(
+                    squared_distance(F.col(x), F.col(y), c["a"], c["b"], compat_linear_vol).alias("distance"),
+                    c["i"].cast("bigint").alias("id"),
+                ),
+            )
+        )
     return points.withColumn("__best", best).select(
         *points.columns, F.col("__best.id").alias("centroid_id"), F.col("__best.distance").alias("distance")
     )

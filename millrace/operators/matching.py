@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.projections import drop_inactive_orders, drop_non_new_orders
-from millrace.operators.ordered import fold_sorted, running_totals
+from millrace.operators.ordered import fold_sorted, latest_before, running_totals
 
 DELETE = "D"
 
@@ -259,13 +259,15 @@ def call_auction(
     keys: Sequence[str] = ("sec_code",),
     sell_order: str = "asc",
     price_width: float = 1000.0,
-    volume_slot: int = 200,
+    volume_width: int = 1_000_000,
 ) -> DataFrame:
     """Match standing orders, buys from the highest price down.
 
-    ``asc`` takes the cheapest sell first. Both queues are laid out on a common volume axis;
-    a trade is an overlap of a buy and a sell interval whose prices agree. ``desc`` takes the
-    dearest sell that the buy still accepts, which depends on every earlier step.
+    ``asc`` takes the cheapest sell first. Both queues are laid out on a common volume axis; a
+    trade is an overlap of a buy and a sell interval whose prices agree. Every overlap begins
+    where one of the two begins, so it is found by looking, at each beginning, at the newest
+    interval of either side: no pairs are formed. ``desc`` takes the dearest sell that the buy
+    still accepts, which depends on every earlier step.
     """
     if sell_order == "desc":
         return _call_auction_desc(standing, keys)
@@ -277,27 +279,25 @@ def call_auction(
         {"__end": F.col("order_vol").cast("bigint")},
         price_width,
     ).withColumn("__start", F.col("__end") - F.col("order_vol"))
-    slots = F.sequence(
-        F.floor(F.col("__start") / volume_slot), F.floor((F.col("__end") - 1) / volume_slot)
-    )
-
-    def laid_out(direction: str, tag: str) -> DataFrame:
-        return queued.filter(F.col("trade_dir") == direction).select(
-            *keys,
-            F.explode(slots).alias("__slot"),
-            F.col("order_no").alias(f"{tag}_order_no"),
-            F.col("order_price").alias(f"{tag}_price"),
-            F.col("__start").alias(f"{tag}_start"),
-            F.col("__end").alias(f"{tag}_end"),
-        )
-
-    low = F.greatest("buy_start", "sell_start")
-    high = F.least("buy_end", "sell_end")
-    met = laid_out("B", "buy").join(laid_out("S", "sell"), [*keys, "__slot"])
-    return met.filter(
-        (F.col("buy_price") >= F.col("sell_price")) & (low < high) & (F.floor(low / volume_slot) == F.col("__slot"))
-    ).select(
-        *keys, "buy_order_no", "sell_order_no", "buy_price", "sell_price", (high - low).alias("volume")
+    interval = F.struct("order_no", "order_price", "__start", "__end")
+    newest = {
+        "buy": F.when(F.col("trade_dir") == "B", interval),
+        "sell": F.when(F.col("trade_dir") == "S", interval),
+    }
+    columns = [*keys, "trade_dir", "order_no", "order_price", "__start", "__end"]
+    met = latest_before(queued.select(*columns), keys, ["__start", "trade_dir", "order_no"], newest, volume_width)
+    low = F.greatest("buy.__start", "sell.__start")
+    high = F.least("buy.__end", "sell.__end")
+    agreed = F.col("buy.order_price") >= F.col("sell.order_price")
+    # The filter on the two sides keeps greatest/least from skipping a missing one.
+    both = F.col("buy").isNotNull() & F.col("sell").isNotNull()
+    return met.filter(both & agreed & (low < high)).select(
+        *keys,
+        F.col("buy.order_no").alias("buy_order_no"),
+        F.col("sell.order_no").alias("sell_order_no"),
+        F.col("buy.order_price").alias("buy_price"),
+        F.col("sell.order_price").alias("sell_price"),
+        (high - low).alias("volume"),
     )
 
 

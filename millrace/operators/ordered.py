@@ -34,7 +34,7 @@ def time_bucket(df: DataFrame, column: str, width: float) -> Column:
     return F.floor(F.col(column) / F.lit(width))
 
 
-def _with_carry(rows: DataFrame, carry: DataFrame) -> DataFrame:
+def with_carry(rows: DataFrame, carry: DataFrame) -> DataFrame:
     """Put one marker row in front of each (key, bucket), holding what its past adds up to.
 
     A union instead of a join: the rows are shuffled once, and a null key keeps its history.
@@ -70,7 +70,7 @@ def running_totals(
     earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
     carry = sums.select(*scope, *[F.sum(c).over(earlier).alias(c) for c in inputs.values()])
 
-    merged = _with_carry(rows, carry)
+    merged = with_carry(rows, carry)
     window = _inside(scope, order)
     return (
         merged.select(
@@ -106,7 +106,7 @@ def latest_before(
         *scope, *[F.last(c, ignorenulls=True).over(earlier).alias(c) for c in inputs.values()]
     )
 
-    merged = _with_carry(rows, carry)
+    merged = with_carry(rows, carry)
     window = _inside(scope, order)
     return (
         merged.select(
@@ -170,12 +170,26 @@ def drop_lookback(df: DataFrame) -> DataFrame:
 def previous_row(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], width: float
 ) -> DataFrame:
-    """Add, per key, the given columns of the row before (null on the first row)."""
-    w = lookback_window(keys, order)
-    seen = with_lookback(df, keys, order, 1, width)
-    for source, name in columns.items():
-        seen = seen.withColumn(name, F.lag(source).over(w))
-    return drop_lookback(seen)
+    """Add, per key, the given columns of the row before (null on the first row).
+
+    The last row of each (key, bucket) is one hash aggregate; it becomes the marker row of the
+    next bucket that has rows.
+    """
+    rows = df.withColumn(BUCKET, time_bucket(df, order[0], width))
+    scope = [*keys, BUCKET]
+    wanted = list(dict.fromkeys([*order, *columns]))
+    ends = rows.groupBy(*scope).agg(F.max_by(F.struct(*wanted), F.struct(*order)).alias("__end"))
+    by_key = Window.partitionBy(*keys).orderBy(BUCKET)
+    carry = ends.select(*scope, F.lag("__end").over(by_key).alias("__end")).filter(F.col("__end").isNotNull())
+    markers = carry.select(*scope, *[F.col(f"__end.{c}").alias(c) for c in wanted if c not in scope])
+
+    window = Window.partitionBy(*scope).orderBy(F.col(HALO).desc(), *order)
+    return (
+        with_carry(rows, markers)
+        .select(*df.columns, HALO, *[F.lag(c).over(window).alias(n) for c, n in columns.items()])
+        .filter(~F.col(HALO))
+        .drop(HALO)
+    )
 
 
 def fold_sorted(
@@ -205,6 +219,7 @@ def fold_sorted(
         key, state = None, None
         for batch in batches:
             out = []
+            # Plain Python values; a missing integer arrives as NaN only in a column with gaps.
             for row in zip(*[batch[c].tolist() for c in columns]):
                 if key is None or row[:width] != key:
                     if key is not None and finish is not None:

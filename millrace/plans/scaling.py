@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.ordered import running_totals
@@ -41,41 +41,53 @@ def executor_count_steps(migrations: DataFrame, initial: int, width: float = LIN
     )
 
 
+def _mean_executors(change: Column, initial: int, low: float, high: float, last: float) -> Column:
+    end = min(high, last)
+    share = change * F.greatest(F.lit(0.0), F.lit(float(end)) - F.greatest(F.col("time"), F.lit(low)))
+    total = F.lit(initial * max(0.0, end - low)) + F.coalesce(F.sum(share), F.lit(0.0))
+    return total / F.lit(float(high - low))
+
+
 def avg_executors(migrations: DataFrame, initial: int, low: float, high: float, last: float) -> DataFrame:
     """Time-weighted mean number of executors in [low, high], known up to ``last``.
 
     Each step counts from its time to the end, so the mean is one sum and needs no order.
     """
-    end = min(high, last)
-    share = F.col("change") * F.greatest(F.lit(0.0), F.lit(float(end)) - F.greatest(F.col("time"), F.lit(low)))
-    total = F.lit(initial * max(0.0, end - low)) + F.coalesce(F.sum(share), F.lit(0.0))
-    return _steps(migrations).agg((total / F.lit(float(high - low))).alias("avg_executors"))
+    mean = _mean_executors(F.col("change"), initial, low, high, last)
+    return _steps(migrations).agg(mean.alias("avg_executors"))
+
+
+ACTIONS = ("in", "out", "balance")
 
 
 def scaling_report(
     model: DataFrame, migrations: DataFrame, initial: int, low: float, high: float, last: float
 ) -> DataFrame:
-    """Single figures as (item, value): mean executors, decisions, peak rate and worst delay."""
-
-    def figure(df: DataFrame, item, value) -> DataFrame:
-        return df.select(item.alias("item"), value.cast("double").alias("value"))
-
-    parts = [
-        figure(avg_executors(migrations, initial, low, high, last), F.lit("avg_executors"), F.col("avg_executors")),
-        figure(
-            decision_counts(migrations, low, high), F.concat(F.lit("decisions_"), F.col("action")), F.col("count")
-        ),
-        figure(
-            total_arrival_rate(model).agg(F.max("total_rate").alias("v")), F.lit("peak_arrival_rate"), F.col("v")
-        ),
-        figure(worst_delay(model).agg(F.max("worst_delay").alias("v")), F.lit("worst_delay"), F.col("v")),
-        figure(
-            migrations.filter(F.col("kind") == "severe").agg(F.max("severe").alias("v")),
-            F.lit("max_severe"),
-            F.col("v"),
-        ),
-    ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    """Single figures as (item, value): mean executors, decisions, peak rate and worst delay.
+
+    Each log is read once; an action that never occurred has no row.
+    """
+    change = F.when(F.col("action") == "in", -1).when(F.col("action") == "out", 1)
+    moved = F.when((F.col("kind") == "deployment") & change.isNotNull(), change)
+    chosen = (F.col("kind") == "decision") & F.col("time").between(low, high)
+    figures = migrations.agg(
+        _mean_executors(moved, initial, low, high, last).alias("avg_executors"),
+        *[
+            F.nullif(F.sum((chosen & (F.col("action") == a)).cast("bigint")), F.lit(0)).alias(f"decisions_{a}")
+            for a in ACTIONS
+        ],
+        F.max(F.when(F.col("kind") == "severe", F.col("severe"))).alias("max_severe"),
+    )
+    ticks = model.groupBy("time").agg(
+        F.sum(F.when(F.col("metric") == "arrival_rate", F.col("value"))).alias("rate"),
+        F.max(F.when(F.col("metric") == "window_delay", F.col("value"))).alias("delay"),
+    )
+    peaks = ticks.agg(F.max("rate").alias("peak_arrival_rate"), F.max("delay").alias("worst_delay"))
+
+    def unpivot(df: DataFrame) -> DataFrame:
+        pairs = F.array(
+            *[F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("value")) for c in df.columns]
+        )
+        return df.select(F.explode(pairs).alias("p")).select("p.item", "p.value").filter("value IS NOT NULL")
+
+    return unpivot(figures).unionByName(unpivot(peaks))

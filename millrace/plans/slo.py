@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators.bounded import in_any_interval
 from millrace.operators.ordered import with_position
+from millrace.session import cut_lineage
 
 # Fixed values of the report: limit in ms, slot length in ms, first and last slot, peak slots.
 LATENCY_LIMIT = 1000.0
@@ -191,10 +192,14 @@ def migration_time(spans: DataFrame, lifetimes: DataFrame) -> DataFrame:
 def slo_report(
     log: DataFrame, interval: tuple[int, int] = INTERVAL, peaks: Sequence[tuple[int, int]] = PEAKS
 ) -> DataFrame:
-    """All single figures of the report as (section, item, value)."""
-    latency = slo_window_latency(log)
-    rates = slo_success_rate(latency, interval)
-    lifetimes = executor_lifetimes(log, interval)
+    """All single figures of the report as (section, item, value).
+
+    The log is read once for each of the three small tables the figures come from; those are
+    checkpointed, not recomputed for every section.
+    """
+    slots = cut_lineage(slo_window_latency(log))
+    rates = slo_success_rate(slots, interval)
+    lifetimes = cut_lineage(executor_lifetimes(log, interval))
 
     def unpivot(df: DataFrame, section: str) -> DataFrame:
         pairs = F.array(
@@ -214,7 +219,7 @@ def slo_report(
     )
     parts = [
         unpivot(slo_overall(rates), "overall"),
-        unpivot(slo_peak_split(latency, peaks, interval), "peak"),
+        unpivot(slo_peak_split(slots, peaks, interval), "peak"),
         unpivot(migration_time(migration_spans(log, interval), lifetimes), "migration"),
         per_stream,
         per_host,

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.projections import require_keys
-from millrace.functions.scalars import clean_text, non_blank_tokens, parse_tweet_time
+from millrace.functions.scalars import clean_text, parse_tweet_time, trim_token
 from millrace.operators.joins import lexicon_join
 from millrace.schemas import TWEET
 
@@ -30,7 +30,8 @@ def sentiment_score(tweets: DataFrame, lexicon: DataFrame, ident: str = "id_str"
     The word list is a checked broadcast, so words are not shuffled; per-text sums are formed
     before the one exchange. A text without a scored word keeps its row.
     """
-    words = tweets.select(ident, F.explode_outer(non_blank_tokens(clean_text(F.col(text)))).alias("word"))
+    words = tweets.select(ident, F.explode_outer(F.split(clean_text(F.col(text)), " ")).alias("word"))
+    words = words.withColumn("word", trim_token(F.col("word")))
     scored = lexicon_join(words, lexicon, "left")
     total = F.sum(F.coalesce(F.col("score"), F.lit(0))).cast("bigint")
     return scored.groupBy(ident).agg(total.alias("score")).select(

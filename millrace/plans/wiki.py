@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import WIKI_FLAG_NAMES, parse_wiki_line, wiki_flags
+from millrace.functions.scalars import WIKI_FLAG_NAMES, WIKI_PARTS, parse_wiki_line, wiki_flags
 from millrace.operators.ordered import running_totals
 
 
@@ -18,19 +18,25 @@ def merge_all(streams: Sequence[DataFrame]) -> DataFrame:
 
 
 def parse_edits(events: DataFrame) -> DataFrame:
-    """Typed edits; lines that do not match, or whose size is no number, are dropped."""
-    parsed = events.withColumn("edit", parse_wiki_line(F.col("raw"))).filter(
-        F.col("edit.byte_diff").isNotNull()
-    )
+    """Typed edits; lines that do not match, or whose size is no number, are dropped.
+
+    Exploding the one match of a line makes it a column of its own, evaluated once per line.
+    """
+    match = parse_wiki_line(F.col("raw"))
     kept = [c for c in events.columns if c != "raw"]
-    return parsed.select(
-        *kept, "edit.*", wiki_flags(F.col("edit.title"), F.col("edit.flags")).alias("flag_map")
+    parsed = events.select(*kept, F.explode(F.array_compact(F.array(match))).alias("__p"))
+    part = {name: F.get("__p", F.lit(i)) for i, name in enumerate(WIKI_PARTS)}
+    part["byte_diff"] = part["byte_diff"].try_cast("int")
+    typed = parsed.select(*kept, *[c.alias(name) for name, c in part.items()])
+    return typed.filter(F.col("byte_diff").isNotNull()).withColumn(
+        "flag_map", wiki_flags(F.col("title"), F.col("flags"))
     )
 
 
 def count_drops(events: DataFrame) -> DataFrame:
     """How many lines parse and how many are dropped, per channel."""
-    ok = parse_wiki_line(F.col("raw"))["byte_diff"].isNotNull().cast("int")
+    size = F.get(parse_wiki_line(F.col("raw")), F.lit(WIKI_PARTS.index("byte_diff"))).try_cast("int")
+    ok = size.isNotNull().cast("int")
     return events.groupBy("channel").agg(
         F.sum(ok).cast("bigint").alias("parsed"), F.sum(1 - ok).cast("bigint").alias("dropped")
     )

@@ -139,9 +139,10 @@ _TOKENS = r"""
         GROUP BY t.word""",
 )
 def _(spark, d):
-    from millrace.functions.scalars import clean_text, non_blank_tokens
+    from millrace.functions.scalars import clean_text, trim_token
 
-    words = table(spark, d, "documents").select(F.explode(non_blank_tokens(clean_text(F.col("text")))).alias("word"))
+    words = table(spark, d, "documents").select(F.explode(F.split(clean_text(F.col("text")), " ")).alias("word"))
+    words = words.withColumn("word", trim_token(F.col("word")))
     hits = J.lexicon_join(words, lexicon(spark))
     return hits.groupBy("word").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
 

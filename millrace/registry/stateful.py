@@ -20,6 +20,7 @@ from millrace.registry.sources import (
     trained,
 )
 from millrace.registry.views import lines, table, view
+from millrace.session import cut_lineage
 from millrace.sources import logs
 from millrace.streaming.stateful import upsert_store
 from millrace.streaming.windows import (
@@ -156,7 +157,7 @@ def _(spark, d):
 def _call_phase(spark, d):
     clock = time_to_int(F.date_format("ts", "HH:mm:ss"))
     phased = auction_phase(_orders(spark, d), clock)
-    return M.standing_orders(phased.filter(F.col("phase") == "call"), _BOOK_KEYS)
+    return cut_lineage(M.standing_orders(phased.filter(F.col("phase") == "call"), _BOOK_KEYS))
 
 
 _STANDING = """
@@ -563,5 +564,6 @@ def _(spark, d):
         UNION ALL SELECT 'max_severe', CAST(max(severe) AS DOUBLE) FROM migrations""",
 )
 def _(spark, d):
-    report = scaling.scaling_report(_model(spark, d), _migrations(spark, d), _INITIAL, _LOW, _HIGH, _LAST)
+    migrations = logs.parse_migration_log(lines(spark, d, "migration_lines"), severe_time=False)
+    report = scaling.scaling_report(_model(spark, d), migrations, _INITIAL, _LOW, _HIGH, _LAST)
     return report.withColumn("value", F.round("value", 6))

@@ -108,14 +108,22 @@ def parse_controller_log(lines: DataFrame) -> DataFrame:
     )
 
 
-def parse_migration_log(lines: DataFrame, width: float = LINES_PER_BUCKET) -> DataFrame:
+def parse_migration_log(
+    lines: DataFrame, width: float = LINES_PER_BUCKET, severe_time: bool = True
+) -> DataFrame:
     """Decisions, finished deployments and severe counts.
 
     ``kind`` is decision, deployment or severe; ``action`` is in, out or balance. A severe count
-    has no time of its own and takes that of the line before it.
+    has no time of its own and takes that of the line before it; without ``severe_time`` it gets
+    none, and no line has to be brought together with another.
     """
-    seen = previous_row(lines.select("line_no", "value"), [], ["line_no"], {"value": "__above"}, width)
-    words = seen.withColumn("__w", F.split(F.rtrim("value"), " "))
+    seen = lines.select("line_no", "value")
+    if severe_time:
+        seen = previous_row(seen, [], ["line_no"], {"value": "__above"}, width)
+    else:
+        seen = seen.withColumn("__above", F.lit(None).cast("string"))
+    of_interest = F.col("value").rlike(r"^(Migration!|Executors stopped|Number \S+ severe) ")
+    words = seen.filter(of_interest).withColumn("__w", F.split(F.rtrim("value"), " "))
     decision, stopped = _word(0) == "Migration!", (_word(0) == "Executors") & (_word(1) == "stopped")
     severe = (_word(0) == "Number") & (_word(2) == "severe")
     kind = F.when(decision, "decision").when(stopped, "deployment").when(severe, "severe")
