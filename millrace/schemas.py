@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+# The types used below.
+TYPES = {"bigint": T.LongType(), "string": T.StringType()}
+
+
 def _struct(spec: str) -> T.StructType:
-    return T._parse_datatype_string(spec)
+    """A schema from ``name type, name type``; needs no running session."""
+    pairs = [field.split() for field in spec.split(",")]
+    return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in pairs])
 
 
 BID = _struct("auction bigint, bidder bigint, price bigint, dateTime bigint, extra string")

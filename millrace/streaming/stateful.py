@@ -24,12 +24,15 @@ def _schema(text: str) -> T.StructType:
 def keyed(
     df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: str, mode: str = "append"
 ) -> DataFrame:
-    """Run a processor per key with processing-time state expiry available."""
+    """Run a processor per key; its ``ttl_ms`` decides whether idle state expires.
+
+    Without expiry the query has no clock of its own, so a drained input lets it stop.
+    """
     return df.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType=_schema(schema),
         outputMode=mode,
-        timeMode="ProcessingTime",
+        timeMode="ProcessingTime" if processor.ttl_ms else "None",
     )
 
 
@@ -43,7 +46,7 @@ class SortedProcessor(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", _schema(self.state_schema), self.ttl_ms or None)
+        self.state = handle.getValueState("state", self.state_schema, self.ttl_ms or None)
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
@@ -178,7 +181,7 @@ class BookKeeper(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        resting = _schema("trade_dir string, order_price double, order_no string, order_vol bigint")
+        resting = "trade_dir string, order_price double, order_no string, order_vol bigint"
         self.resting = handle.getListState("resting", resting, self.ttl_ms or None)
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
@@ -266,13 +269,12 @@ def match_single_stream(orders: DataFrame, ttl_ms: int = 0) -> DataFrame:
 class LatestPair(StatefulProcessor):
     """The newest row of each side per key; each arrival is paired with the other side's."""
 
-    def __init__(self, key: str, ttl_seconds: float):
-        self.key, self.ttl = key, ttl_seconds
+    def __init__(self, key: str, ttl_seconds: float, ttl_ms: int = 0):
+        self.key, self.ttl, self.ttl_ms = key, ttl_seconds, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        one = _schema("body string, micros bigint")
-        idle = int(self.ttl * 1000)
-        self.newest = [handle.getValueState(name, one, idle) for name in ("left_side", "right_side")]
+        one = "body string, micros bigint"
+        self.newest = [handle.getValueState(n, one, self.ttl_ms or None) for n in ("left_side", "right_side")]
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
@@ -296,9 +298,12 @@ class LatestPair(StatefulProcessor):
 
 
 def latest_join_stream(
-    left: DataFrame, right: DataFrame, key: str, ttl: float, ts: str = "ts", tie: str = "id"
+    left: DataFrame, right: DataFrame, key: str, ttl: float, ts: str = "ts", tie: str = "id", idle_ms: int = 0
 ) -> DataFrame:
-    """Stream form of ``latest_join``; the two rows come back as JSON."""
+    """Stream form of ``latest_join``; the two rows come back as JSON.
+
+    ``ttl`` is event time; ``idle_ms`` also drops the state of keys that were silent that long.
+    """
 
     def side(df: DataFrame, number: int) -> DataFrame:
         return df.select(
@@ -312,7 +317,7 @@ def latest_join_stream(
     both = side(left, 0).unionByName(side(right, 1))
     kind = left.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, left string, right string, arrived_side int, micros bigint"
-    paired = keyed(both, [key], LatestPair(key, ttl), schema)
+    paired = keyed(both, [key], LatestPair(key, ttl, idle_ms), schema)
     return paired.withColumn("arrived_at", F.timestamp_micros("micros")).drop("micros")
 
 
@@ -323,7 +328,7 @@ class Upsert(StatefulProcessor):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stored = handle.getValueState("stored", _schema("message string, puts bigint"), self.ttl_ms or None)
+        self.stored = handle.getValueState("stored", "message string, puts bigint", self.ttl_ms or None)
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
