@@ -11,6 +11,7 @@ from millrace.operators import analytic as W
 from millrace.operators import joins as J
 from millrace.operators import selection as O
 from millrace.operators import stats as S
+from millrace.operators.medians import running_median
 from millrace.plans import markov, wiki
 from millrace.plans.text import read_tweets
 from millrace.registry.core import query
@@ -438,6 +439,17 @@ def _(spark, d):
     return out.select("trade_no", "running_volume")
 
 
+@query(
+    "w3_running_median",
+    """SELECT trade_no, quantile_cont(trade_price, 0.5) OVER (PARTITION BY sec_code ORDER BY ts, trade_no
+              ROWS UNBOUNDED PRECEDING) AS running_median FROM {stock_trades}""",
+)
+def _(spark, d):
+    rows = view(spark, d, "stock_trades").select("sec_code", "trade_no", "ts", "trade_price")
+    out = running_median(rows, ["sec_code"], ["ts", "trade_no"], "trade_price", 180 * 86_400.0, 1000.0)
+    return out.select("trade_no", "running_median")
+
+
 @query(
     "w4_sliding_median",
     """SELECT event_id, quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY ts, event_id
