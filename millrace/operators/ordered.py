@@ -211,7 +211,25 @@ def fold_sorted(
     """
     columns = [*keys, *[c for c in (columns or df.columns) if c not in keys]]
     width = len(keys)
-    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    fields = T._parse_datatype_string(schema).fields
+    names = [f.name for f in fields]
+    # Times cross to Python as whole microseconds: cheaper than time objects, and exact.
+    is_time = {f.name for f in fields if isinstance(f.dataType, T.TimestampType)}
+    carried = T.StructType(
+        [T.StructField(f.name, T.LongType() if f.name in is_time else f.dataType) for f in fields]
+    )
+
+    def sent(c: str) -> Column:
+        return F.unix_micros(c).alias(c) if isinstance(df.schema[c].dataType, T.TimestampType) else F.col(c)
+
+    whole = {k for k in keys if isinstance(df.schema[k].dataType, T.IntegralType)}
+
+    def plain(batch, c: str) -> list:
+        """Python values of a column; a missing key is None, so that all such rows are one key."""
+        series = batch[c]
+        if c not in keys or not series.hasnans:
+            return series.tolist()
+        return [None if v is None or v != v else int(v) if c in whole else v for v in series.tolist()]
 
     def run(batches):
         import pandas as pd
@@ -219,8 +237,7 @@ def fold_sorted(
         key, state = None, None
         for batch in batches:
             out = []
-            # Plain Python values; a missing integer arrives as NaN only in a column with gaps.
-            for row in zip(*[batch[c].tolist() for c in columns]):
+            for row in zip(*[plain(batch, c) for c in columns]):
                 if key is None or row[:width] != key:
                     if key is not None and finish is not None:
                         out.extend(finish(state, key))
@@ -237,6 +254,7 @@ def fold_sorted(
         df.select(*dict.fromkeys([*columns, *order]))
         .repartition(*[F.col(k) for k in keys])
         .sortWithinPartitions(*keys, *order)
-        .select(*columns)
-        .mapInPandas(run, schema)
+        .select(*[sent(c) for c in columns])
+        .mapInPandas(run, carried)
+        .select(*[F.timestamp_micros(n).alias(n) if n in is_time else F.col(n) for n in names])
     )

@@ -37,8 +37,13 @@ def select_kth(
 
 
 def secondary_sort(df: DataFrame, key: str, order: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """Rows of a key together and in order; only the key decides the partition."""
-    placed = df.repartition(partitions, F.col(key)) if partitions else df.repartition(F.col(key))
+    """Rows of a key next to each other and in order, keys in order.
+
+    Range partitions: a key too large for one runs on into the next. Where a key must not be
+    split, ``co_partition`` places it by the key alone.
+    """
+    columns = [F.col(c) for c in (key, *order)]
+    placed = df.repartitionByRange(partitions, *columns) if partitions else df.repartitionByRange(*columns)
     return placed.sortWithinPartitions(key, *order)
 
 

@@ -15,6 +15,7 @@ from millrace.operators.ordered import (
     running_totals,
     with_lookback,
 )
+from millrace.session import cut_lineage
 
 DAY = 86_400.0
 WINDOW = 5
@@ -77,7 +78,7 @@ def train_markov(
 
 
 def _penalties(model: DataFrame, algorithm: str) -> DataFrame:
-    """What each change adds to the score, from a (small) model table."""
+    """What each change adds to the score, from a model table of one row per pair of states."""
     row = Window.partitionBy("from_state")
     if algorithm == "missProbability":
         cost: Column = F.sum("p").over(row) - F.col("p")
@@ -116,7 +117,7 @@ def markov_score(
     seen = with_lookback(records, [entity], order, n - 1, width)
     by_entity = lookback_window([entity], order)
     changes = seen.withColumn("from_state", F.lag(state).over(by_entity)).withColumn("to_state", F.col(state))
-    priced = transition_lookup(changes, _penalties(model, algorithm), ["penalty"])
+    priced = transition_lookup(changes, cut_lineage(_penalties(model, algorithm)), ["penalty"])
     steps = by_entity.rowsBetween(-(n - 2), 0)
     full = F.count(state).over(by_entity.rowsBetween(-(n - 1), 0)) == n
     scored = drop_lookback(
@@ -142,7 +143,7 @@ def markov_score_global(
     order = list(order)
     seen = previous_row(records, [entity], order, {state: "from_state"}, width)
     priced = transition_lookup(
-        seen.withColumn("to_state", F.col(state)), _penalties(model, algorithm), ["penalty"]
+        seen.withColumn("to_state", F.col(state)), cut_lineage(_penalties(model, algorithm)), ["penalty"]
     )
     changed = F.col("from_state").isNotNull()
     totals = {"__cost": F.coalesce("penalty", F.lit(0.0)), "__steps": changed.cast("bigint")}

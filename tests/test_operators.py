@@ -251,6 +251,23 @@ def test_ewma_and_sessions_on_a_hot_key(spark, skewed, width):
     assert sessions == sorted(map(tuple, want), key=repr)
 
 
+def test_missing_number_key_is_one_key(spark, skewed):
+    df, rows = skewed
+    number = F.when(F.col("key") == "hot", 1).when(F.col("key") == "a", 2)
+    got = ewma(df.select(number.alias("k"), "ts", "id", "v"), ["k"], ["ts", "id"], "v", width=700.0)
+    shown = {r["k"]: r["n"] for r in got.filter("ewma <> 0").groupBy("k").agg(F.count("*").alias("n")).collect()}
+    others = sum(1 for r in rows if r[0] not in ("hot", "a"))
+    assert got.count() == len(rows) and shown[None] == others - 10
+
+
+def test_secondary_sort_keeps_keys_in_order(spark, skewed):
+    from millrace.operators.selection import secondary_sort
+
+    df, rows = skewed
+    got = [tuple(r) for r in secondary_sort(df.filter("key IS NOT NULL"), "key", ["v", "id"], 4).select("key", "v", "id").collect()]
+    assert got == sorted((r[0], r[3], r[1]) for r in rows if r[0] is not None)
+
+
 def test_joins_on_a_hot_key(spark, skewed):
     df, rows = skewed
     left = df.filter("id % 2 = 0").select("key", F.col("id").alias("l"), "ts")
