@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import keep_fields, split_tokens
+from millrace.functions.scalars import split_tokens
 
 # Divisors of the selection query, states of the local-item query.
 SELECTION_DIVISORS = (1007, 1020, 2001, 2019, 2087)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import time_to_int
-from millrace.operators import joins as J
 from millrace.operators import matching as M
 from millrace.operators.analytic import auction_phase
 from millrace.plans import fraud, markov, scaling, slo, text, wiki
@@ -16,10 +15,9 @@ from millrace.registry.sources import (
     CONTROLLER_LOG,
     EXECUTOR_LOG,
     MIGRATION_LOG,
-    STATES,
     trained,
 )
-from millrace.registry.views import lines, table, view
+from millrace.registry.views import lines, view
 from millrace.session import cut_lineage
 from millrace.sources import logs
 from millrace.streaming.stateful import upsert_store

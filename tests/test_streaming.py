@@ -127,7 +127,6 @@ def test_upsert_store_and_read_back(spark, data, drain, tmp_path):
 def test_restart_from_checkpoint(spark, data, tmp_path, drain):
     """The second half arrives after a stop; the state of the first half is still there."""
     orders = view(spark, data, "stock_orders").orderBy("ts", "order_no")
-    half = orders.approxQuantile("ts_n", [0.5], 0.0)[0] if "ts_n" in orders.columns else None
     numbered = orders.withColumn("n", F.unix_micros("ts"))
     half = numbered.approxQuantile("n", [0.5], 0.0)[0]
     source, checkpoint = str(tmp_path / "src"), str(tmp_path / "chk")
