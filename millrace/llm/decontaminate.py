@@ -7,7 +7,11 @@ Word numbers lead from a match back to the original text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import kept_in_process, map_columns
@@ -87,6 +91,27 @@ def merged_runs(hits: list[tuple]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def automata(spark: SparkSession, items: DataFrame, size: int, pass_bytes: int) -> Callable[[], list]:
+    """A function that gives a task its automata; they are built once per worker from broadcast items.
+
+    The test set is the stated query set. Its size is checked, and it is broadcast in blocks of about
+    ``pass_bytes``, each with an automaton of its own.
+    """
+    known = items.select("item_id", "text").where("text is not null").distinct()
+    total = known.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    blocks = max(1, -(-total // pass_bytes))
+    number = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    held = []
+    for k in range(blocks):
+        rows = known.where(number == k).select("item_id", "text").toLocalIterator()
+        held.append((uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in rows])))
+
+    def tools():
+        return [kept_in_process(name, lambda b=b: automaton(b.value, size)) for name, b in held]
+
+    return tools
+
+
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, item_list, spans, contaminated) of every row of ``docs``.
 
@@ -96,19 +121,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, pass_by
     item with a null id is an item named by the empty string. Rows that repeat give equal rows; items
     that repeat an id count once. Empty tables are fine on either side.
 
-    The test set is the stated query set. Its size is checked: as many automata as it fills
-    ``pass_bytes`` are broadcast one by one, and a scan over several of them merges their hits.
+    A scan over several automata merges their hits.
     """
-    sc = docs.sparkSession.sparkContext
-    known = items.select("item_id", "text").where("text is not null").distinct()
-    total = known.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    passes = max(1, -(-total // pass_bytes))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
-    # Each block is bounded by pass_bytes, up to the spread of the hash and one item.
-    blocks = [
-        sc.broadcast([tuple(r) for r in known.where(part == p).select("item_id", "text").toLocalIterator()])
-        for p in range(passes)
-    ]
+    tools = automata(docs.sparkSession, items, size, pass_bytes)
 
     def step(tools, ids, texts):
         out = {"doc_id": ids, "n_words": [], "n_hit": [], "items": [], "spans": []}
@@ -125,10 +140,6 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, pass_by
             out["spans"].append([{"start": a, "end": b} for a, b in spans])
         return out
 
-    def tools():
-        return [kept_in_process(("items", b.id), lambda b=b: automaton(b.value, size)) for b in wrapped]
-
-    wrapped = [_Numbered(b, i) for i, b in enumerate(blocks)]
     schema = (
         "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
     )
@@ -142,14 +153,13 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, pass_by
     )
 
 
-class _Numbered:
-    """A broadcast value with a name that tells it from those of other calls in the same worker."""
-
-    def __init__(self, held, number: int):
-        import uuid
+def clean(docs: DataFrame, items: DataFrame, size: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of ``docs`` without a window of any item, with all their columns; nothing is shuffled."""
+    tools = automata(docs.sparkSession, items, size, pass_bytes)
 
-        self.held, self.id = held, f"{uuid.uuid4().hex}-{number}"
+    @F.pandas_udf("boolean")
+    def hit(text: pd.Series) -> pd.Series:
+        found = tools()
+        return pd.Series([any(scan(f, t)[1] for f in found) for t in text], dtype="bool")
 
-    @property
-    def value(self):
-        return self.held.value
+    return docs.where(~hit(docs["text"]))

@@ -105,7 +105,7 @@ def text_nodes(page: str) -> list[tuple[tuple[str, ...], bool, int, str]]:
         words = frozenset(re.findall(r"[a-z]+", marks))
         bad = (bool(stack) and stack[-1][2]) or _furniture(tag, words, tuple(stack))
         if not (m["attrs"] or "").endswith("/") or tag not in ("svg", "path"):
-            stack.append((tag, f"{tag}.{'.'.join(sorted(words))}" if words else tag, bad))
+            stack.append((tag, f"{tag}.{'.'.join(marks.split())}" if marks else tag, bad))
     return out
 
 
@@ -147,9 +147,9 @@ def content_paths(nodes: list[tuple[tuple[str, ...], bool, int, str]]) -> set[tu
 def main_text(page: str | None) -> str:
     """The article of a page: blocks in page order, joined by one space.
 
-    The content paths that hold most text name the article: its enclosing ``article`` or ``main``
-    element, or else what the content paths share. Whatever else stands inside it and is not page
-    furniture (short items, table cells, captions) belongs to the article and is kept.
+    The content path that holds most text names the article: its enclosing ``article`` or ``main``
+    element, or else the element around it, beside the other content paths. Whatever else stands
+    inside that element and is not page furniture (short items, table cells, captions) is kept.
     """
     if not page:
         return ""
@@ -164,18 +164,13 @@ def main_text(page: str | None) -> str:
     heaviest = max(mass, key=lambda p: (mass[p], p))
     tags = [x.split(".")[0] for x in heaviest]
     inner = [i for i, t in enumerate(tags) if t in ("article", "main")]
-    if inner:
-        root = heaviest[: inner[0] + 1]
-    else:
-        root = heaviest[:-1]
-        for p in chosen:
-            while p[: len(root)] != root:
-                root = root[:-1]
-        if not root:
-            root = ()
+    root = heaviest[: inner[0] + 1] if inner else heaviest[:-1]
+    # The body of a page is no article: there, only the chosen paths count.
+    whole = bool(root) and root[-1].split(".")[0] not in ("body", "html")
     held, last = [], None
     for path, bad, block, text in nodes:
-        if bad or path[: len(root)] != root or (not inner and path not in chosen and len(path) <= len(root)):
+        inside = whole and path[: len(root)] == root
+        if bad or not (inside or (path in chosen and not inner)):
             continue
         if last is not None and block != last:
             held.append(" ")

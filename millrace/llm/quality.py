@@ -8,6 +8,7 @@ to the prior, so it is not rejected for one bad page.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,3 +143,23 @@ def host_quality(docs: DataFrame) -> DataFrame:
     out = rows.join(bad, same(F.col("source"), F.col("host")), "left").drop("host")
     out = out.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return out.withColumn("kept", ~F.col("rule_failed") & ~F.col("host_rejected"))
+
+
+def passing(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``host_quality`` keeps, with all their columns.
+
+    Texts are measured again here rather than sent through a shuffle; only the rejected hosts are joined.
+    """
+    names = [m.split()[0] for m in MEASURES.split(", ")]
+
+    @F.pandas_udf(MEASURES)
+    def measures(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure_text(t) for t in text], columns=names, dtype="int64")
+
+    held = docs.select(F.struct("*").alias("doc"))
+    judged = held.withColumn("m", measures("doc.text")).select("doc", "m.*")
+    judged = judged.select("doc", F.col("doc.source").alias("source"), rule_failed().alias("failed"))
+    hosts = host_verdicts(judged.select("source", "failed"))
+    bad = hosts.where("rejected").select(F.col("source").alias("host"))
+    kept = judged.where("not failed").join(bad, same(F.col("source"), F.col("host")), "left_anti")
+    return kept.select("doc.*")

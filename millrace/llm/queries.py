@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, html, quality, simhash
+from millrace.llm import decontaminate, html, license_scan, lm_score, packing, pii, quality, secret_scan, simhash, warc
 from millrace.llm.common import table
 from millrace.session import configure
 
@@ -18,12 +18,17 @@ CHECKS: dict[str, str] = {}
 BATCH_ROWS = "2000"
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with the settings of the library and smaller Arrow batches."""
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
+
+
 def query(name: str, check: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            configure(spark)
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-            return fn(spark, sf_dir)
+            return fn(prepared(spark), sf_dir)
 
         QUERIES[name] = run
         if check is not None:
@@ -143,3 +148,74 @@ def op7_benchmark_decontamination(spark, sf_dir):
     return found.select(
         "doc_id", "n_words", "n_hit", "n_items", F.sha2("item_list", 256).alias("items_sha256"), "contaminated"
     )
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), k AS (
+  SELECT payload_digest, max(page_id) AS kept FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, p.payload_digest,
+       CASE WHEN kept IS NULL OR payload_bytes < 1000 OR page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN kept IS NULL OR payload_bytes < 1000 OR page_id = kept THEN NULL ELSE kept END AS refers_to
+FROM p LEFT JOIN k USING (payload_digest)
+"""
+
+
+@query("op4_warc_salvage", OP4_SQL)
+def op4_warc_salvage(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query("op10_pattern_packing")
+def op10_pattern_packing(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark, sf_dir):
+    found = secret_scan.secrets(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random"
+    )
+
+
+@query("op9_pii_boosted_trees")
+def op9_pii_boosted_trees(spark, sf_dir):
+    found = pii.personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[_count("base", k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(pii.span_text(F.col("base")), 256).alias("base_sha256"),
+        pii.span_text(F.col("chosen")).alias("spans"),
+    )
+
+
+def _count(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+@query("op6_bloom_lm_score")
+def op6_bloom_lm_score(spark, sf_dir):
+    return lm_score.scored(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def file_tree(documents: DataFrame) -> DataFrame:
+    """Documents as files (id, path, text): source/language/folder/number, every fiftieth a licence file.
+
+    Licence files stand alternately in the folder of the source and in that of the language.
+    """
+    n = F.col("doc_id")
+    top = F.concat_ws("/", "source", F.when(n % 100 == 0, F.col("lang")))
+    path = F.when(n % 50 == 0, F.concat(top, F.lit("/LICENSE."), n.cast("string"))).otherwise(
+        F.concat_ws("/", "source", "lang", (n % 7).cast("string"), F.concat(n.cast("string"), F.lit(".txt")))
+    )
+    return documents.select(n.alias("id"), path.alias("path"), "text")
+
+
+@query("op3_license_scan")
+def op3_license_scan(spark, sf_dir):
+    found = license_scan.licences(file_tree(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")))
+    return found.withColumnRenamed("id", "doc_id")

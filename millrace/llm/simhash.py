@@ -24,6 +24,8 @@ from millrace.llm.common import LOWER, components, map_columns, stored
 
 BLOCK_BITS = 32
 RADIUS = 1
+#: A wide fingerprint for similarities down to about 0.8: three words, six blocks.
+WIDE_WORDS, WIDE_THRESHOLD = 3, 24
 #: Classes of one anchor that are compared in one task; larger anchors are cut into pairs of parts.
 ANCHOR_PART = 4096
 
@@ -36,13 +38,16 @@ def fingerprint_words(text: str | None, shingle: int, words: int) -> list[int]:
     tokens = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
     if not tokens:
         return [0] * words
+    if shingle == 1:
+        # Single words count once, so that the most frequent ones do not decide every bit.
+        tokens = list(dict.fromkeys(tokens))
     n = max(1, len(tokens) - shingle + 1)
     bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
     out = []
     for k in range(words):
         grams = (
             iter([b" ".join(tokens)]) if len(tokens) < shingle
-            else tokens if shingle == 1
+            else iter(tokens) if shingle == 1
             else map(b" ".join, zip(*[tokens[i:] for i in range(shingle)]))
         )
         h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42 + k)), np.uint64, n)
