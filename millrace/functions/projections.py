@@ -53,13 +53,13 @@ def price_alarm(trades: DataFrame, minimum: float = 10.0) -> DataFrame:
 
 
 def drop_inactive_orders(orders: DataFrame) -> DataFrame:
-    """Orders that were neither voided nor left without a code."""
-    return orders.filter(~F.col("tran_maint_code").isin("X", ""))
+    """Orders that were not voided or given an empty code; a missing code is none of these."""
+    return orders.filter(~F.coalesce(F.col("tran_maint_code").isin("X", ""), F.lit(False)))
 
 
 def drop_non_new_orders(orders: DataFrame) -> DataFrame:
     """Also without deletions."""
-    return orders.filter(~F.col("tran_maint_code").isin("D", "X", ""))
+    return orders.filter(~F.coalesce(F.col("tran_maint_code").isin("D", "X", ""), F.lit(False)))
 
 
 def non_empty(df: DataFrame, column: str) -> DataFrame:

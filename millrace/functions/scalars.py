@@ -48,7 +48,7 @@ def parse_wiki_line(raw: Column) -> Column:
     """
     mark = "\x1e"
     marked = mark + mark.join(f"${i}" for i in range(1, 7))
-    once = F.split(F.regexp_replace(raw, r"^.*?" + WIKI_LINE + r".*$", marked), mark)
+    once = F.split(F.regexp_replace(raw, r"\A[\s\S]*?" + WIKI_LINE + r"[\s\S]*\z", marked), mark)
     fast = F.filter(F.array(once), lambda parts: F.size(parts) == 7)
     fast = F.slice(F.get(fast, F.lit(0)), 2, 6)
     slow = F.when(raw.rlike(WIKI_LINE), F.array(*[F.regexp_extract(raw, WIKI_LINE, i) for i in range(1, 7)]))

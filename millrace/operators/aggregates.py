@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import keep_fields, split_tokens
-from millrace.operators.ordered import with_position
+from millrace.operators.ordered import previous_row, with_position
 
 
 def explode_words(lines: DataFrame, column: str = "line", pattern: str = " ") -> DataFrame:
@@ -35,6 +35,23 @@ def transition_counts(
     return steps.groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("count"))
 
 
+def group_items(
+    df: DataFrame,
+    key: str,
+    fields: Sequence[int],
+    column: str,
+    order: Sequence[str],
+    width: float,
+    delim: str = ",",
+) -> DataFrame:
+    """The chosen fields of every row with its position inside its key, one row per item.
+
+    The form for keys of any size: no key is gathered.
+    """
+    placed = with_position(df, [key], order, width)
+    return placed.select(key, "position", keep_fields(F.col(column), fields, delim).alias("item"))
+
+
 def group_concat(
     df: DataFrame,
     key: str,
@@ -44,23 +61,21 @@ def group_concat(
     width: float,
     delim: str = ",",
     out_delim: str = ",",
-    line_items: int = 1_000_000,
 ) -> DataFrame:
     """One line per key: the key followed by the chosen fields of its rows in order.
 
-    A key with more than ``line_items`` rows gives several lines, numbered by ``part``, so that
-    no single task builds an unbounded line; all items are kept.
+    A key becomes one value, so it must fit one row; ``group_items`` is the form without that bound.
     """
-    placed = with_position(df, [key], order, width)
-    item = keep_fields(F.col(column), fields, delim)
-    lines = (
-        placed.withColumn("part", F.floor((F.col("position") - 1) / line_items))
-        .groupBy(key, "part")
-        .agg(F.array_sort(F.collect_list(F.struct("position", item.alias("item")))).alias("items"))
-    )
-    return lines.select(
-        key, "part", F.concat_ws(out_delim, F.col(key).cast("string"), F.col("items.item")).alias("line")
-    )
+    items = group_items(df, key, fields, column, order, width, delim)
+    lines = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias("items"))
+    return lines.select(key, F.concat_ws(out_delim, F.col(key).cast("string"), F.col("items.item")).alias("line"))
+
+
+def neighbour_counts(items: DataFrame, key: str, order: Sequence[str], item: str, width: float) -> DataFrame:
+    """Counts of neighbouring states of ordered records; no sequence is gathered, so none is cut."""
+    seen = previous_row(items, [key], order, {item: "from_state"}, width)
+    steps = seen.filter(F.col("from_state").isNotNull()).withColumn("to_state", F.col(item))
+    return steps.groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("count"))
 
 
 def contingency_table(df: DataFrame, row: str, column: str, amount: Column | None = None) -> DataFrame:
@@ -68,9 +83,10 @@ def contingency_table(df: DataFrame, row: str, column: str, amount: Column | Non
     cells = df.groupBy(F.col(row).alias("row_label"), F.col(column).alias("col_label")).agg(
         F.sum(amount if amount is not None else F.lit(1)).cast("bigint").alias("value")
     )
-    rows = cells.groupBy("row_label").agg(F.sum("value").alias("row_sum"))
-    columns = cells.groupBy("col_label").agg(F.sum("value").alias("col_sum"))
-    return cells.join(rows, "row_label").join(columns, "col_label")
+    # Sums over the small cell table: the rows are read once, and a null label is a label.
+    return cells.withColumn("row_sum", F.sum("value").over(Window.partitionBy("row_label"))).withColumn(
+        "col_sum", F.sum("value").over(Window.partitionBy("col_label"))
+    )
 
 
 def contingency_wide(cells: DataFrame, col_labels: Sequence[str]) -> DataFrame:

@@ -90,7 +90,9 @@ def ewma(
     decay = 2.0 / (age + 1.0)
     keep = 1.0 - decay
     columns = [*keys, *order, value]
-    placed = with_position(df.select(*columns), keys, order, width, "__position")
+    # A missing value spoils the average from there on, as in any sum with it.
+    number = F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))
+    placed = with_position(df.select(*columns).withColumn(value, number), keys, order, width, "__position")
     rows = placed.withColumn(BUCKET, time_bucket(placed, order[0], width))
     scope = [*keys, BUCKET]
     active = F.col("__position") > warmup + 1

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,6 @@ from millrace.operators.bounded import broadcast_if_small
 from millrace.operators.ordered import latest_before
 
 _SLOT = "__slot"
-MAX_INLINE_CENTROIDS = 64  # written out as one compiled expression; a longer list is an array
 
 
 def _slot(ts: Column, micros: int) -> Column:
@@ -135,14 +136,17 @@ def buy_sell_band_join(
     return joined.drop(*[f"sell_{k}" for k in keys])
 
 
-def buy_sell_latest_join(orders: DataFrame, ttl: float = 180.0) -> DataFrame:
+def buy_sell_latest_join(
+    orders: DataFrame, ttl: float = 180.0, keys: Sequence[str] = ("sec_code",)
+) -> DataFrame:
     """Each order with the newest opposite order of its security; at most one row per arrival."""
-    columns = ["sec_code", "order_no", "order_price", "order_vol", "ts"]
+    columns = [*keys, "order_no", "order_price", "order_vol", "ts"]
     buys = orders.filter(F.col("trade_dir") == "B").select(*columns)
     sells = orders.filter(F.col("trade_dir") == "S").select(*columns)
-    joined = latest_join(buys, sells, ["sec_code"], ttl, tie="order_no", width=86_400.0 * 30)
+    width = 86_400.0 * 30 if keys else 86_400.0
+    joined = latest_join(buys, sells, list(keys), ttl, tie="order_no", width=width)
     return joined.select(
-        "sec_code",
+        *keys,
         F.col("left.order_no").alias("buy_order_no"),
         F.col("right.order_no").alias("sell_order_no"),
         "arrived_at",
@@ -166,42 +170,52 @@ def nearest_centroid(
     x: str = "x",
     y: str = "y",
     compat_linear_vol: bool = False,
-    max_centroids: int = 10_000,
+    block: int = 1 << 16,
 ) -> DataFrame:
-    """Add the id of, and distance to, the closest of a short list of centroids.
+    """Add the id of, and distance to, the closest centroid; the smallest id wins a tie.
 
-    The centroids travel as one array inside the plan, so no row is multiplied. The first
-    centroid wins a tie. A DataFrame (``id``, ``x``, ``y``) is read up to ``max_centroids`` rows.
+    The centroids (``id``, ``x``, ``y``) are the query set: they are broadcast in blocks of ``block``,
+    and every batch of points is compared with one block after the other, so neither a task nor the
+    driver's result holds more than a block and a batch. Points without a place get no centroid.
     """
-    from millrace.functions.scalars import squared_distance
+    import numpy as np
 
+    spark = points.sparkSession
     if isinstance(centroids, DataFrame):
-        rows = centroids.select("id", "x", "y").limit(max_centroids + 1).collect()
-        if len(rows) > max_centroids:
-            raise ValueError(f"more than {max_centroids} centroids")
-        centroids = [(r[0], r[1], r[2]) for r in rows]
-    fixed = sorted(centroids)
-
-    def candidate(i, cx, cy) -> Column:
-        distance = squared_distance(F.col(x), F.col(y), F.lit(float(cx)), F.lit(float(cy)), compat_linear_vol)
-        return F.struct(distance.alias("distance"), F.lit(i).cast("bigint").alias("id"))
-
-    if 1 < len(fixed) <= MAX_INLINE_CENTROIDS:
-        best = F.least(*[candidate(*c) for c in fixed])
+        rows = (tuple(r) for r in centroids.select("id", "x", "y").orderBy("id").toLocalIterator())
     else:
-        listed = F.array(
-            *[F.struct(F.lit(i).alias("i"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for i, a, b in fixed]
+        rows = iter(sorted(centroids))
+    blocks = []
+    while part := list(islice(rows, block)):
+        ids = np.array([r[0] for r in part], np.int64)
+        places = np.array([[float(r[1]), float(r[2])] for r in part])
+        blocks.append(spark.sparkContext.broadcast((ids, places)))
+
+    @F.pandas_udf("distance double, id bigint")
+    def nearest(px: pd.Series, py: pd.Series) -> pd.DataFrame:
+        a, b = px.to_numpy(float), py.to_numpy(float)
+        best = np.full(len(a), np.inf)
+        name = np.zeros(len(a), np.int64)
+        for held in blocks:
+            ids, places = held.value
+            # The table of distances stays within a few megabytes.
+            step = max(1, (1 << 20) // len(ids))
+            for i in range(0, len(a), step):
+                dx = a[i : i + step, None] - places[None, :, 0]
+                dy = b[i : i + step, None] - places[None, :, 1]
+                d = dx * dx + (dy if compat_linear_vol else dy * dy)
+                at = np.argmin(d, axis=1)
+                value = d[np.arange(len(at)), at]
+                closer = value < best[i : i + step]
+                best[i : i + step][closer] = value[closer]
+                name[i : i + step][closer] = ids[at[closer]]
+        known = np.isfinite(best)
+        return pd.DataFrame(
+            {"distance": pd.Series(best).where(known), "id": pd.Series(name, dtype="Int64").where(known)}
         )
-        best = F.array_min(
-            F.transform(
-                listed,
-                lambda c: F.struct(
-                    squared_distance(F.col(x), F.col(y), c["a"], c["b"], compat_linear_vol).alias("distance"),
-                    c["i"].cast("bigint").alias("id"),
-                ),
-            )
-        )
-    return points.withColumn("__best", best).select(
+
+    found = nearest(F.col(x).cast("double"), F.col(y).cast("double"))
+    return points.withColumn("__best", found).select(
         *points.columns, F.col("__best.id").alias("centroid_id"), F.col("__best.distance").alias("distance")
     )
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.projections import drop_inactive_orders, drop_non_new_orders
@@ -116,15 +116,28 @@ class Book:
 _INPUT = ["tran_maint_code", "trade_dir", "order_price", "order_no", "order_vol", "__seed"]
 
 
+def with_volume(orders: DataFrame) -> DataFrame:
+    """Orders that have a volume and a price; the others can neither rest nor trade."""
+    return orders.filter(F.col("order_vol").isNotNull() & F.col("order_price").isNotNull())
+
+
+def rejected_orders(orders: DataFrame, keys: Sequence[str] = ("sec_code",)) -> DataFrame:
+    """How many orders of each key were left out for want of a volume or a price."""
+    missing = F.col("order_vol").isNull() | F.col("order_price").isNull()
+    return orders.filter(missing).groupBy(*keys).agg(F.count(F.lit(1)).alias("rejected"))
+
+
 def _keys_schema(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
 def _book_input(orders: DataFrame, opening: DataFrame | None, keys: Sequence[str]) -> DataFrame:
     columns = [*keys, "tran_maint_code", "trade_dir", "order_price", "order_no", "order_vol", "ts"]
-    rows = drop_inactive_orders(orders).select(*columns).withColumn("__seed", F.lit(0))
+    # A deletion names its order and price; only it may come without a volume.
+    usable = F.col("order_price").isNotNull() & (F.col("order_vol").isNotNull() | (F.col("tran_maint_code") == DELETE))
+    rows = drop_inactive_orders(orders).filter(usable).select(*columns).withColumn("__seed", F.lit(0))
     if opening is not None:
-        seeds = opening.select(*columns).withColumn("__seed", F.lit(1))
+        seeds = with_volume(opening).select(*columns).withColumn("__seed", F.lit(1))
         rows = rows.unionByName(seeds)
     return rows.withColumn("__late", 1 - F.col("__seed"))
 
@@ -194,6 +207,43 @@ def resting_orders(
     return fold_sorted(rows, keys, ["__late", "ts", "order_no"], Book, step, finish, schema, _INPUT)
 
 
+def book_balance(orders: DataFrame, keys: Sequence[str] = ("sec_code",)) -> DataFrame:
+    """Per key: volume placed, whether it all was filled, deleted or still rests, and whether the book is uncrossed."""
+    rows = _book_input(orders, None, keys)
+    n = len(keys)
+
+    def start():
+        return {"book": Book(), "placed": 0, "filled": 0, "deleted": 0}
+
+    def resting(book):
+        return sum(v for side in (book.buys, book.sells) for _, _, v in side.rows())
+
+    def step(state, row):
+        code, direction, price, order_no, volume, _ = row[n:]
+        book = state["book"]
+        if code == DELETE:
+            side = book.side(direction)
+            gone = side.levels.get(price, {}) if side else {}
+            held = sum(gone.values())
+            _advance(book, row, n)
+            left = sum(side.levels.get(price, {}).values()) if side else 0
+            state["deleted"] += held - left
+            return []
+        if volume > 0:
+            state["placed"] += volume
+        state["filled"] += 2 * sum(f[3] for f in _advance(book, row, n))
+        return []
+
+    def finish(state, key):
+        book = state["book"]
+        bid, ask = book.buys.best(), book.sells.best()
+        total = state["filled"] + state["deleted"] + resting(book)
+        return [(*key, state["placed"], total == state["placed"], bid is None or ask is None or bid < ask)]
+
+    schema = f"{_keys_schema(rows, keys)}, placed bigint, balanced boolean, uncrossed boolean"
+    return fold_sorted(rows, keys, ["__late", "ts", "order_no"], start, step, finish, schema, _INPUT)
+
+
 class Slots:
     """At most one resting order per direction; a newer one replaces it."""
 
@@ -223,7 +273,7 @@ class Slots:
 def match_orders_single(orders: DataFrame, keys: Sequence[str] = ("sec_code",)) -> DataFrame:
     """Trades of the one-slot matcher; deleted, voided and uncoded orders take no part."""
     columns = ["trade_dir", "order_price", "order_no", "order_vol"]
-    rows = drop_non_new_orders(orders).select(*keys, *columns, "ts")
+    rows = with_volume(drop_non_new_orders(orders)).select(*keys, *columns, "ts")
     n = len(keys)
 
     def step(slots, row):
@@ -249,7 +299,8 @@ def standing_orders(orders: DataFrame, keys: Sequence[str] = ("sec_code",)) -> D
         F.struct("tran_maint_code", "order_price", "order_vol", "ts"), F.struct("ts", "tran_maint_code")
     )
     final = live.groupBy(*keys, "trade_dir", "order_no").agg(last.alias("o"))
-    return final.filter((F.col("o.tran_maint_code") != DELETE) & (F.col("o.order_vol") > 0)).select(
+    deleted = F.coalesce(F.col("o.tran_maint_code") == DELETE, F.lit(False))
+    return final.filter(~deleted & (F.col("o.order_vol") > 0) & F.col("o.order_price").isNotNull()).select(
         *keys, "trade_dir", "order_no", "o.tran_maint_code", "o.order_price", "o.order_vol", "o.ts"
     )
 
@@ -303,6 +354,7 @@ def call_auction(
 
 def _call_auction_desc(standing: DataFrame, keys: Sequence[str]) -> DataFrame:
     import bisect
+    from collections import deque
 
     columns = ["trade_dir", "order_price", "order_no", "order_vol"]
     rows = standing.select(*keys, *columns, "ts").withColumn(
@@ -320,7 +372,7 @@ def _call_auction_desc(standing: DataFrame, keys: Sequence[str]) -> DataFrame:
         if direction == "S":
             if price not in queues:
                 prices.append(price)
-                queues[price] = []
+                queues[price] = deque()
             queues[price].append([order_no, volume])
             return []
         fills = []
@@ -333,7 +385,7 @@ def _call_auction_desc(standing: DataFrame, keys: Sequence[str]) -> DataFrame:
                 volume -= traded
                 queue[0][1] -= traded
                 if queue[0][1] == 0:
-                    queue.pop(0)
+                    queue.popleft()
             if not queue:
                 del queues[prices[at]], prices[at]
             at -= 1
@@ -359,10 +411,15 @@ def after_call(standing: DataFrame, trades: DataFrame, keys: Sequence[str] = ("s
         ).alias("f"),
     ).select(*keys, "f.trade_dir", "f.order_no", F.col("f.volume").alias("__used"))
     per_order = used.groupBy(*keys, "trade_dir", "order_no").agg(F.sum("__used").alias("__used"))
-    left = standing.join(per_order, [*keys, "trade_dir", "order_no"], "left").withColumn(
+    names = [*keys, "trade_dir", "order_no"]
+    per_order = per_order.select(*[F.col(c).alias(f"__{c}") for c in names], "__used")
+    same_order = F.lit(True)
+    for c in names:
+        same_order = same_order & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    left = standing.join(per_order, same_order, "left").withColumn(
         "order_vol", F.col("order_vol") - F.coalesce(F.col("__used"), F.lit(0))
     )
-    return left.filter(F.col("order_vol") > 0).drop("__used")
+    return left.filter(F.col("order_vol") > 0).select(*standing.columns)
 
 
 def match_orders_continuous(
@@ -376,16 +433,16 @@ def auction_depth(
     standing: DataFrame, keys: Sequence[str] = ("sec_code",), price_width: float = 1000.0
 ) -> DataFrame:
     """Per price: volume offered to buy at it or above, to sell at it or below, and what could clear."""
-    levels = standing.groupBy(*keys, "order_price").agg(
+    levels = with_volume(standing).groupBy(*keys, "order_price").agg(
         F.sum(F.when(F.col("trade_dir") == "B", F.col("order_vol")).otherwise(0)).alias("__b"),
         F.sum(F.when(F.col("trade_dir") == "S", F.col("order_vol")).otherwise(0)).alias("__s"),
     )
     up = running_totals(
         levels, keys, ["order_price"], {"ask_depth": F.col("__s"), "__b_upto": F.col("__b")}, price_width
     )
-    all_bids = levels.groupBy(*keys).agg(F.sum("__b").alias("__b_all"))
+    # Over the price levels, which are few: no second read, and a null key keeps its levels.
     return (
-        up.join(all_bids, list(keys))
+        up.withColumn("__b_all", F.sum("__b").over(Window.partitionBy(*keys)))
         .withColumn("bid_depth", F.col("__b_all") - F.col("__b_upto") + F.col("__b"))
         .select(*keys, "order_price", "bid_depth", "ask_depth", F.least("bid_depth", "ask_depth").alias("cleared"))
     )

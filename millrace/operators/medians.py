@@ -23,6 +23,27 @@ from millrace.operators.ordered import BUCKET, fold_sorted, time_bucket
 _BIN = "__bin"
 
 
+class _Largest:
+    """Stands for not-a-number in a sorted list: above every number, equal to itself."""
+
+    def __lt__(self, other):
+        return False
+
+    def __gt__(self, other):
+        return other is not self
+
+
+NAN = _Largest()
+
+
+def _ranked(value: float):
+    return value if value == value else NAN
+
+
+def _shown(value) -> float:
+    return float("nan") if value is NAN else value
+
+
 class Middle:
     """Sorted distinct values with counts, and a pointer that follows the median."""
 
@@ -38,10 +59,11 @@ class Middle:
 
     def give(self, value: float, count: int) -> None:
         """An earlier value; these come in ascending order before any row."""
-        self.values.append(value)
+        self.values.append(_ranked(value))
         self.counts.append(count)
 
     def add(self, value: float) -> float:
+        value = _ranked(value)
         place = bisect.bisect_left(self.values, value)
         if place < len(self.values) and self.values[place] == value:
             self.counts[place] += 1
@@ -63,8 +85,8 @@ class Middle:
             self.at += 1
         low = self.values[self.at]
         if self.total % 2 == 1 or self.below + self.counts[self.at] > rank + 1:
-            return low
-        return (low + self.values[self.at + 1]) / 2
+            return _shown(low)
+        return (_shown(low) + _shown(self.values[self.at + 1])) / 2
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -82,7 +104,7 @@ def running_median(
     """Keys, order, value and the median of the key's values up to and including each row.
 
     ``width`` is the time bucket, ``value_width`` the size of a value bin; both only set how the
-    work is cut, never the result. Rows without a value are left out.
+    work is cut, never the result. Rows without a value are left out; NaN is above every number.
     """
     n = len(keys)
     columns = [*keys, *order, value]
@@ -91,7 +113,9 @@ def running_median(
     key_fields = ", ".join(f"`{k}` {_type(df, k)}" for k in keys)
 
     per_value = rows.groupBy(*keys, BUCKET, value).agg(F.count(F.lit(1)).alias("__n"))
-    per_value = per_value.withColumn(_BIN, F.floor(F.col(value) / value_width))
+    per_value = per_value.withColumn(
+        _BIN, F.when(F.isnan(value), F.lit(2**63 - 1)).otherwise(F.floor(F.col(value) / value_width))
+    )
     per_bin = per_value.groupBy(*keys, BUCKET, _BIN).agg(F.sum("__n").alias("__n"))
     sized = per_bin.withColumn("__rows", F.sum("__n").over(Window.partitionBy(*keys, BUCKET)))
 
@@ -131,9 +155,10 @@ def running_median(
         """The values of one bin, given to a bucket at its turn."""
         bucket, turn, v, count, below = row[n + 1 :]
         if turn == 1:
+            v = _ranked(v)
             state[v] = state.get(v, 0) + count
             return []
-        return [(*row[:n], bucket, seen, state[seen], int(below), count) for seen in sorted(state)]
+        return [(*row[:n], bucket, _shown(seen), state[seen], below, count) for seen in sorted(state)]
 
     told_and_asked = told.unionByName(asked).withColumn("__below", F.coalesce("__below", F.lit(0)))
     given = fold_sorted(

@@ -21,6 +21,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 BUCKET = "__bucket"
 HALO = "__halo"
@@ -222,39 +223,37 @@ def fold_sorted(
     def sent(c: str) -> Column:
         return F.unix_micros(c).alias(c) if isinstance(df.schema[c].dataType, T.TimestampType) else F.col(c)
 
-    whole = {k for k in keys if isinstance(df.schema[k].dataType, T.IntegralType)}
-
-    def plain(batch, c: str) -> list:
-        """Python values of a column; a missing key is None, so that all such rows are one key."""
-        series = batch[c]
-        if c not in keys or not series.hasnans:
-            return series.tolist()
-        return [None if v is None or v != v else int(v) if c in whole else v for v in series.tolist()]
+    arrow = to_arrow_schema(carried)
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
+
+        def packed(rows):
+            parts = [pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)]
+            return pa.RecordBatch.from_arrays(parts, schema=arrow)
 
         key, state = None, None
         for batch in batches:
             out = []
-            for row in zip(*[plain(batch, c) for c in columns]):
+            # Arrow keeps every value as it is: 64-bit numbers stay whole beside nulls.
+            for row in zip(*[batch.column(c).to_pylist() for c in columns]):
                 if key is None or row[:width] != key:
                     if key is not None and finish is not None:
                         out.extend(finish(state, key))
                     key, state = row[:width], start()
                 out.extend(step(state, row))
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield packed(out)
         if key is not None and finish is not None:
             out = finish(state, key)
             if out:
-                yield pd.DataFrame(out, columns=names)
+                yield packed(out)
 
     return (
         df.select(*dict.fromkeys([*columns, *order]))
         .repartition(*[F.col(k) for k in keys])
         .sortWithinPartitions(*keys, *order)
         .select(*[sent(c) for c in columns])
-        .mapInPandas(run, carried)
+        .mapInArrow(run, carried)
         .select(*[F.timestamp_micros(n).alias(n) if n in is_time else F.col(n) for n in names])
     )

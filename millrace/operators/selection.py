@@ -25,9 +25,12 @@ def select_kth(
     wanted = (
         placed.withColumn("__before", F.col("__upto") - F.col("__n"))
         .filter((F.col("__before") <= k) & (F.col("__upto") > k))
-        .select(*keys, "__bin", "__before")
+        .select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bin").alias("__b"), "__before")
     )
-    inside = binned.join(wanted, [*keys, "__bin"])
+    same_bin = F.col("__bin").eqNullSafe(F.col("__b"))
+    for i, key in enumerate(keys):
+        same_bin = same_bin & F.col(key).eqNullSafe(F.col(f"__k{i}"))
+    inside = binned.join(wanted, same_bin)
     w = Window.partitionBy(*keys).orderBy(score, *tie)
     return (
         inside.withColumn("__rank", F.row_number().over(w) - 1 + F.col("__before"))

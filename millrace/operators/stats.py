@@ -32,10 +32,11 @@ def histogram(
         .groupBy(*scope, _bin(F.col(value), bin_width).alias("bin"))
         .agg(F.sum(w).cast("bigint").alias("count"), F.sum(F.col(value) * w).alias("weighted"))
     )
-    total = bins.groupBy(*scope).agg(
-        F.sum("count").alias("all_count"), F.sum("weighted").alias("all_weighted")
+    # Over the small bin table: no second read, and a null key keeps its bins.
+    whole = Window.partitionBy(*scope)
+    joined = bins.withColumns(
+        {"all_count": F.sum("count").over(whole), "all_weighted": F.sum("weighted").over(whole)}
     )
-    joined = bins.join(total, scope)
     mean = (F.col("all_weighted") / F.col("all_count")).cast("bigint")
     return joined.select(*keys, "bin", "count", mean.alias("mean"), F.col("all_count").alias("total"))
 

@@ -15,7 +15,6 @@ from millrace.operators.ordered import (
     running_totals,
     with_lookback,
 )
-from millrace.session import cut_lineage
 
 DAY = 86_400.0
 WINDOW = 5
@@ -36,8 +35,12 @@ def transition_probability(counts: DataFrame, states: Sequence[str], scale: int
     """Row-normalised transition table over the given states.
 
     A row with an empty cell gets one added to every cell. ``scale`` 1 gives fractions, a larger
-    one whole numbers ``count * scale / row sum``.
+    one whole numbers ``count * scale / row sum``. A count of a state that is not in ``states`` makes
+    the query fail.
     """
+    known = F.col("from_state").isin(*states) & F.col("to_state").isin(*states)
+    unknown = F.concat(F.lit("transition between unknown states: "), F.concat_ws(" -> ", "from_state", "to_state"))
+    counts = counts.withColumn("count", F.when(known, F.col("count")).otherwise(F.raise_error(unknown)))
     cells = _state_grid(counts.sparkSession, states).join(counts, ["from_state", "to_state"], "left")
     cells = cells.withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("bigint"))
     row = Window.partitionBy("from_state")
@@ -88,7 +91,7 @@ def _penalties(model: DataFrame, algorithm: str) -> DataFrame:
     elif algorithm == "entropyReduction":
         cost = F.sum(-F.col("p") * F.log("p")).over(row)
     else:
-        raise ValueError(f"The detection algorithm '{algorithm}' does not exist")
+        raise ValueError(f"no penalty is defined for algorithm {algorithm!r}")
     return model.withColumn("penalty", cost).select("from_state", "to_state", "penalty")
 
 
@@ -112,17 +115,20 @@ def markov_score(
     threshold: float = THRESHOLD,
     width: float = DAY,
 ) -> DataFrame:
-    """Mean penalty over the changes in the last ``n`` states; 0 until there are ``n`` of them."""
+    """Mean penalty over the changes in the last ``n`` states; 0 until there are ``n`` of them.
+
+    A change that the model does not know adds nothing, here as in the stream form.
+    """
     order = list(order)
     seen = with_lookback(records, [entity], order, n - 1, width)
     by_entity = lookback_window([entity], order)
     changes = seen.withColumn("from_state", F.lag(state).over(by_entity)).withColumn("to_state", F.col(state))
-    priced = transition_lookup(changes, cut_lineage(_penalties(model, algorithm)), ["penalty"])
+    priced = transition_lookup(changes, _penalties(model, algorithm), ["penalty"])
     steps = by_entity.rowsBetween(-(n - 2), 0)
     full = F.count(state).over(by_entity.rowsBetween(-(n - 1), 0)) == n
     scored = drop_lookback(
         priced.withColumn("states", F.collect_list(state).over(by_entity.rowsBetween(-(n - 1), 0)))
-        .withColumn("score", F.when(full, F.sum("penalty").over(steps) / (n - 1)).otherwise(0.0))
+        .withColumn("score", F.when(full, F.coalesce(F.sum("penalty").over(steps), F.lit(0.0)) / (n - 1)).otherwise(0.0))
     )
     return scored.select(
         F.col(entity).alias("entity"), *order, "states", "score", (F.col("score") > threshold).alias("outlier")
@@ -143,7 +149,7 @@ def markov_score_global(
     order = list(order)
     seen = previous_row(records, [entity], order, {state: "from_state"}, width)
     priced = transition_lookup(
-        seen.withColumn("to_state", F.col(state)), cut_lineage(_penalties(model, algorithm)), ["penalty"]
+        seen.withColumn("to_state", F.col(state)), _penalties(model, algorithm), ["penalty"]
     )
     changed = F.col("from_state").isNotNull()
     totals = {"__cost": F.coalesce("penalty", F.lit(0.0)), "__steps": changed.cast("bigint")}

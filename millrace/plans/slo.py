@@ -20,6 +20,21 @@ SLOTS_PER_BUCKET = 86_400
 LINES_PER_BUCKET = 1_000_000
 
 
+def compact_log(log: DataFrame) -> DataFrame:
+    """The log with the ground-truth lines of one executor, substream and time as one line.
+
+    Everything in this module gives the same on it. It is written to the shared folder once, so a
+    report reads the log itself a single time, whatever it is asked for.
+    """
+    gt = F.col("kind") == "gt"
+    keys = ["container", "kind", "ts_ms", "substream", "host"]
+    own = F.when(~gt, F.col("line_no")).alias("__line")
+    summed = log.groupBy(*keys, own).agg(
+        F.max("line_no").alias("line_no"), F.sum("n").alias("n"), F.sum("latency_ms").alias("latency_ms")
+    )
+    return cut_lineage(summed.drop("__line"))
+
+
 def run_start(log: DataFrame) -> Column:
     """Earliest non-zero ground-truth time, as a scalar subquery."""
     times = log.filter((F.col("kind") == "gt") & (F.col("ts_ms") != 0))
@@ -194,12 +209,12 @@ def slo_report(
 ) -> DataFrame:
     """All single figures of the report as (section, item, value).
 
-    The log is read once for each of the three small tables the figures come from; those are
-    checkpointed, not recomputed for every section.
+    All of them come from the compacted log, so the log is read once.
     """
-    slots = cut_lineage(slo_window_latency(log))
+    log = compact_log(log)
+    slots = slo_window_latency(log)
     rates = slo_success_rate(slots, interval)
-    lifetimes = cut_lineage(executor_lifetimes(log, interval))
+    lifetimes = executor_lifetimes(log, interval)
 
     def unpivot(df: DataFrame, section: str) -> DataFrame:
         pairs = F.array(

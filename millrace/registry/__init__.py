@@ -6,7 +6,7 @@ from millrace.registry.core import CHECKS, QUERIES, Query
 
 
 def _load() -> None:
-    from millrace.registry import grouped, rows, sources, stateful  # noqa: F401
+    from millrace.registry import grouped, rows, sources, stateful, streams  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -105,9 +105,21 @@ def _(spark, d):
     return joined.select("sec_code", "buy_order_no", "sell_order_no")
 
 
-@query("j4_unkeyed_band_join", _BAND.format(key="", on="", sec=2))
+@query(
+    "j4_unkeyed_band_join",
+    """WITH m AS (SELECT ts, CASE trade_dir WHEN 'B' THEN 0 ELSE 1 END AS side, order_no FROM {stock_new}),
+            s AS (SELECT *,
+                    last_value(CASE side WHEN 0 THEN order_no END IGNORE NULLS) OVER w AS b,
+                    last_value(CASE side WHEN 0 THEN ts END IGNORE NULLS) OVER w AS bt,
+                    last_value(CASE side WHEN 1 THEN order_no END IGNORE NULLS) OVER w AS s,
+                    last_value(CASE side WHEN 1 THEN ts END IGNORE NULLS) OVER w AS st
+                  FROM m WINDOW w AS (ORDER BY ts, side, order_no ROWS UNBOUNDED PRECEDING))
+       SELECT b AS buy_order_no, s AS sell_order_no FROM s
+       WHERE CASE side WHEN 0 THEN st ELSE bt END > ts - INTERVAL 2 SECOND""",
+)
 def _(spark, d):
-    joined = J.buy_sell_band_join(view(spark, d, "stock_new"), 2.0, keys=())
+    # Without a key every arrival meets the newest opposite order of the whole market: no pairs are formed.
+    joined = J.buy_sell_latest_join(view(spark, d, "stock_new"), 2.0, keys=())
     return joined.select("buy_order_no", "sell_order_no")
 
 
@@ -163,16 +175,16 @@ def _(spark, d):
     )
 
 
-# Centroids of the checks: one per fifth of the securities, from the trades themselves.
+# Centroids of the checks: one per security, from the trades themselves.
 _CENTROIDS = """
     centroids AS (SELECT CAST(sec_code AS BIGINT) AS id, floor(avg(trade_price * 1000)) AS x, floor(avg(trade_vol)) AS y
-                  FROM {stock_trades} WHERE CAST(sec_code AS BIGINT) < 20 GROUP BY 1)
+                  FROM {stock_trades} GROUP BY 1)
 """
 
 
 def centroids(spark, d):
     trades = view(spark, d, "stock_trades").withColumn("id", F.col("sec_code").cast("bigint"))
-    return trades.filter(F.col("id") < 20).groupBy("id").agg(
+    return trades.groupBy("id").agg(
         F.floor(F.avg(F.col("trade_price") * 1000)).alias("x"), F.floor(F.avg("trade_vol")).alias("y")
     )
 
@@ -267,14 +279,18 @@ def _(spark, d):
     return wiki.edits_all_time(stats.select("window_start", "edits"))
 
 
-def sequences(spark, d):
-    records = view(spark, d, "fraud_records")
-    return A.group_concat(records, "entity", [1], "record", ["ts", "event_id"], 86_400.0)
+def counted_changes(spark, d):
+    return A.neighbour_counts(view(spark, d, "fraud_records"), "entity", ["ts", "event_id"], "state", 86_400.0)
 
 
 @query("g5_transition_counts", f"WITH {_COUNTS} SELECT from_state, to_state, c AS count FROM counted")
 def _(spark, d):
-    return A.transition_counts(sequences(spark, d))
+    return counted_changes(spark, d)
+
+
+@query("g5_transition_counts_of_lines", f"WITH {_COUNTS} SELECT from_state, to_state, c AS count FROM counted")
+def _(spark, d):
+    return A.transition_counts(_GROUPED(spark, d))
 
 
 @query(
@@ -283,16 +299,25 @@ def _(spark, d):
         SELECT from_no, from_state, to_no, to_state, n * 1000 // sum(n) OVER (PARTITION BY from_no) AS p FROM smooth""",
 )
 def _(spark, d):
-    return markov.transition_probability(A.transition_counts(sequences(spark, d)), STATES, 1000)
+    return markov.transition_probability(counted_changes(spark, d), STATES, 1000)
 
 
 @query(
     "g7_group_concat",
-    """SELECT entity, CAST(0 AS BIGINT) AS part,
-              concat(entity, ',', string_agg(state, ',' ORDER BY ts, event_id)) AS line FROM {fraud_records} GROUP BY 1""",
+    """SELECT entity, concat(entity, ',', string_agg(state, ',' ORDER BY ts, event_id)) AS line
+       FROM {fraud_records} GROUP BY 1""",
+)
+def _GROUPED(spark, d):
+    return A.group_concat(view(spark, d, "fraud_records"), "entity", [1], "record", ["ts", "event_id"], 86_400.0)
+
+
+@query(
+    "g7_group_items",
+    """SELECT entity, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS position, state AS item
+       FROM {fraud_records}""",
 )
 def _(spark, d):
-    return sequences(spark, d)
+    return A.group_items(view(spark, d, "fraud_records"), "entity", [1], "record", ["ts", "event_id"], 86_400.0)
 
 
 @query(

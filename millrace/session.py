@@ -44,10 +44,12 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a fresh local one only where none is set."""
+    """The shared checkpoint folder of the cluster; only a single-machine session may go without."""
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="millrace-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)

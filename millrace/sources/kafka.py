@@ -44,9 +44,19 @@ def write_keyed(orders: DataFrame) -> DataFrame:
     return encode_json(orders, "sec_code")
 
 
-def topic_options(servers: str, topics: Sequence[str], start: str = "earliest") -> dict[str, str]:
-    """Connector options; ``start`` is earliest, latest or a JSON of offsets."""
+#: Messages of a micro-batch, over all partitions: what keyed processors have to sort at once.
+MAX_OFFSETS = 1_000_000
+
+
+def topic_options(
+    servers: str, topics: Sequence[str], start: str = "earliest", max_offsets: int = MAX_OFFSETS
+) -> dict[str, str]:
+    """Connector options; ``start`` is earliest, latest or a JSON of offsets.
+
+    ``max_offsets`` bounds a micro-batch, so that a backlog is not one batch.
+    """
     return {
+        "maxOffsetsPerTrigger": str(max_offsets),
         "kafka.bootstrap.servers": servers,
         "subscribe": ",".join(topics),
         "startingOffsets": start,

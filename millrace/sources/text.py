@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import WHITESPACE_ENDS, parse_order_time
@@ -89,10 +89,12 @@ def load_markov_model(lines: DataFrame, line_no: str = "line_no", column: str =
     ``line_no`` counts from 0. A row whose width differs from the header fails the query.
     """
     split = lines.select(F.col(line_no).alias("line_no"), F.split(column, ",").alias("items"))
-    header = split.filter(F.col("line_no") == 0).select(F.col("items").alias("states"))
-    body = split.filter(F.col("line_no") > 0)
-    # The header is one row; it joins on a constant.
-    rows = body.withColumn("__one", F.lit(1)).join(header.withColumn("__one", F.lit(1)), "__one")
+    # A model has one line per state, so all its lines fit a window; the header is the first.
+    whole = Window.partitionBy(F.lit(1))
+    header = F.max(F.when(F.col("line_no") == 0, F.col("items"))).over(whole)
+    headers = F.sum((F.col("line_no") == 0).cast("int")).over(whole)
+    one = F.when(headers == 1, header).otherwise(F.raise_error(F.lit("a model has one header line")))
+    rows = split.withColumn("states", one).filter(F.col("line_no") > 0)
     cells = F.when(F.size("items") == F.size("states"), F.arrays_zip("states", "items")).otherwise(
         F.raise_error(F.lit("row width differs from the number of states"))
     )

@@ -32,11 +32,14 @@ def observed(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
     return df.observe(name, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in metrics.items()])
 
 
+RECORD = "query string, batch bigint, stage string, rows bigint, rows_per_second double"
+
+
 class ThroughputListener(StreamingQueryListener):
-    """Collects one small record per micro-batch, newest ``keep`` of them."""
+    """Appends one small record per stage and micro-batch to the table at ``path``; none is dropped."""
 
-    def __init__(self, keep: int = 10_000):
-        self.keep, self.records = keep, []
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
 
     def onQueryStarted(self, event):
         pass
@@ -49,21 +52,12 @@ class ThroughputListener(StreamingQueryListener):
 
     def onQueryProgress(self, event):
         p = event.progress
-        base = {"query": p.name, "batch": p.batchId}
-        self.records.append(
-            {**base, "stage": "input", "rows": p.numInputRows, "rows_per_second": p.processedRowsPerSecond}
-        )
-        for i, state in enumerate(p.stateOperators):
-            self.records.append(
-                {**base, "stage": f"state_{i}", "rows": state.numRowsUpdated, "rows_per_second": None}
-            )
-        for stage, row in p.observedMetrics.items():
-            self.records.append({**base, "stage": stage, "rows": row["rows"], "rows_per_second": None})
-        del self.records[: -self.keep]
-
-
-def stage_throughput(spark: SparkSession, listener: ThroughputListener) -> DataFrame:
-    """The collected records as a table."""
-    schema = "query string, batch bigint, stage string, rows bigint, rows_per_second double"
-    rows = [(r["query"], r["batch"], r["stage"], r["rows"], r["rows_per_second"]) for r in listener.records]
-    return spark.createDataFrame(rows, schema)
+        rows = [(p.name, p.batchId, "input", p.numInputRows, p.processedRowsPerSecond)]
+        rows += [(p.name, p.batchId, f"state_{i}", s.numRowsUpdated, None) for i, s in enumerate(p.stateOperators)]
+        rows += [(p.name, p.batchId, stage, row["rows"], None) for stage, row in p.observedMetrics.items()]
+        self.spark.createDataFrame(rows, RECORD).coalesce(1).write.mode("append").parquet(self.path)
+
+
+def stage_throughput(spark: SparkSession, path: str) -> DataFrame:
+    """All records that listeners have appended to ``path``."""
+    return spark.read.schema(RECORD).parquet(path)

@@ -281,6 +281,9 @@ class LatestPair(StatefulProcessor):
 
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["micros", "side", "tie"], kind="stable")
         newest = [s.get() if s.exists() else None for s in self.newest]
+        # What is too old for the first arrival can meet none that follows.
+        oldest = batch["micros"].iloc[0] - self.ttl * 1_000_000
+        newest = [n if n is None or n[1] > oldest else None for n in newest]
         out = []
         for micros, side, body in zip(batch["micros"].tolist(), batch["side"].tolist(), batch["body"].tolist()):
             newest[side] = (body, micros)
@@ -290,6 +293,8 @@ class LatestPair(StatefulProcessor):
         for state, row in zip(self.newest, newest):
             if row is not None:
                 state.update(tuple(row))
+            elif state.exists():
+                state.clear()
         if out:
             yield pd.DataFrame(out, columns=[self.key, "left", "right", "arrived_side", "micros"])
 
@@ -357,13 +362,22 @@ def read_store(spark, checkpoint: str, state: str = "stored") -> DataFrame:
 
 
 def fold_stream(
-    df: DataFrame, keys: Sequence[str], step: Callable, state_schema: str, schema: str, order: Sequence[str]
+    df: DataFrame,
+    keys: Sequence[str],
+    step: Callable,
+    state_schema: str,
+    schema: str,
+    order: Sequence[str],
+    ttl_ms: int = 0,
 ) -> DataFrame:
-    """A user-defined fold: ``step(key, rows, state) -> (output rows, new state)``."""
+    """A user-defined fold: ``step(key, rows, state) -> (output rows, new state)``.
+
+    ``ttl_ms`` lets the state of idle keys go.
+    """
 
     class Custom(SortedProcessor):
         def run(self, key, batch, kept):
             return step(key, batch, kept)
 
     Custom.state_schema, Custom.order = state_schema, list(order)
-    return keyed(df, keys, Custom(), schema)
+    return keyed(df, keys, Custom(ttl_ms), schema)

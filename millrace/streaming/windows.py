@@ -6,12 +6,10 @@ and a row older than that is dropped.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import latest_before, previous_row
+from millrace.operators.ordered import BUCKET
 
 DAY = 86_400.0
 
@@ -35,18 +33,12 @@ def windowed_word_count(lines: DataFrame, seconds: float = 5.0, column: str = "l
     return tumbling_count(explode_words(lines.select(column, "ts"), column, pattern), "word", seconds)
 
 
-def session_count(
-    df: DataFrame,
-    key: str,
-    gap: float = 60.0,
-    ts: str = "ts",
-    tie: Sequence[str] = (),
-    width: float = DAY,
-) -> DataFrame:
+def session_count(df: DataFrame, key: str, gap: float = 60.0, ts: str = "ts", width: float = DAY) -> DataFrame:
     """Rows per session of a key; a session ends when more than ``gap`` seconds pass.
 
-    A stream uses ``session_window``. A table names each row's session by its start time, found
-    per time bucket, so that a hot key is not sorted in one task.
+    A stream uses ``session_window``. A table is shuffled once, by key and time bucket: sessions are
+    formed inside each bucket, and only the first and last of a bucket can go on in a neighbour, so
+    only these are put in order per key. A hot key is spread over its buckets.
     """
     if df.isStreaming:
         pane = F.session_window(ts, _span(gap))
@@ -54,27 +46,42 @@ def session_count(
         return counted.select(
             F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), key, "count"
         )
-    rows = df.select(key, ts, *[c for c in tie if c not in (key, ts)])
-    order = [ts, *tie]
-    seen = previous_row(rows, [key], order, {ts: "__before"}, width)
     limit = int(gap * 1_000_000)
-    opens = F.col("__before").isNull() | (F.unix_micros(ts) - F.unix_micros("__before") > limit)
-    named = latest_before(seen, [key], order, {"session_start": F.when(opens, F.col(ts))}, width)
-    counted = named.groupBy(key, "session_start").agg(
-        F.max(ts).alias("__last"), F.count(F.lit(1)).alias("count")
+    rows = df.select(key, F.unix_micros(ts).alias("__at"))
+    rows = rows.withColumn(BUCKET, F.floor(F.col("__at") / int(width * 1_000_000)))
+    scope = [key, BUCKET]
+    along = Window.partitionBy(*scope).orderBy("__at")
+    opens = (F.col("__at") - F.lag("__at").over(along) > limit).cast("int")
+    local = (
+        rows.withColumn("__opens", F.coalesce(opens, F.lit(0)))
+        .withColumn("__no", F.sum("__opens").over(along))
+        .groupBy(*scope, "__no")
+        .agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), F.count(F.lit(1)).alias("count"))
     )
-    return counted.select(
-        "session_start",
-        (F.col("__last") + F.expr(f"INTERVAL {limit} MICROSECONDS")).alias("session_end"),
+    edge = (F.col("__no") == 0) | (F.col("__no") == F.max("__no").over(Window.partitionBy(*scope)))
+    local = local.withColumn("__edge", edge).drop("__no")
+    # At most two rows per key and bucket.
+    chain = Window.partitionBy(key).orderBy("__first")
+    starts = (F.col("__first") - F.lag("__last").over(chain) > limit).cast("int")
+    joined = (
+        local.filter("__edge")
+        .withColumn("__starts", F.coalesce(starts, F.lit(0)))
+        .withColumn("__no", F.sum("__starts").over(chain))
+        .groupBy(key, "__no")
+        .agg(F.min("__first").alias("__first"), F.max("__last").alias("__last"), F.sum("count").alias("count"))
+    )
+    columns = [key, "__first", "__last", "count"]
+    return local.filter("NOT __edge").select(*columns).unionByName(joined.select(*columns)).select(
+        F.timestamp_micros("__first").alias("session_start"),
+        F.timestamp_micros(F.col("__last") + limit).alias("session_end"),
         key,
         "count",
     )
 
 
 def windowed_word_sessions(
-    lines: DataFrame, gap: float = 5.0, column: str = "line", pattern: str = " ", tie: Sequence[str] = ()
+    lines: DataFrame, gap: float = 5.0, column: str = "line", pattern: str = " "
 ) -> DataFrame:
     from millrace.operators.aggregates import explode_words
 
-    words = explode_words(lines.select(column, "ts", *tie), column, pattern)
-    return session_count(words, "word", gap, tie=tie)
+    return session_count(explode_words(lines.select(column, "ts"), column, pattern), "word", gap)

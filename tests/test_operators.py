@@ -170,6 +170,13 @@ def test_nearest_centroid_long_list_equals_short(spark):
     short = rows_of(nearest_centroid(points, few))
     far = [(100 + i, 1e6, 1e6) for i in range(100)]
     assert rows_of(nearest_centroid(points, few + far)) == short
+    # Any number of centroids, in blocks of any size; a tie goes to the smallest id.
+    many = few + [(100 + i, 1e6 + i, 1e6) for i in range(11_000)] + [(-1, 0.0, 0.0)]
+    table = spark.createDataFrame(many, "id long, x double, y double")
+    tied = rows_of(nearest_centroid(points, table, block=1000))
+    assert [r[:2] + ((0 if r[2] == -1 else r[2]), r[3]) for r in tied] == short
+    gone = spark.createDataFrame([(None, 1.0)], "x double, y double")
+    assert rows_of(nearest_centroid(gone, few)) == [(None, 1.0, None, None)]
 
 
 # --- one hot key holding most rows, spread over many buckets -----------------------------------
@@ -235,7 +242,7 @@ def test_medians_on_a_hot_key(spark, skewed, width):
 def test_ewma_and_sessions_on_a_hot_key(spark, skewed, width):
     df, rows = skewed
     got = {r["id"]: r["ewma"] for r in ewma(df, ["key"], ["ts", "id"], "v", width=width).collect()}
-    sessions = rows_of(session_count(df, "key", 35, tie=["id"], width=width).select("key", F.unix_seconds("session_start"), "count"))
+    sessions = rows_of(session_count(df, "key", 35, width=width).select("key", F.unix_seconds("session_start"), "count"))
     want, decay = [], 2 / 31
     for key, group in by_key(rows).items():
         level = 0.0
@@ -298,9 +305,10 @@ def test_kth_and_group_lines_on_a_hot_key(spark, skewed):
             if key is not None:
                 assert got[key] == sorted(r[3] for r in group)[k]
     text_rows = df.filter("key = 'hot'").withColumn("line", F.concat_ws(",", F.col("id").cast("string"), F.lit("x")))
-    parts = A.group_concat(text_rows, "key", [0], "line", ["ts", "id"], 700.0, line_items=100)
-    items = [x for r in parts.orderBy("part").collect() for x in r["line"].split(",")[1:]]
-    assert items == [str(r[1]) for r in by_key(rows)["hot"]] and parts.count() > 5
+    (line,) = A.group_concat(text_rows, "key", [0], "line", ["ts", "id"], 700.0).collect()
+    assert line["line"].split(",")[1:] == [str(r[1]) for r in by_key(rows)["hot"]]
+    items = A.group_items(text_rows, "key", [0], "line", ["ts", "id"], 700.0).orderBy("position").collect()
+    assert [r["item"] for r in items] == line["line"].split(",")[1:]
 
 
 def test_no_cross_joins_and_pruned_scans(spark, data):
@@ -316,3 +324,104 @@ def test_no_cross_joins_and_pruned_scans(spark, data):
 def test_filters_and_format(spark):
     alarm = spark.createDataFrame([("1", 9.5), ("2", 10.0)], "sec_code string, trade_price double")
     assert [r["value"] for r in P.price_alarm(alarm).orderBy("key").collect()] == [P.LOW_PRICE_TEXT, P.NORMAL_TEXT]
+
+
+# --- values that must stay exact beside nulls ----------------------------------------------------
+
+BIG = 2**53 + 1
+
+
+def test_large_ids_stay_exact_beside_null_keys(spark):
+    rows = [(BIG + i, "k" if i % 3 else None, float(i), i) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, key string, v double, t long")
+    smooth = ewma(df, ["key"], ["t", "id"], "v", width=7.0)
+    assert sorted(r["id"] for r in smooth.collect()) == [r[0] for r in rows]
+    medians = running_median(df, ["key"], ["t", "id"], "v", width=7.0, value_width=5.0)
+    assert sorted(r["id"] for r in medians.collect()) == [r[0] for r in rows]
+
+
+def test_large_integer_keys_do_not_meet_in_a_book(spark):
+    orders = [
+        (2**60 + 1, "A", "S", 10.0, "s1", 5), (2**60 + 2, "A", "B", 10.0, "b1", 5), (None, "A", "B", 9.0, "b2", 1),
+        (None, "A", "S", 9.0, "s2", 1),
+    ]
+    df = spark.createDataFrame(orders, "sec_code long, tran_maint_code string, trade_dir string, order_price double, order_no string, order_vol int")
+    df = df.withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    assert rows_of(M.book_fills(df)) == [(None, "b2", "s2", 9.0, 1)]
+    assert {r["sec_code"] for r in M.resting_orders(df).collect()} == {2**60 + 1, 2**60 + 2}
+
+
+def test_nan_is_the_largest_value_of_a_median(spark):
+    values = [5.0, float("nan"), 1.0, 2.0, 3.0, float("inf")]
+    df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)], "key string, t long, v double")
+    for width in (1.0, 2.0, 100.0):
+        got = running_median(df, ["key"], ["t"], "v", width=width, value_width=2.0).orderBy("t").collect()
+        assert [repr(r["running_median"]) for r in got] == ["5.0", "nan", "5.0", "3.5", "3.0", "4.0"]
+
+
+def test_null_keys_and_labels_are_kept(spark):
+    df = spark.createDataFrame([(None, "x", 1.0), ("a", None, 2.0), ("a", "x", 3.0)], "k string, c string, v double")
+    assert rows_of(A.contingency_table(df, "k", "c")) == rows_of(
+        spark.createDataFrame([(None, "x", 1, 1, 2), ("a", None, 1, 2, 1), ("a", "x", 1, 2, 2)], "a string, b string, c int, d int, e int")
+    )
+    assert len(stats.histogram(df, ["k"], "v", 1).collect()) == 3
+    assert {r["k"] for r in select_kth(df, ["k"], "v", 0, 1.0).collect()} == {None, "a"}
+    orders = spark.createDataFrame(
+        [(None, "A", "B", 10.0, "b", 5), (None, "A", "S", 9.0, "s", 3), (None, "A", "S", 9.0, "n", None)],
+        "sec_code string, tran_maint_code string, trade_dir string, order_price double, order_no string, order_vol int",
+    ).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    standing = M.standing_orders(orders)
+    assert len(M.auction_depth(standing).collect()) == 2
+    trades = M.call_auction(standing)
+    assert [r["volume"] for r in trades.collect()] == [3]
+    assert rows_of(M.after_call(standing, trades), "order_no", "order_vol") == [("b", 2)]
+    assert rows_of(M.rejected_orders(orders)) == [(None, 1)]
+
+
+def test_a_missing_volume_trades_nothing_and_a_missing_code_is_kept(spark):
+    rows = [("1", None, "B", 10.0, "b", 5), ("1", "A", "S", 9.0, "s", None), ("1", "X", "S", 9.0, "x", 5), ("1", "A", "S", 9.5, "t", 2)]
+    df = spark.createDataFrame(
+        rows, "sec_code string, tran_maint_code string, trade_dir string, order_price double, order_no string, order_vol int"
+    ).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    assert rows_of(M.match_orders_single(df), "buy_order_no", "sell_order_no", "volume") == [("b", "t", 2)]
+    assert rows_of(M.book_fills(df), "buy_order_no", "sell_order_no", "volume") == [("b", "t", 2)]
+    assert {r["order_no"] for r in P.drop_inactive_orders(df).collect()} == {"b", "s", "t"}
+
+
+def test_an_edit_line_may_hold_newlines(spark):
+    line = "[[T]] M http://x * u * (+5) text"
+    df = spark.createDataFrame([(f"a\nb {line}\nmore",), (line,)], "raw string")
+    got = [r[0] for r in df.select(X.parse_wiki_line(F.col("raw"))).collect()]
+    assert got[0] == got[1] and got[0][0] == "T" and got[0][4] == "5"
+
+
+def test_unknown_states_score_nothing_and_fail_training(spark):
+    rows = [("e", i, "zz") for i in range(6)]
+    df = spark.createDataFrame(rows, "entity string, event_id long, state string").withColumn("ts", F.timestamp_seconds("event_id"))
+    model = markov.transition_probability(
+        spark.createDataFrame([("a", "b", 3)], "from_state string, to_state string, count long"), ["a", "b"]
+    )
+    assert {(r["score"], r["outlier"]) for r in markov.markov_score(df, model).collect()} == {(0.0, False)}
+    with pytest.raises(Exception, match="unknown states"):
+        markov.train_markov(df, ["a", "b"], "entity", ["ts", "event_id"], "state").collect()
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
+    from millrace import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(Session())
