@@ -72,6 +72,14 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, rows: int, salt: int) -> DataFrame:
+    """About ``rows`` rows of ``df`` chosen by a hash of doc_id; all of them if there are no more."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
+
+
 def same(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 

@@ -13,7 +13,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, map_columns, stored
+from millrace.llm.common import LOWER, bounded_sample, map_columns, stored
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A
@@ -92,14 +92,6 @@ class RatioModel:
         return total / len(token)
 
 
-def bounded_sample(df: DataFrame, rows: int, salt: int) -> DataFrame:
-    """About ``rows`` rows of ``df`` chosen by a hash of doc_id; all of them if there are no more."""
-    n = df.count()
-    if n <= rows:
-        return df
-    return df.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(rows / n * (1 << 30)))
-
-
 def training_tokens(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(label, token): secret values (1) and ordinary tokens (0) of bounded samples of rows."""
     texts = docs.select("doc_id", "text").where("text is not null")

@@ -26,12 +26,27 @@ BLOCK_BITS = 32
 RADIUS = 1
 #: A wide fingerprint for similarities down to about 0.8: three words, six blocks.
 WIDE_WORDS, WIDE_THRESHOLD = 3, 24
+#: Words of at least so many bytes are content words.
+CONTENT_BYTES = 4
 #: Classes of one anchor that are compared in one task; larger anchors are cut into pairs of parts.
 ANCHOR_PART = 4096
 
 
+def content_words(tokens: list[bytes]) -> list[bytes]:
+    """The distinct words of some length, in order; all words if there are none.
+
+    Each counts once and the short, frequent words of any language are left out, so that texts which
+    share nothing but these are far apart.
+    """
+    return list(dict.fromkeys([t for t in tokens if len(t) >= CONTENT_BYTES] or tokens))
+
+
 def fingerprint_words(text: str | None, shingle: int, words: int) -> list[int]:
-    """SimHash words of a text as signed 64-bit numbers; a text without words has zeros."""
+    """SimHash words of a text as signed 64-bit numbers; a text without words has zeros.
+
+    The features are all shingles of ``shingle`` words, repeats included; with ``shingle`` 1 they are
+    the content words.
+    """
     import numpy as np
     import xxhash
 
@@ -39,8 +54,7 @@ def fingerprint_words(text: str | None, shingle: int, words: int) -> list[int]:
     if not tokens:
         return [0] * words
     if shingle == 1:
-        # Single words count once, so that the most frequent ones do not decide every bit.
-        tokens = list(dict.fromkeys(tokens))
+        tokens = content_words(tokens)
     n = max(1, len(tokens) - shingle + 1)
     bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
     out = []

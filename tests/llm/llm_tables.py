@@ -1,3 +1,5 @@
+"""Tables that every document operator must take."""
+
 import pytest
 from pyspark.sql import functions as F
 

@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
+from llm_tables import documents, odd  # noqa: F401
 from millrace.llm import simhash
 from millrace.llm.common import components
 

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from llm_tables import documents, odd  # noqa: F401
 from millrace.llm import html, license_scan, lm_score, packing, warc
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{}</style><script>var a="</p>";</script></head><body>
@@ -151,17 +152,17 @@ def test_the_filter_never_loses_an_entry_and_rarely_invents_one():
     keys = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64))
     counts = rng.geometric(0.2, len(keys)) ** 2
     parts = 4
-    held = []
+    held = {}
     for p in range(parts):
         mine = keys % np.uint64(parts) == p
-        held.append((p, lm_score.built(keys[mine], counts[mine]).tobytes()))
-    model = lm_score.Filter(held, parts)
+        held[p] = lm_score.built(keys[mine], counts[mine]).tobytes()
+    model = lm_score.Filter(*lm_score.Filter.packed(held, parts))
     got = model.counts(keys)
     assert (got >= np.exp2(np.floor(np.log2(counts))) - 0.5).all()
     assert (got <= 2 * counts).mean() > 0.95
     other = np.setdiff1d(rng.integers(0, 2**63, 20_000).astype(np.uint64), keys)
     assert (model.counts(other) > 0).mean() < 0.05
-    halved = lm_score.Filter([(p, lm_score.folded(b, 1)) for p, b in held], parts)
+    halved = lm_score.Filter(*lm_score.Filter.packed({p: lm_score.folded(b, 1) for p, b in held.items()}, parts))
     assert (halved.counts(keys) >= got - 1e-9).all()
 
 

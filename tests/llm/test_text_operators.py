@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from llm_tables import documents, odd  # noqa: F401
 from millrace.llm import decontaminate, pii, quality, secret_scan
 
 
@@ -131,12 +132,14 @@ def test_fixed_secrets_match_brute_force_and_random_strings_are_told_from_words(
     train = [f"{' '.join(rng.choice(words) for _ in range(40))} secret={key(32)}" for _ in range(60)]
     held_random = [f"see {key(40)} here" for _ in range(30)]
     held_plain = ["internationalization_manager understandingly characteristically_the"] * 10
-    texts = SECRETS + train + held_random + held_plain
-    out = {r["doc_id"]: r for r in secret_scan.secrets(documents(texts)).collect()}
+    docs = documents(SECRETS + train)
+    out = {r["doc_id"]: r for r in secret_scan.secrets(docs).collect()}
     assert [out[i]["base_spans"] for i in range(len(SECRETS))] == [brute_secrets(t) for t in SECRETS]
-    at = len(SECRETS) + len(train)
-    assert sum(out[i]["spans"] == "random:4:44" for i in range(at, at + 30)) >= 26
-    assert all(out[i]["n_random"] == 0 for i in range(at + 30, len(texts)))
+    # Held-out accuracy: texts that were in neither sample.
+    model, threshold = secret_scan.trained(docs)
+    found = [secret_scan.found_spans(t, model, threshold) for t in held_random]
+    assert sum(f == [("random", 4, 44)] for f in found) >= 27
+    assert not any(secret_scan.found_spans(t, model, threshold) for t in held_plain)
 
 
 def test_secrets_of_odd_rows(odd):
