@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import repeat
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import LOWER, components, map_columns, stored
@@ -80,62 +80,107 @@ def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame
     return map_columns(docs, ["doc_id", "text"], step, "doc_id long, fp array<long>")
 
 
-def _syndrome(block: Column) -> Column:
-    """Number (1-31) of the bit to flip to reach the nearest code word of the low 31 bits; 0 if it is one."""
-    checks = [sum(1 << (i - 1) for i in range(1, BLOCK_BITS) if i >> j & 1) for j in range(5)]
-    parts = [F.bit_count(block.bitwiseAND(F.lit(m))).bitwiseAND(F.lit(1)) * (1 << j) for j, m in enumerate(checks)]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total.cast("int")
+def anchors_in_reach(block):
+    """All anchors within covering radius + 1 of each 32-bit block: (n, 17) code words, the nearest first.
 
+    Where a block is itself a code word it has two of them only; the other places repeat the nearest.
+    """
+    import numpy as np
 
-def anchors_in_reach(block: Column) -> Column:
-    """All anchors within covering radius + 1 of a 32-bit block, the nearest one first."""
-    one = F.lit(1).cast("long")
-
-    def flip(value: Column, i: Column) -> Column:
-        return F.when(i > 0, value.bitwiseXOR(F.call_function("shiftleft", one, i - 1))).otherwise(value)
-
-    s = _syndrome(block)
-    nearest = flip(block, s)
-    # Code words two flips away: bits i and i xor s, each pair once.
-    pairs = F.transform(
-        F.filter(F.sequence(F.lit(1), F.lit(BLOCK_BITS - 1)), lambda i: (s > 0) & (i < i.bitwiseXOR(s))),
-        lambda i: flip(flip(block, i), i.bitwiseXOR(s)),
-    )
-    free_bit = nearest.bitwiseXOR(F.lit(1 << (BLOCK_BITS - 1)))
-    return F.concat(F.array(nearest, free_bit), pairs)
+    one, places = np.uint64(1), np.arange(1, BLOCK_BITS, dtype=np.uint64)
+    # The syndrome is the number of the bit to flip to reach the nearest code word of the low 31 bits.
+    syndrome = np.zeros(len(block), np.uint64)
+    for j in range(5):
+        check = np.uint64(sum(1 << (i - 1) for i in range(1, BLOCK_BITS) if i >> j & 1))
+        syndrome |= (np.bitwise_count(block & check).astype(np.uint64) & one) << np.uint64(j)
+    # For a syndrome s, the code words two flips away differ in bits i and i xor s; each pair once.
+    single = np.concatenate([[np.uint64(0)], one << (places - one)])
+    pairs = np.zeros((BLOCK_BITS, 15), np.uint64)
+    for s in range(1, BLOCK_BITS):
+        found = [single[i] | single[i ^ s] for i in range(1, BLOCK_BITS) if i < i ^ s]
+        # The pair that holds bit s itself would need bit 0: it is the nearest code word and not listed.
+        pairs[s] = found[:15]
+    nearest = block ^ single[syndrome.astype(np.int64)]
+    two = block[:, None] ^ pairs[syndrome.astype(np.int64)]
+    two[syndrome == 0] = nearest[syndrome == 0, None]
+    return np.concatenate([nearest[:, None], (nearest ^ (one << np.uint64(BLOCK_BITS - 1)))[:, None], two], axis=1)
+
+
+def placed(classes: DataFrame, words: int, homes_only: bool = False) -> DataFrame:
+    """(anchor, home, rep, w0..): every class (rep, fp) under all anchors in reach of each block.
+
+    The number of the block is part of the anchor; ``home`` is 1 under the nearest anchor.
+    """
+    fields = ", ".join(f"w{i} long" for i in range(words))
+    names = ["anchor", "home", "rep", *[f"w{i}" for i in range(words)]]
 
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def _spanning(order, left, right, size):
-    """Links of a minimum spanning forest: (left, right) index pairs taken in ``order``."""
-    root = list(range(size))
+        for batch in batches:
+            rep = batch.column("rep").to_numpy()
+            fp = np.stack([batch.column(f"w{i}").to_numpy() for i in range(words)], axis=1)
+            for at in range(0, len(rep), 2000):
+                for i in range(2 * words):
+                    part, mine = fp[at : at + 2000], rep[at : at + 2000]
+                    word = part[:, i // 2].view(np.uint64) if words == 1 else part[:, i // 2].copy().view(np.uint64)
+                    block = word >> np.uint64(BLOCK_BITS) if i % 2 else word & np.uint64(2**BLOCK_BITS - 1)
+                    keys = anchors_in_reach(block)
+                    home = np.zeros(keys.shape, np.int8)
+                    home[:, 0] = 1
+                    used = keys != keys[:, :1]
+                    used[:, 0] = True
+                    if homes_only:
+                        used &= home == 1
+                    row = np.nonzero(used)[0]
+                    out = [(keys[used] + np.uint64(i << BLOCK_BITS)).view(np.int64), home[used], mine[row]]
+                    out += [np.ascontiguousarray(part[row, j]) for j in range(words)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=names)
+
+    flat = classes.select("rep", *[F.col("fp")[i].alias(f"w{i}") for i in range(words)])
+    return flat.mapInArrow(run, f"anchor long, home byte, rep long, {fields}")
+
+
+def spanning(links: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """A minimum spanning forest of links (a, b, distance): as connected, and fewer than its nodes."""
+    root: dict[int, int] = {}
 
     def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
             x = root[x]
         return x
 
     out = []
-    for k in order:
-        a, b = find(left[k]), find(right[k])
+    for link in sorted(links, key=lambda x: x[2]):
+        a, b = find(link[0]), find(link[1])
         if a != b:
             root[max(a, b)] = min(a, b)
-            out.append(k)
+            out.append(link)
     return out
 
 
-def compare_per_anchor(placed: DataFrame, words: int, threshold: int) -> DataFrame:
-    """(a, b, distance): links between classes that share an anchor part, thinned to a spanning forest.
+def compare_per_anchor(rows: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(a, b, distance): links between classes that share an anchor, thinned to a spanning forest.
 
-    ``placed`` has (anchor, part, home, side, rep, fp). Rows of an anchor arrive together, sorted; a
-    task holds one anchor part. Only home rows are compared with all, which finds each link, and of
-    the links of a part a minimum spanning forest is kept, so that a group of n classes sends on
-    fewer than n links and loses no connection.
+    ``rows`` has (anchor, part, home, rep, w0..). The rows of an anchor part arrive one after the other,
+    home rows first. All others are compared with these as they stream by, which finds each link; a
+    task holds the home rows of one part, one batch, and the forest of the links so far. A group of n
+    classes so sends on fewer than n links and loses no connection.
     """
-    columns = ["anchor", "part", "side", "home", "rep", *[f"w{i}" for i in range(words)]]
+    columns = ["anchor", "part", "home", "rep", *[f"w{i}" for i in range(words)]]
+
+    def against(home, fp, rep, hrep, hfp):
+        """Links of rows with home rows; two home rows are compared once."""
+        import numpy as np
+
+        out = []
+        for i in range(len(hrep)):
+            d = np.bitwise_count(fp ^ hfp[i]).sum(axis=1, dtype=np.int64)
+            hit = np.nonzero((d <= threshold) & (rep != hrep[i]) & ((home == 0) | (rep > hrep[i])))[0]
+            out += zip([int(hrep[i])] * len(hit), rep[hit].tolist(), d[hit].tolist())
+        return out
 
     def run(batches):
         import numpy as np
@@ -143,104 +188,91 @@ def compare_per_anchor(placed: DataFrame, words: int, threshold: int) -> DataFra
 
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())])
 
-        def links(rows):
-            side, home, rep = rows[2], rows[3].astype(bool), rows[4]
-            fp = np.stack(rows[5:], axis=1).view(np.uint64)
-            left, right, far = [], [], []
-            # Parts cut from a large anchor compare side 1 with side 2 only.
-            picked = np.nonzero(home & (side != 2))[0]
-            for i in picked.tolist():
-                d = np.bitwise_count(fp ^ fp[i]).sum(axis=1, dtype=np.int64)
-                hit = np.nonzero((d <= threshold) & ((side != 1) if side[i] == 1 else True))[0]
-                hit = hit[hit != i]
-                left += [i] * len(hit)
-                right += hit.tolist()
-                far += d[hit].tolist()
-            keep = _spanning(np.argsort(np.array(far, int), kind="stable").tolist(), left, right, len(rep))
-            return [(int(rep[left[k]]), int(rep[right[k]]), far[k]) for k in keep if rep[left[k]] != rep[right[k]]]
-
-        def found(rows):
-            """Links of whole runs; anchors with one row are left out at once."""
-            change = np.nonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0))[0] + 1
-            edges = np.concatenate([[0], change, [len(rows[0])]])
-            for k in np.nonzero(np.diff(edges) > 1)[0].tolist():
-                yield from links([r[edges[k] : edges[k + 1]] for r in rows])
-
-        rest = None
+        def packed(links):
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*links)], names=schema.names).cast(schema)
+
+        # The run that may go on in the next batch: its key, home rows and links.
+        key, hrep, hfp, links = None, None, None, []
         for batch in batches:
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-            if rest is not None:
-                rows = [np.concatenate([a, b]) for a, b in zip(rest, rows)]
-            if not len(rows[0]):
+            if not batch.num_rows:
                 continue
-            # The last run may go on in the next batch.
-            cut = int(np.nonzero((rows[0] == rows[0][-1]) & (rows[1] == rows[1][-1]))[0][0])
-            rest = [r[cut:] for r in rows]
-            out = list(found([r[:cut] for r in rows])) if cut else []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=schema.names).cast(schema)
-        if rest is not None:
-            out = list(found(rest))
+            anchor, part, home, rep, *w = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+            fp = np.stack(w, axis=1).view(np.uint64)
+            change = np.nonzero((np.diff(anchor) != 0) | (np.diff(part) != 0))[0] + 1
+            edges = np.concatenate([[0], change, [len(rep)]])
+            homes = np.add.reduceat(home.astype(np.int64), edges[:-1])
+            sizes = np.diff(edges)
+            out = []
+            first, last = 0, len(sizes) - 1
+            for k in dict.fromkeys((first, last)):
+                # First and last run of the batch: they may belong to a longer one.
+                a, b = edges[k], edges[k + 1]
+                now = (int(anchor[a]), int(part[a]))
+                if now != key:
+                    out += spanning(links)
+                    key, hrep, hfp, links = now, rep[:0], fp[:0], []
+                own = home[a:b] == 1
+                links += against(home[a:b], fp[a:b], rep[a:b], hrep, hfp)
+                links += against(home[a:b], fp[a:b], rep[a:b], rep[a:b][own], fp[a:b][own])
+                hrep, hfp = np.concatenate([hrep, rep[a:b][own]]), np.concatenate([hfp, fp[a:b][own]])
+                if len(links) > 100_000:
+                    links = spanning(links)
+            inner = np.zeros(len(sizes), bool)
+            inner[1:-1] = True
+            # One home row: every other row of the run is held against it, all runs at once.
+            lone = np.nonzero(inner & (homes == 1) & (sizes > 1))[0]
+            if len(lone):
+                row = np.concatenate([np.arange(edges[k] + 1, edges[k + 1]) for k in lone])
+                at = np.repeat(edges[lone], sizes[lone] - 1)
+                d = np.bitwise_count(fp[row] ^ fp[at]).sum(axis=1, dtype=np.int64)
+                hit = d <= threshold
+                out += zip(rep[at[hit]].tolist(), rep[row[hit]].tolist(), d[hit].tolist())
+            for k in np.nonzero(inner & (homes > 1))[0].tolist():
+                a, b = edges[k], edges[k + 1]
+                n = a + homes[k]
+                out += spanning(against(home[a:b], fp[a:b], rep[a:b], rep[a:n], fp[a:n]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=schema.names).cast(schema)
+                yield packed(out)
+        if links:
+            yield packed(spanning(links))
 
     return (
-        placed.select(*columns)
+        rows.select(*columns)
         .repartition("anchor", "part")
-        .sortWithinPartitions("anchor", "part")
+        .sortWithinPartitions("anchor", "part", F.desc("home"))
         .mapInArrow(run, "a long, b long, distance int")
     )
 
 
-def _numbered(anchors: Column, block: int) -> Column:
-    """Anchors as (anchor, home) structs; the number of the block is part of the anchor."""
-    offset = F.lit(block << BLOCK_BITS)
-    return F.transform(anchors, lambda a, at: F.struct((a + offset).alias("anchor"), (at == 0).alias("home")))
-
-
 def class_links(classes: DataFrame, words: int, threshold: int, part: int = ANCHOR_PART) -> DataFrame:
     """Links between fingerprint classes (rep, fp) at ``threshold`` or fewer differing bits.
 
-    With more than ``2 * blocks`` bits allowed, a pair is found if some block differs in at most one
-    bit; below that every pair is.
+    With fewer than ``4 * words`` bits allowed every pair is found; beyond that a pair is found if some
+    block differs in at most one bit.
     """
-    spread = None
-    for i in range(2 * words):
-        word = F.col("fp")[i // 2]
-        block = (F.shiftrightunsigned(word, BLOCK_BITS) if i % 2 else word).bitwiseAND(F.lit((1 << BLOCK_BITS) - 1))
-        keys = _numbered(anchors_in_reach(block), i)
-        spread = keys if spread is None else F.concat(spread, keys)
-    flat = [F.col("fp")[i].alias(f"w{i}") for i in range(words)]
-    placed = classes.select("rep", *flat, F.explode(spread).alias("at")).select(
-        "rep", *[f"w{i}" for i in range(words)], F.col("at.anchor").alias("anchor"), F.col("at.home").cast("int").alias("home")
+    # Anchors that are home to very many classes: their home rows are cut into parts, each of which
+    # all rows of the anchor go to, so that no task holds them whole.
+    large = (
+        placed(classes, words, homes_only=True)
+        .groupBy("anchor")
+        .count()
+        .where(F.col("count") > part)
+        .select("anchor", F.ceil(F.col("count") / part).cast("int").alias("parts"))
     )
-    # Anchors with many classes: every pair of parts is a unit of its own, so no task holds them whole.
-    large = placed.groupBy("anchor").count().where(F.col("count") > part)
-    large = large.select("anchor", F.ceil(F.col("count") / part).cast("int").alias("parts"))
     large = stored(large, "large-anchors")
+    rows = placed(classes, words)
     if large.isEmpty():
-        cut = placed.withColumns({"part": F.lit(0), "side": F.lit(0)})
+        cut = rows.withColumn("part", F.lit(0))
     else:
         mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-        other = F.sequence(F.lit(0), F.col("parts") - 1)
-        units = F.flatten(
-            F.transform(
-                other,
-                lambda o: F.when(
-                    o == mine, F.array(F.struct((mine * F.col("parts") + mine).alias("part"), F.lit(0).alias("side")))
-                ).otherwise(
-                    F.array(
-                        F.struct((mine * F.col("parts") + o).alias("part"), F.lit(1).alias("side")),
-                        F.struct((o * F.col("parts") + mine).alias("part"), F.lit(2).alias("side")),
-                    )
-                ),
-            )
+        targets = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(
+            F.sequence(F.lit(0), F.col("parts") - 1)
         )
-        none = F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("side")))
         cut = (
-            placed.join(large, "anchor", "left")
-            .withColumn("unit", F.explode(F.when(F.col("parts").isNull(), none).otherwise(units)))
-            .select("*", F.col("unit.part").alias("part"), F.col("unit.side").alias("side"))
+            rows.join(large, "anchor", "left")
+            .withColumn("mine", mine)
+            .withColumn("part", F.explode(targets))
+            .withColumn("home", F.when(F.coalesce(F.col("mine") == F.col("part"), F.lit(True)), F.col("home")).otherwise(F.lit(0)).cast("byte"))
         )
     return compare_per_anchor(cut, words, threshold)
 
@@ -287,7 +319,8 @@ def near_duplicates(
     """
     prints = stored(fingerprints(docs, shingle, words), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    links = class_links(classes.where("rep is not null"), words, threshold).select("a", "b").distinct()
+    known = stored(classes.where("rep is not null"), "classes")
+    links = class_links(known, words, threshold).select("a", "b").distinct()
     if verify is not None:
         links = verify(stored(links, "links"), docs)
     merged = components(links)
