@@ -27,8 +27,8 @@ def _mood(score: Column) -> Column:
 def sentiment_score(tweets: DataFrame, lexicon: DataFrame, ident: str = "id_str", text: str = "text") -> DataFrame:
     """Sum of the word scores of each text and its sign.
 
-    The word list is a checked broadcast, so words are not shuffled; per-text sums are formed
-    before the one exchange. A text without a scored word keeps its row.
+    A word list of bounded size is broadcast, a larger one joined as adaptive execution sees fit.
+    Per-text sums are formed before the exchange. A text without a scored word keeps its row.
     """
     words = tweets.select(ident, F.explode_outer(F.split(clean_text(F.col(text)), " ")).alias("word"))
     words = words.withColumn("word", trim_token(F.col("word")))

@@ -16,17 +16,12 @@ from millrace.plans import markov, wiki
 from millrace.plans.text import read_tweets
 from millrace.registry.core import query
 from millrace.registry.rows import _WIKI
-from millrace.registry.sources import _COUNTS, LEXICON, STATES, trained
+from millrace.registry.sources import _COUNTS, LEXICON_SQL, STATES, lexicon, trained
 from millrace.registry.views import table, view
 from millrace.streaming.windows import tumbling_count
 
 HOURS_6 = 6 * 3600.0
-_LEXICON_SQL = "lexicon AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}', {n})" for w, n in LEXICON) + ") t(word, score))"
-
-
-def lexicon(spark):
-    rows = F.explode(F.array(*[F.struct(F.lit(w).alias("word"), F.lit(n).alias("score")) for w, n in LEXICON]))
-    return spark.range(1).select(rows.alias("r")).select("r.word", "r.score")
+_LEXICON_SQL = f"lexicon AS ({LEXICON_SQL})"
 
 
 # --- joins -----------------------------------------------------------------------------------
@@ -156,7 +151,7 @@ def _(spark, d):
 
     words = table(spark, d, "documents").select(F.explode(F.split(clean_text(F.col("text")), " ")).alias("word"))
     words = words.withColumn("word", trim_token(F.col("word")))
-    hits = J.lexicon_join(words, lexicon(spark))
+    hits = J.lexicon_join(words, lexicon(spark, d))
     return hits.groupBy("word").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
 
 
@@ -541,6 +536,34 @@ def _(spark, d):
     return out.withColumn("avg_value", F.round("avg_value", 6))
 
 
+@query(
+    "w7_delay_lines",
+    """WITH t AS (SELECT concat('container', user_id % 4) AS container, epoch_us(ts) // 3600000 AS time,
+                         CAST(floor(value * 100) AS DOUBLE) AS delay FROM events WHERE event_id % 10 > 0),
+            a AS (SELECT container, time, sum(delay) OVER w / count(*) OVER w AS avg_value FROM t
+                  WINDOW w AS (PARTITION BY container ORDER BY time RANGE BETWEEN 2000 PRECEDING AND CURRENT ROW))
+       SELECT container, time, round(any_value(avg_value), 6) AS avg_value FROM a GROUP BY 1, 2""",
+)
+def _(spark, d):
+    from millrace.sources.logs import parse_delay_log
+
+    # Delay lines between other lines, as the executors print them.
+    delay = F.concat_ws(
+        ",",
+        (F.col("user_id") % 64).cast("string"),
+        F.floor(F.col("value") * 100).cast("string"),
+        F.floor(F.unix_millis("ts") / 3600).cast("string"),
+    )
+    value = F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("Partitions "), delay)).otherwise(
+        F.concat(F.lit("Partition "), delay, F.lit(" "))
+    )
+    lines = view(spark, d, "ev").select(
+        F.concat(F.lit("container"), (F.col("user_id") % 4).cast("string")).alias("container"), value.alias("value")
+    )
+    out = W.sliding_avg(parse_delay_log(lines), ["container"], "time", "delay")
+    return out.withColumn("avg_value", F.round("avg_value", 6))
+
+
 @query(
     "w11_markov_window",
     """SELECT event_id, array_to_string(array_agg(state) OVER (PARTITION BY entity ORDER BY ts, event_id

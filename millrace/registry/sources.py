@@ -9,11 +9,8 @@ from millrace.registry.core import query
 from millrace.registry.views import lines, table, view
 from millrace.sources import kafka, logs, routing, text
 
-# Five states in a fixed order, and a short word list for the checks.
+# Five states in a fixed order.
 STATES = ("signup", "error", "click", "view", "purchase")
-LEXICON = (
-    ("the", 1), ("and", 2), ("of", -1), ("la", -2), ("der", 3), ("que", -3), ("in", 1), ("et", -1), ("und", 2),
-)
 
 @query(
     "s1_read_json",
@@ -93,23 +90,28 @@ def _(spark, d):
     return loaded.withColumn("p", F.round("p", 9))
 
 
-@query(
-    "s7_load_lexicon",
-    """SELECT string_split(text, ' ')[1] AS word, CAST(max_by(n_chars % 11, doc_id) - 5 AS INT) AS score
-       FROM documents WHERE trim(string_split(text, ' ')[1]) = string_split(text, ' ')[1]
-             AND string_split(text, ' ')[1] <> '' AND NOT regexp_matches(string_split(text, ' ')[1], '\\s')
-       GROUP BY 1""",
-)
-def _(spark, d):
-    docs = table(spark, d, "documents")
-    first = F.get(F.split("text", " "), F.lit(0))
-    usable = docs.filter((first != "") & ~first.rlike(r"\s"))
+# A lexicon of every word of the texts: the last document that has it gives its score.
+LEXICON_SQL = """
+    SELECT word, CAST(max_by(n_chars % 11, doc_id) - 5 AS INT) AS score
+    FROM (SELECT doc_id, n_chars, unnest(string_split(text, ' ')) AS word FROM documents)
+    WHERE word <> '' AND NOT regexp_matches(word, '\\s') GROUP BY 1
+"""
+
+
+def lexicon(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", F.explode(F.split("text", " ")).alias("word"))
+    usable = docs.filter((F.col("word") != "") & ~F.col("word").rlike(r"\s"))
     word_and_score = F.concat(
-        F.lit(" "), first, F.lit(" \t "), (F.col("n_chars") % 11 - 5).cast("string"), F.lit("\r")
+        F.lit(" "), F.col("word"), F.lit(" \t "), (F.col("n_chars") % 11 - 5).cast("string"), F.lit("\r")
     )
     return text.load_lexicon(usable.select(F.col("doc_id").alias("line_no"), word_and_score.alias("value")))
 
 
+@query("s7_load_lexicon", LEXICON_SQL)
+def _(spark, d):
+    return lexicon(spark, d)
+
+
 EXECUTOR_LOG = """
     words AS (SELECT container, line_no, string_split(value, ' ') AS w FROM {executor_lines}),
     log AS (SELECT container, line_no,

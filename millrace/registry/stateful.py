@@ -9,12 +9,13 @@ from millrace.operators import matching as M
 from millrace.operators.analytic import auction_phase
 from millrace.plans import fraud, markov, scaling, slo, text, wiki
 from millrace.registry.core import query
-from millrace.registry.grouped import _CENTROIDS, _LEXICON_SQL, _TOKENS, _WIKI_STATS, _flat, centroids, lexicon
+from millrace.registry.grouped import _CENTROIDS, _LEXICON_SQL, _TOKENS, _WIKI_STATS, _flat, centroids
 from millrace.registry.sources import (
     _COUNTS,
     CONTROLLER_LOG,
     EXECUTOR_LOG,
     MIGRATION_LOG,
+    lexicon,
     trained,
 )
 from millrace.registry.views import lines, view
@@ -424,7 +425,7 @@ def _(spark, d):
                CASE WHEN score > 0 THEN 'Positive' WHEN score < 0 THEN 'Negative' ELSE 'Neutral' END AS sentiment FROM s""",
 )
 def _(spark, d):
-    return text.classify("basic", view(spark, d, "tweets"), lexicon(spark))
+    return text.classify("basic", view(spark, d, "tweets"), lexicon(spark, d))
 
 
 @query(

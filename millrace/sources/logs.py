@@ -72,6 +72,18 @@ def parse_executor_log(lines: DataFrame) -> DataFrame:
     )
 
 
+def parse_delay_log(lines: DataFrame) -> DataFrame:
+    """Rows (container, partition, delay, time) of ``Partition p,delay,time`` lines; others are dropped."""
+    fields = F.split(F.get(F.split(F.rtrim("value"), " "), F.lit(1)), ",")
+    rows = lines.filter(F.col("value").startswith("Partition ")).withColumn("__f", fields).filter(F.size("__f") >= 3)
+    return rows.select(
+        "container",
+        F.get("__f", F.lit(0)).alias("partition"),
+        F.get("__f", F.lit(1)).try_cast("double").alias("delay"),
+        F.get("__f", F.lit(2)).try_cast("bigint").alias("time"),
+    )
+
+
 def parse_controller_log(lines: DataFrame) -> DataFrame:
     """Model lines as (time since the first model line, metric, container, value)."""
     words = lines.withColumn("__w", F.split(F.rtrim("value"), " ")).filter(
