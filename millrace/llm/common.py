@@ -59,10 +59,22 @@ def kept_in_process(key: object, make: Callable[[], object]) -> object:
     return cache[key]
 
 
+def _scratch(sc) -> str:
+    """A folder of this application in the checkpoint folder; it is removed when the driver ends."""
+    base = f"{sc.getCheckpointDir().rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(base)
+    files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return base
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder name under the cluster's checkpoint folder."""
+    """A new folder name under the cluster's checkpoint folder, kept until the driver ends."""
     checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    base = kept_in_process(("scratch", sc.applicationId), lambda: _scratch(sc))
+    return f"{base}/{purpose}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

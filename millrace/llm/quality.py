@@ -115,13 +115,13 @@ def host_verdicts(failures: DataFrame) -> DataFrame:
     spread = F.col("k2") - F.col("k") * mean
     excess = (spread - noise * (F.col("h") - 1)) / (F.col("n") - F.col("n2") / F.col("n"))
     strength = F.when((noise > 0) & (excess > 0), F.greatest(noise / excess - 1, F.lit(1.0))).otherwise(F.lit(1e6))
-    prior = total.select(
-        mean.alias("mean"), F.when(F.col("h") > 1, F.least(strength, F.lit(1e6))).otherwise(F.lit(1e6)).alias("s")
-    )
-    rate = (F.col("failed") + F.col("mean") * F.col("s")) / (F.col("docs") + F.col("s"))
-    # One row of moments: a broadcast of constant size.
+    size = F.when(F.col("h") > 1, F.least(strength, F.lit(1e6))).otherwise(F.lit(1e6))
+    # One row of moments, as a scalar subquery.
+    prior = total.select(F.struct(mean.alias("mean"), size.alias("s"))).scalar()
+    weight = F.col("prior.s")
+    rate = (F.col("failed") + F.col("prior.mean") * weight) / (F.col("docs") + weight)
     return (
-        hosts.join(F.broadcast(prior))
+        hosts.withColumn("prior", prior)
         .withColumn("rate", rate)
         .select("source", "docs", "failed", "rate", (F.col("rate") > MAX_HOST_RATE).alias("rejected"))
     )

@@ -215,7 +215,65 @@ def file_tree(documents: DataFrame) -> DataFrame:
     return documents.select(n.alias("id"), path.alias("path"), "text")
 
 
-@query("op3_license_scan")
+_TERMS = "regexp_extract_all(lower({}), '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
+_TEMPLATES = ", ".join(f"({i}, '{n}', '{t}')" for i, (n, t) in enumerate(license_scan.TEMPLATES))
+_N = len(license_scan.TEMPLATES)
+
+OP3_SQL = f"""
+WITH tpl(t, name, notice) AS (VALUES {_TEMPLATES}),
+tf AS (SELECT t, name, term, count(*) AS tf FROM (SELECT t, name, unnest({_TERMS.format('notice')}) AS term FROM tpl) GROUP BY ALL),
+idf AS (SELECT term, ln((1.0 + {_N}) / (1.0 + count(*))) + 1.0 AS idf FROM tf GROUP BY term),
+w AS (SELECT t, name, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY t)) AS w FROM tf JOIN idf USING (term)),
+f AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+         CASE WHEN doc_id % 50 = 0
+              THEN concat(source, CASE WHEN doc_id % 100 = 0 THEN concat('/', lang) ELSE '' END, '/LICENSE.', doc_id)
+              ELSE concat(source, '/', lang, '/', doc_id % 7, '/', doc_id, '.txt') END AS path
+  FROM documents
+),
+lines AS (
+  SELECT r, path, text, list_filter(regexp_split_to_array(text, '\\r?\\n'),
+           lambda x: regexp_matches(x, '{license_scan.NOTICE}')) AS ls FROM f
+),
+p AS (
+  SELECT row_number() OVER () AS pid, r, notice FROM (
+    SELECT r, unnest(list_concat(ls, CASE WHEN len(ls) > 0 AND regexp_matches(path, '{license_scan.LICENCE_FILE}')
+                                          THEN [text] ELSE [] END)) AS notice FROM lines)
+),
+v AS (
+  SELECT pid, r, term, count(*) * coalesce(any_value(idf), ln(1.0 + {_N}) + 1.0) AS w
+  FROM (SELECT pid, r, unnest({_TERMS.format('notice')}) AS term FROM p) LEFT JOIN idf USING (term) GROUP BY pid, r, term
+),
+norms AS (SELECT pid, sqrt(sum(w * w)) AS norm FROM v GROUP BY pid),
+hits AS (
+  SELECT v.pid, v.r, w.t, w.name, sum(v.w * w.w) / any_value(norm) AS score
+  FROM v JOIN w USING (term) JOIN norms ON norms.pid = v.pid GROUP BY v.pid, v.r, w.t, w.name
+),
+best AS (
+  SELECT r, name AS own, round(score, 6) AS score FROM hits WHERE score >= {license_scan.LEAST}
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, t) = 1
+),
+own AS (SELECT f.r, f.doc_id, f.path, best.own, best.score, regexp_replace(f.path, '/[^/]*$', '') AS folder FROM f LEFT JOIN best USING (r)),
+declared AS (
+  SELECT folder AS licence_dir, own AS licence FROM own WHERE own IS NOT NULL AND regexp_matches(path, '{license_scan.LICENCE_FILE}')
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY score DESC, own) = 1
+),
+above AS (
+  SELECT folder, n, array_to_string(string_split(folder, '/')[1:n], '/') AS up
+  FROM (SELECT folder, unnest(range(0, len(string_split(folder, '/')) + 1)) AS n FROM (SELECT DISTINCT folder FROM own))
+),
+near AS (
+  SELECT folder, licence_dir, licence FROM above JOIN declared ON up = licence_dir
+  QUALIFY row_number() OVER (PARTITION BY folder ORDER BY n DESC) = 1
+)
+SELECT doc_id, path, own, score, coalesce(own, licence) AS licence,
+       CASE WHEN own IS NOT NULL THEN 'own' WHEN licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN own IS NULL THEN licence_dir END AS licence_dir
+FROM own LEFT JOIN near USING (folder)
+"""
+
+
+@query("op3_license_scan", OP3_SQL)
 def op3_license_scan(spark, sf_dir):
     found = license_scan.licences(file_tree(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")))
     return found.withColumnRenamed("id", "doc_id")
