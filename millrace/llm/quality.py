@@ -127,6 +127,16 @@ def host_verdicts(failures: DataFrame) -> DataFrame:
     )
 
 
+def rejected_hosts(failures: DataFrame) -> DataFrame:
+    """(host) of the rejected hosts.
+
+    The table is written first, so that its size is known when it is joined: a small one is broadcast
+    and the documents stay where they are; only a large one makes them move.
+    """
+    bad = host_verdicts(failures).where("rejected").select(F.col("source").alias("host"))
+    return stored(bad, "rejected-hosts")
+
+
 def host_quality(docs: DataFrame) -> DataFrame:
     """(doc_id, source, measures, base_failed, rule_failed, host_rejected, kept) of every row.
 
@@ -138,8 +148,8 @@ def host_quality(docs: DataFrame) -> DataFrame:
     rows = stored(
         measured(docs).withColumns({"base_failed": base_failed(), "rule_failed": rule_failed()}), "measures"
     )
-    hosts = host_verdicts(rows.select("source", F.col("rule_failed").alias("failed")))
-    bad = hosts.where("rejected").select(F.col("source").alias("host"), F.lit(True).alias("host_rejected"))
+    bad = rejected_hosts(rows.select("source", F.col("rule_failed").alias("failed")))
+    bad = bad.withColumn("host_rejected", F.lit(True))
     out = rows.join(bad, same(F.col("source"), F.col("host")), "left").drop("host")
     out = out.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return out.withColumn("kept", ~F.col("rule_failed") & ~F.col("host_rejected"))
@@ -159,7 +169,6 @@ def passing(docs: DataFrame) -> DataFrame:
     held = docs.select(F.struct("*").alias("doc"))
     judged = held.withColumn("m", measures("doc.text")).select("doc", "m.*")
     judged = judged.select("doc", F.col("doc.source").alias("source"), rule_failed().alias("failed"))
-    hosts = host_verdicts(judged.select("source", "failed"))
-    bad = hosts.where("rejected").select(F.col("source").alias("host"))
+    bad = rejected_hosts(judged.select("source", "failed"))
     kept = judged.where("not failed").join(bad, same(F.col("source"), F.col("host")), "left_anti")
     return kept.select("doc.*")
