@@ -192,6 +192,25 @@ def migration_spans(
     return clipped.filter(inside).withColumn("span_ms", F.col("right_ms") - F.col("left_ms"))
 
 
+def longest_restart(log: DataFrame, width: float = LINES_PER_BUCKET) -> DataFrame:
+    """The longest time from a stop to the next run loop over the whole run, with its executor.
+
+    Of equally long ones the first executor by name is given; without a restart there is no row.
+    """
+    marks = log.filter(F.col("kind").isin("enter", "shutdown")).select("container", "kind", "line_no", "ts_ms")
+    placed = with_position(marks, ["container", "kind"], ["line_no"], width)
+    entered = F.col("kind") == "enter"
+    number = F.when(entered, F.col("position") - 1).otherwise(F.col("position"))
+    pairs = placed.groupBy("container", number.alias("number")).agg(
+        F.max(F.when(entered, F.col("ts_ms"))).alias("entered"),
+        F.max(F.when(~entered, F.col("ts_ms"))).alias("stopped"),
+    )
+    spans = pairs.select("container", (F.col("entered") - F.col("stopped")).alias("longest_ms"))
+    best = F.min(F.struct((-F.col("longest_ms")).alias("less"), "container"))
+    top = spans.filter(F.col("longest_ms").isNotNull()).agg(best.alias("b")).filter(F.col("b").isNotNull())
+    return top.select(F.col("b.container").alias("container"), (-F.col("b.less")).alias("longest_ms"))
+
+
 def migration_time(spans: DataFrame, lifetimes: DataFrame) -> DataFrame:
     """Number, total, shortest and longest restart, and their share of the live time."""
     live = lifetimes.agg(F.sum("live_ms")).scalar()

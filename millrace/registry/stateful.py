@@ -574,6 +574,17 @@ def _(spark, d):
     return slo.migration_time(slo.migration_spans(log), slo.executor_lifetimes(log))
 
 
+@query(
+    "g20_longest_restart",
+    f"""WITH {EXECUTOR_LOG}, {_SLOTS}, {_LIFE},
+        gaps AS (SELECT s.container, e.ts_ms - s.ts_ms AS longest_ms FROM marks s JOIN marks e
+                 ON s.container = e.container AND s.kind = 'shutdown' AND e.kind = 'enter' AND e.i = s.i + 1)
+        SELECT container, longest_ms FROM gaps ORDER BY longest_ms DESC, container LIMIT 1""",
+)
+def _(spark, d):
+    return slo.longest_restart(_compact(spark, d))
+
+
 @query(
     "g21_host_live_time",
     f"""WITH {EXECUTOR_LOG}, {_SLOTS}, {_LIFE}
