@@ -316,7 +316,9 @@ def redacted(docs: DataFrame, rows: int = SAMPLE_CANDIDATES) -> DataFrame:
             )
         ),
     )
-    both = held.join(found.where(F.size("chosen") > 0).select("row", "chosen"), "row", "left").withColumn("cut", pieces)
+    # Written first, so that its size is known: few spans are broadcast and the texts stay where they are.
+    hits = stored(found.where(F.size("chosen") > 0).select("row", "chosen"), "pii-spans")
+    both = held.join(hits, "row", "left").withColumn("cut", pieces)
     rest = F.substring(F.col("doc.text"), (F.col("cut.at") + 1).cast("int"), F.char_length("doc.text"))
     text = F.when(F.col("cut").isNull(), F.col("doc.text")).otherwise(F.concat("cut.out", rest))
     return both.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")
