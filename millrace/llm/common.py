@@ -49,14 +49,15 @@ def map_columns(
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def kept_in_process(key: object, make: Callable[[], object]) -> object:
-    """An object built once per Python worker and reused by its later tasks."""
+def kept_in_process(kind: str, name: object, make: Callable[[], object]) -> object:
+    """An object built once per Python process and reused by later tasks; of each kind only the newest is held."""
     cache = sys.__dict__.setdefault("_millrace_llm_cache", {})
-    if key not in cache:
-        if len(cache) >= 4:
-            cache.pop(next(iter(cache)))
-        cache[key] = make()
-    return cache[key]
+    held = cache.get(kind)
+    if held is None or held[0] != name:
+        # The old one goes before the new one is made.
+        cache.pop(kind, None)
+        held = cache[kind] = (name, make())
+    return held[1]
 
 
 def _scratch(sc) -> str:
@@ -73,7 +74,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the cluster's checkpoint folder, kept until the driver ends."""
     checkpoint_dir(spark)
     sc = spark.sparkContext
-    base = kept_in_process(("scratch", sc.applicationId), lambda: _scratch(sc))
+    base = kept_in_process("scratch", sc.applicationId, lambda: _scratch(sc))
     return f"{base}/{purpose}-{uuid.uuid4().hex}"
 
 

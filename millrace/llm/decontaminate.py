@@ -107,7 +107,10 @@ def automata(spark: SparkSession, items: DataFrame, size: int, pass_bytes: int)
         held.append((uuid.uuid4().hex, spark.sparkContext.broadcast([tuple(r) for r in rows])))
 
     def tools():
-        return [kept_in_process(name, lambda b=b: automaton(b.value, size)) for name, b in held]
+        return [
+            kept_in_process(f"automaton {k}", name, lambda b=b: automaton(b.value, size))
+            for k, (name, b) in enumerate(held)
+        ]
 
     return tools
 

@@ -93,7 +93,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                     out[k].append(v)
         return out
 
-    return map_columns(docs, ["doc_id", "text"], step, PIECES, lambda: kept_in_process("encoder", Encoder))
+    return map_columns(docs, ["doc_id", "text"], step, PIECES, lambda: kept_in_process("encoder", "byte_bpe_50k", Encoder))
 
 
 def patterns(capacity: int):
