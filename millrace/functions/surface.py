@@ -22,11 +22,6 @@ def keep_rows(df: DataFrame, condition: Column) -> DataFrame:
     return df.filter(condition)
 
 
-def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """A function on Arrow batches, for what no column expression can say."""
-    return df.mapInPandas(fn, schema)
-
-
 def fold_left(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
     """Fold the elements of an array column."""
     return F.aggregate(values, start, step)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace import schemas
 from millrace.registry.core import query
 from millrace.registry.views import lines, table, view
+from millrace.session import shared_path
 from millrace.sources import kafka, logs, routing, text
 
 # Five states in a fixed order.
@@ -107,6 +108,19 @@ def lexicon(spark, d):
     return text.load_lexicon(usable.select(F.col("doc_id").alias("line_no"), word_and_score.alias("value")))
 
 
+@query(
+    "s6_model_file",
+    f"""WITH {_COUNTS} SELECT from_no, from_state, to_no, to_state, round(p, 9) AS p FROM model""",
+)
+def _(spark, d):
+    from millrace.plans.markov import model_lines
+
+    # The model goes through a text file: one line per state, so one small file.
+    path = shared_path(spark, "model")
+    model_lines(trained(spark, d), STATES).orderBy("line_no").select("value").coalesce(1).write.text(path)
+    return text.load_markov_model(text.number_lines(spark, path)).withColumn("p", F.round("p", 9))
+
+
 @query("s7_load_lexicon", LEXICON_SQL)
 def _(spark, d):
     return lexicon(spark, d)

@@ -19,7 +19,7 @@ from millrace.registry.sources import (
     trained,
 )
 from millrace.registry.views import lines, view
-from millrace.session import cut_lineage
+from millrace.session import cut_lineage, shared_path
 from millrace.sources import logs
 from millrace.streaming.stateful import upsert_store
 from millrace.streaming.windows import (
@@ -585,6 +585,21 @@ def _(spark, d):
     return slo.longest_restart(_compact(spark, d))
 
 
+@query(
+    "s8_read_log_files",
+    f"""WITH {EXECUTOR_LOG}, {_SLOTS}, {_LIFE}
+        SELECT host, CAST(sum(live_ms) AS BIGINT) AS live_ms FROM life WHERE host IS NOT NULL GROUP BY 1""",
+)
+def _(spark, d):
+    # One log file per executor, lines in order, written and read as text.
+    path = shared_path(spark, "logs")
+    written = lines(spark, d, "executor_lines").select("container", "line_no", "value")
+    placed = written.repartition("container").sortWithinPartitions("container", "line_no")
+    placed.select("container", "value").write.partitionBy("container").text(path)
+    read = logs.read_log_lines(spark, path, r"container=([^/]+)/[^/]+$")
+    return slo.host_live_time(slo.executor_lifetimes(slo.compact_log(logs.parse_executor_log(read))))
+
+
 @query(
     "g21_host_live_time",
     f"""WITH {EXECUTOR_LOG}, {_SLOTS}, {_LIFE}

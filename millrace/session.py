@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +57,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def shared_path(spark: SparkSession, purpose: str) -> str:
+    """A new path in the shared checkpoint folder."""
+    checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder so that lost executors do not lose it."""
     checkpoint_dir(df.sparkSession)

@@ -12,15 +12,15 @@ MAX_DELAY = 1_000_000.0
 LINES_PER_BUCKET = 1_000_000
 
 
-def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of log files with the file name as container.
+def read_log_lines(spark: SparkSession, path: str, container: str = r"([^/]+)$") -> DataFrame:
+    """Lines of log files; the first group of ``container`` on a file's path names the executor.
 
     Text files have no line numbers in Spark; a collector that stores them gives the exact form,
     here ``line_no`` is the order in which Spark reads a file, block by block.
     """
-    lines = spark.read.text(path)
+    lines = spark.read.option("recursiveFileLookup", "true").text(path)
     return lines.select(
-        F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("container"),
+        F.regexp_extract(F.col("_metadata.file_path"), container, 1).alias("container"),
         F.monotonically_increasing_id().alias("line_no"),
         "value",
     )

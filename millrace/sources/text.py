@@ -109,7 +109,7 @@ def load_markov_model(lines: DataFrame, line_no: str = "line_no", column: str =
 
 def number_lines(spark: SparkSession, path: str) -> DataFrame:
     """The lines of one small text file with their number, read as a single record."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value")).filter(
         F.col("value") != ""
     )
