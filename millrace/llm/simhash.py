@@ -26,8 +26,6 @@ BLOCK_BITS = 32
 RADIUS = 1
 #: A wide fingerprint for similarities down to about 0.8: three words, six blocks.
 WIDE_WORDS, WIDE_THRESHOLD = 3, 24
-#: Spanning forests of an anchor whose links are put to a further check.
-VERIFIED_FORESTS = 3
 #: Words of at least so many bytes are content words.
 CONTENT_BYTES = 4
 #: Classes of one anchor that are compared in one task; larger anchors are cut into pairs of parts.
@@ -144,42 +142,32 @@ def placed(classes: DataFrame, words: int, homes_only: bool = False) -> DataFram
     return flat.mapInArrow(run, f"anchor long, home byte, rep long, {fields}")
 
 
-def spanning(links: list[tuple[int, int, int]], forests: int = 1) -> list[tuple[int, int, int]]:
-    """Minimum spanning forests of links (a, b, distance): as connected, and few links for each node.
+def spanning(links: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """A minimum spanning forest of links (a, b, distance): as connected, and fewer than its nodes."""
+    root: dict[int, int] = {}
 
-    Every further forest is taken from the links that the ones before have left over.
-    """
-    out, rest = [], sorted(links, key=lambda x: x[2])
-    for _ in range(forests):
-        root: dict[int, int] = {}
-
-        def find(x):
-            while (up := root.setdefault(x, x)) != x:
-                root[x] = root[up]
-                x = root[x]
-            return x
-
-        over = []
-        for link in rest:
-            a, b = find(link[0]), find(link[1])
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append(link)
-            else:
-                over.append(link)
-        rest = over
-        if not rest:
-            break
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = root[x]
+        return x
+
+    out = []
+    for link in sorted(links, key=lambda x: x[2]):
+        a, b = find(link[0]), find(link[1])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append(link)
     return out
 
 
-def compare_per_anchor(rows: DataFrame, words: int, threshold: int, forests: int = 1) -> DataFrame:
-    """(a, b, distance): links between classes that share an anchor, thinned to spanning forests.
+def compare_per_anchor(rows: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(a, b, distance): links between classes that share an anchor, thinned to a spanning forest.
 
     ``rows`` has (anchor, part, home, rep, w0..). The rows of an anchor part arrive one after the other,
     home rows first. All others are compared with these as they stream by, which finds each link; a
-    task holds the home rows of one part, one batch, and the forests of the links so far. A group of n
-    classes so sends on fewer than ``forests * n`` links and loses no connection.
+    task holds the home rows of one part, one batch, and the forest of the links so far. A group of n
+    classes so sends on fewer than n links and loses no connection.
     """
     columns = ["anchor", "part", "home", "rep", *[f"w{i}" for i in range(words)]]
 
@@ -221,14 +209,14 @@ def compare_per_anchor(rows: DataFrame, words: int, threshold: int, forests: int
                 a, b = edges[k], edges[k + 1]
                 now = (int(anchor[a]), int(part[a]))
                 if now != key:
-                    out += spanning(links, forests)
+                    out += spanning(links)
                     key, hrep, hfp, links = now, rep[:0], fp[:0], []
                 own = home[a:b] == 1
                 links += against(home[a:b], fp[a:b], rep[a:b], hrep, hfp)
                 links += against(home[a:b], fp[a:b], rep[a:b], rep[a:b][own], fp[a:b][own])
                 hrep, hfp = np.concatenate([hrep, rep[a:b][own]]), np.concatenate([hfp, fp[a:b][own]])
                 if len(links) > 100_000:
-                    links = spanning(links, forests)
+                    links = spanning(links)
             inner = np.zeros(len(sizes), bool)
             inner[1:-1] = True
             # One home row: every other row of the run is held against it, all runs at once.
@@ -242,11 +230,11 @@ def compare_per_anchor(rows: DataFrame, words: int, threshold: int, forests: int
             for k in np.nonzero(inner & (homes > 1))[0].tolist():
                 a, b = edges[k], edges[k + 1]
                 n = a + homes[k]
-                out += spanning(against(home[a:b], fp[a:b], rep[a:b], rep[a:n], fp[a:n]), forests)
+                out += spanning(against(home[a:b], fp[a:b], rep[a:b], rep[a:n], fp[a:n]))
             if out:
                 yield packed(out)
         if links:
-            yield packed(spanning(links, forests))
+            yield packed(spanning(links))
 
     return (
         rows.select(*columns)
@@ -256,9 +244,7 @@ def compare_per_anchor(rows: DataFrame, words: int, threshold: int, forests: int
     )
 
 
-def class_links(
-    classes: DataFrame, words: int, threshold: int, part: int = ANCHOR_PART, forests: int = 1
-) -> DataFrame:
+def class_links(classes: DataFrame, words: int, threshold: int, part: int = ANCHOR_PART) -> DataFrame:
     """Links between fingerprint classes (rep, fp) at ``threshold`` or fewer differing bits.
 
     With fewer than ``4 * words`` bits allowed every pair is found; beyond that a pair is found if some
@@ -288,7 +274,7 @@ def class_links(
             .withColumn("part", F.explode(targets))
             .withColumn("home", F.when(F.coalesce(F.col("mine") == F.col("part"), F.lit(True)), F.col("home")).otherwise(F.lit(0)).cast("byte"))
         )
-    return compare_per_anchor(cut, words, threshold, forests)
+    return compare_per_anchor(cut, words, threshold)
 
 
 def similar_enough(links: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -334,9 +320,7 @@ def near_duplicates(
     prints = stored(fingerprints(docs, shingle, words), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     known = stored(classes.where("rep is not null"), "classes")
-    # Where links may be dropped, a class keeps several ways to its neighbours.
-    forests = 1 if verify is None else VERIFIED_FORESTS
-    links = class_links(known, words, threshold, forests=forests).select("a", "b").distinct()
+    links = class_links(known, words, threshold).select("a", "b").distinct()
     if verify is not None:
         links = verify(stored(links, "links"), docs)
     merged = components(links)
