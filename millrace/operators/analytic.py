@@ -17,7 +17,6 @@ from millrace.operators.ordered import (
     running_totals,
     time_bucket,
     with_lookback,
-    with_position,
 )
 
 DAY = 86_400.0
@@ -83,51 +82,61 @@ def ewma(
     """Exponentially weighted average with decay 2/(age+1); returns keys, order, value, ``ewma``.
 
     It is 0 for the first ``warmup`` rows of a key, starts as their mean at the next row, and
-    takes up each later value. The recursion is linear, so a bucket of rows is summed up by two
-    numbers (what it multiplies the incoming average by, and what it adds); those are chained
-    over the buckets of a key, and every bucket is then computed on its own.
+    takes up each later value. The recursion is linear, so a bucket of rows is summed up by its size,
+    its first few values and what the others add; those are chained over the buckets of a key, and
+    every bucket is then computed on its own. Rows are shuffled once for either step.
     """
     decay = 2.0 / (age + 1.0)
     keep = 1.0 - decay
     columns = [*keys, *order, value]
     # A missing value spoils the average from there on, as in any sum with it.
     number = F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))
-    placed = with_position(df.select(*columns).withColumn(value, number), keys, order, width, "__position")
-    rows = placed.withColumn(BUCKET, time_bucket(placed, order[0], width))
+    rows = df.select(*columns).withColumn(value, number)
+    rows = rows.withColumn(BUCKET, time_bucket(rows, order[0], width))
     scope = [*keys, BUCKET]
-    active = F.col("__position") > warmup + 1
+    lead = warmup + 1
 
-    newest_first = Window.partitionBy(*scope).orderBy(*[F.col(c).desc() for c in order])
+    inside = Window.partitionBy(*scope)
+    place = F.row_number().over(inside.orderBy(*order))
+    after = F.count(F.lit(1)).over(inside) - F.col("__place")
+    first = F.col("__place") <= lead
     summary = (
-        rows.withColumn("__after", F.row_number().over(newest_first) - 1)
+        rows.withColumn("__place", place)
+        .withColumn("__after", after)
         .groupBy(*scope)
         .agg(
-            F.coalesce(F.sum(F.when(F.col("__position") <= warmup, F.col(value))), F.lit(0.0)).alias("__warm"),
-            F.max("__position").alias("__last"),
-            F.sum(active.cast("bigint")).alias("__steps"),
-            F.coalesce(
-                F.sum(F.when(active, decay * F.pow(F.lit(keep), F.col("__after")) * F.col(value))), F.lit(0.0)
-            ).alias("__added"),
+            F.count(F.lit(1)).alias("__n"),
+            F.array_sort(F.collect_list(F.when(first, F.struct("__place", F.col(value).alias("v"))))).alias("__first"),
+            F.coalesce(F.sum(F.when(~first, decay * F.pow(F.lit(keep), "__after") * F.col(value))), F.lit(0.0)).alias(
+                "__rest"
+            ),
         )
+        .withColumn("__first", F.col("__first.v"))
     )
     n = len(keys)
 
     def chain(state, row):
-        """Incoming average of each bucket of a key, from one summary row per bucket."""
-        bucket, warm, last, steps, added = row[n:]
-        if "level" not in state:
-            state["warm"] = state.get("warm", 0.0) + warm
-            if last <= warmup:
-                return []
-            state["level"] = state["warm"] / warmup
-        incoming = state["level"]
-        state["level"] = incoming * keep**steps + added
-        return [(*row[:n], bucket, incoming)]
+        """Rows and level (until the warm-up ends: the sum) before each bucket of a key."""
+        bucket, size, first_values, rest = row[n:]
+        seen, level = state.get("seen", 0), state.get("level", 0.0)
+        state["seen"] = seen + size
+        out = [(*row[:n], bucket, seen, level)]
+        for v in first_values[: max(0, warmup - seen)]:
+            level += v
+        if seen < lead <= seen + size:
+            level /= warmup
+        # Rows of the bucket before the first that is taken up.
+        idle = max(0, min(size, lead - seen))
+        if size > idle:
+            level *= keep ** (size - idle)
+            level += rest + sum(decay * keep ** (size - 1 - i) * v for i, v in enumerate(first_values) if i >= idle)
+        state["level"] = level
+        return out
 
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     carry = fold_sorted(
-        summary, keys, [BUCKET], dict, chain, None, f"{fields}, {BUCKET} bigint, {value} double",
-        [BUCKET, "__warm", "__last", "__steps", "__added"],
+        summary, keys, [BUCKET], dict, chain, None, f"{fields}, {BUCKET} bigint, __seen bigint, {value} double",
+        [BUCKET, "__n", "__first", "__rest"],
     )
 
     marked = with_carry(rows, carry).withColumn("__turn", F.when(F.col(HALO), 0).otherwise(1))
@@ -135,22 +144,23 @@ def ewma(
 
     def smooth(state, row):
         """One bucket: the recursion over its rows, from the marker row that comes first."""
-        turn, position, number = row[m : m + 3]
+        turn, seen, v = row[m : m + 3]
         if turn == 0:
-            state["level"] = number
+            state["seen"], state["level"] = seen, v
             return []
-        if position <= warmup:
-            shown = 0.0
-        elif position == warmup + 1:
-            shown = state["level"]
+        at = state["seen"] = state["seen"] + 1
+        if at <= warmup:
+            state["level"] += v
+        elif at == lead:
+            state["level"] /= warmup
         else:
-            shown = state["level"] = number * decay + state["level"] * keep
-        return [(*row[:n], *row[m + 3 :], number, shown)]
+            state["level"] = v * decay + state["level"] * keep
+        return [(*row[:n], *row[m + 3 :], v, state["level"] if at > warmup else 0.0)]
 
     out = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, *order])
     return fold_sorted(
         marked, scope, ["__turn", *order], dict, smooth, None, f"{out}, `{value}` double, ewma double",
-        ["__turn", "__position", value, *order],
+        ["__turn", "__seen", value, *order],
     )
 
 
