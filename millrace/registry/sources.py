@@ -91,6 +91,19 @@ def _(spark, d):
     return loaded.withColumn("p", F.round("p", 9))
 
 
+# A short word list, as a lexicon that fits a broadcast.
+SHORT_LEXICON = (
+    ("the", 1), ("and", 2), ("of", -1), ("la", -2), ("der", 3), ("que", -3), ("in", 1), ("et", -1), ("und", 2),
+)
+SHORT_LEXICON_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{w}', {n})" for w, n in SHORT_LEXICON) + ") t(word, score)"
+
+
+def short_lexicon(spark):
+    # Literals in the plan, so that the optimiser knows how small it is.
+    rows = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(n).alias("score")) for w, n in SHORT_LEXICON])
+    return spark.range(1).select(F.explode(rows).alias("r")).select("r.word", "r.score")
+
+
 # A lexicon of every word of the texts: the last document that has it gives its score.
 LEXICON_SQL = """
     SELECT word, CAST(max_by(n_chars % 11, doc_id) - 5 AS INT) AS score
@@ -99,9 +112,13 @@ LEXICON_SQL = """
 """
 
 
-def lexicon(spark, d):
+def lexicon(spark, d, every_line: bool = False):
+    """The loaded lexicon; ``every_line`` keeps the repeated entries of its file, of which the last wins."""
     docs = table(spark, d, "documents").select("doc_id", "n_chars", F.explode(F.split("text", " ")).alias("word"))
-    usable = docs.filter((F.col("word") != "") & ~F.col("word").rlike(r"\s"))
+    usable = docs.filter(F.col("word") != "")
+    if not every_line:
+        usable = usable.groupBy("word").agg(F.max("doc_id").alias("doc_id"), F.max_by("n_chars", "doc_id").alias("n_chars"))
+    usable = usable.filter(~F.col("word").rlike(r"\s"))
     word_and_score = F.concat(
         F.lit(" "), F.col("word"), F.lit(" \t "), (F.col("n_chars") % 11 - 5).cast("string"), F.lit("\r")
     )
@@ -123,7 +140,7 @@ def _(spark, d):
 
 @query("s7_load_lexicon", LEXICON_SQL)
 def _(spark, d):
-    return lexicon(spark, d)
+    return lexicon(spark, d, every_line=True)
 
 
 EXECUTOR_LOG = """

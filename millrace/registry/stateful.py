@@ -15,7 +15,9 @@ from millrace.registry.sources import (
     CONTROLLER_LOG,
     EXECUTOR_LOG,
     MIGRATION_LOG,
+    SHORT_LEXICON_SQL,
     lexicon,
+    short_lexicon,
     trained,
 )
 from millrace.registry.views import lines, view
@@ -419,6 +421,17 @@ def _(spark, d):
 
 @query(
     "m8_sentiment_score",
+    f"""WITH {_TOKENS}, lexicon AS ({SHORT_LEXICON_SQL}),
+        s AS (SELECT doc_id, coalesce(sum(score), 0) AS score FROM tokens t LEFT JOIN lexicon l ON l.word = t.word GROUP BY 1)
+        SELECT CAST(doc_id AS STRING) AS id_str, CAST(score AS BIGINT) AS score,
+               CASE WHEN score > 0 THEN 'Positive' WHEN score < 0 THEN 'Negative' ELSE 'Neutral' END AS sentiment FROM s""",
+)
+def _(spark, d):
+    return text.classify("basic", view(spark, d, "tweets"), short_lexicon(spark))
+
+
+@query(
+    "m8_sentiment_loaded_lexicon",
     f"""WITH {_TOKENS}, {_LEXICON_SQL},
         s AS (SELECT doc_id, coalesce(sum(score), 0) AS score FROM tokens t LEFT JOIN lexicon l ON l.word = t.word GROUP BY 1)
         SELECT CAST(doc_id AS STRING) AS id_str, CAST(score AS BIGINT) AS score,
