@@ -161,13 +161,14 @@ def spanning(links: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def compare_per_anchor(rows: DataFrame, words: int, threshold: int) -> DataFrame:
-    """(a, b, distance): links between classes that share an anchor, thinned to a spanning forest.
+def compare_per_anchor(rows: DataFrame, words: int, threshold: int, thin: bool = True) -> DataFrame:
+    """(a, b, distance): links between classes that share an anchor, thinned to a spanning forest or all.
 
     ``rows`` has (anchor, part, home, rep, w0..). The rows of an anchor part arrive one after the other,
     home rows first. All others are compared with these as they stream by, which finds each link; a
     task holds the home rows of one part, one batch, and the forest of the links so far. A group of n
-    classes so sends on fewer than n links and loses no connection.
+    classes so sends on fewer than n links and loses no connection. Links that are checked later must not
+    be thinned, since one that falls may stand for one that holds.
     """
     columns = ["anchor", "part", "home", "rep", *[f"w{i}" for i in range(words)]]
 
@@ -182,6 +183,8 @@ def compare_per_anchor(rows: DataFrame, words: int, threshold: int) -> DataFrame
             out += zip([int(hrep[i])] * len(hit), rep[hit].tolist(), d[hit].tolist())
         return out
 
+    sent = spanning if thin else list
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -209,13 +212,15 @@ def compare_per_anchor(rows: DataFrame, words: int, threshold: int) -> DataFrame
                 a, b = edges[k], edges[k + 1]
                 now = (int(anchor[a]), int(part[a]))
                 if now != key:
-                    out += spanning(links)
+                    out += sent(links)
                     key, hrep, hfp, links = now, rep[:0], fp[:0], []
                 own = home[a:b] == 1
                 links += against(home[a:b], fp[a:b], rep[a:b], hrep, hfp)
                 links += against(home[a:b], fp[a:b], rep[a:b], rep[a:b][own], fp[a:b][own])
                 hrep, hfp = np.concatenate([hrep, rep[a:b][own]]), np.concatenate([hfp, fp[a:b][own]])
-                if len(links) > 100_000:
+                if not thin:
+                    out, links = out + links, []
+                elif len(links) > 100_000:
                     links = spanning(links)
             inner = np.zeros(len(sizes), bool)
             inner[1:-1] = True
@@ -230,11 +235,11 @@ def compare_per_anchor(rows: DataFrame, words: int, threshold: int) -> DataFrame
             for k in np.nonzero(inner & (homes > 1))[0].tolist():
                 a, b = edges[k], edges[k + 1]
                 n = a + homes[k]
-                out += spanning(against(home[a:b], fp[a:b], rep[a:b], rep[a:n], fp[a:n]))
+                out += sent(against(home[a:b], fp[a:b], rep[a:b], rep[a:n], fp[a:n]))
             if out:
                 yield packed(out)
         if links:
-            yield packed(spanning(links))
+            yield packed(sent(links))
 
     return (
         rows.select(*columns)
@@ -244,7 +249,7 @@ def compare_per_anchor(rows: DataFrame, words: int, threshold: int) -> DataFrame
     )
 
 
-def class_links(classes: DataFrame, words: int, threshold: int, part: int = ANCHOR_PART) -> DataFrame:
+def class_links(classes: DataFrame, words: int, threshold: int, part: int = ANCHOR_PART, thin: bool = True) -> DataFrame:
     """Links between fingerprint classes (rep, fp) at ``threshold`` or fewer differing bits.
 
     With fewer than ``4 * words`` bits allowed every pair is found; beyond that a pair is found if some
@@ -274,7 +279,7 @@ def class_links(classes: DataFrame, words: int, threshold: int, part: int = ANCH
             .withColumn("part", F.explode(targets))
             .withColumn("home", F.when(F.coalesce(F.col("mine") == F.col("part"), F.lit(True)), F.col("home")).otherwise(F.lit(0)).cast("byte"))
         )
-    return compare_per_anchor(cut, words, threshold)
+    return compare_per_anchor(cut, words, threshold, thin)
 
 
 def similar_enough(links: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -320,7 +325,7 @@ def near_duplicates(
     prints = stored(fingerprints(docs, shingle, words), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     known = stored(classes.where("rep is not null"), "classes")
-    links = class_links(known, words, threshold).select("a", "b").distinct()
+    links = class_links(known, words, threshold, thin=verify is None).select("a", "b").distinct()
     if verify is not None:
         links = verify(stored(links, "links"), docs)
     merged = components(links)

@@ -119,3 +119,12 @@ def test_near_copies_are_found_by_wide_fingerprints(documents, spark):
     found = {r[0]: r[2] for r in out}
     assert all(group[i] == group[found[i]] for i in range(len(texts)))
     assert sum(found[i] == 5 * group[i] for i in range(len(texts))) >= 0.97 * len(texts)
+
+
+def test_links_that_are_checked_later_are_not_thinned(spark):
+    # A-C and C-B differ in 10 and 12 bits, A-B in 14; the three share a block.
+    c = [5, (1 << 10) - 1, 0]
+    b = [5, ((1 << 12) - 1) << 6 ^ (1 << 10) - 1, 0]
+    rows = spark.createDataFrame([(1, [5, 0, 0]), (2, b), (3, c)], "rep long, fp array<long>")
+    found = {(min(r[:2]), max(r[:2])): r[2] for r in simhash.class_links(rows, 3, 24, thin=False).collect()}
+    assert found == {(1, 2): 14, (1, 3): 10, (2, 3): 12}

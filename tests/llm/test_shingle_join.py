@@ -1,0 +1,72 @@
+"""Near-duplicates of the pipeline against an all-pairs search."""
+
+import random
+
+import corpus_pipeline
+import pytest
+from llm_tables import documents  # noqa: F401
+from millrace.llm import shingle_join, simhash
+
+
+def grams(text):
+    t = text.split()
+    return {" ".join(t[i : i + 5]) for i in range(max(1, len(t) - 4))}
+
+
+def brute(texts, least=0.8):
+    root, sets = list(range(len(texts))), [grams(t) for t in texts]
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def changed(rng, words, n):
+    out = list(words)
+    for _ in range(n):
+        out[rng.randrange(len(out))] = f"z{rng.randrange(10**9)}"
+    return out
+
+
+def borderline():
+    """Groups with similarities on both sides of 0.8 and one header shared by many texts."""
+    rng = random.Random(4)
+    head, texts = [f"head{i}" for i in range(20)], []
+    for g in range(25):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice([12, 80, 150]))]
+        texts += [" ".join((head if g % 2 else []) + changed(rng, words, rng.randint(0, 5))) for _ in range(8)]
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.fixture
+def few_rows(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    yield
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_components_are_those_of_all_similar_pairs(documents, few_rows):
+    texts = borderline()
+    out = {r[0]: r[1] for r in shingle_join.similar_components(documents(texts), 5, 0.8).collect()}
+    assert [out[i] for i in range(len(texts))] == brute(texts)
+    kept = corpus_pipeline.near_dedup(documents(texts).sparkSession, documents(texts).coalesce(1), "")
+    assert kept.count() == len(set(brute(texts)))
+
+
+def test_a_false_link_never_stands_in_for_a_true_one(documents):
+    # The smallest text shares its start with both others but is similar to neither; these are similar.
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(100)]
+    texts = [" ".join(words[:80] + [f"c{i}" for i in range(20)]), " ".join(words), " ".join(changed(rng, words, 1))]
+    assert brute(texts) == [0, 1, 1]
+    out = {r[0]: r[1] for r in shingle_join.similar_components(documents(texts), 5, 0.8).collect()}
+    assert out == {0: 0, 1: 1, 2: 1}
