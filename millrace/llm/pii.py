@@ -4,12 +4,14 @@ High-recall generators (regular expressions) propose spans, which may overlap. E
 format and context features. Candidates of the base kinds that pass their strict check are always
 personal data. For the further kinds a gradient-boosted tree model is fitted on a bounded sample of
 candidates, labelled by the strict checks of all kinds; a span is taken if it passes its own check
-and its score reaches the threshold of its kind, which is calibrated on held-out candidates. Of
-overlapping spans of further kinds the best scored is taken.
+and its score reaches the threshold of its kind, which is calibrated on all candidates of the kind
+that did not train. A kind with few of these takes the threshold of all kinds together. Of overlapping spans of further kinds the best scored is taken.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -49,6 +51,8 @@ LIKELY = {
 CONTEXT = 24
 #: Candidates in the training sample.
 SAMPLE_CANDIDATES = 20_000
+#: A kind with fewer held-out candidates may take the threshold of all kinds together.
+RARE = 20
 #: Precision that a threshold must reach on the held-out candidates of its kind.
 PRECISION = 0.95
 TREES, DEPTH = 12, 3
@@ -192,8 +196,10 @@ def _scored(model, rows: DataFrame) -> DataFrame:
 def scored(found: DataFrame, rows: int = SAMPLE_CANDIDATES) -> DataFrame:
     """(row, kind, start, end, score, taken) of the candidates of the further kinds.
 
-    Half of a bounded sample of all candidates trains the trees, half calibrates the threshold of each
-    kind. A kind without a threshold that reaches the asked precision adds nothing.
+    Half of a bounded sample of all candidates trains the trees; all other candidates of a kind calibrate
+    its threshold. A kind whose candidates never reach the asked precision adds nothing. A kind with few
+    candidates takes the lower of its own threshold and that of all kinds together; if there is neither,
+    its strict check alone decides.
     """
     known = found.where("kind is not null")
     n = known.count()
@@ -201,35 +207,49 @@ def scored(found: DataFrame, rows: int = SAMPLE_CANDIDATES) -> DataFrame:
     if more.isEmpty():
         return more.select("row", "kind", "start", "end", F.lit(0.0).alias("score"), F.lit(False).alias("taken"))
     draw = F.pmod(F.xxhash64("doc_id", "kind", "start", "match"), F.lit(1 << 30))
-    sample = known.where(draw < int(min(1.0, rows / n) * (1 << 30)))
+    drawn = draw < int(min(1.0, rows / n) * (1 << 30))
+    sample = known.where(drawn)
     sample = sample.withColumn("label", F.col("strict").cast("double"))
     half = F.pmod(F.xxhash64("match", "kind"), F.lit(2)) == 0
     labels = sample.where(half).agg(F.min("label"), F.max("label")).first()
     if labels[0] is None or labels[0] == labels[1]:
         # One class only: nothing to learn, every candidate has the score of that class.
         constant = F.lit(float(labels[0] or 0.0))
-        more, held = more.withColumn("score", constant), sample.where(~half).withColumn("score", constant)
+        more = more.withColumn("score", constant)
     else:
         seen = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample.where(half))
         trees = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=0.3, seed=1)
         model = trees.fit(seen.select("features", "label"))
-        more, held = _scored(model, more), _scored(model, sample.where(~half))
+        more = _scored(model, more)
     # One row per kind and score step: the precision of all candidates at or above the step.
+    # At most 51 rows a kind come to the driver.
     steps = (
-        held.where(F.col("kind").isin(*MORE_KINDS))
+        more.where(~(drawn & half))
         .groupBy("kind", F.floor(F.col("score") * 50).alias("step"))
-        .agg(F.count("*").alias("n"), F.sum("label").alias("hits"))
-    )
-    above = Window.partitionBy("kind").orderBy(F.desc("step"))
-    limits = (
-        steps.withColumn("share", F.sum("hits").over(above) / F.sum("n").over(above))
-        .where(F.col("share") >= PRECISION)
-        .groupBy("kind")
-        .agg((F.min("step") / 50).alias("limit"))
+        .agg(F.count("*").alias("n"), F.sum(F.col("strict").cast("int")).alias("hits"))
+        .collect()
     )
-    # At most one row per kind.
-    judged = more.join(F.broadcast(limits), "kind", "left")
-    taken = F.col("strict") & (F.col("score") >= F.coalesce("limit", F.lit(2.0)))
+
+    def lowest(rows):
+        """The lowest step at and above which the precision is reached, as a score, and the rows' count."""
+        found, n, hits = None, 0, 0
+        for step, several in groupby(sorted(rows, key=lambda r: -r["step"]), key=lambda r: r["step"]):
+            for r in several:
+                n, hits = n + r["n"], hits + (r["hits"] or 0)
+            if hits >= PRECISION * n:
+                found = step / 50
+        return found, n
+
+    pooled = lowest(steps)[0]
+    limit = F.lit(2.0)
+    for kind in MORE_KINDS:
+        own, n = lowest(r for r in steps if r["kind"] == kind)
+        if n < RARE:
+            own = min((x for x in (own, pooled) if x is not None), default=0.0)
+        if own is not None:
+            limit = F.when(F.col("kind") == kind, F.lit(float(own))).otherwise(limit)
+    judged = more.withColumn("limit", limit)
+    taken = F.col("strict") & (F.col("score") >= F.col("limit"))
     return judged.select("row", "kind", "start", "end", "score", taken.alias("taken"))
 
 

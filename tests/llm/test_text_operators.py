@@ -212,3 +212,11 @@ def test_personal_data_of_odd_rows(odd):
     out = pii.redacted(odd).collect()
     assert sorted(repr(tuple(r)) for r in out) == sorted(repr(tuple(r)) for r in odd.collect())
     assert pii.personal_data(odd.limit(0)).count() == 0
+
+
+def test_a_rare_kind_is_redacted_in_a_table_larger_than_the_sample(documents):
+    texts = [" ; ".join(str(100 + 7 * i + k) for k in range(10)) for i in range(300)]
+    for rare in (1, 30):
+        more = [f"ssn is 123-45-{6000 + i} today" for i in range(rare)]
+        out = pii.redacted(documents(texts + more), rows=40).collect()
+        assert sum("[SSN]" in r["text"] for r in out) == rare
