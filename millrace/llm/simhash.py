@@ -172,14 +172,14 @@ def compare_per_anchor(rows: DataFrame, words: int, threshold: int, thin: bool =
     """
     columns = ["anchor", "part", "home", "rep", *[f"w{i}" for i in range(words)]]
 
-    def against(home, fp, rep, hrep, hfp):
-        """Links of rows with home rows; two home rows are compared once."""
+    def against(home, fp, rep, hrep, hfp, within=True):
+        """Links of rows with home rows; two home rows ``within`` one batch are compared once."""
         import numpy as np
 
         out = []
         for i in range(len(hrep)):
             d = np.bitwise_count(fp ^ hfp[i]).sum(axis=1, dtype=np.int64)
-            hit = np.nonzero((d <= threshold) & (rep != hrep[i]) & ((home == 0) | (rep > hrep[i])))[0]
+            hit = np.nonzero((d <= threshold) & (rep != hrep[i]) & ((home == 0) | (rep > hrep[i]) | (not within)))[0]
             out += zip([int(hrep[i])] * len(hit), rep[hit].tolist(), d[hit].tolist())
         return out
 
@@ -215,7 +215,7 @@ def compare_per_anchor(rows: DataFrame, words: int, threshold: int, thin: bool =
                     out += sent(links)
                     key, hrep, hfp, links = now, rep[:0], fp[:0], []
                 own = home[a:b] == 1
-                links += against(home[a:b], fp[a:b], rep[a:b], hrep, hfp)
+                links += against(home[a:b], fp[a:b], rep[a:b], hrep, hfp, within=False)
                 links += against(home[a:b], fp[a:b], rep[a:b], rep[a:b][own], fp[a:b][own])
                 hrep, hfp = np.concatenate([hrep, rep[a:b][own]]), np.concatenate([hfp, fp[a:b][own]])
                 if not thin:

@@ -128,3 +128,17 @@ def test_links_that_are_checked_later_are_not_thinned(spark):
     rows = spark.createDataFrame([(1, [5, 0, 0]), (2, b), (3, c)], "rep long, fp array<long>")
     found = {(min(r[:2]), max(r[:2])): r[2] for r in simhash.class_links(rows, 3, 24, thin=False).collect()}
     assert found == {(1, 2): 14, (1, 3): 10, (2, 3): 12}
+
+
+def test_home_rows_of_one_anchor_meet_across_batches(spark):
+    rng = np.random.default_rng(11)
+    high = [int(x) for x in rng.integers(0, 2**31, 30)]
+    # Pairs that differ in three bits of one block only, so they meet under the anchor of the other block.
+    fps = [(h << 32) | 77 for h in high] + [((h ^ 0b111) << 32) | 77 for h in high]
+    rows = spark.createDataFrame([(60 - i, [f]) for i, f in enumerate(fps)], "rep long, fp array<long>").repartition(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = {tuple(sorted(r[:2])) for r in simhash.class_links(rows, 1, 3).select("a", "b").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {(30 - i, 60 - i) for i in range(30)}
