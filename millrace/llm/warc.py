@@ -70,7 +70,8 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     """Header fields (lower-case names), block and end of the record that starts at ``at``."""
     if not data.startswith(VERSION_LINES, at):
         raise Damaged("no version line")
-    stop = data.find(b"\r\n\r\n", at, at + MAX_HEADER_BYTES)
+    # The data is a checked member or a record whose header was bounded before.
+    stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         raise Damaged("no end of header")
     fields: dict[str, str] = {}

@@ -256,3 +256,11 @@ def test_pipeline_stages_on_a_small_table(spark, data, tmp_path, documents, odd)
         assert stage(spark, odd.limit(0), data).count() == 0, name
         path = str(tmp_path / f"odd-{name}")
         stage(spark, odd, data).write.parquet(path)
+
+
+def test_a_very_long_url_is_archived_and_read_back():
+    url = "data:" + "x" * 200_000
+    data = b"".join(gzip.compress(warc.record_bytes(i, u, b"page", None), mtime=0) for i, u in ((1, "u"), (2, url), (3, "v")))
+    out = list(warc.salvage(io.BytesIO(data), len(data)))
+    assert [r[0] for r in out] == ["record"] * 3
+    assert out[1][3]["warc-target-uri"] == url
