@@ -71,13 +71,23 @@ def fingerprint_words(text: str | None, shingle: int, words: int) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
-    """(doc_id, fp) of every row; ``fp`` is an array of ``words`` longs. Null text counts as empty."""
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, keyed: bool = False) -> DataFrame:
+    """(doc_id, fp) of every row; ``fp`` is an array of ``words`` longs. Null text counts as empty.
+
+    With ``keyed`` a column ``key`` holds a 128-bit hash of the words of the text.
+    """
+
+    def key(text):
+        import xxhash
+
+        tokens = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+        return xxhash.xxh3_128_digest(b" ".join(tokens))
 
     def step(_, ids, texts):
-        return {"doc_id": ids, "fp": [fingerprint_words(t, shingle, words) for t in texts]}
+        out = {"doc_id": ids, "fp": [fingerprint_words(t, shingle, words) for t in texts]}
+        return out | ({"key": [key(t) for t in texts]} if keyed else {})
 
-    return map_columns(docs, ["doc_id", "text"], step, "doc_id long, fp array<long>")
+    return map_columns(docs, ["doc_id", "text"], step, "doc_id long, fp array<long>" + ", key binary" * keyed)
 
 
 def anchors_in_reach(block):
@@ -319,17 +329,18 @@ def near_duplicates(
     anything is compared, so copies are never paired; rows that repeat a doc_id stay rows of their
     own. A null doc_id takes its class's component (null if all its class has none). Null or blank
     texts have fingerprint zero and link like any other. ``verify`` may drop links (a, b between
-    smallest doc_ids of classes); classes of equal fingerprints are not split by it. An empty table
-    gives an empty result.
+    smallest doc_ids of classes); then only texts with the same words form one class, and equal
+    fingerprints of different texts are linked like any other. An empty table gives an empty result.
     """
-    prints = stored(fingerprints(docs, shingle, words), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    same = ["fp"] if verify is None else ["fp", "key"]
+    prints = stored(fingerprints(docs, shingle, words, keyed=verify is not None), "fingerprints")
+    classes = prints.groupBy(*same).agg(F.min("doc_id").alias("rep"))
     known = stored(classes.where("rep is not null"), "classes")
     links = class_links(known, words, threshold, thin=verify is None).select("a", "b").distinct()
     if verify is not None:
         links = verify(stored(links, "links"), docs)
     merged = components(links)
     named = classes.join(merged, F.col("rep") == F.col("node"), "left").select(
-        "fp", F.coalesce("component", "rep").alias("component_id")
+        *same, F.coalesce("component", "rep").alias("component_id")
     )
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(named, same).select("doc_id", "fp", "component_id")

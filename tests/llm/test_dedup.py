@@ -142,3 +142,14 @@ def test_home_rows_of_one_anchor_meet_across_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found == {(30 - i, 60 - i) for i in range(30)}
+
+
+def test_equal_fingerprints_of_different_texts_are_checked(documents):
+    # One set of content words in two orders: the same wide fingerprint, other shingles.
+    words = [f"word{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[::-1]), " ".join(words), " ".join([*words[::-1], "a"])]
+    out = simhash.near_duplicates(
+        documents(texts), 1, simhash.WIDE_WORDS, simhash.WIDE_THRESHOLD, lambda links, d: simhash.similar_enough(links, d, 5, 0.8)
+    ).collect()
+    assert len({tuple(r[1]) for r in out}) == 1
+    assert {r[0]: r[2] for r in out} == {0: 0, 1: 1, 2: 0, 3: 1}
