@@ -70,3 +70,15 @@ def test_a_false_link_never_stands_in_for_a_true_one(documents):
     assert brute(texts) == [0, 1, 1]
     out = {r[0]: r[1] for r in shingle_join.similar_components(documents(texts), 5, 0.8).collect()}
     assert out == {0: 0, 1: 1, 2: 1}
+
+
+def test_pairs_just_above_the_limit_are_all_found(documents):
+    rng = random.Random(9)
+    texts = []
+    for g in range(60):
+        words = [f"g{g}w{rng.randrange(10**6)}" for _ in range(140)]
+        texts += [" ".join(words), " ".join([*words[:17], *(f"n{g}x{i}" for i in range(11)), *words[28:]])]
+    pairs = [len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a, b in zip(texts[::2], texts[1::2])]
+    assert all(0.8 <= x < 0.82 for x in pairs)
+    out = {r[0]: r[1] for r in shingle_join.similar_components(documents(texts), 5, 0.8).collect()}
+    assert all(out[i] == i - i % 2 for i in range(len(texts)))
