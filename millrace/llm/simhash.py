@@ -14,38 +14,24 @@ within the threshold is missed.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
 from itertools import repeat
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, components, map_columns, stored
+from millrace.llm.common import LOWER, components, map_columns, same, stored
 
 BLOCK_BITS = 32
 RADIUS = 1
-#: A wide fingerprint for similarities down to about 0.8: three words, six blocks.
-WIDE_WORDS, WIDE_THRESHOLD = 3, 24
-#: Words of at least so many bytes are content words.
-CONTENT_BYTES = 4
 #: Classes of one anchor that are compared in one task; larger anchors are cut into pairs of parts.
 ANCHOR_PART = 4096
 
 
-def content_words(tokens: list[bytes]) -> list[bytes]:
-    """The distinct words of some length, in order; all words if there are none.
-
-    Each counts once and the short, frequent words of any language are left out, so that texts which
-    share nothing but these are far apart.
-    """
-    return list(dict.fromkeys([t for t in tokens if len(t) >= CONTENT_BYTES] or tokens))
-
-
 def fingerprint_words(text: str | None, shingle: int, words: int) -> list[int]:
     """SimHash words of a text as signed 64-bit numbers; a text without words has zeros.
 
-    The features are all shingles of ``shingle`` words, repeats included; with ``shingle`` 1 they are
-    the content words.
+    The features are all shingles of ``shingle`` words, repeats included.
     """
     import numpy as np
     import xxhash
@@ -53,15 +39,12 @@ def fingerprint_words(text: str | None, shingle: int, words: int) -> list[int]:
     tokens = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
     if not tokens:
         return [0] * words
-    if shingle == 1:
-        tokens = content_words(tokens)
     n = max(1, len(tokens) - shingle + 1)
     bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
     out = []
     for k in range(words):
         grams = (
             iter([b" ".join(tokens)]) if len(tokens) < shingle
-            else iter(tokens) if shingle == 1
             else map(b" ".join, zip(*[tokens[i:] for i in range(shingle)]))
         )
         h = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(42 + k)), np.uint64, n)
@@ -71,23 +54,15 @@ def fingerprint_words(text: str | None, shingle: int, words: int) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, keyed: bool = False) -> DataFrame:
-    """(doc_id, fp) of every row; ``fp`` is an array of ``words`` longs. Null text counts as empty.
-
-    With ``keyed`` a column ``key`` holds a 128-bit hash of the words of the text.
-    """
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1, also: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp) of every row and the columns ``also``; ``fp`` is an array of ``words`` longs. Null text counts as empty."""
 
-    def key(text):
-        import xxhash
+    def step(_, ids, texts, *more):
+        prints = [fingerprint_words(t, shingle, words) for t in texts]
+        return {"doc_id": ids, "fp": prints} | dict(zip(also, more))
 
-        tokens = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
-        return xxhash.xxh3_128_digest(b" ".join(tokens))
-
-    def step(_, ids, texts):
-        out = {"doc_id": ids, "fp": [fingerprint_words(t, shingle, words) for t in texts]}
-        return out | ({"key": [key(t) for t in texts]} if keyed else {})
-
-    return map_columns(docs, ["doc_id", "text"], step, "doc_id long, fp array<long>" + ", key binary" * keyed)
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in also)
+    return map_columns(docs, ["doc_id", "text", *also], step, f"doc_id long, fp array<long>{kinds}")
 
 
 def anchors_in_reach(block):
@@ -171,14 +146,13 @@ def spanning(links: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return out
 
 
-def compare_per_anchor(rows: DataFrame, words: int, threshold: int, thin: bool = True) -> DataFrame:
-    """(a, b, distance): links between classes that share an anchor, thinned to a spanning forest or all.
+def compare_per_anchor(rows: DataFrame, words: int, threshold: int) -> DataFrame:
+    """(a, b, distance): links between classes that share an anchor, thinned to a spanning forest.
 
     ``rows`` has (anchor, part, home, rep, w0..). The rows of an anchor part arrive one after the other,
     home rows first. All others are compared with these as they stream by, which finds each link; a
     task holds the home rows of one part, one batch, and the forest of the links so far. A group of n
-    classes so sends on fewer than n links and loses no connection. Links that are checked later must not
-    be thinned, since one that falls may stand for one that holds.
+    classes so sends on fewer than n links and loses no connection.
     """
     columns = ["anchor", "part", "home", "rep", *[f"w{i}" for i in range(words)]]
 
@@ -193,8 +167,6 @@ def compare_per_anchor(rows: DataFrame, words: int, threshold: int, thin: bool =
             out += zip([int(hrep[i])] * len(hit), rep[hit].tolist(), d[hit].tolist())
         return out
 
-    sent = spanning if thin else list
-
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -222,15 +194,13 @@ def compare_per_anchor(rows: DataFrame, words: int, threshold: int, thin: bool =
                 a, b = edges[k], edges[k + 1]
                 now = (int(anchor[a]), int(part[a]))
                 if now != key:
-                    out += sent(links)
+                    out += spanning(links)
                     key, hrep, hfp, links = now, rep[:0], fp[:0], []
                 own = home[a:b] == 1
                 links += against(home[a:b], fp[a:b], rep[a:b], hrep, hfp, within=False)
                 links += against(home[a:b], fp[a:b], rep[a:b], rep[a:b][own], fp[a:b][own])
                 hrep, hfp = np.concatenate([hrep, rep[a:b][own]]), np.concatenate([hfp, fp[a:b][own]])
-                if not thin:
-                    out, links = out + links, []
-                elif len(links) > 100_000:
+                if len(links) > 100_000:
                     links = spanning(links)
             inner = np.zeros(len(sizes), bool)
             inner[1:-1] = True
@@ -245,11 +215,11 @@ def compare_per_anchor(rows: DataFrame, words: int, threshold: int, thin: bool =
             for k in np.nonzero(inner & (homes > 1))[0].tolist():
                 a, b = edges[k], edges[k + 1]
                 n = a + homes[k]
-                out += sent(against(home[a:b], fp[a:b], rep[a:b], rep[a:n], fp[a:n]))
+                out += spanning(against(home[a:b], fp[a:b], rep[a:b], rep[a:n], fp[a:n]))
             if out:
                 yield packed(out)
         if links:
-            yield packed(sent(links))
+            yield packed(spanning(links))
 
     return (
         rows.select(*columns)
@@ -259,7 +229,7 @@ def compare_per_anchor(rows: DataFrame, words: int, threshold: int, thin: bool =
     )
 
 
-def class_links(classes: DataFrame, words: int, threshold: int, part: int = ANCHOR_PART, thin: bool = True) -> DataFrame:
+def class_links(classes: DataFrame, words: int, threshold: int, part: int = ANCHOR_PART) -> DataFrame:
     """Links between fingerprint classes (rep, fp) at ``threshold`` or fewer differing bits.
 
     With fewer than ``4 * words`` bits allowed every pair is found; beyond that a pair is found if some
@@ -289,58 +259,63 @@ def class_links(classes: DataFrame, words: int, threshold: int, part: int = ANCH
             .withColumn("part", F.explode(targets))
             .withColumn("home", F.when(F.coalesce(F.col("mine") == F.col("part"), F.lit(True)), F.col("home")).otherwise(F.lit(0)).cast("byte"))
         )
-    return compare_per_anchor(cut, words, threshold, thin)
+    return compare_per_anchor(cut, words, threshold)
 
 
-def similar_enough(links: DataFrame, docs: DataFrame, shingle: int, least: float) -> DataFrame:
-    """The links (a, b) whose texts have a Jaccard similarity of word shingles of at least ``least``.
+def near_duplicates(
+    docs: DataFrame, shingle: int = 3, words: int = 1, threshold: int = 3, also: Sequence[str] = ()
+) -> DataFrame:
+    """(doc_id, fp, also.., component_id): classes of documents linked by near-equal SimHash fingerprints.
 
-    Texts are looked up only for linked classes; each linked text crosses the network once per link.
+    ``docs`` has (doc_id, text) and the columns named in ``also``, which are carried through; others are
+    ignored. Equal fingerprints form one class before anything is compared, so copies are never paired;
+    rows that repeat a doc_id stay rows of their own. A null doc_id takes its class's component (null if
+    all its class has none). Null or blank texts have fingerprint zero and link like any other. An empty
+    table gives an empty result.
     """
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
-    left = links.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-
-    def grams(text):
-        t = text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
-        return {b" ".join(t[i : i + shingle]) for i in range(max(1, len(t) - shingle + 1))}
-
-    def step(_, a, b, ta, tb):
-        keep = []
-        for i in range(len(a)):
-            x, y = grams(ta[i]), grams(tb[i])
-            if len(x & y) >= least * len(x | y):
-                keep.append(i)
-        return {"a": [a[i] for i in keep], "b": [b[i] for i in keep]}
+    prints = stored(fingerprints(docs, shingle, words, also), "fingerprints")
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    known = stored(classes.where("rep is not null"), "classes")
+    merged = components(class_links(known, words, threshold).select("a", "b").distinct())
+    named = classes.join(merged, F.col("rep") == F.col("node"), "left").select(
+        "fp", F.coalesce("component", "rep").alias("component_id")
+    )
+    return prints.join(named, "fp").select("doc_id", "fp", *also, "component_id")
 
-    return map_columns(both, ["a", "b", "ta", "tb"], step, "a long, b long")
 
+def one_of_each(docs: DataFrame, shingle: int = 3, threshold: int = 3) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of every component the row with the smallest doc_id.
 
-def near_duplicates(
-    docs: DataFrame,
-    shingle: int = 3,
-    words: int = 1,
-    threshold: int = 3,
-    verify: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
-) -> DataFrame:
-    """(doc_id, fp, component_id): classes of documents linked by near-equal SimHash fingerprints.
-
-    ``docs`` has (doc_id, text); other columns are ignored. Equal fingerprints form one class before
-    anything is compared, so copies are never paired; rows that repeat a doc_id stay rows of their
-    own. A null doc_id takes its class's component (null if all its class has none). Null or blank
-    texts have fingerprint zero and link like any other. ``verify`` may drop links (a, b between
-    smallest doc_ids of classes); then only texts with the same words form one class, and equal
-    fingerprints of different texts are linked like any other. An empty table gives an empty result.
+    Rows are told apart by doc_id and text. Of repeated rows, and of a class whose ids are all null, one
+    stays. All columns are passed on, also those whose names clash with ones used inside.
     """
-    same = ["fp"] if verify is None else ["fp", "key"]
-    prints = stored(fingerprints(docs, shingle, words, keyed=verify is not None), "fingerprints")
-    classes = prints.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    known = stored(classes.where("rep is not null"), "classes")
-    links = class_links(known, words, threshold, thin=verify is None).select("a", "b").distinct()
-    if verify is not None:
-        links = verify(stored(links, "links"), docs)
-    merged = components(links)
-    named = classes.join(merged, F.col("rep") == F.col("node"), "left").select(
-        *same, F.coalesce("component", "rep").alias("component_id")
+    text_key = F.xxhash64("text")
+    found = near_duplicates(
+        docs.select("doc_id", "text", text_key.alias("text_key")), shingle, 1, threshold, ["text_key"]
     )
-    return prints.join(named, same).select("doc_id", "fp", "component_id")
+    # A class without any id has no component; its fingerprint names it.
+    group = ["component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")]
+    rows = found.select(*group, "doc_id", "text_key")
+    rows = stored(rows.groupBy("component_id", "lone", "doc_id", "text_key").count(), "rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    first = rows.groupBy("component_id", "lone").agg(F.min(order).alias("first"))
+    # A null component equals no other; such rows are compared with the groups of null components alone.
+    match = same(rows["component_id"], first["component_id"]) & same(rows["lone"], first["lone"])
+    judged = rows.join(first, match).select(
+        rows["doc_id"], rows["text_key"], "count",
+        (same(F.col("first.doc_id"), rows["doc_id"]) & (F.col("first.text_key") == rows["text_key"])).alias("stays"),
+    )
+    judged = stored(judged.where("not stays or `count` > 1"), "judged")
+
+    held = docs.select(F.struct("*").alias("doc"), text_key.alias("held_key"))
+
+    def joined(other: DataFrame, how: str) -> DataFrame:
+        return held.join(other, same(F.col("doc.doc_id"), other["doc_id"]) & (F.col("held_key") == other["text_key"]), how)
+
+    kept = joined(judged, "left_anti")
+    repeated = judged.where("stays")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(
+            joined(repeated, "left_semi").groupBy(F.col("doc.doc_id").alias("i"), "held_key").agg(F.first("doc").alias("doc")).select("doc", "held_key")
+        )
+    return kept.select("doc.*")

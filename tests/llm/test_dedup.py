@@ -100,36 +100,6 @@ def test_odd_rows_and_empty_table(odd, spark):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
-def test_near_copies_are_found_by_wide_fingerprints(documents, spark):
-    rng = random.Random(7)
-    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(3000)]
-    texts, group = [], []
-    for g in range(40):
-        words = [rng.choice(vocabulary) for _ in range(150)]
-        for k in range(5):
-            changed = list(words)
-            for _ in range(k % 3):
-                changed[rng.randrange(len(words))] = "changed"
-            texts.append(" ".join(changed))
-            group.append(g)
-    docs = documents(texts)
-    out = simhash.near_duplicates(
-        docs, 1, simhash.WIDE_WORDS, simhash.WIDE_THRESHOLD, lambda links, d: simhash.similar_enough(links, d, 5, 0.8)
-    ).collect()
-    found = {r[0]: r[2] for r in out}
-    assert all(group[i] == group[found[i]] for i in range(len(texts)))
-    assert sum(found[i] == 5 * group[i] for i in range(len(texts))) >= 0.97 * len(texts)
-
-
-def test_links_that_are_checked_later_are_not_thinned(spark):
-    # A-C and C-B differ in 10 and 12 bits, A-B in 14; the three share a block.
-    c = [5, (1 << 10) - 1, 0]
-    b = [5, ((1 << 12) - 1) << 6 ^ (1 << 10) - 1, 0]
-    rows = spark.createDataFrame([(1, [5, 0, 0]), (2, b), (3, c)], "rep long, fp array<long>")
-    found = {(min(r[:2]), max(r[:2])): r[2] for r in simhash.class_links(rows, 3, 24, thin=False).collect()}
-    assert found == {(1, 2): 14, (1, 3): 10, (2, 3): 12}
-
-
 def test_home_rows_of_one_anchor_meet_across_batches(spark):
     rng = np.random.default_rng(11)
     high = [int(x) for x in rng.integers(0, 2**31, 30)]
@@ -144,12 +114,30 @@ def test_home_rows_of_one_anchor_meet_across_batches(spark):
     assert found == {(30 - i, 60 - i) for i in range(30)}
 
 
-def test_equal_fingerprints_of_different_texts_are_checked(documents):
-    # One set of content words in two orders: the same wide fingerprint, other shingles.
-    words = [f"word{i}" for i in range(60)]
-    texts = [" ".join(words), " ".join(words[::-1]), " ".join(words), " ".join([*words[::-1], "a"])]
-    out = simhash.near_duplicates(
-        documents(texts), 1, simhash.WIDE_WORDS, simhash.WIDE_THRESHOLD, lambda links, d: simhash.similar_enough(links, d, 5, 0.8)
-    ).collect()
-    assert len({tuple(r[1]) for r in out}) == 1
-    assert {r[0]: r[2] for r in out} == {0: 0, 1: 1, 2: 0, 3: 1}
+def test_one_row_of_each_component_stays(documents):
+    rng = random.Random(3)
+    base = [" ".join(f"g{g}w{rng.randrange(10**6)}" for _ in range(300)) for g in range(8)]
+    texts = [t if k % 2 else t.replace(t.split(" ")[100 + k], "z") for t in base for k in range(5)]
+    # Null ids, a repeated row, and one id on two different texts.
+    texts += ["alone without id " + "q " * 40] * 2 + [texts[3], "its own text " + "r s t " * 30]
+    ids = [*range(40), None, None, 3, 3]
+    docs = documents(texts, ids=ids)
+    expected = plain_components([plain_fingerprint(t) for t in texts])
+    out = simhash.one_of_each(docs)
+    assert out.columns == docs.columns
+    rows = out.select("doc_id", "text").collect()
+    place = {}
+    for i, t in enumerate(texts):
+        place.setdefault(t, expected[i])
+    assert sorted(place[r["text"]] for r in rows) == sorted(set(expected))
+    for r in rows:
+        ids_there = [i for i, c in zip(ids, expected) if c == place[r["text"]] and i is not None]
+        assert r["doc_id"] == (min(ids_there) if ids_there else None)
+    assert simhash.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_rows_that_share_one_id_or_none_are_judged_by_their_text(odd):
+    # Null, empty and blank texts are one class; of equal texts one stays.
+    out = simhash.one_of_each(odd).select("text").collect()
+    prints = [plain_fingerprint(r["text"]) for r in odd.select("text").collect()]
+    assert len(out) == len(set(plain_components(prints)))
