@@ -9,14 +9,13 @@ and texts as copies). Ids may be null or repeat. An empty table gives an empty r
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, packing, pii, quality, shingle_join
-from millrace.llm.common import shared_folder, stored, table
+from millrace.llm import decontaminate, packing, pii, quality, simhash
+from millrace.llm.common import shared_folder, table
 from millrace.llm.queries import prepared
 
-#: Near-duplicates: five-word shingles with a Jaccard similarity of at least this.
-SHINGLE, SIMILARITY = 5, 0.8
+#: Near-duplicates: three-word shingles, fingerprints that differ in at most so many bits.
+SHINGLE, BITS = 3, 3
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,18 +25,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of near-duplicates: the first row.
-
-    Rows are named by their place in the table just read, so null and repeated ids do no harm. Groups are
-    connected by all pairs of texts whose five-word shingles are similar enough; the join is exact.
-    """
+    """One document of every group of SimHash near-duplicates: the row with the smallest doc_id."""
     prepared(spark)
-    held = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
-    texts = held.select(F.col("row").alias("doc_id"), "doc.text")
-    found = shingle_join.similar_components(texts, SHINGLE, SIMILARITY)
-    # The copies are fewer than what stays, and their table's size is known when it is joined.
-    copies = stored(found.where("doc_id <> component_id").select(F.col("doc_id").alias("row")), "copies")
-    return held.join(copies, "row", "left_anti").select("doc.*")
+    return simhash.one_of_each(docs, SHINGLE, BITS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
