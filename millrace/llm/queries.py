@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, html, license_scan, lm_score, packing, pii, quality, secret_scan, simhash, warc
+from millrace.llm import (
+    decontaminate,
+    html,
+    license_scan,
+    lm_score,
+    mixing,
+    packing,
+    periodic,
+    pii,
+    quality,
+    secret_scan,
+    simhash,
+    warc,
+    whitening,
+)
 from millrace.llm.common import table
 from millrace.session import configure
 
@@ -277,3 +292,75 @@ FROM own LEFT JOIN near USING (folder)
 def op3_license_scan(spark, sf_dir):
     found = license_scan.licences(file_tree(table(spark, sf_dir, "documents", "doc_id", "source", "lang", "text")))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS k
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w
+  FROM d GROUP BY source
+), f AS (
+  SELECT *, 2.0::DOUBLE * source_size AS cap, 2.0::DOUBLE * source_size / w AS ratio FROM s
+), g AS (
+  SELECT *, 1.5::DOUBLE * (SELECT sum(source_size) FROM f)
+            - coalesce(sum(cap) OVER (ORDER BY ratio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+         sum(w) OVER (ORDER BY ratio ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM f
+), rate AS (SELECT max(rest / ws) AS r FROM g WHERE rest / ws <= ratio),
+t AS (SELECT source, source_size, least(cap, w * r) AS target, floor(least(cap, w * r) + 0.5)::BIGINT AS budget FROM f, rate),
+p AS (
+  SELECT d.*, t.source_size, t.target, budget,
+         (sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id, size
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size)::BIGINT AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, source, size, source_size, target,
+       CASE WHEN source_size = 0 THEN 0
+            ELSE budget // source_size * size + greatest(0, least(size, budget % source_size - before)) END::BIGINT AS taken
+FROM p
+"""
+
+
+@query("op12_source_mixing", OP12_SQL)
+def op12_source_mixing(spark, sf_dir):
+    return mixing.mixed(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+
+
+def planted(doc: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of one document in ten with a period from some word on; a null id has none."""
+    h, n = zlib.crc32(str(doc).encode()), len(words)
+    if doc is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents", "doc_id", "text"), rewrite=planted)
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    # The greatest length; of several the smallest start, then period.
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    shown = found.withColumn("lines", F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")))
+    shown = shown.withColumn("best", best)
+    length, start, period = F.col("best.length"), -F.col("best.col2"), -F.col("best.col3")
+    return shown.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        start.alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
