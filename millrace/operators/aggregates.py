@@ -41,14 +41,13 @@ def group_items(
     fields: Sequence[int],
     column: str,
     order: Sequence[str],
-    width: float,
     delim: str = ",",
 ) -> DataFrame:
     """The chosen fields of every row with its position inside its key, one row per item.
 
     The form for keys of any size: no key is gathered.
     """
-    placed = with_position(df, [key], order, width)
+    placed = with_position(df, [key], order)
     return placed.select(key, "position", keep_fields(F.col(column), fields, delim).alias("item"))
 
 
@@ -58,7 +57,6 @@ def group_concat(
     fields: Sequence[int],
     column: str,
     order: Sequence[str],
-    width: float,
     delim: str = ",",
     out_delim: str = ",",
 ) -> DataFrame:
@@ -66,14 +64,14 @@ def group_concat(
 
     A key becomes one value, so it must fit one row; ``group_items`` is the form without that bound.
     """
-    items = group_items(df, key, fields, column, order, width, delim)
+    items = group_items(df, key, fields, column, order, delim)
     lines = items.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("position", "item"))).alias("items"))
     return lines.select(key, F.concat_ws(out_delim, F.col(key).cast("string"), F.col("items.item")).alias("line"))
 
 
-def neighbour_counts(items: DataFrame, key: str, order: Sequence[str], item: str, width: float) -> DataFrame:
+def neighbour_counts(items: DataFrame, key: str, order: Sequence[str], item: str) -> DataFrame:
     """Counts of neighbouring states of ordered records; no sequence is gathered, so none is cut."""
-    seen = previous_row(items, [key], order, {item: "from_state"}, width)
+    seen = previous_row(items, [key], order, {item: "from_state"})
     steps = seen.filter(F.col("from_state").isNotNull()).withColumn("to_state", F.col(item))
     return steps.groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("count"))
 

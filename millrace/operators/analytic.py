@@ -2,72 +2,37 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import (
-    BUCKET,
-    HALO,
-    with_carry,
-    drop_lookback,
-    fold_sorted,
-    lookback_window,
-    running_totals,
-    time_bucket,
-    with_lookback,
-)
-
-DAY = 86_400.0
+from millrace.operators.medians import seasonal_median, sliding_median  # noqa: F401
+from millrace.operators.ordered import cut, null_safe_join, running_totals, totals_of
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, width: float = 30 * DAY
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, rows: int | None = None
 ) -> DataFrame:
     """Add running sum, count and average of ``value``."""
     totals = {"running_sum": F.col(value), "running_count": F.lit(1).cast("bigint")}
-    out = running_totals(df, keys, order, totals, width)
+    out = running_totals(df, keys, order, totals, rows)
     return out.withColumn("running_avg", F.col("running_sum") / F.col("running_count"))
 
 
-def running_price_sum(trades: DataFrame, tie: str = "trade_no", width: float = 30 * DAY) -> DataFrame:
+def running_price_sum(trades: DataFrame, tie: str = "trade_no") -> DataFrame:
     """Prices added up per security, with their count and average."""
-    return running_sum(trades, ["sec_code"], ["ts", tie], "trade_price", width)
+    return running_sum(trades, ["sec_code"], ["ts", tie], "trade_price")
 
 
-def running_volume(trades: DataFrame, tie: str = "trade_no", width: float = 30 * DAY) -> DataFrame:
+def running_volume(trades: DataFrame, tie: str = "trade_no") -> DataFrame:
     """Volume added up per security."""
-    return running_totals(
-        trades, ["sec_code"], ["ts", tie], {"running_volume": F.col("trade_vol")}, width
-    )
-
-
-def sliding_median(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int, width: float = DAY
-) -> DataFrame:
-    """Median of the last ``n`` rows of the key."""
-    seen = with_lookback(df, keys, order, n - 1, width)
-    w = lookback_window(keys, order).rowsBetween(-(n - 1), 0)
-    return drop_lookback(seen.withColumn("sliding_median", F.percentile(value, F.lit(0.5)).over(w)))
+    return running_totals(trades, ["sec_code"], ["ts", tie], {"running_volume": F.col("trade_vol")})
 
 
-def seasonal_median(df: DataFrame, keys: Sequence[str], slot: str, value: str, slices: int) -> DataFrame:
-    """Median of the same slice on earlier days; 0 where there is no earlier day.
-
-    One row per key and slot is expected, so a window holds one row per day.
-    """
-    phase = F.pmod(F.col(slot), F.lit(slices))
-    w = (
-        Window.partitionBy(*keys, "__phase")
-        .orderBy(slot)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return (
-        df.withColumn("__phase", phase)
-        .withColumn("seasonal_median", F.coalesce(F.percentile(value, F.lit(0.5)).over(w), F.lit(0.0)))
-        .drop("__phase")
-    )
+#: Powers of the decay within a block stay within this and its inverse.
+_LARGEST_POWER = 1e100
 
 
 def ewma(
@@ -77,91 +42,71 @@ def ewma(
     value: str,
     age: float = 30.0,
     warmup: int = 10,
-    width: float = DAY,
+    rows: int | None = None,
 ) -> DataFrame:
     """Exponentially weighted average with decay 2/(age+1); returns keys, order, value, ``ewma``.
 
-    It is 0 for the first ``warmup`` rows of a key, starts as their mean at the next row, and
-    takes up each later value. The recursion is linear, so a bucket of rows is summed up by its size,
-    its first few values and what the others add; those are chained over the buckets of a key, and
-    every bucket is then computed on its own. Rows are shuffled once for either step.
+    It is 0 for the first ``warmup`` rows of a key, starts as their mean at the next row, and takes up
+    each later value. The recursion is linear: a row's level is the sum of what each row before it adds,
+    times the decay to the power of the rows between. Rows are numbered; inside a block of rows the level
+    is a prefix sum of values divided by powers of the decay, times the power of the row. The block before
+    adds its last level, the one before that ``1e-100`` of its own; older blocks add nothing to a double.
+    A missing value spoils the average from there on, as in any sum with it.
     """
     decay = 2.0 / (age + 1.0)
-    keep = 1.0 - decay
-    columns = [*keys, *order, value]
-    # A missing value spoils the average from there on, as in any sum with it.
-    number = F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))
-    rows = df.select(*columns).withColumn(value, number)
-    rows = rows.withColumn(BUCKET, time_bucket(rows, order[0], width))
-    scope = [*keys, BUCKET]
-    lead = warmup + 1
-
-    inside = Window.partitionBy(*scope)
-    place = F.row_number().over(inside.orderBy(*order))
-    after = F.count(F.lit(1)).over(inside) - F.col("__place")
-    first = F.col("__place") <= lead
-    summary = (
-        rows.withColumn("__place", place)
-        .withColumn("__after", after)
-        .groupBy(*scope)
-        .agg(
-            F.count(F.lit(1)).alias("__n"),
-            F.array_sort(F.collect_list(F.when(first, F.struct("__place", F.col(value).alias("v"))))).alias("__first"),
-            F.coalesce(F.sum(F.when(~first, decay * F.pow(F.lit(keep), "__after") * F.col(value))), F.lit(0.0)).alias(
-                "__rest"
-            ),
-        )
-        .withColumn("__first", F.col("__first.v"))
-    )
-    n = len(keys)
-
-    def chain(state, row):
-        """Rows and level (until the warm-up ends: the sum) before each bucket of a key."""
-        bucket, size, first_values, rest = row[n:]
-        seen, level = state.get("seen", 0), state.get("level", 0.0)
-        state["seen"] = seen + size
-        out = [(*row[:n], bucket, seen, level)]
-        for v in first_values[: max(0, warmup - seen)]:
-            level += v
-        if seen < lead <= seen + size:
-            level /= warmup
-        # Rows of the bucket before the first that is taken up.
-        idle = max(0, min(size, lead - seen))
-        if size > idle:
-            level *= keep ** (size - idle)
-            level += rest + sum(decay * keep ** (size - 1 - i) * v for i, v in enumerate(first_values) if i >= idle)
-        state["level"] = level
-        return out
-
-    fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    carry = fold_sorted(
-        summary, keys, [BUCKET], dict, chain, None, f"{fields}, {BUCKET} bigint, __seen bigint, {value} double",
-        [BUCKET, "__n", "__first", "__rest"],
-    )
-
-    marked = with_carry(rows, carry).withColumn("__turn", F.when(F.col(HALO), 0).otherwise(1))
-    m = len(scope)
-
-    def smooth(state, row):
-        """One bucket: the recursion over its rows, from the marker row that comes first."""
-        turn, seen, v = row[m : m + 3]
-        if turn == 0:
-            state["seen"], state["level"] = seen, v
-            return []
-        at = state["seen"] = state["seen"] + 1
-        if at <= warmup:
-            state["level"] += v
-        elif at == lead:
-            state["level"] /= warmup
-        else:
-            state["level"] = v * decay + state["level"] * keep
-        return [(*row[:n], *row[m + 3 :], v, state["level"] if at > warmup else 0.0)]
-
-    out = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, *order])
-    return fold_sorted(
-        marked, scope, ["__turn", *order], dict, smooth, None, f"{out}, `{value}` double, ewma double",
-        ["__turn", "__seen", value, *order],
-    )
+    keep, lead = 1.0 - decay, warmup + 1
+    if not 0 <= keep < 1:
+        raise ValueError("age must be at least 1")
+    # With no memory at all a level is the value itself: any base would do, all its powers but the first are 0.
+    span = lead if keep == 0 else max(lead, int(-math.log(_LARGEST_POWER) / math.log(keep)))
+    columns = list(dict.fromkeys([*keys, *order, value]))
+    number = F.col(value).cast("double")
+    held = df.select(*columns).withColumn(value, F.coalesce(number, F.lit(float("nan"))))
+    bad = F.isnan(value)
+    bucketed, several = cut(held, keys, order, rows)
+    totals = {"__at": F.lit(1).cast("bigint"), "__bad": bad.cast("bigint")}
+    placed = totals_of(bucketed, several, keys, order, totals)
+    placed = placed.withColumn("__block", F.floor((F.col("__at") - 1) / span))
+    at = F.col("__at")
+    clean = F.when(bad, 0.0).otherwise(F.col(value))
+
+    def power(exponent):
+        return F.when(exponent == 0, 1.0).otherwise(F.pow(F.lit(keep), exponent))
+
+    if keep == 0:
+        mean = F.sum(clean / warmup).over(Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(-warmup, -1))
+        level = F.when(at == lead, mean).otherwise(clean)
+        return _spoiled(placed.withColumn("__level", level), columns, value, lead)
+
+    begin = F.col("__block") * span + 1
+    # The first rows count together at the row after them; that row's own value is not taken up.
+    adds = F.when(at <= warmup, clean / warmup).when(at == lead, F.lit(0.0)).otherwise(decay * clean)
+    since = F.greatest(at, F.lit(lead)) - begin
+    inside = Window.partitionBy(*keys, "__block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = F.sum(adds / power(since)).over(inside)
+    placed = placed.withColumn("__own", own)
+
+    last = F.when(at % span == 0, F.col("__own") * power(F.lit(span - 1)))
+    if several:
+        # One row a block: what it hands to the next and to the one after.
+        ends = placed.where(at % span == 0).select(*keys, "__block", last.alias("__last"))
+        before = ends.select(*keys, (F.col("__block") + 1).alias("__block"), "__last", F.lit(0.0).alias("__older"))
+        older = ends.select(*keys, (F.col("__block") + 2).alias("__block"), F.lit(0.0).alias("__last"), F.col("__last").alias("__older"))
+        handed = before.unionByName(older).groupBy(*keys, "__block").agg(F.sum("__last").alias("__last"), F.sum("__older").alias("__older"))
+        placed = null_safe_join(placed, handed, [*keys, "__block"], "left")
+    else:
+        along = Window.partitionBy(*keys).orderBy("__block")
+        placed = placed.withColumn("__end", last)
+        for name, back in (("__last", 1), ("__older", 2)):
+            placed = placed.withColumn(name, F.sum("__end").over(along.rangeBetween(-back, -back)))
+    carried = F.coalesce("__last", F.lit(0.0)) + F.coalesce("__older", F.lit(0.0)) * power(F.lit(span))
+    level = power(at - begin) * F.col("__own") + power(at - begin + 1) * carried
+    return _spoiled(placed.withColumn("__level", level), columns, value, lead)
+
+
+def _spoiled(levels: DataFrame, columns: Sequence[str], value: str, lead: int) -> DataFrame:
+    shown = F.when(F.col("__at") < lead, 0.0).when(F.col("__bad") > 0, F.lit(float("nan"))).otherwise(F.col("__level"))
+    return levels.select(*columns, shown.alias("ewma"))
 
 
 def sliding_avg(

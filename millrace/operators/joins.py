@@ -61,7 +61,6 @@ def latest_join(
     ttl: float,
     ts: str = "ts",
     tie: str = "id",
-    width: float | None = None,
 ) -> DataFrame:
     """Each arrival meets the newest row of the other side with its key, if younger than ``ttl``.
 
@@ -69,7 +68,6 @@ def latest_join(
     a partner: the keys, ``left`` and ``right`` (structs of the two rows) and the arrival time.
     Rows at the same instant count as left before right, then by ``tie``.
     """
-    width = width or max(ttl, 1.0)
     l_cols = [c for c in left.columns if c not in keys]
     r_cols = [c for c in right.columns if c not in keys]
     l_rows = left.select(
@@ -83,7 +81,7 @@ def latest_join(
     merged = l_rows.unionByName(r_rows, allowMissingColumns=True)
     order = ["__ts", "__side", "__tie"]
     newest = {"__left_seen": F.col("__left"), "__right_seen": F.col("__right")}
-    seen = latest_before(merged, keys, order, newest, width)
+    seen = latest_before(merged, keys, order, newest)
     young = F.unix_micros("__ts") - int(ttl * 1_000_000)
     other_ts = F.when(F.col("__side") == 0, F.col(f"__right_seen.{ts}")).otherwise(F.col(f"__left_seen.{ts}"))
     return seen.filter(F.unix_micros(other_ts) > young).select(
@@ -143,8 +141,7 @@ def buy_sell_latest_join(
     columns = [*keys, "order_no", "order_price", "order_vol", "ts"]
     buys = orders.filter(F.col("trade_dir") == "B").select(*columns)
     sells = orders.filter(F.col("trade_dir") == "S").select(*columns)
-    width = 86_400.0 * 30 if keys else 86_400.0
-    joined = latest_join(buys, sells, list(keys), ttl, tie="order_no", width=width)
+    joined = latest_join(buys, sells, list(keys), ttl, tie="order_no")
     return joined.select(
         *keys,
         F.col("left.order_no").alias("buy_order_no"),

@@ -309,8 +309,6 @@ def call_auction(
     standing: DataFrame,
     keys: Sequence[str] = ("sec_code",),
     sell_order: str = "asc",
-    price_width: float = 1000.0,
-    volume_width: int = 1_000_000,
 ) -> DataFrame:
     """Match standing orders, buys from the highest price down.
 
@@ -328,7 +326,6 @@ def call_auction(
         [*keys, "trade_dir"],
         ["__rank", "ts", "order_no"],
         {"__end": F.col("order_vol").cast("bigint")},
-        price_width,
     ).withColumn("__start", F.col("__end") - F.col("order_vol"))
     interval = F.struct("order_no", "order_price", "__start", "__end")
     newest = {
@@ -336,7 +333,7 @@ def call_auction(
         "sell": F.when(F.col("trade_dir") == "S", interval),
     }
     columns = [*keys, "trade_dir", "order_no", "order_price", "__start", "__end"]
-    met = latest_before(queued.select(*columns), keys, ["__start", "trade_dir", "order_no"], newest, volume_width)
+    met = latest_before(queued.select(*columns), keys, ["__start", "trade_dir", "order_no"], newest)
     low = F.greatest("buy.__start", "sell.__start")
     high = F.least("buy.__end", "sell.__end")
     agreed = F.col("buy.order_price") >= F.col("sell.order_price")
@@ -430,7 +427,7 @@ def match_orders_continuous(
 
 
 def auction_depth(
-    standing: DataFrame, keys: Sequence[str] = ("sec_code",), price_width: float = 1000.0
+    standing: DataFrame, keys: Sequence[str] = ("sec_code",)
 ) -> DataFrame:
     """Per price: volume offered to buy at it or above, to sell at it or below, and what could clear."""
     levels = with_volume(standing).groupBy(*keys, "order_price").agg(
@@ -438,7 +435,7 @@ def auction_depth(
         F.sum(F.when(F.col("trade_dir") == "S", F.col("order_vol")).otherwise(0)).alias("__s"),
     )
     up = running_totals(
-        levels, keys, ["order_price"], {"ask_depth": F.col("__s"), "__b_upto": F.col("__b")}, price_width
+        levels, keys, ["order_price"], {"ask_depth": F.col("__s"), "__b_upto": F.col("__b")}
     )
     # Over the price levels, which are few: no second read, and a null key keeps its levels.
     return (

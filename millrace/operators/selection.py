@@ -7,35 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import running_totals
+from millrace.operators.bounded import broadcast_if_small
+from millrace.operators.ordered import BUCKET, cut, null_safe_join, running_totals
 
 
 def select_kth(
-    df: DataFrame, keys: Sequence[str], score: str, k: int, bin_width: float, tie: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], score: str, k: int, tie: Sequence[str] = (), rows: int | None = None
 ) -> DataFrame:
     """The row with the k-th smallest score (from 0) of each key.
 
-    Counts per score bin tell which bin holds the answer; only the rows of that one bin are
-    shuffled and sorted.
+    Rows of one score are in the order of ``tie`` and then of a hash of the row. A key with more than
+    ``rows`` rows is cut along that order; counts per bucket tell which one holds the answer, and only
+    its rows are looked at. Rows that are alike are counted before they are shuffled.
     """
-    bin_of = F.floor(F.col(score) / bin_width)
-    binned = df.withColumn("__bin", bin_of)
-    counts = binned.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__n"))
-    placed = running_totals(counts, keys, ["__bin"], {"__upto": F.col("__n")}, width=1024)
+    named = df.withColumn("__hash", F.xxhash64(*df.columns))
+    order = [score, *tie, "__hash"]
+    bucketed, several = cut(named, keys, order, rows)
+    along = Window.partitionBy(*keys).orderBy(*order)
+    if not several:
+        return bucketed.withColumn("__no", F.row_number().over(along)).filter(F.col("__no") == k + 1).select(*df.columns)
+    counts = bucketed.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy(BUCKET))
     wanted = (
-        placed.withColumn("__before", F.col("__upto") - F.col("__n"))
+        counts.withColumn("__upto", upto)
+        .withColumn("__before", F.col("__upto") - F.col("__n"))
         .filter((F.col("__before") <= k) & (F.col("__upto") > k))
-        .select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bin").alias("__b"), "__before")
     )
-    same_bin = F.col("__bin").eqNullSafe(F.col("__b"))
-    for i, key in enumerate(keys):
-        same_bin = same_bin & F.col(key).eqNullSafe(F.col(f"__k{i}"))
-    inside = binned.join(wanted, same_bin)
-    w = Window.partitionBy(*keys).orderBy(score, *tie)
+    wanted = wanted.select(*keys, BUCKET, "__before")
+    inside = null_safe_join(bucketed, broadcast_if_small(wanted), [*keys, BUCKET]).select(
+        *dict.fromkeys([*keys, *order]), F.struct(*df.columns).alias("__row"), "__before"
+    )
+    alike = inside.groupBy(*dict.fromkeys([*keys, *order])).agg(
+        F.first("__row").alias("__row"), F.first("__before").alias("__before"), F.count(F.lit(1)).alias("__n")
+    )
+    so_far = F.col("__before") + F.sum("__n").over(along.rowsBetween(Window.unboundedPreceding, 0))
     return (
-        inside.withColumn("__rank", F.row_number().over(w) - 1 + F.col("__before"))
-        .filter(F.col("__rank") == k)
-        .select(*df.columns)
+        alike.withColumn("__last", so_far)
+        .filter((F.col("__last") > k) & (F.col("__last") - F.col("__n") <= k))
+        .select("__row.*")
     )
 
 
@@ -58,7 +67,7 @@ def price_levels(orders: DataFrame, keys: Sequence[str] = ("sec_code",)) -> Data
     best_first = F.when(F.col("trade_dir") == "B", -F.col("order_price")).otherwise(F.col("order_price"))
     ranked = levels.withColumn("__sort", best_first)
     placed = running_totals(
-        ranked, [*keys, "trade_dir"], ["__sort"], {"level": F.lit(1).cast("bigint")}, width=10_000.0
+        ranked, [*keys, "trade_dir"], ["__sort"], {"level": F.lit(1).cast("bigint")}
     )
     return placed.drop("__sort")
 

@@ -16,7 +16,6 @@ from millrace.operators.ordered import (
     with_lookback,
 )
 
-DAY = 86_400.0
 WINDOW = 5
 THRESHOLD = 0.96
 
@@ -64,10 +63,10 @@ def model_lines(model: DataFrame, states: Sequence[str]) -> DataFrame:
 
 
 def state_steps(
-    records: DataFrame, entity: str, order: Sequence[str], state: str, width: float = DAY
+    records: DataFrame, entity: str, order: Sequence[str], state: str
 ) -> DataFrame:
     """State changes per entity, without gathering an entity's sequence."""
-    seen = previous_row(records, [entity], order, {state: "from_state"}, width)
+    seen = previous_row(records, [entity], order, {state: "from_state"})
     return seen.withColumn("to_state", F.col(state)).filter(F.col("from_state").isNotNull())
 
 
@@ -96,10 +95,10 @@ def _penalties(model: DataFrame, algorithm: str) -> DataFrame:
 
 
 def markov_window(
-    records: DataFrame, entity: str, order: Sequence[str], state: str, n: int = WINDOW, width: float = DAY
+    records: DataFrame, entity: str, order: Sequence[str], state: str, n: int = WINDOW
 ) -> DataFrame:
     """The last ``n`` states of the entity at each record (fewer at its start)."""
-    seen = with_lookback(records, [entity], order, n - 1, width)
+    seen = with_lookback(records, [entity], order, n - 1)
     w = lookback_window([entity], order).rowsBetween(-(n - 1), 0)
     return drop_lookback(seen.withColumn("states", F.collect_list(state).over(w)))
 
@@ -113,14 +112,13 @@ def markov_score(
     algorithm: str = "missProbability",
     n: int = WINDOW,
     threshold: float = THRESHOLD,
-    width: float = DAY,
 ) -> DataFrame:
     """Mean penalty over the changes in the last ``n`` states; 0 until there are ``n`` of them.
 
     A change that the model does not know adds nothing, here as in the stream form.
     """
     order = list(order)
-    seen = with_lookback(records, [entity], order, n - 1, width)
+    seen = with_lookback(records, [entity], order, n - 1)
     by_entity = lookback_window([entity], order)
     changes = seen.withColumn("from_state", F.lag(state).over(by_entity)).withColumn("to_state", F.col(state))
     priced = transition_lookup(changes, _penalties(model, algorithm), ["penalty"])
@@ -143,17 +141,16 @@ def markov_score_global(
     state: str = "state",
     algorithm: str = "missProbability",
     threshold: float = THRESHOLD,
-    width: float = DAY,
 ) -> DataFrame:
     """Penalty per change over everything the entity has done so far."""
     order = list(order)
-    seen = previous_row(records, [entity], order, {state: "from_state"}, width)
+    seen = previous_row(records, [entity], order, {state: "from_state"})
     priced = transition_lookup(
         seen.withColumn("to_state", F.col(state)), _penalties(model, algorithm), ["penalty"]
     )
     changed = F.col("from_state").isNotNull()
     totals = {"__cost": F.coalesce("penalty", F.lit(0.0)), "__steps": changed.cast("bigint")}
-    running = running_totals(priced, [entity], order, totals, width)
+    running = running_totals(priced, [entity], order, totals)
     score = F.when(F.col("__steps") > 0, F.col("__cost") / F.col("__steps")).otherwise(0.0)
     return running.withColumn("score", score).select(
         F.col(entity).alias("entity"), *order, "score", (F.col("score") > threshold).alias("outlier")

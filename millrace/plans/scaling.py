@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from millrace.operators.ordered import running_totals
 
-LINES_PER_BUCKET = 1_000_000
 
 
 def total_arrival_rate(model: DataFrame) -> DataFrame:
@@ -32,9 +31,9 @@ def _steps(migrations: DataFrame) -> DataFrame:
     return done.select("line_no", "time", change.cast("bigint").alias("change"))
 
 
-def executor_count_steps(migrations: DataFrame, initial: int, width: float = LINES_PER_BUCKET) -> DataFrame:
+def executor_count_steps(migrations: DataFrame, initial: int) -> DataFrame:
     """Number of executors before and after each finished scale-in or scale-out."""
-    placed = running_totals(_steps(migrations), [], ["line_no"], {"__sum": F.col("change")}, width)
+    placed = running_totals(_steps(migrations), [], ["line_no"], {"__sum": F.col("change")})
     after = F.lit(initial) + F.col("__sum")
     return placed.select(
         "line_no", "time", (after - F.col("change")).alias("executors_before"), after.alias("executors_after")

@@ -16,8 +16,6 @@ LATENCY_LIMIT = 1000.0
 SLOT_MS = 1000
 INTERVAL = (120, 720)
 PEAKS = ((0, 120), (7200, 7290))
-SLOTS_PER_BUCKET = 86_400
-LINES_PER_BUCKET = 1_000_000
 
 
 def compact_log(log: DataFrame) -> DataFrame:
@@ -106,11 +104,10 @@ def violation_intervals(
     latency: DataFrame,
     interval: tuple[int, int] = INTERVAL,
     limit: float = LATENCY_LIMIT,
-    width: float = SLOTS_PER_BUCKET,
 ) -> DataFrame:
     """Runs of neighbouring violating slots of a substream."""
     bad = latency.filter(_violates(limit) & F.col("slot").between(*interval)).select("substream", "slot")
-    placed = with_position(bad, ["substream"], ["slot"], width)
+    placed = with_position(bad, ["substream"], ["slot"])
     runs = placed.groupBy("substream", (F.col("slot") - F.col("position")).alias("__run")).agg(
         F.min("slot").alias("start_slot"), F.max("slot").alias("end_slot")
     )
@@ -156,7 +153,7 @@ def host_live_time(lifetimes: DataFrame) -> DataFrame:
 
 
 def migration_spans(
-    log: DataFrame, interval: tuple[int, int] = INTERVAL, width: float = LINES_PER_BUCKET
+    log: DataFrame, interval: tuple[int, int] = INTERVAL
 ) -> DataFrame:
     """Restarts of each executor: the n-th stop to the next entry into its run loop, in ms.
 
@@ -166,7 +163,7 @@ def migration_spans(
     marks = log.filter(F.col("kind").isin("restore", "enter", "shutting", "shutdown")).select(
         "container", "kind", "line_no", "ts_ms"
     )
-    placed = with_position(marks, ["container", "kind"], ["line_no"], width)
+    placed = with_position(marks, ["container", "kind"], ["line_no"])
     kind, at = F.col("kind"), F.col("position")
     number = F.when(kind == "enter", at - 1).when(kind == "restore", at - 1).otherwise(at)
     first = (kind != "restore") | (at == 1)
@@ -192,13 +189,13 @@ def migration_spans(
     return clipped.filter(inside).withColumn("span_ms", F.col("right_ms") - F.col("left_ms"))
 
 
-def longest_restart(log: DataFrame, width: float = LINES_PER_BUCKET) -> DataFrame:
+def longest_restart(log: DataFrame) -> DataFrame:
     """The longest time from a stop to the next run loop over the whole run, with its executor.
 
     Of equally long ones the first executor by name is given; without a restart there is no row.
     """
     marks = log.filter(F.col("kind").isin("enter", "shutdown")).select("container", "kind", "line_no", "ts_ms")
-    placed = with_position(marks, ["container", "kind"], ["line_no"], width)
+    placed = with_position(marks, ["container", "kind"], ["line_no"])
     entered = F.col("kind") == "enter"
     number = F.when(entered, F.col("position") - 1).otherwise(F.col("position"))
     pairs = placed.groupBy("container", number.alias("number")).agg(

@@ -81,9 +81,9 @@ def wiki_window_stats(edits: DataFrame, seconds: float = 10.0, compat_minus_one:
     )
 
 
-def edits_all_time(stats: DataFrame, width: float = 86_400.0) -> DataFrame:
+def edits_all_time(stats: DataFrame) -> DataFrame:
     """Add the number of edits up to the end of each window."""
-    return running_totals(stats, [], ["window_start"], {"edits_all_time": F.col("edits")}, width)
+    return running_totals(stats, [], ["window_start"], {"edits_all_time": F.col("edits")})
 
 
 def wiki_stats(channels: Sequence[DataFrame], seconds: float = 10.0) -> DataFrame:

@@ -275,7 +275,7 @@ def _(spark, d):
 
 
 def counted_changes(spark, d):
-    return A.neighbour_counts(view(spark, d, "fraud_records"), "entity", ["ts", "event_id"], "state", 86_400.0)
+    return A.neighbour_counts(view(spark, d, "fraud_records"), "entity", ["ts", "event_id"], "state")
 
 
 @query("g5_transition_counts", f"WITH {_COUNTS} SELECT from_state, to_state, c AS count FROM counted")
@@ -303,7 +303,7 @@ def _(spark, d):
        FROM {fraud_records} GROUP BY 1""",
 )
 def _GROUPED(spark, d):
-    return A.group_concat(view(spark, d, "fraud_records"), "entity", [1], "record", ["ts", "event_id"], 86_400.0)
+    return A.group_concat(view(spark, d, "fraud_records"), "entity", [1], "record", ["ts", "event_id"])
 
 
 @query(
@@ -312,7 +312,7 @@ def _GROUPED(spark, d):
        FROM {fraud_records}""",
 )
 def _(spark, d):
-    return A.group_items(view(spark, d, "fraud_records"), "entity", [1], "record", ["ts", "event_id"], 86_400.0)
+    return A.group_items(view(spark, d, "fraud_records"), "entity", [1], "record", ["ts", "event_id"])
 
 
 @query(
@@ -466,7 +466,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = view(spark, d, "stock_trades").select("sec_code", "trade_no", "ts", "trade_price")
-    out = running_median(rows, ["sec_code"], ["ts", "trade_no"], "trade_price", 180 * 86_400.0, 1000.0)
+    out = running_median(rows, ["sec_code"], ["ts", "trade_no"], "trade_price")
     return out.select("trade_no", "running_median")
 
 
@@ -594,7 +594,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows = table(spark, d, "events").select("event_type", "event_id", "value")
-    return O.select_kth(rows, ["event_type"], "value", 100, 1.0, ["event_id"])
+    return O.select_kth(rows, ["event_type"], "value", 100, ["event_id"])
 
 
 @query("o2_secondary_sort", "SELECT user_id, value, event_id FROM events")

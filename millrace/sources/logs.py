@@ -9,7 +9,6 @@ from millrace.operators.ordered import previous_row
 
 RATE_SCALE = 1000.0
 MAX_DELAY = 1_000_000.0
-LINES_PER_BUCKET = 1_000_000
 
 
 def read_log_lines(spark: SparkSession, path: str, container: str = r"([^/]+)$") -> DataFrame:
@@ -121,7 +120,7 @@ def parse_controller_log(lines: DataFrame) -> DataFrame:
 
 
 def parse_migration_log(
-    lines: DataFrame, width: float = LINES_PER_BUCKET, severe_time: bool = True
+    lines: DataFrame, severe_time: bool = True
 ) -> DataFrame:
     """Decisions, finished deployments and severe counts.
 
@@ -131,7 +130,7 @@ def parse_migration_log(
     """
     seen = lines.select("line_no", "value")
     if severe_time:
-        seen = previous_row(seen, [], ["line_no"], {"value": "__above"}, width)
+        seen = previous_row(seen, [], ["line_no"], {"value": "__above"})
     else:
         seen = seen.withColumn("__above", F.lit(None).cast("string"))
     of_interest = F.col("value").rlike(r"^(Migration!|Executors stopped|Number \S+ severe) ")

@@ -18,11 +18,11 @@ def repartition_by_mod(df: DataFrame, ident: str, n: int) -> DataFrame:
 
 
 def partition_first_seen(
-    df: DataFrame, key: str, sequence: str, n: int, width: float = 1_000_000
+    df: DataFrame, key: str, sequence: str, n: int
 ) -> DataFrame:
     """Partition number of each key: its rank by first appearance, or key mod n once past ``n``."""
     first = df.groupBy(key).agg(F.min(sequence).alias("first_seen"))
-    ranked = with_position(first, [], ["first_seen", key], width, "rank")
+    ranked = with_position(first, [], ["first_seen", key], "rank")
     number = F.col("rank") - 1
     return ranked.select(
         key,

@@ -13,7 +13,7 @@ from millrace.operators import matching as M
 from millrace.operators import ordered, stats
 from millrace.operators.analytic import ewma, sliding_median
 from millrace.operators.joins import interval_join, latest_join, nearest_centroid
-from millrace.operators.medians import running_median
+from millrace.operators.medians import running_median, with_running_median
 from millrace.operators.selection import select_kth
 from millrace.plans import markov, text
 from millrace.plans.wiki import count_drops, parse_edits, wiki_window_stats
@@ -200,16 +200,55 @@ def by_key(rows):
     return groups
 
 
-WIDTHS = [60.0, 700.0, 1e7]
+@pytest.fixture(params=[40, 150, None])
+def depth(request, monkeypatch):
+    """Rows of a bucket: the hot key is cut into many, into a few, or left whole."""
+    if request.param:
+        monkeypatch.setattr(ordered, "BUCKET_ROWS", request.param)
+    return request.param
 
 
-@pytest.mark.parametrize("width", WIDTHS)
-def test_ordered_helpers_on_a_hot_key(spark, skewed, width):
+def test_cuts_have_equal_depth_and_never_go_back(spark, skewed, depth):
+    df, rows = skewed
+    bucketed, several = ordered.cut(df, ["key"], ["ts", "id"])
+    assert several == bool(depth)
+    found = {}
+    for key, bucket, i in bucketed.orderBy("ts", "id").select("key", ordered.BUCKET, "id").collect():
+        found.setdefault(key, []).append(bucket)
+    assert sum(map(len, found.values())) == len(rows)
+    for buckets in found.values():
+        assert buckets == sorted(buckets)
+        assert not depth or max(buckets.count(b) for b in set(buckets)) <= depth
+
+
+def test_a_million_rows_of_one_key_in_an_hour_are_cut(spark):
+    rows = spark.range(1_000_000).select(F.lit("k").alias("k"), F.timestamp_seconds(F.col("id") % 3600).alias("ts"), "id")
+    bucketed, several = ordered.cut(rows, ["k"], ["ts", "id"])
+    sizes = [r["count"] for r in bucketed.groupBy(ordered.BUCKET).count().collect()]
+    assert several and sum(sizes) == 1_000_000 and max(sizes) <= ordered.BUCKET_ROWS and len(sizes) < 16
+    # All at one instant: the tie decides.
+    bucketed, _ = ordered.cut(rows.withColumn("ts", F.timestamp_seconds(F.lit(1))), ["k"], ["ts", "id"])
+    assert bucketed.groupBy(ordered.BUCKET).count().agg(F.max("count")).first()[0] <= ordered.BUCKET_ROWS
+
+
+def test_lookback_copies_only_what_is_missing(spark, skewed, monkeypatch):
+    df, _ = skewed
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 40)
+    seen = ordered.with_lookback(df, ["key"], ["ts", "id"], 50)
+    halo = seen.filter(ordered.HALO).groupBy("key", ordered.BUCKET).count().collect()
+    # Each bucket has 32 rows or the rest: before the second are the 31 of the first, before all others 50.
+    assert {(r[ordered.BUCKET], r["count"]) for r in halo if r["key"] == "hot"} == {
+        (b, 31 if b == 1 else 50) for b in {r[ordered.BUCKET] for r in halo if r["key"] == "hot"}
+    }
+    assert len({r[ordered.BUCKET] for r in halo if r["key"] == "hot"}) > 5
+
+
+def test_ordered_helpers_on_a_hot_key(spark, skewed, depth):
     df, rows = skewed
     order = ["ts", "id"]
-    totals = ordered.running_totals(df, ["key"], order, {"t": F.col("v"), "n": F.lit(1)}, width)
-    latest = ordered.latest_before(df, ["key"], order, {"l": F.when(F.col("v") > 4, F.col("v"))}, width)
-    previous = ordered.previous_row(df, ["key"], order, {"v": "p"}, width)
+    totals = ordered.running_totals(df, ["key"], order, {"t": F.col("v"), "n": F.lit(1)})
+    latest = ordered.latest_before(df, ["key"], order, {"l": F.when(F.col("v") > 4, F.col("v"))})
+    previous = ordered.previous_row(df, ["key"], order, {"v": "p"})
     got = {r["id"]: (round(r["t"], 6), r["n"]) for r in totals.collect()}
     got_l = {r["id"]: r["l"] for r in latest.collect()}
     got_p = {r["id"]: r["p"] for r in previous.collect()}
@@ -223,13 +262,12 @@ def test_ordered_helpers_on_a_hot_key(spark, skewed, width):
             before = v
 
 
-@pytest.mark.parametrize("width", WIDTHS)
-def test_medians_on_a_hot_key(spark, skewed, width):
+def test_medians_on_a_hot_key(spark, skewed, depth):
     import statistics
 
     df, rows = skewed
-    run = {r["id"]: r["running_median"] for r in running_median(df, ["key"], ["ts", "id"], "v", width, 0.7).collect()}
-    slide = {r["id"]: r["sliding_median"] for r in sliding_median(df, ["key"], ["ts", "id"], "v", 5, width).collect()}
+    run = {r["id"]: r["running_median"] for r in running_median(df, ["key"], ["ts", "id"], "v").collect()}
+    slide = {r["id"]: r["sliding_median"] for r in sliding_median(df, ["key"], ["ts", "id"], "v", 5).collect()}
     assert len(run) == len(slide) == len(rows)
     for group in by_key(rows).values():
         values = [r[3] for r in group]
@@ -238,11 +276,10 @@ def test_medians_on_a_hot_key(spark, skewed, width):
             assert slide[r[1]] == pytest.approx(statistics.median(values[max(0, n - 5) : n]))
 
 
-@pytest.mark.parametrize("width", WIDTHS)
-def test_ewma_and_sessions_on_a_hot_key(spark, skewed, width):
+def test_ewma_and_sessions_on_a_hot_key(spark, skewed, depth):
     df, rows = skewed
-    got = {r["id"]: r["ewma"] for r in ewma(df, ["key"], ["ts", "id"], "v", width=width).collect()}
-    sessions = rows_of(session_count(df, "key", 35, width=width).select("key", F.unix_seconds("session_start"), "count"))
+    got = {r["id"]: r["ewma"] for r in ewma(df, ["key"], ["ts", "id"], "v").collect()}
+    sessions = rows_of(session_count(df, "key", 35).select("key", F.unix_seconds("session_start"), "count"))
     want, decay = [], 2 / 31
     for key, group in by_key(rows).items():
         level = 0.0
@@ -261,7 +298,7 @@ def test_ewma_and_sessions_on_a_hot_key(spark, skewed, width):
 def test_missing_number_key_is_one_key(spark, skewed):
     df, rows = skewed
     number = F.when(F.col("key") == "hot", 1).when(F.col("key") == "a", 2)
-    got = ewma(df.select(number.alias("k"), "ts", "id", "v"), ["k"], ["ts", "id"], "v", width=700.0)
+    got = ewma(df.select(number.alias("k"), "ts", "id", "v"), ["k"], ["ts", "id"], "v")
     shown = {r["k"]: r["n"] for r in got.filter("ewma <> 0").groupBy("k").agg(F.count("*").alias("n")).collect()}
     others = sum(1 for r in rows if r[0] not in ("hot", "a"))
     assert got.count() == len(rows) and shown[None] == others - 10
@@ -275,7 +312,7 @@ def test_secondary_sort_keeps_keys_in_order(spark, skewed):
     assert got == sorted((r[0], r[3], r[1]) for r in rows if r[0] is not None)
 
 
-def test_joins_on_a_hot_key(spark, skewed):
+def test_joins_on_a_hot_key(spark, skewed, depth):
     df, rows = skewed
     left = df.filter("id % 2 = 0").select("key", F.col("id").alias("l"), "ts")
     right = df.filter("id % 2 = 1").select(F.col("key").alias("k2"), F.col("id").alias("r"), "ts")
@@ -285,7 +322,7 @@ def test_joins_on_a_hot_key(spark, skewed):
         if a[1] % 2 == 0 and b[1] % 2 == 1 and a[0] is not None and a[0] == b[0] and abs(a[2] - b[2]) < 100
     ]
     assert got == sorted(want, key=repr)
-    pairs = latest_join(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), ["key"], 60.0, width=200.0)
+    pairs = latest_join(df.filter("id % 2 = 0"), df.filter("id % 2 = 1"), ["key"], 60.0)
     found = rows_of(pairs.select("left.id", F.col("right.id").alias("r")))
     expected, newest = [], {}
     for r in sorted(rows, key=lambda r: (r[2], r[1] % 2, r[1])):
@@ -297,17 +334,17 @@ def test_joins_on_a_hot_key(spark, skewed):
     assert found == sorted(expected, key=repr)
 
 
-def test_kth_and_group_lines_on_a_hot_key(spark, skewed):
+def test_kth_and_group_lines_on_a_hot_key(spark, skewed, depth):
     df, rows = skewed
     for k in (0, 57):
-        got = {r["key"]: r["v"] for r in select_kth(df.filter("key IS NOT NULL"), ["key"], "v", k, 0.5, ["id"]).collect()}
+        got = {r["key"]: r["v"] for r in select_kth(df.filter("key IS NOT NULL"), ["key"], "v", k, ["id"]).collect()}
         for key, group in by_key(rows).items():
             if key is not None:
                 assert got[key] == sorted(r[3] for r in group)[k]
     text_rows = df.filter("key = 'hot'").withColumn("line", F.concat_ws(",", F.col("id").cast("string"), F.lit("x")))
-    (line,) = A.group_concat(text_rows, "key", [0], "line", ["ts", "id"], 700.0).collect()
+    (line,) = A.group_concat(text_rows, "key", [0], "line", ["ts", "id"]).collect()
     assert line["line"].split(",")[1:] == [str(r[1]) for r in by_key(rows)["hot"]]
-    items = A.group_items(text_rows, "key", [0], "line", ["ts", "id"], 700.0).orderBy("position").collect()
+    items = A.group_items(text_rows, "key", [0], "line", ["ts", "id"]).orderBy("position").collect()
     assert [r["item"] for r in items] == line["line"].split(",")[1:]
 
 
@@ -334,9 +371,9 @@ BIG = 2**53 + 1
 def test_large_ids_stay_exact_beside_null_keys(spark):
     rows = [(BIG + i, "k" if i % 3 else None, float(i), i) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, key string, v double, t long")
-    smooth = ewma(df, ["key"], ["t", "id"], "v", width=7.0)
+    smooth = ewma(df, ["key"], ["t", "id"], "v")
     assert sorted(r["id"] for r in smooth.collect()) == [r[0] for r in rows]
-    medians = running_median(df, ["key"], ["t", "id"], "v", width=7.0, value_width=5.0)
+    medians = running_median(df, ["key"], ["t", "id"], "v")
     assert sorted(r["id"] for r in medians.collect()) == [r[0] for r in rows]
 
 
@@ -354,8 +391,8 @@ def test_large_integer_keys_do_not_meet_in_a_book(spark):
 def test_nan_is_the_largest_value_of_a_median(spark):
     values = [5.0, float("nan"), 1.0, 2.0, 3.0, float("inf")]
     df = spark.createDataFrame([("k", i, v) for i, v in enumerate(values)], "key string, t long, v double")
-    for width in (1.0, 2.0, 100.0):
-        got = running_median(df, ["key"], ["t"], "v", width=width, value_width=2.0).orderBy("t").collect()
+    for rows in (2, 4, 100):
+        got = running_median(df, ["key"], ["t"], "v", rows=rows).orderBy("t").collect()
         assert [repr(r["running_median"]) for r in got] == ["5.0", "nan", "5.0", "3.5", "3.0", "4.0"]
 
 
@@ -365,7 +402,7 @@ def test_null_keys_and_labels_are_kept(spark):
         spark.createDataFrame([(None, "x", 1, 1, 2), ("a", None, 1, 2, 1), ("a", "x", 1, 2, 2)], "a string, b string, c int, d int, e int")
     )
     assert len(stats.histogram(df, ["k"], "v", 1).collect()) == 3
-    assert {r["k"] for r in select_kth(df, ["k"], "v", 0, 1.0).collect()} == {None, "a"}
+    assert {r["k"] for r in select_kth(df, ["k"], "v", 0).collect()} == {None, "a"}
     orders = spark.createDataFrame(
         [(None, "A", "B", 10.0, "b", 5), (None, "A", "S", 9.0, "s", 3), (None, "A", "S", 9.0, "n", None)],
         "sec_code string, tran_maint_code string, trade_dir string, order_price double, order_no string, order_vol int",
@@ -425,3 +462,45 @@ def test_a_cluster_without_a_shared_folder_is_refused(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.checkpoint_dir(Session())
+
+
+def test_tables_without_keys_are_cut_too(spark, skewed, monkeypatch):
+    df, rows = skewed
+    want = {r["id"]: r["position"] for r in ordered.with_position(df, [], ["ts", "id"]).collect()}
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 40)
+    placed = ordered.with_position(df, [], ["ts", "id"])
+    assert {r["id"]: r["position"] for r in placed.collect()} == want and len(want) == len(rows)
+
+
+@pytest.mark.parametrize("rows", [None, 3000])
+def test_weighted_average_over_many_blocks(spark, rows):
+    rng = random.Random(3)
+    values = [rng.uniform(-9, 9) for _ in range(9000)] + [0.0] * 4000 + [1e-3] * 10
+    df = spark.createDataFrame(list(enumerate(values)), "t long, v double")
+    for age in (30.0, 3.0, 1.0):
+        decay, level, want = 2 / (age + 1), 0.0, []
+        for n, v in enumerate(values, 1):
+            level = sum(values[:10]) / 10 if n == 11 else v * decay + level * (1 - decay) if n > 11 else 0.0
+            want.append(level)
+        got = [r["ewma"] for r in ewma(df, [], ["t"], "v", age, rows=rows).orderBy("t").collect()]
+        assert got == pytest.approx(want, rel=1e-9, abs=1e-12)
+    spoiled = ewma(df.withColumn("v", F.when(F.col("t") != 50, F.col("v"))), [], ["t"], "v", rows=rows)
+    assert spoiled.filter(F.isnan("ewma")).count() == len(values) - 50
+
+
+def test_missing_values_do_not_count_in_medians(spark):
+    import statistics
+
+    rng = random.Random(6)
+    rows = [("k" if i % 4 else None, i, None if 100 < i < 190 or rng.random() < 0.3 else rng.uniform(-5, 5)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, t long, v double")
+    for depth in (40, None):
+        slide = {r["t"]: r["sliding_median"] for r in sliding_median(df, ["k"], ["t"], "v", 9, depth).collect()}
+        before = {r["t"]: r["m"] for r in with_running_median(df, ["k"], ["t"], "v", "m", False, depth).collect()}
+        for key in ("k", None):
+            group = [r for r in rows if r[0] == key]
+            for n, (_, t, _) in enumerate(group):
+                last = [r[2] for r in group[max(0, n - 8) : n + 1] if r[2] is not None]
+                past = [r[2] for r in group[:n] if r[2] is not None]
+                assert slide[t] == (pytest.approx(statistics.median(last)) if last else None)
+                assert before[t] == (pytest.approx(statistics.median(past)) if past else None)

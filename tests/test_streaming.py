@@ -84,7 +84,7 @@ def test_latest_join_stream_equals_table(spark, data, drain):
 def test_running_sum_stream_equals_table(spark, data, drain):
     rows = view(spark, data, "ev").select("user_id", "ts", "event_id", "value")
     got = drain(rows, lambda s: S.running_sum_stream(s, "user_id", "value", ["ts", "event_id"]))
-    want = running_sum(rows, ["user_id"], ["ts", "event_id"], "value", 86_400)
+    want = running_sum(rows, ["user_id"], ["ts", "event_id"], "value")
     pick = ["event_id", F.round("running_sum", 6).alias("s"), "running_count"]
     assert rows_of(got.select(*pick)) == rows_of(want.select(*pick))
 
