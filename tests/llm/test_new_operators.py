@@ -67,7 +67,7 @@ def test_words_appended_in_pieces_give_the_same_runs():
     assert pieces.runs() == plain_runs(words)
 
 
-@pytest.mark.parametrize("text", ["a " * 300_000, "a b c " * 100_000, ("a " * 3000 + "b ") * 30, "x y " * 20_000 + "z " + "x y " * 20_000])
+@pytest.mark.parametrize("text", ["a " * 100_000, "a b c " * 30_000, ("a " * 3000 + "b ") * 30, "x y " * 20_000 + "z " + "x y " * 20_000])
 def test_very_long_repeats_take_no_square_time(text):
     words, begin = text.split(), time.perf_counter()
     runs = periodic.text_runs(words)
