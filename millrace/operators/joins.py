@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators.bounded import broadcast_if_small
+from millrace.operators.nearest import nearest_of_many
 from millrace.operators.ordered import latest_before
 
 _SLOT = "__slot"
@@ -171,22 +171,24 @@ def nearest_centroid(
 ) -> DataFrame:
     """Add the id of, and distance to, the closest centroid; the smallest id wins a tie.
 
-    The centroids (``id``, ``x``, ``y``) are the query set: they are broadcast in blocks of ``block``,
-    and every batch of points is compared with one block after the other, so neither a task nor the
-    driver's result holds more than a block and a batch. Points without a place get no centroid.
+    Up to ``block`` centroids (``id``, ``x``, ``y``), 24 bytes each, are broadcast and every batch of points
+    is compared with them. A table of more is descended as a tree of boxes, see ``nearest``: none of it goes to
+    the driver. Points without a place get no centroid.
     """
     import numpy as np
 
-    spark = points.sparkSession
     if isinstance(centroids, DataFrame):
-        rows = (tuple(r) for r in centroids.select("id", "x", "y").orderBy("id").toLocalIterator())
+        rows = [tuple(r) for r in centroids.select("id", "x", "y").limit(block + 1).collect()]
+        if len(rows) > block:
+            return nearest_of_many(points, centroids, x, y, compat_linear_vol)
     else:
-        rows = iter(sorted(centroids))
-    blocks = []
-    while part := list(islice(rows, block)):
-        ids = np.array([r[0] for r in part], np.int64)
-        places = np.array([[float(r[1]), float(r[2])] for r in part])
-        blocks.append(spark.sparkContext.broadcast((ids, places)))
+        rows = list(centroids)
+        if len(rows) > block:
+            raise ValueError(f"more than {block} centroids must come as a table")
+    rows = sorted(r for r in rows if None not in r)
+    spark = points.sparkSession
+    ids, places = np.array([r[0] for r in rows], np.int64), np.array([[float(r[1]), float(r[2])] for r in rows])
+    blocks = [spark.sparkContext.broadcast((ids, places))] if rows else []
 
     @F.pandas_udf("distance double, id bigint")
     def nearest(px: pd.Series, py: pd.Series) -> pd.DataFrame:

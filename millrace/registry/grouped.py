@@ -197,6 +197,29 @@ def _(spark, d):
     return J.nearest_centroid(points, centroids(spark, d)).select("trade_no", "centroid_id")
 
 
+# More centroids than are broadcast: every part is one, and they are descended as a tree.
+_MANY = "SELECT p_partkey AS id, p_retailprice * 100 AS x, CAST(p_size AS DOUBLE) AS y FROM {part}"
+
+
+@query(
+    "j7_nearest_of_many",
+    f"""WITH c AS ({_MANY}), p AS (SELECT DISTINCT trade_price * 1000 AS x, trade_vol AS y FROM {{stock_trades}}),
+             best AS (SELECT p.x, p.y, min((  (p.x - c.x) * (p.x - c.x) + (p.y - c.y) * (p.y - c.y), c.id)) AS b
+                      FROM p, c GROUP BY 1, 2)
+        SELECT trade_no, b[2] AS centroid_id, round(b[1], 6) AS distance
+        FROM {{stock_trades}} t JOIN best ON best.x = t.trade_price * 1000 AND best.y = t.trade_vol""",
+)
+def _(spark, d):
+    points = view(spark, d, "stock_trades").select(
+        "trade_no", (F.col("trade_price") * 1000).alias("x"), F.col("trade_vol").alias("y")
+    )
+    parts = table(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), (F.col("p_retailprice") * 100).alias("x"), F.col("p_size").alias("y")
+    )
+    found = J.nearest_centroid(points, parts, block=100)
+    return found.select("trade_no", "centroid_id", F.round("distance", 6).alias("distance"))
+
+
 @query("j8_co_partition", "SELECT user_id, count(*) AS n FROM events GROUP BY 1")
 def _(spark, d):
     placed = J.co_partition(table(spark, d, "events").select("user_id"), "user_id")

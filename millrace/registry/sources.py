@@ -60,6 +60,16 @@ def _(spark, d):
     return text.book_levels(view(spark, d, "stock_new"))
 
 
+@query(
+    "s5_opening_book_files",
+    """SELECT sec_code, trade_dir, order_no, tran_maint_code, order_price, order_vol, ts FROM {stock_new}""",
+)
+def _(spark, d):
+    path = shared_path(spark, "opening-book")
+    text.write_opening_book(view(spark, d, "stock_new"), path)
+    return text.load_opening_book(spark, path)
+
+
 _COUNTS = """
     seqs AS (SELECT entity, state AS to_state, lag(state) OVER (PARTITION BY entity ORDER BY ts, event_id) AS from_state
              FROM {fraud_records}),

@@ -182,6 +182,42 @@ def _(spark, d):
     return M.resting_orders(_orders(spark, d), _BOOK_KEYS)
 
 
+# Books that are kept over the whole run: an order rests until it trades or is deleted, in whichever month.
+_WHOLE_RUN = f"""WITH RECURSIVE o AS (
+        SELECT sec_code, 'all' AS session, order_no AS no, tran_maint_code AS code, trade_dir AS dir, order_price AS p,
+               CAST(order_vol AS BIGINT) AS v, row_number() OVER (PARTITION BY sec_code ORDER BY ts, order_no) AS n
+        FROM {{stock_orders}} WHERE tran_maint_code NOT IN ('X', '')),
+    {_book_steps('(SELECT DISTINCT sec_code, session FROM o)')}"""
+
+
+@query(
+    "m1_whole_run_match_orders",
+    f"{_WHOLE_RUN}, r AS ({_PER_ORDER}) SELECT sec_code, order_no, volume, price, fills FROM r",
+)
+def _(spark, d):
+    return M.match_orders_book(view(spark, d, "stock_orders"))
+
+
+@query(
+    "m1_whole_run_fills",
+    f"""{_WHOLE_RUN} SELECT sec_code, f.buy AS buy_order_no, f.sell AS sell_order_no, f.price AS price, f.volume AS volume
+        FROM (SELECT sec_code, unnest(fills) AS f FROM s)""",
+)
+def _(spark, d):
+    return M.book_fills(view(spark, d, "stock_orders"))
+
+
+@query(
+    "m1_whole_run_resting_orders",
+    f"""{_WHOLE_RUN}, ends AS (SELECT * FROM s QUALIFY n = max(n) OVER (PARTITION BY sec_code))
+        SELECT sec_code, 'B' AS trade_dir, -e.k AS order_price, e.no AS order_no, e.v AS order_vol
+        FROM (SELECT sec_code, unnest(bids) AS e FROM ends)
+        UNION ALL SELECT sec_code, 'S', e.k, e.no, e.v FROM (SELECT sec_code, unnest(asks) AS e FROM ends)""",
+)
+def _(spark, d):
+    return M.resting_orders(view(spark, d, "stock_orders"))
+
+
 # The book is kept over all sessions: the default keys. Trades of whole securities, compared by their totals, which
 # any order of equal times must give: what was placed is filled, deleted or still rests.
 @query(
@@ -225,6 +261,16 @@ def _(spark, d):
     return M.match_orders_single(_orders(spark, d), _BOOK_KEYS)
 
 
+@query(
+    "m2_whole_run_match_orders_single",
+    "SELECT * EXCLUDE (session) FROM ("
+    + _SLOT_STEP.replace("strftime(ts, '%Y-%m') ORDER", "'all' ORDER").replace("strftime(ts, '%Y-%m') AS", "'all' AS")
+    + ")",
+)
+def _(spark, d):
+    return M.match_orders_single(view(spark, d, "stock_orders"))
+
+
 @query("m2_relay_orders", "SELECT sec_code AS key, order_no FROM {stock_orders} WHERE tran_maint_code = 'A'")
 def _(spark, d):
     return M.relay_orders(view(spark, d, "stock_orders")).select("key", "value.order_no")

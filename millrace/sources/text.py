@@ -58,16 +58,23 @@ def parse_trades(lines: DataFrame, column: str = "value") -> DataFrame:
 def load_opening_book(spark: SparkSession, path: str) -> DataFrame:
     """Orders from ``<path>/<security>/<side file>``; the first letter of the file is the side.
 
-    The result has the columns of ``parse_orders``; a security or side without a file has no rows.
+    A folder per side, as ``write_opening_book`` makes it, is read as well. The result has the columns of ``parse_orders``; a security or side without a file has no rows.
     """
     lines = (
         spark.read.option("recursiveFileLookup", "true").text(path).withColumn("__path", F.col("_metadata.file_path"))
     )
     fields = lines.withColumn("__f", F.split("value", r"\|")).filter(F.size("__f") > ORDER_FIELDS["trade_dir"])
     f = lambda name: _field(ORDER_FIELDS, name)
+    in_folders = r"sec_code=([^/]+)/trade_dir=([^/])[^/]*/[^/]+$"
+    in_files = r"([^/]+)/([^/])[^/]*$"
+
+    def place(group: int) -> Column:
+        named = F.regexp_extract("__path", in_folders, group)
+        return F.when(named != "", named).otherwise(F.regexp_extract("__path", in_files, group))
+
     return fields.select(
-        F.regexp_extract("__path", r"([^/]+)/([^/])[^/]*$", 1).alias("sec_code"),
-        F.regexp_extract("__path", r"([^/]+)/([^/])[^/]*$", 2).alias("trade_dir"),
+        place(1).alias("sec_code"),
+        place(2).alias("trade_dir"),
         f("order_no").alias("order_no"),
         f("tran_maint_code").alias("tran_maint_code"),
         f("order_price").try_cast("double").alias("order_price"),
@@ -76,6 +83,20 @@ def load_opening_book(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_opening_book(orders: DataFrame, path: str) -> None:
+    """One folder of order lines per security and side; the fields stand where ``load_opening_book`` looks."""
+    text = {
+        "order_date": F.date_format("ts", "yyyyMMdd"),
+        "order_time": F.date_format("ts", "HH:mm:ss"),
+        "order_time_fraction": F.format_string("0.%06d", F.unix_micros("ts") % 1_000_000),
+    }
+    places = {n: i for n, i in ORDER_FIELDS.items()}
+    named = {i: text.get(n, F.col(n) if n in orders.columns else F.lit("")) for n, i in places.items()}
+    parts = [F.coalesce(named.get(i, F.lit("")).cast("string"), F.lit("")) for i in range(max(named) + 1)]
+    lines = orders.select("sec_code", "trade_dir", F.concat_ws("|", *parts).alias("value"))
+    lines.repartition("sec_code", "trade_dir").write.partitionBy("sec_code", "trade_dir").text(path)
+
+
 def book_levels(orders: DataFrame) -> DataFrame:
     """Opening orders grouped by price."""
     return orders.groupBy("sec_code", "trade_dir", "order_price").agg(

@@ -2,42 +2,83 @@
 
 State is kept per key in the state store, so a micro-batch touches only the keys it carries.
 Rows of a key are sorted within a micro-batch; across micro-batches they count in arrival
-order. ``ttl_ms`` bounds how long an idle key is kept (0 keeps it for ever).
+order. ``ttl_ms`` bounds how long an idle key is kept (0 keeps it for ever); where event time
+decides, a timer lets state go once the watermark has passed it.
+
+A key's rows of one micro-batch are worked on in pieces of ``PIECE_ROWS``. A task holds them once
+as Arrow columns, about their size on the wire, and one piece as rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import pickle
+from collections.abc import Callable, Iterator, MutableMapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from millrace.operators.folds import Fold
 from millrace.operators.matching import Book, Slots
 
+PIECE_ROWS = 50_000
+
 
 def _schema(text: str) -> T.StructType:
     return T._parse_datatype_string(text)
 
 
 def keyed(
-    df: DataFrame, keys: Sequence[str], processor: StatefulProcessor, schema: str, mode: str = "append"
+    df: DataFrame,
+    keys: Sequence[str],
+    processor: StatefulProcessor,
+    schema: str,
+    mode: str = "append",
+    event_time: bool = False,
 ) -> DataFrame:
     """Run a processor per key; its ``ttl_ms`` decides whether idle state expires.
 
-    Without expiry the query has no clock of its own, so a drained input lets it stop.
+    ``event_time`` gives the processor timers on the watermark. Without either the query has no clock of
+    its own, so a drained input lets it stop.
     """
+    clock = "EventTime" if event_time else "ProcessingTime" if processor.ttl_ms else "None"
     return df.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor,
-        outputStructType=_schema(schema),
-        outputMode=mode,
-        timeMode="ProcessingTime" if processor.ttl_ms else "None",
+        statefulProcessor=processor, outputStructType=_schema(schema), outputMode=mode, timeMode=clock
     )
 
 
+def in_order(frames: Iterator, order: Sequence[str], piece: int = PIECE_ROWS) -> Iterator:
+    """The rows of all frames in order, as frames of at most ``piece`` rows.
+
+    What does not fit in one piece is kept as Arrow columns; the order columns are sorted alone, and every
+    piece is then picked from the columns.
+    """
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, parts, n = [], [], 0
+    for frame in frames:
+        held.append(frame)
+        n += len(frame)
+        if n > piece:
+            parts += [pa.Table.from_pandas(f, preserve_index=False) for f in held]
+            held, n = [], 0
+    if not parts:
+        if held:
+            yield pd.concat(held, ignore_index=True).sort_values(list(order), kind="stable")
+        return
+    parts += [pa.Table.from_pandas(f, preserve_index=False) for f in held]
+    held = None
+    table = pa.concat_tables(parts, promote_options="default")
+    places = pc.sort_indices(table.select(list(order)), sort_keys=[(c, "ascending") for c in order])
+    for at in range(0, len(places), piece):
+        yield table.take(places.slice(at, piece)).to_pandas()
+
+
 class SortedProcessor(StatefulProcessor):
-    """Base: gathers a key's rows of the micro-batch in order and keeps one state row per key."""
+    """Base: goes through a key's rows of the micro-batch in order and keeps one state row per key."""
 
     state_schema = "value double"
     order: Sequence[str] = ("ts",)
@@ -49,17 +90,15 @@ class SortedProcessor(StatefulProcessor):
         self.state = handle.getValueState("state", self.state_schema, self.ttl_ms or None)
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        import pandas as pd
-
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(list(self.order), kind="stable")
         kept = self.state.get() if self.state.exists() else None
-        out, after = self.run(key, batch, kept)
-        if after is None:
+        for batch in in_order(rows, self.order):
+            out, kept = self.run(key, batch, kept)
+            if len(out):
+                yield out
+        if kept is None:
             self.state.clear()
         else:
-            self.state.update(after)
-        if len(out):
-            yield out
+            self.state.update(kept)
 
     def run(self, key, batch, kept):
         raise NotImplementedError
@@ -174,42 +213,113 @@ def markov_score_stream(
     return keyed(wanted, ["entity"], processor, f"{fields}, score double, outlier boolean")
 
 
+class StoredLevels(MutableMapping):
+    """The queues of one side of a book by price; a queue is read from the store when it is first needed."""
+
+    def __init__(self, prices: Sequence[float], read: Callable[[float], dict]):
+        self.prices, self.read = set(prices), read
+        self.stored = frozenset(self.prices)
+        self.held: dict[float, dict] = {}
+        self.before: dict[float, list] = {}
+
+    def __contains__(self, price):
+        return price in self.prices
+
+    def __getitem__(self, price):
+        if price not in self.prices:
+            raise KeyError(price)
+        if price not in self.held:
+            self.held[price] = self.read(price)
+            self.before[price] = list(self.held[price].items())
+        return self.held[price]
+
+    def __setitem__(self, price, queue):
+        self.prices.add(price)
+        self.held[price] = queue
+
+    def __delitem__(self, price):
+        self.prices.remove(price)
+        self.held.pop(price, None)
+
+    def __iter__(self):
+        return iter(self.prices)
+
+    def __len__(self):
+        return len(self.prices)
+
+    def changed(self) -> list[tuple[float, dict]]:
+        """The queues to write."""
+        return [(p, q) for p, q in self.held.items() if p not in self.stored or list(q.items()) != self.before.get(p)]
+
+    def gone(self) -> list[float]:
+        return [p for p in self.stored if p not in self.prices]
+
+
 class BookKeeper(StatefulProcessor):
-    """A price-time book per security; resting orders live in the state store."""
+    """A price-time book per security, one state row per price level.
+
+    A micro-batch reads and writes the levels that its orders join, leave or trade with; the prices of
+    either side are one row, from which the best is known.
+    """
 
     def __init__(self, ttl_ms: int = 0):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        resting = "trade_dir string, order_price double, order_no string, order_vol bigint"
-        self.resting = handle.getListState("resting", resting, self.ttl_ms or None)
+        ttl = self.ttl_ms or None
+        self.levels = handle.getMapState(
+            "levels", "trade_dir string, order_price double", "order_nos array<string>, volumes array<bigint>", ttl
+        )
+        self.prices = handle.getValueState("prices", "buys array<double>, sells array<double>", ttl)
+
+    def _open(self, side, direction: str, prices: Sequence[float]) -> None:
+        """Let a side of a fresh book read its levels from the store."""
+        import heapq
+
+        def read(price):
+            queue = {}
+            names, volumes = self.levels.getValue((direction, price))
+            for order_no, volume in zip(names, volumes):
+                ident = (order_no, 0)
+                while ident in queue:
+                    side.twins += 1
+                    ident = (order_no, ident[1] + 1)
+                queue[ident] = int(volume)
+            return queue
+
+        side.levels = StoredLevels(prices, read)
+        side.heap = [side.sign * p for p in prices]
+        heapq.heapify(side.heap)
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "order_no"], kind="stable")
         book = Book()
-        if self.resting.exists():
-            for direction, price, order_no, volume in self.resting.get():
-                book.rest(direction, price, order_no, volume)
-        out = []
-        for code, direction, price, order_no, volume in zip(
-            batch["tran_maint_code"], batch["trade_dir"], batch["order_price"], batch["order_no"], batch["order_vol"]
-        ):
-            fills = book.apply(code, direction, price, order_no, volume)
-            if fills:
-                out.append((key[0], order_no, sum(f[3] for f in fills), fills[-1][2], len(fills)))
-        left = [
-            (direction, float(price), order_no, int(volume))
-            for direction, side in (("B", book.buys), ("S", book.sells))
-            for price, order_no, volume in side.rows()
-        ]
-        if left:
-            self.resting.put(left)
-        else:
-            self.resting.clear()
-        if out:
-            yield pd.DataFrame(out, columns=["sec_code", "order_no", "volume", "price", "fills"])
+        sides = {"B": book.buys, "S": book.sells}
+        known = self.prices.get() if self.prices.exists() else ([], [])
+        for (direction, side), prices in zip(sides.items(), known):
+            self._open(side, direction, [float(p) for p in prices])
+        for batch in in_order(rows, ["ts", "order_no"]):
+            out = []
+            for code, direction, price, order_no, volume in zip(
+                batch["tran_maint_code"], batch["trade_dir"], batch["order_price"], batch["order_no"], batch["order_vol"]
+            ):
+                fills = book.apply(code, direction, price, order_no, volume)
+                if fills:
+                    out.append((key[0], order_no, sum(f[3] for f in fills), fills[-1][2], len(fills)))
+            if out:
+                yield pd.DataFrame(out, columns=["sec_code", "order_no", "volume", "price", "fills"])
+        for direction, side in sides.items():
+            for price, queue in side.levels.changed():
+                level = ([i[0] for i in queue], [int(v) for v in queue.values()])
+                self.levels.updateValue((direction, float(price)), level)
+            for price in side.levels.gone():
+                self.levels.removeKey((direction, price))
+        left = [sorted(map(float, side.levels)) for side in sides.values()]
+        if not any(left):
+            self.prices.clear()
+        elif any(set(side.levels) != side.levels.stored for side in sides.values()) or self.ttl_ms:
+            self.prices.update(tuple(left))
 
     def close(self) -> None:
         pass
@@ -267,52 +377,88 @@ def match_single_stream(orders: DataFrame, ttl_ms: int = 0) -> DataFrame:
 
 
 class LatestPair(StatefulProcessor):
-    """The newest row of each side per key; each arrival is paired with the other side's."""
+    """The newest row of each side per key; each arrival is paired with the other side's.
+
+    With ``timers`` a key's rows leave the store when the watermark is ``ttl_seconds`` past them.
+    """
 
-    def __init__(self, key: str, ttl_seconds: float, ttl_ms: int = 0):
-        self.key, self.ttl, self.ttl_ms = key, ttl_seconds, ttl_ms
+    def __init__(self, key: str, ttl_seconds: float, ttl_ms: int = 0, timers: bool = False):
+        self.key, self.ttl, self.ttl_ms, self.timers = key, ttl_seconds, ttl_ms, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         one = "body string, micros bigint"
+        self.handle = handle
         self.newest = [handle.getValueState(n, one, self.ttl_ms or None) for n in ("left_side", "right_side")]
 
+    def _ends(self, micros: int) -> int:
+        """The first millisecond at which a row can meet none that follows."""
+        return -(-(micros + round(self.ttl * 1_000_000)) // 1000)
+
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["micros", "side", "tie"], kind="stable")
         newest = [s.get() if s.exists() else None for s in self.newest]
-        # What is too old for the first arrival can meet none that follows.
-        oldest = batch["micros"].iloc[0] - self.ttl * 1_000_000
-        newest = [n if n is None or n[1] > oldest else None for n in newest]
-        out = []
-        for micros, side, body in zip(batch["micros"].tolist(), batch["side"].tolist(), batch["body"].tolist()):
-            newest[side] = (body, micros)
-            other = newest[1 - side]
-            if other is not None and micros - other[1] < self.ttl * 1_000_000:
-                out.append((key[0], newest[0][0], newest[1][0], side, micros))
+        first = True
+        for batch in in_order(rows, ["micros", "side", "tie"]):
+            if first:
+                # What is too old for the first arrival can meet none that follows.
+                oldest, first = batch["micros"].iloc[0] - self.ttl * 1_000_000, False
+                newest = [n if n is None or n[1] > oldest else None for n in newest]
+            out = []
+            for micros, side, body in zip(batch["micros"].tolist(), batch["side"].tolist(), batch["body"].tolist()):
+                newest[side] = (body, micros)
+                other = newest[1 - side]
+                if other is not None and micros - other[1] < self.ttl * 1_000_000:
+                    out.append((key[0], newest[0][0], newest[1][0], side, micros))
+            if out:
+                yield pd.DataFrame(out, columns=[self.key, "left", "right", "arrived_side", "micros"])
         for state, row in zip(self.newest, newest):
             if row is not None:
                 state.update(tuple(row))
             elif state.exists():
                 state.clear()
-        if out:
-            yield pd.DataFrame(out, columns=[self.key, "left", "right", "arrived_side", "micros"])
+        # One timer a key; it looks at what is there when it ends.
+        if self.timers and next(iter(self.handle.listTimers()), None) is None:
+            self.handle.registerTimer(self._ends(max(row[1] for row in newest if row is not None)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        now, left = timerValues.getCurrentWatermarkInMs(), []
+        for state in self.newest:
+            if state.exists():
+                ends = self._ends(state.get()[1])
+                if ends <= now:
+                    state.clear()
+                else:
+                    left.append(ends)
+        if left:
+            self.handle.registerTimer(max(left))
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
 def latest_join_stream(
-    left: DataFrame, right: DataFrame, key: str, ttl: float, ts: str = "ts", tie: str = "id", idle_ms: int = 0
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    ttl: float,
+    ts: str = "ts",
+    tie: str = "id",
+    idle_ms: int = 0,
+    late: str | None = None,
 ) -> DataFrame:
     """Stream form of ``latest_join``; the two rows come back as JSON.
 
-    ``ttl`` is event time; ``idle_ms`` also drops the state of keys that were silent that long.
+    ``ttl`` is event time. With ``late``, how far rows may lag behind, a watermark runs along and the state
+    of a silent key goes once it is ``ttl`` past; older rows are dropped. ``idle_ms`` drops the state of keys
+    that were silent that long by the clock of the machine.
     """
 
     def side(df: DataFrame, number: int) -> DataFrame:
         return df.select(
             key,
+            F.col(ts).alias("at"),
             F.unix_micros(ts).alias("micros"),
             F.lit(number).alias("side"),
             F.col(tie).cast("string").alias("tie"),
@@ -320,9 +466,10 @@ def latest_join_stream(
         )
 
     both = side(left, 0).unionByName(side(right, 1))
+    both = both.withWatermark("at", late) if late else both.drop("at")
     kind = left.schema[key].dataType.simpleString()
     schema = f"{key} {kind}, left string, right string, arrived_side int, micros bigint"
-    paired = keyed(both, [key], LatestPair(key, ttl, idle_ms), schema)
+    paired = keyed(both, [key], LatestPair(key, ttl, idle_ms, bool(late)), schema, event_time=bool(late))
     return paired.withColumn("arrived_at", F.timestamp_micros("micros")).drop("micros")
 
 
@@ -381,3 +528,62 @@ def fold_stream(
 
     Custom.state_schema, Custom.order = state_schema, list(order)
     return keyed(df, keys, Custom(ttl_ms), schema)
+
+
+class PaneFold(StatefulProcessor):
+    """The state of a user's fold for one key and window; a timer on the window's end gives its result."""
+
+    ttl_ms = 0
+
+    def __init__(self, fold: Fold, names: Sequence[str], columns: Sequence[str], size: int, outputs: Sequence[str]):
+        self.fold, self.names, self.columns, self.size, self.outputs = fold, list(names), list(columns), size, list(outputs)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("pane", "state binary", None)
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        fold, state = self.fold, self.fold.init()
+        for frame in rows:
+            frame = frame.astype(object).where(frame.notna(), None)
+            for row in zip(*[frame[c] for c in self.columns]):
+                state = fold.fold(state, *row)
+        if self.state.exists():
+            state = fold.merge(pickle.loads(self.state.get()[0]), state)
+        else:
+            self.handle.registerTimer(-(-(key[-1] + self.size) // 1000))
+        self.state.update((pickle.dumps(state),))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        import pandas as pd
+
+        values = self.fold.finish(pickle.loads(self.state.get()[0]))
+        self.state.clear()
+        yield pd.DataFrame([(*key, *values)], columns=[*self.names, *self.outputs])
+
+    def close(self) -> None:
+        pass
+
+
+def fold_windows_stream(
+    df: DataFrame, keys: Sequence[str], seconds: float, columns: Sequence[str], fold: Fold, schema: str, ts: str = "ts"
+) -> DataFrame:
+    """Stream form of ``folds.fold_windows``; ``df`` has a watermark on ``ts``.
+
+    A micro-batch folds its rows of a window and merges them into the stored state; the result comes when
+    the watermark passes the end of the window.
+    """
+    size = round(seconds * 1_000_000)
+    pane = (F.floor(F.unix_micros(ts) / size) * size).alias("pane")
+    rows = df.select(*keys, pane, *[c for c in dict.fromkeys([*columns, ts]) if c not in keys])
+    outputs = _schema(schema)
+    fields = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
+    processor = PaneFold(fold, [*keys, "pane"], columns, size, outputs.names)
+    found = keyed(rows, [*keys, "pane"], processor, f"{fields}pane bigint, {schema}", event_time=True)
+    return found.select(
+        *keys,
+        F.timestamp_micros("pane").alias("window_start"),
+        F.timestamp_micros(F.col("pane") + size).alias("window_end"),
+        *outputs.names,
+    )

@@ -175,10 +175,36 @@ def test_nearest_centroid_long_list_equals_short(spark):
     table = spark.createDataFrame(many, "id long, x double, y double")
     tied = rows_of(nearest_centroid(points, table, block=1000))
     assert [r[:2] + ((0 if r[2] == -1 else r[2]), r[3]) for r in tied] == short
+    plain = rows_of(nearest_centroid(points, table))
+    assert rows_of(nearest_centroid(points, table, block=1000)) == plain
     gone = spark.createDataFrame([(None, 1.0)], "x double, y double")
     assert rows_of(nearest_centroid(gone, few)) == [(None, 1.0, None, None)]
 
 
+@pytest.mark.parametrize("linear", [False, True])
+def test_many_centroids_by_a_tree_equal_brute_force(spark, linear):
+    from millrace.operators.nearest import nearest_of_many
+
+    rng = random.Random(4)
+    # One far outlier, one dense cluster, repeated places and a line.
+    places = [(0, 1e7, -1e7)] + [(i, rng.gauss(3, 0.01), rng.gauss(4, 0.01)) for i in range(1, 300)]
+    places += [(i, float(i % 40), 2.0) for i in range(300, 420)] + [(999, 3.0, None), (998, float("nan"), 1.0)]
+    points = [(i, rng.uniform(-50, 50), rng.uniform(-50, 50)) for i in range(150)] + [(900 + i, 3.0, 4.0) for i in range(20)]
+    points += [(2000, 1e9, 1e9), (2001, None, 1.0), (2002, float("inf"), 1.0), (2003, 5.0, 2.0)]
+    p = spark.createDataFrame(points, "n long, a double, b double")
+    c = spark.createDataFrame(places, "id long, x double, y double")
+    got = {r["n"]: (r["centroid_id"], r["distance"]) for r in nearest_of_many(p, c, "a", "b", linear, fan=4).collect()}
+    assert len(got) == len(points)
+    for n, a, b in points:
+        if a is None or abs(a) == float("inf"):
+            assert got[n] == (None, None)
+            continue
+        best = min(
+            ((a - x) * (a - x) + ((b - y) if linear else (b - y) * (b - y)), i) for i, x, y in places if y is not None and x == x
+        )
+        assert got[n] == (best[1], best[0])
+
+
 # --- one hot key holding most rows, spread over many buckets -----------------------------------
 
 

@@ -173,3 +173,150 @@ def test_stage_throughput(spark, data, tmp_path):
         spark.streams.removeListener(listener)
     stages = {r["stage"]: r["rows"] for r in stage_throughput(spark, table).where("rows > 0").collect()}
     assert stages["input"] == 1000 and stages["lines"] == 1000
+
+
+def _arrive(spark, source, rows, schema):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+
+def test_state_of_a_silent_key_goes_when_the_watermark_has_passed_it(spark, drain, tmp_path):
+    source, checkpoint = str(tmp_path / "pairs"), str(tmp_path / "pairs-chk")
+    schema = "k string, side string, id string, t bigint"
+
+    def join(s):
+        s = s.withColumn("ts", F.timestamp_seconds(F.col("t") + 10_000))
+        return S.latest_join_stream(
+            s.filter("side = 'l'").select("k", "id", "ts"), s.filter("side = 'r'").select("k", "id", "ts"), "k", 60.0, late="10 seconds"
+        )
+
+    def held():
+        parts = [S.read_store(spark, checkpoint, name) for name in ("left_side", "right_side")]
+        return sorted(r[0] for p in parts for r in p.select("key.k").collect())
+
+    batches = [[("a", "l", "1", 0), ("a", "r", "2", 30), ("b", "l", "3", 40)], [("c", "r", "4", 500)], [("d", "l", "5", 2000)]]
+    states = []
+    for rows in batches:
+        _arrive(spark, source, rows, schema)
+        got = drain(None, join, source=source, checkpoint=checkpoint)
+        states.append(held())
+    # The last row's own watermark is ten seconds behind it: nothing of the keys that fell silent is left.
+    assert states == [["a", "a", "b"], ["c"], ["d"]]
+    assert rows_of(got.select("k", "arrived_side")) == [("a", 1)]
+
+
+def test_a_small_batch_rewrites_only_the_levels_it_trades_with():
+    from millrace.operators.matching import Book
+
+    class Handle(dict):
+        """What the state store keeps, with its reads and writes counted."""
+
+        def __init__(self):
+            self.reads, self.writes = [], []
+
+        def getValue(self, key):
+            self.reads.append(key)
+            return self[key]
+
+        def updateValue(self, key, value):
+            self.writes.append(key)
+            self[key] = value
+
+        def removeKey(self, key):
+            self.writes.append(key)
+            del self[key]
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def clear(self):
+            self.held = None
+
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(1)
+    names = ["tran_maint_code", "trade_dir", "order_price", "order_no", "order_vol", "ts"]
+
+    def orders(n, start):
+        rows = []
+        for i in range(start, start + n):
+            side = rng.choice("BS")
+            price = round(rng.uniform(1, 100) * 0.9 if side == "B" else 100 + rng.uniform(-12, 100), 2)
+            rows.append(("A", side, price, f"o{i:06}", rng.randint(1, 9), i))
+        return rows
+
+    keeper, plain, levels = S.BookKeeper(), Book(), Handle()
+    keeper.levels, keeper.prices = levels, Value()
+    for size in (3000, 10, 10, 10, 500, 10):
+        rows = orders(size, len(levels) * 7 + rng.randrange(10**6))
+        levels.reads, levels.writes = [], []
+        got = [tuple(r) for f in keeper.handleInputRows(("1",), iter([pd.DataFrame(rows, columns=names)]), None) for r in f.itertuples(index=False)]
+        want = []
+        for code, side, price, no, volume, _ in sorted(rows, key=lambda r: (r[5], r[3])):
+            fills = plain.apply(code, side, price, no, volume)
+            if fills:
+                want.append(("1", no, sum(f[3] for f in fills), fills[-1][2], len(fills)))
+        assert got == want
+        if size == 10:
+            assert len(levels.writes) <= 10 + sum(w[4] for w in want) and len(levels) > 1000
+        assert {k: list(zip(*v)) for k, v in levels.items()} == {
+            (d, p): [(i[0], v) for i, v in q.items()] for d, s in (("B", plain.buys), ("S", plain.sells)) for p, q in s.levels.items()
+        }
+
+
+def test_a_million_rows_of_one_key_are_sorted_in_pieces():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    n, rng = 1_000_000, np.random.default_rng(1)
+    order = rng.permutation(n)
+
+    def frames():
+        for at in range(0, n, 10_000):
+            part = order[at : at + 10_000]
+            yield pd.DataFrame({"ts": part // 3, "id": part, "name": [f"row {i}" for i in part]})
+
+    tracemalloc.start()
+    seen, largest = -1, 0
+    for piece in S.in_order(frames(), ["ts", "id"]):
+        assert piece["id"].iloc[0] == seen + 1 and (np.diff(piece["id"]) == 1).all()
+        seen, largest = int(piece["id"].iloc[-1]), max(largest, len(piece))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Python's own objects are those of a piece; the columns lie in Arrow's memory, about 30 bytes a row.
+    assert seen == n - 1 and largest <= S.PIECE_ROWS and peak < 60e6
+
+
+def test_user_folds_merge_over_tasks_panes_and_batches(spark, drain, tmp_path):
+    from millrace.operators import folds
+    from millrace.registry import user_folds
+
+    rows = [(None if i % 7 == 0 else f"k{i % 3}", float(i) if i % 5 else None, i * 40) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v double, t bigint").withColumn("ts", F.timestamp_seconds("t")).repartition(5)
+    got = {r["k"]: (r["average"], r["n"]) for r in folds.fold_groups(df, ["k"], ["v"], user_folds.AVERAGE, "average double, n bigint").collect()}
+    for key in {r[0] for r in rows}:
+        values = [r[1] for r in rows if r[0] == key and r[1] is not None]
+        assert got[key] == (pytest.approx(sum(values) / len(values)), len(values))
+    assert folds.fold_groups(df, [], ["v"], user_folds.DISTINCT, "n bigint").collect()[0]["n"] == len({r[1] for r in rows} - {None})
+    assert folds.fold_groups(df.limit(0), ["k"], ["v"], user_folds.COUNT, "n bigint").count() == 0
+    table = folds.fold_windows(df, ["k"], 3600, ["v"], user_folds.AVERAGE, "average double, n bigint")
+
+    def panes(s):
+        return S.fold_windows_stream(s.withWatermark("ts", "1 second"), ["k"], 3600, ["v"], user_folds.AVERAGE, "average double, n bigint")
+
+    got = drain(df, panes)
+    want = closed(table, "window_end", df)
+    pick = ["k", "window_start", "window_end", F.round("average", 6).alias("a"), "n"]
+    assert rows_of(got.select(*pick)) == rows_of(want.select(*pick)) and got.count() >= 12
