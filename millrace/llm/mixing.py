@@ -18,7 +18,7 @@ from millrace.llm.common import same, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in one range of keys, about.
-RANGE_ROWS = 50_000
+RANGE_ROWS = 10_000
 KEY_BITS = 60
 
 
