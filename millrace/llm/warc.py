@@ -24,8 +24,8 @@ MIN_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 32 << 20
 #: Bytes of a file that the reader fetches at once.
 WINDOW_BYTES = 1 << 20
-#: A header that is longer is taken as damaged.
-MAX_HEADER_BYTES = 64 << 10
+#: Bytes in which the end of a header is looked for first.
+HEADER_BYTES = 64 << 10
 
 MEMBER = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
@@ -106,10 +106,17 @@ class Window:
             self.begin, self.data = at, self.file.read(min(max(n, self.step), self.size - at))
         return self.data[at - self.begin : at - self.begin + n]
 
+    def some(self, at: int) -> bytes:
+        """What is held from ``at`` on, or else the next stretch; nothing is read twice but a version line."""
+        held = self.begin + len(self.data)
+        if not self.begin <= at < held or (held - at < len(VERSION) and held < self.size):
+            return self.get(at, self.step)
+        return self.data[at - self.begin :]
+
     def find(self, at: int) -> int:
         """The next place that may start a member or a version line, or the end of the file."""
         while at < self.size:
-            part = self.get(at, self.step)
+            part = self.some(at)
             hits = [h for h in (part.find(MEMBER), part.find(VERSION)) if h >= 0]
             if hits:
                 return at + min(hits)
@@ -123,7 +130,7 @@ def _member(window: Window, at: int) -> tuple[bytes, int]:
     """Content and end of the gzip member at ``at``; its checksum and length are verified by zlib."""
     inflate, parts, pos = zlib.decompressobj(wbits=31), [], at
     while not inflate.eof:
-        chunk = window.get(pos, window.step)
+        chunk = window.some(pos)
         if not chunk:
             raise Damaged("member is cut short")
         try:
@@ -137,10 +144,17 @@ def _member(window: Window, at: int) -> tuple[bytes, int]:
 
 
 def _plain(window: Window, at: int) -> tuple[dict[str, str], bytes, int]:
-    head = window.get(at, MAX_HEADER_BYTES)
-    stop = head.find(b"\r\n\r\n")
-    if stop < 0:
-        raise Damaged("no end of header")
+    # The stretch grows until the header ends; a line that is no field shows damage at once.
+    n, head, stop = HEADER_BYTES, b"", -1
+    while stop < 0:
+        head = window.get(at, n)
+        stop = head.find(b"\r\n\r\n")
+        lines = head[: stop if stop >= 0 else len(head)].split(b"\r\n")[1:]
+        if any(b":" not in line for line in (lines if stop >= 0 else lines[:-1])):
+            raise Damaged("no header field")
+        if stop < 0 and at + n >= window.size:
+            raise Damaged("no end of header")
+        n *= 4
     low = head[:stop].lower()
     field = low.rfind(b"\r\ncontent-length:")
     digits = low[field + 17 :].split(b"\r\n")[0].strip() if field >= 0 else b""
@@ -297,7 +311,8 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False)
         if out:
             yield _batch(pa, out, names)
 
-    spread = manifest.select("path").repartition("path")
+    # One task an archive; with a number of partitions adaptive execution does not merge the short rows.
+    spread = manifest.select("path").repartition(max(1, manifest.count()))
     return spread.mapInArrow(run, RECORDS)
 
 
