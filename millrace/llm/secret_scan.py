@@ -92,6 +92,19 @@ class RatioModel:
         return total / len(token)
 
 
+class Overlaps:
+    """Whether spans that come in order overlap any of the given ones: both lists are gone through once."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.spans, self.next, self.reach = sorted((a, b) for _, a, b in spans), 0, -1
+
+    def __call__(self, start: int, end: int) -> bool:
+        while self.next < len(self.spans) and self.spans[self.next][0] < end:
+            self.reach = max(self.reach, self.spans[self.next][1])
+            self.next += 1
+        return self.reach > start
+
+
 def training_tokens(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(label, token): secret values (1) and ordinary tokens (0) of bounded samples of rows."""
     texts = docs.select("doc_id", "text").where("text is not null")
@@ -104,11 +117,8 @@ def training_tokens(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
             if label:
                 found = [t for v in secret_values(text) for t in TOKEN.findall(v)]
             else:
-                taken = [(a, b) for _, a, b in fixed_spans(text)]
-                found = [
-                    m[0] for m in TOKEN.finditer(text)
-                    if len(m[0]) >= 4 and not any(a < m.end() and m.start() < b for a, b in taken)
-                ]
+                taken = Overlaps(fixed_spans(text))
+                found = [m[0] for m in TOKEN.finditer(text) if not taken(*m.span()) and len(m[0]) >= 4]
             out["label"] += [label] * len(found)
             out["token"] += found
         return out
@@ -159,9 +169,9 @@ def found_spans(text: str | None, model: RatioModel, threshold: float) -> list[t
         return []
     spans = fixed_spans(text)
     if b"x" * MIN_TOKEN in text.encode("utf-8", "surrogatepass").translate(_TOKEN_RUN):
-        fixed = list(spans)
+        taken = Overlaps(spans)
         for m in TOKEN.finditer(text):
-            if not judged(m[0]) or any(a < m.end() and m.start() < b for _, a, b in fixed):
+            if taken(*m.span()) or not judged(m[0]):
                 continue
             if model(m[0]) > threshold:
                 spans.append(("random", *m.span()))
