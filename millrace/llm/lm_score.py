@@ -6,8 +6,10 @@ one is missing; the last level found gives the count back, within a factor of tw
 one-sided error from false positives. Smoothed probabilities come from these probes alone.
 
 Building: training tokens are hashed and counted per batch, n-grams are dealt to segments by hash, and
-each segment becomes a filter of its own, sized to what it holds. The segments together are broadcast;
-their size is checked and folded below ``MAX_FILTER_BYTES``.
+each segment becomes a filter of its own, sized to what it holds: 8 bits an entry, whatever the corpus.
+There are as many segments as the texts' bytes ask for. As many of them as ``MAX_FILTER_BYTES`` admits are
+broadcast together. A filter beyond that is probed in several passes over the texts, a group of segments
+each, and every token keeps the level it has found; the scores are the same.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, bounded_sample, kept_in_process, map_columns, shared_folder, stored
+from millrace.llm.common import LOWER, kept_in_process, map_columns, shared_folder, stored
 
 #: Documents whose id hashes to this remainder are held out.
 HELD_OUT, PARTS = 2, 7
@@ -23,11 +25,12 @@ HELD_OUT, PARTS = 2, 7
 PROBES = 4
 #: Bits of the filter per entry.
 BITS_PER_ENTRY = 8
-#: Segments have a multiple of so many words, so that they can be folded in half several times.
+#: Segments have a multiple of so many words.
 WORD_STEP = 1 << 10
-#: Bound of the broadcast filter. Larger filters are folded in half until they fit; each halving
-#: raises the false-positive rate, nothing is left out.
+#: Bound of what is broadcast of the filter at a time.
 MAX_FILTER_BYTES = 256 << 20
+#: Bytes of text whose n-grams make a segment, about; there are 32 segments at least.
+SEGMENT_TEXT_BYTES, LEAST_SEGMENTS = 32 << 20, 32
 #: Words counted more often than (all tokens) / HEAVY_WORDS are broadcast with their exact count; there
 #: can be no more than HEAVY_WORDS of them. All other words are looked up by a join.
 HEAVY_WORDS = 1 << 20
@@ -35,8 +38,6 @@ HEAVY_WORDS = 1 << 20
 PRIORS = tuple(4.0**k for k in range(12))
 #: Texts that are scored at once.
 SCORE_ROWS = 200
-#: Training rows on which the weight is chosen.
-SAMPLE_ROWS = 2000
 #: The end of a text, counted as a token; no word holds a line end.
 END = b"\n"
 
@@ -97,30 +98,30 @@ def built(keys, counts):
 
 
 class Filter:
-    """All segments of a filter, for probing."""
+    """Neighbouring segments of a filter, for probing: ``first`` and the following ones of ``parts``."""
 
-    def __init__(self, packed: bytes, sizes: list[int]):
+    def __init__(self, packed: bytes, sizes: list[int], first: int = 0, parts: int | None = None):
         import numpy as np
 
-        self.parts = len(sizes)
+        self.first, self.parts = first, parts or len(sizes)
         self.sizes = np.array(sizes, np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
         # The bytes of the broadcast are used as they are; a worker holds them once.
         self.bits = np.frombuffer(packed, np.uint64)
 
     @staticmethod
-    def packed(segments: dict[int, bytes], parts: int) -> tuple[bytes, list[int]]:
-        """All segments in one piece with their sizes in words; a missing segment is an empty word."""
-        rows = [segments.get(i) or bytes(8) for i in range(parts)]
+    def packed(segments: dict[int, bytes], parts: range) -> tuple[bytes, list[int]]:
+        """Segments in one piece with their sizes in words; a missing segment is an empty word."""
+        rows = [segments.get(i) or bytes(8) for i in parts]
         return b"".join(rows), [len(r) // 8 for r in rows]
 
-    def counts(self, keys):
-        """Quantised counts: 0 for a key that is not there, else the middle of its level."""
+    def levels(self, keys):
+        """The last level of each key: 0 for a key that is not there or belongs to another segment."""
         import numpy as np
 
-        level = np.zeros(len(keys), np.int64)
-        part = (keys % np.uint64(self.parts)).astype(np.int64)
-        alive, k = np.arange(len(keys)), 0
+        level = np.zeros(len(keys), np.uint8)
+        part = (keys % np.uint64(self.parts)).astype(np.int64) - self.first
+        alive, k = np.nonzero((part >= 0) & (part < len(self.sizes)))[0], 0
         while len(alive):
             k += 1
             p = part[alive]
@@ -130,7 +131,18 @@ class Filter:
             level[alive] = k
             if k >= 62:
                 break
-        return np.where(level > 0, 1.5 * np.exp2(level - 1.0) - 0.5, 0.0)
+        return level
+
+    def counts(self, keys):
+        """Quantised counts: 0 for a key that is not there, else the middle of its level."""
+        return count_of(self.levels(keys))
+
+
+def count_of(levels):
+    """The count that stands for a level: the middle of those that are cut to it."""
+    import numpy as np
+
+    return np.where(levels > 0, 1.5 * np.exp2(levels - 1.0) - 0.5, 0.0)
 
 
 def counted(docs: DataFrame, parts: int) -> DataFrame:
@@ -215,24 +227,13 @@ def counted(docs: DataFrame, parts: int) -> DataFrame:
     return dealt.mapInArrow(build, "part int, words array<long>, word_counts array<long>, bits binary")
 
 
-def folded(bits: bytes, times: int) -> bytes:
-    """A filter folded in half ``times`` times, as far as it can be; every entry is still found."""
-    import numpy as np
-
-    a = np.frombuffer(bits, np.uint64)
-    for _ in range(times):
-        if len(a) % 2 == 0:
-            a = a[: len(a) // 2] | a[len(a) // 2 :]
-    return a.tobytes()
-
-
 class Model:
     """Broadcast parts of the model, as used in a task."""
 
-    def __init__(self, packed, sizes, tokens, distinct, heavy):
+    def __init__(self, filled: Filter, tokens, distinct, heavy):
         import numpy as np
 
-        self.filter = Filter(packed, sizes)
+        self.filter = filled
         self.tokens, self.distinct = tokens, distinct
         order = np.argsort(heavy[0], kind="stable") if len(heavy[0]) else np.zeros(0, np.int64)
         self.heavy, self.heavy_counts = heavy[0][order], heavy[1][order]
@@ -246,40 +247,96 @@ class Model:
         at = np.minimum(np.searchsorted(self.heavy, keys), len(self.heavy) - 1)
         return np.where(self.heavy[at] == keys, self.heavy_counts[at], -1)
 
-    def log_probability(self, tokens, pairs, prior: float, leave_out: int = 0):
+    def levels(self, tokens, pairs):
+        """Levels of every token and of every pair with the word before."""
+        import numpy as np
+
+        words, back = np.unique(tokens, return_inverse=True)
+        return self.filter.levels(words)[back], self.filter.levels(pairs)
+
+    def log_probability(self, levels, ends, prior: float, leave_out: int = 0):
         """log10 of the smoothed probability of every token after the one before it.
 
-        ``leave_out`` 1 takes one occurrence away from each count, as for a text that was trained on.
+        ``levels`` are those of texts one after the other, the last token of each at ``ends`` - 1. The word
+        before a first one is the end of a text, which is the last of every text. ``leave_out`` 1 takes one
+        occurrence away from each count, as for a text that was trained on.
         """
         import numpy as np
 
-        words, back = np.unique(tokens, return_inverse=True)
-        single = self.filter.counts(words)[back]
-        end = self.filter.counts(token_hashes(None))[0]
-        last = np.concatenate([[end], single[:-1]])
-        both = np.minimum(self.filter.counts(pairs), np.minimum(single, last))
+        single, both = (count_of(v) for v in levels)
+        last = np.concatenate([single[ends[0] - 1 : ends[0]], single[:-1]])
+        both = np.minimum(both, np.minimum(single, last))
         single, last, both = (np.maximum(c - leave_out, 0.0) for c in (single, last, both))
         alone = (single + 1.0) / (self.tokens + self.distinct + 1.0)
         return np.log10((both + prior * alone) / (last + prior))
 
 
-def chosen_prior(training: DataFrame, tool, rows: int = SAMPLE_ROWS) -> float:
-    """The weight of PRIORS that gives a bounded sample of training rows the highest leave-one-out score."""
+class Texts:
+    """A few texts as arrays: their tokens one after the other, where each ends, and their levels."""
 
-    def step(model, texts):
+    def __init__(self, model: Model, texts: list, levels: list | None):
         import numpy as np
 
-        tokens = [token_hashes(t) for t in texts]
-        if not tokens:
-            return {"prior": [], "score": []}
-        flat, pairs = np.concatenate(tokens), np.concatenate([pair_hashes(t) for t in tokens])
-        return {"prior": list(PRIORS), "score": [model.log_probability(flat, pairs, p, 1).sum() for p in PRIORS]}
+        parts = [token_hashes(t) for t in texts]
+        self.sizes = np.array([len(t) for t in parts])
+        self.ends = np.cumsum(self.sizes)
+        self.tokens = np.concatenate(parts)
+        if levels is None:
+            self.levels = model.levels(self.tokens, np.concatenate([pair_hashes(t) for t in parts]))
+        else:
+            held = [np.frombuffer(v, np.uint8).reshape(2, -1) for v in levels]
+            self.levels = tuple(np.concatenate([h[i] for h in held]) for i in (0, 1))
 
-    tried = map_columns(bounded_sample(training, rows, 6), ["text"], step, "prior double, score double", tool)
+
+def with_levels(rows: DataFrame, tool) -> DataFrame:
+    """The rows with ``levels`` raised to what one group of segments says: a byte a token and a byte a pair."""
+
+    def step(model, ids, flags, texts, before):
+        import numpy as np
+
+        out = []
+        for text, known in zip(texts, before):
+            tokens = token_hashes(text)
+            levels = np.stack(model.levels(tokens, pair_hashes(tokens)))
+            if known is not None:
+                levels = np.maximum(levels, np.frombuffer(known, np.uint8).reshape(2, -1))
+            out.append(levels.tobytes())
+        return {"doc_id": ids, "held_out": flags, "text": texts, "levels": out}
+
+    columns = ["doc_id", "held_out", "text", "levels"]
+    return map_columns(rows, columns, step, "doc_id long, held_out boolean, text string, levels binary", tool)
+
+
+def chosen_prior(training: DataFrame, tool) -> float:
+    """The weight of PRIORS that gives the training rows (text, levels) the highest leave-one-out score."""
+
+    def step(model, texts, levels):
+        import numpy as np
+
+        sums = np.zeros(len(PRIORS))
+        for i in range(0, len(texts), SCORE_ROWS):
+            part = levels[i : i + SCORE_ROWS]
+            read = Texts(model, texts[i : i + SCORE_ROWS], None if part[0] is None else part)
+            sums += [model.log_probability(read.levels, read.ends, p, 1).sum() for p in PRIORS]
+        return {"prior": list(PRIORS), "score": sums.tolist()} if texts else {"prior": [], "score": []}
+
+    tried = map_columns(training, ["text", "levels"], step, "prior double, score double", tool)
     sums = tried.groupBy("prior").agg(F.sum("score").alias("score")).collect()
     return max(sums, key=lambda r: (r["score"], r["prior"]))["prior"] if sums else PRIORS[0]
 
 
+def groups_of(sizes: dict[int, int], parts: int, most: int) -> list[range]:
+    """Neighbouring segments that hold at most ``most`` bytes together; a larger one stands alone."""
+    out, start, held = [], 0, 0
+    for i in range(parts):
+        size = sizes.get(i, 8)
+        if i > start and held + size > most:
+            out.append(range(start, i))
+            start, held = i, 0
+        held += size
+    return [*out, range(start, parts)]
+
+
 def scored(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, heavy_words: int = HEAVY_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of ``docs``.
 
@@ -291,79 +348,82 @@ def scored(docs: DataFrame, max_filter_bytes: int = MAX_FILTER_BYTES, heavy_word
     sc = spark.sparkContext
     part = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % PARTS
     rows = docs.select("doc_id", "text", (part == HELD_OUT).alias("held_out"))
-    parts = max(32, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    segments = stored(counted(rows.where("not held_out"), parts), "lm-segments")
+    training = rows.where("not held_out")
+    text_bytes = training.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(LEAST_SEGMENTS, -(-text_bytes // SEGMENT_TEXT_BYTES))
+    segments = stored(counted(training, parts), "lm-segments")
     counts = segments.select(F.explode(F.arrays_zip("words", "word_counts")).alias("w")).select(
         F.col("w.words").alias("word"), F.col("w.word_counts").alias("c")
     )
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
     total = total or 0
-    # The pigeonhole bounds the frequent words; the bytes of the filter are added up and bounded next.
+    # The pigeonhole bounds the frequent words. The driver gets one size a segment, and the filter by groups.
     heavy = counts.where(F.col("c") * heavy_words > total)
-    size = segments.agg(F.sum(F.octet_length("bits").cast("long"))).first()[0] or 0
-    times = 0
-    while size >> times > max_filter_bytes:
-        times += 1
-
-    def fold(_, part, bits):
-        return {"part": part, "bits": [folded(b, times) for b in bits]}
-
-    bits = map_columns(segments, ["part", "bits"], fold, "part int, bits binary")
-    packed, sizes = Filter.packed({r[0]: bytes(r[1]) for r in bits.toLocalIterator()}, parts)
+    sizes = {r[0]: r[1] for r in segments.select("part", F.octet_length("bits")).collect()}
     frequent = heavy.toArrow()
     words, numbers = (frequent.column(c).to_numpy().astype("int64") for c in ("word", "c"))
-    shared = sc.broadcast((packed, sizes, words, numbers))
-    del packed
-    name = shared_folder(spark, "lm-model")
 
-    def tool():
-        import numpy as np
+    def tool_of(group: range):
+        held = segments.where(F.col("part").between(group.start, group.stop - 1)).select("part", "bits")
+        packed, lengths = Filter.packed({r[0]: bytes(r[1]) for r in held.toLocalIterator()}, group)
+        shared = sc.broadcast((packed, lengths, words, numbers))
+        name = shared_folder(spark, "lm-model")
+
+        def tool():
+            import numpy as np
+
+            def make():
+                filled, in_words, keys, values = shared.value
+                probed = Filter(filled, in_words, group.start, parts)
+                return Model(probed, total, distinct, (keys.view(np.uint64), values))
 
-        def make():
-            filled, lengths, keys, values = shared.value
-            return Model(filled, lengths, total, distinct, (keys.view(np.uint64), values))
+            return kept_in_process("language model", name, make)
 
-        return kept_in_process("language model", name, make)
+        return tool
 
-    prior = chosen_prior(rows.where("not held_out").select("doc_id", "text"), tool)
+    groups = groups_of(sizes, parts, max_filter_bytes)
+    rows = rows.withColumn("levels", F.lit(None).cast("binary"))
+    for group in groups:
+        tool = tool_of(group)
+        if len(groups) > 1:
+            rows = stored(with_levels(rows, tool), "lm-levels")
+    prior = chosen_prior(rows.where("not held_out"), tool)
 
-    def step(model, ids, ranks, flags, texts):
+    def step(model, ids, ranks, flags, texts, levels):
         out = {"rank": ranks, "doc_id": ids, "held_out": flags}
         out |= {c: [] for c in ("n_tokens", "n_known", "heavy_score", "score", "rest")}
         # A few texts at a time, which bounds the arrays beside the filter.
         for i in range(0, len(texts), SCORE_ROWS):
-            for c, values in scored_texts(model, texts[i : i + SCORE_ROWS]).items():
+            part = levels[i : i + SCORE_ROWS]
+            for c, values in scored_texts(model, texts[i : i + SCORE_ROWS], None if part[0] is None else part).items():
                 out[c] += values
         return out
 
-    def scored_texts(model, texts):
+    def scored_texts(model, texts, levels):
         import numpy as np
 
-        tokens = [token_hashes(t) for t in texts]
-        out = {"n_tokens": [len(t) for t in tokens]}
-        sizes = np.array([len(t) for t in tokens])
-        owner = np.repeat(np.arange(len(tokens)), sizes)
-        flat = np.concatenate(tokens)
-        ends = np.cumsum(sizes)
-        # The last token before a text's first is the end of the text before it: the same for all.
-        logs = model.log_probability(flat, np.concatenate([pair_hashes(t) for t in tokens]), prior)
+        read = Texts(model, texts, levels)
+        flat, sizes, ends = read.tokens, read.sizes, read.ends
+        out = {"n_tokens": sizes.tolist()}
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        logs = model.log_probability(read.levels, ends, prior)
         words, back = np.unique(flat, return_inverse=True)
         exact = model.heavy_count(words)[back]
         known = exact >= 0
         base = np.where(known, np.log10((np.maximum(exact, 0) + 1.0) / (total + distinct + 1.0)), 0.0)
-        out["n_known"] = np.bincount(owner[known], minlength=len(tokens)).tolist()
-        out["heavy_score"] = np.bincount(owner, weights=base, minlength=len(tokens)).tolist()
-        out["score"] = np.bincount(owner, weights=logs, minlength=len(tokens)).tolist()
+        out["n_known"] = np.bincount(owner[known], minlength=len(sizes)).tolist()
+        out["heavy_score"] = np.bincount(owner, weights=base, minlength=len(sizes)).tolist()
+        out["score"] = np.bincount(owner, weights=logs, minlength=len(sizes)).tolist()
         rest = [flat[e - n : e][~known[e - n : e]] for e, n in zip(ends, sizes)]
         out["rest"] = [r.view(np.int64) for r in rest]
         return out
 
-    numbered = rows.select(F.monotonically_increasing_id().alias("rank"), "doc_id", "held_out", "text")
+    numbered = rows.select(F.monotonically_increasing_id().alias("rank"), "doc_id", "held_out", "text", "levels")
     schema = (
         "rank long, doc_id long, held_out boolean, n_tokens long, n_known long, heavy_score double, score double, "
         "rest array<long>"
     )
-    passed = map_columns(numbered, ["doc_id", "rank", "held_out", "text"], step, schema, tool)
+    passed = map_columns(numbered, ["doc_id", "rank", "held_out", "text", "levels"], step, schema, tool)
     # The document itself and each of its rare words travel in one stream, so texts are read once. The
     # key of a document row is its number, which spreads these rows and matches no word.
     kinds = F.concat(
