@@ -220,3 +220,29 @@ def test_a_rare_kind_is_redacted_in_a_table_larger_than_the_sample(documents):
         more = [f"ssn is 123-45-{6000 + i} today" for i in range(rare)]
         out = pii.redacted(documents(texts + more), rows=40).collect()
         assert sum("[SSN]" in r["text"] for r in out) == rare
+
+
+def test_a_text_of_very_many_secrets_takes_linear_time():
+    from time import perf_counter
+
+    text = " ".join(f"{i:040x}" for i in range(20_000))
+    begin = perf_counter()
+    spans = secret_scan.fixed_spans(text)
+    taken = secret_scan.Overlaps(spans)
+    assert all(taken(*m.span()) for m in secret_scan.TOKEN.finditer(text))
+    assert len(spans) == 20_000 and perf_counter() - begin < 3
+
+
+def test_the_span_walk_equals_all_pairs():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        spans = [("hex", a, a + rng.randint(1, 12)) for a in sorted(rng.sample(range(80), 6))]
+        tokens, at = [], 0
+        while at < 90:
+            end = at + rng.randint(1, 6)
+            tokens.append((at, end))
+            at = end + rng.randint(0, 3)
+        taken = secret_scan.Overlaps(spans)
+        assert [taken(*t) for t in tokens] == [any(a < t[1] and t[0] < b for _, a, b in spans) for t in tokens]
