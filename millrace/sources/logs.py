@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators.ordered import previous_row
+from millrace.operators.ordered import previous_row, with_position
+from millrace.session import shared_path
 
 RATE_SCALE = 1000.0
 MAX_DELAY = 1_000_000.0
@@ -14,15 +15,22 @@ MAX_DELAY = 1_000_000.0
 def read_log_lines(spark: SparkSession, path: str, container: str = r"([^/]+)$") -> DataFrame:
     """Lines of log files; the first group of ``container`` on a file's path names the executor.
 
-    Text files have no line numbers in Spark; a collector that stores them gives the exact form,
-    here ``line_no`` is the order in which Spark reads a file, block by block.
+    ``line_no`` counts an executor's lines from 0: its files by name, in a file the blocks by where they
+    start, in a block the lines as they are read. That order is read once and stored, so it is the same
+    for everything that follows.
     """
     lines = spark.read.option("recursiveFileLookup", "true").text(path)
-    return lines.select(
+    numbered = lines.select(
         F.regexp_extract(F.col("_metadata.file_path"), container, 1).alias("container"),
-        F.monotonically_increasing_id().alias("line_no"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("read"),
         "value",
     )
+    stored = shared_path(spark, "log-lines")
+    numbered.write.parquet(stored)
+    placed = with_position(spark.read.schema(numbered.schema).parquet(stored), ["container"], ["file", "block", "read"], "n")
+    return placed.select("container", (F.col("n") - 1).alias("line_no"), "value")
 
 
 def _word(i: int) -> Column:

@@ -530,3 +530,23 @@ def test_missing_values_do_not_count_in_medians(spark):
                 past = [r[2] for r in group[:n] if r[2] is not None]
                 assert slide[t] == (pytest.approx(statistics.median(last)) if last else None)
                 assert before[t] == (pytest.approx(statistics.median(past)) if past else None)
+
+
+def test_log_lines_keep_their_order_over_blocks_and_files(spark, tmp_path):
+    from millrace.sources.logs import read_log_lines
+
+    for name in ("one", "two"):
+        folder = tmp_path / f"container={name}"
+        folder.mkdir()
+        for part in range(2):
+            lines = [f"{name} {part} line {i}" for i in range(40 * (part + 1))]
+            (folder / f"part-{part}.txt").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "150")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = read_log_lines(spark, str(tmp_path), r"container=([^/]+)/[^/]+$").orderBy("container", "line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    want = [(n, 40 * p + i, f"{n} {p} line {i}") for n in ("one", "two") for p in (0, 1) for i in range(40 * (p + 1))]
+    assert [tuple(r) for r in got] == want
