@@ -10,7 +10,6 @@ that did not train. A kind with few of these takes the threshold of all kinds to
 
 from __future__ import annotations
 
-from itertools import groupby
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -18,7 +17,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stored
+from millrace.llm.common import same, stored
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("masked_mail", "local_phone", "ssn", "iban")
@@ -51,8 +50,8 @@ LIKELY = {
 CONTEXT = 24
 #: Candidates in the training sample.
 SAMPLE_CANDIDATES = 20_000
-#: A kind with fewer held-out candidates may take the threshold of all kinds together.
-RARE = 20
+#: A kind's precision is shrunk towards that of all kinds together, which counts as so many candidates.
+PRIOR_CANDIDATES = 20
 #: Precision that a threshold must reach on the held-out candidates of its kind.
 PRECISION = 0.95
 TREES, DEPTH = 12, 3
@@ -132,21 +131,23 @@ def strict(kind: Column, match: Column) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, kind, start, end, match, left, right): every generator's spans, and one row with a
-    null kind for each document without any. Positions are running sums of piece lengths, so the
+    """(row, doc_id, key, kind, start, end, match, left, right): every generator's spans, and one row with a
+    null kind for each document without any; ``key`` is a hash of the text. Positions are running sums of piece lengths, so the
     work is linear in the number of matches."""
     text = F.translate(F.coalesce("text", F.lit("")), MARK, SPARE)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
+    row = F.monotonically_increasing_id().alias("row")
+    rows = docs.select(row, "doc_id", F.xxhash64("text").alias("key"), text.alias("text"))
     nothing = F.array().cast(
         "array<struct<kind:string,place:int,size:bigint,match:string,tail:string,head:string>>"
     )
     cut = F.concat(*[F.coalesce(_pieces(k, F.col("text")), nothing) for k in GENERATORS])
-    flat = rows.select("row", "doc_id", F.explode_outer(cut).alias("c")).select("row", "doc_id", "c.*")
+    flat = rows.select("row", "doc_id", "key", F.explode_outer(cut).alias("c")).select("row", "doc_id", "key", "c.*")
     along = Window.partitionBy("row", "kind").orderBy("place")
     before = F.sum("size").over(along) - F.col("size")
     placed = flat.select(
         "row",
         "doc_id",
+        "key",
         "kind",
         "match",
         F.when(F.col("kind").isNotNull(), before).alias("start"),
@@ -197,9 +198,9 @@ def scored(found: DataFrame, rows: int = SAMPLE_CANDIDATES) -> DataFrame:
     """(row, kind, start, end, score, taken) of the candidates of the further kinds.
 
     Half of a bounded sample of all candidates trains the trees; all other candidates of a kind calibrate
-    its threshold. A kind whose candidates never reach the asked precision adds nothing. A kind with few
-    candidates takes the lower of its own threshold and that of all kinds together; if there is neither,
-    its strict check alone decides.
+    its threshold, the lowest at which its precision, shrunk towards that of all kinds, is reached. The
+    fewer candidates a kind has, the more the others speak for it; a kind that never reaches the asked
+    precision adds nothing. Without any candidate to calibrate on, strict checks alone decide.
     """
     known = found.where("kind is not null")
     n = known.count()
@@ -230,24 +231,19 @@ def scored(found: DataFrame, rows: int = SAMPLE_CANDIDATES) -> DataFrame:
         .collect()
     )
 
-    def lowest(rows):
-        """The lowest step at and above which the precision is reached, as a score, and the rows' count."""
-        found, n, hits = None, 0, 0
-        for step, several in groupby(sorted(rows, key=lambda r: -r["step"]), key=lambda r: r["step"]):
-            for r in several:
-                n, hits = n + r["n"], hits + (r["hits"] or 0)
-            if hits >= PRECISION * n:
-                found = step / 50
-        return found, n
-
-    pooled = lowest(steps)[0]
+    def above(step: int, kind: str | None = None) -> tuple[int, int]:
+        """Candidates with at least this score, of one kind or of all, and how many of them are right."""
+        rows = [r for r in steps if r["step"] >= step and kind in (None, r["kind"])]
+        return sum(r["n"] for r in rows), sum(r["hits"] or 0 for r in rows)
+
     limit = F.lit(2.0)
     for kind in MORE_KINDS:
-        own, n = lowest(r for r in steps if r["kind"] == kind)
-        if n < RARE:
-            own = min((x for x in (own, pooled) if x is not None), default=0.0)
-        if own is not None:
-            limit = F.when(F.col("kind") == kind, F.lit(float(own))).otherwise(limit)
+        for step in range(51):
+            (n, hits), (all_n, all_hits) = above(step, kind), above(step)
+            pooled = all_hits / all_n if all_n else 1.0
+            if hits + PRIOR_CANDIDATES * pooled >= PRECISION * (n + PRIOR_CANDIDATES):
+                limit = F.when(F.col("kind") == kind, F.lit(step / 50)).otherwise(limit)
+                break
     judged = more.withColumn("limit", limit)
     taken = F.col("strict") & (F.col("score") >= F.col("limit"))
     return judged.select("row", "kind", "start", "end", "score", taken.alias("taken"))
@@ -260,11 +256,12 @@ def _joined(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, rows: int = SAMPLE_CANDIDATES) -> DataFrame:
-    """(row, doc_id, base, chosen) of every row of ``docs`` (doc_id, text).
+    """(row, doc_id, key, base, chosen) of every row of ``docs`` (doc_id, text).
 
     ``base`` and ``chosen`` are arrays of spans (start, rank, kind, end) in code points, ordered by
     start and then kind; ``chosen`` holds the base spans and those the method adds. Null and empty
-    texts have none. ``row`` numbers the rows of the input as they were read. Rows that repeat give
+    texts have none. ``row`` numbers the rows of the input as they were read, once; ``key`` is a hash of
+    the text, by which a later read finds its row. Rows that repeat give
     equal rows; other columns are ignored; a null doc_id is kept; an empty table gives an empty
     result. The spans of one document meet in one task, never those of several.
     """
@@ -272,20 +269,22 @@ def personal_data(docs: DataFrame, rows: int = SAMPLE_CANDIDATES) -> DataFrame:
     rank = F.array_position(F.lit(list(KINDS)), F.col("kind"))
     span = F.struct("start", rank.alias("rank"), "kind", "end", F.col("score").alias("score"))
     base = found.where("kind is null or (strict and kind in ('email', 'ip', 'card', 'phone'))").select(
-        "row", "doc_id", "kind", "start", "end", F.lit(2.0).alias("score")
+        "row", "doc_id", "key", "kind", "start", "end", F.lit(2.0).alias("score")
     )
     rest = found.where("kind is not null and not (strict and kind in ('email', 'ip', 'card', 'phone'))")
     # Every document keeps a row even if all its candidates are dropped.
     rest = rest.select(
-        "row", "doc_id", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("start"),
+        "row", "doc_id", "key", F.lit(None).cast("string").alias("kind"), F.lit(None).cast("long").alias("start"),
         F.lit(None).cast("long").alias("end"), F.lit(None).cast("double").alias("score"),
     )
     added = scored(found, rows).where("taken").select(
-        "row", F.lit(None).cast("long").alias("doc_id"), "kind", "start", "end", "score"
+        "row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("key"), "kind", "start", "end", "score"
     )
     together = base.unionByName(rest).unionByName(added)
     spans = F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), span)))
-    grouped = together.groupBy("row").agg(F.max("doc_id").alias("doc_id"), spans.alias("spans"))
+    grouped = together.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("key").alias("key"), spans.alias("spans")
+    )
     fixed = F.filter("spans", lambda s: s["score"] == 2.0)
     more = F.filter("spans", lambda s: s["score"] < 2.0)
 
@@ -304,7 +303,7 @@ def personal_data(docs: DataFrame, rows: int = SAMPLE_CANDIDATES) -> DataFrame:
         lambda s: ~F.exists("base", lambda b: meets(s, b)) & ~F.exists("more", lambda o: meets(s, o) & better(o, s)),
     )
     chosen = F.when(F.size("more") > 0, F.array_sort(F.concat("base", free))).otherwise(F.col("base"))
-    return grouped.select("row", "doc_id", "base", chosen.alias("chosen"))
+    return grouped.select("row", "doc_id", "key", "base", chosen.alias("chosen"))
 
 
 def span_text(spans: Column) -> Column:
@@ -318,8 +317,8 @@ def redacted(docs: DataFrame, rows: int = SAMPLE_CANDIDATES) -> DataFrame:
     Other columns, whatever their names, pass through. Overlapping spans are replaced as one, named by
     the first.
     """
-    held = docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("doc"))
-    found = personal_data(held.select("doc.doc_id", "doc.text"), rows)
+    held = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("held_key"))
+    found = personal_data(docs.select("doc_id", "text"), rows)
     pieces = F.aggregate(
         F.col("chosen"),
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
@@ -337,8 +336,11 @@ def redacted(docs: DataFrame, rows: int = SAMPLE_CANDIDATES) -> DataFrame:
         ),
     )
     # Written first, so that its size is known: few spans are broadcast and the texts stay where they are.
-    hits = stored(found.where(F.size("chosen") > 0).select("row", "chosen"), "pii-spans")
-    both = held.join(hits, "row", "left").withColumn("cut", pieces)
+    # Rows are found again by id and text, which hold for every read; equal rows have equal spans.
+    hits = found.where(F.size("chosen") > 0).groupBy("doc_id", "key").agg(F.first("chosen").alias("chosen"))
+    hits = stored(hits, "pii-spans")
+    match = same(F.col("doc.doc_id"), F.col("doc_id")) & (F.col("held_key") == F.col("key"))
+    both = held.join(hits, match, "left").withColumn("cut", pieces)
     rest = F.substring(F.col("doc.text"), (F.col("cut.at") + 1).cast("int"), F.char_length("doc.text"))
     text = F.when(F.col("cut").isNull(), F.col("doc.text")).otherwise(F.concat("cut.out", rest))
     return both.select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")
