@@ -5,7 +5,7 @@ Each query is held against the SQL of its table form, so a stream and a table mu
 
 from __future__ import annotations
 
-import uuid
+import time
 
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +19,9 @@ from millrace.registry.sources import _COUNTS, trained
 from millrace.registry.stateful import _PENALTIES, _book_steps, _local_score, _PER_ORDER, _sessions, _tumbling
 from millrace.registry import user_folds
 from millrace.registry.views import BASE_TABLES, VIEWS, references, table, view
-from millrace.session import checkpoint_dir, shared_path
+from millrace.session import shared_path
 from millrace.streaming import stateful as S
-from millrace.streaming.monitor import observed
+from millrace.streaming.monitor import ThroughputListener, observed, stage_throughput
 from millrace.streaming.windows import session_count, tumbling_count
 
 HOURS_6 = 6 * 3600.0
@@ -43,8 +43,7 @@ def drained(df: DataFrame, complete: bool = False) -> DataFrame:
     ``complete`` keeps the last full result of an aggregate; otherwise rows are appended.
     """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     table = f"{base}/table"
     writer = df.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     if complete:
@@ -323,6 +322,28 @@ def _(spark, d):
     return spark.createDataFrame(rows, "piece int, rows bigint, errors bigint, largest bigint")
 
 
+# What a listener writes down of every stage and micro-batch of the four runs.
+@query(
+    "s15_stage_throughput",
+    f"""WITH a AS (SELECT {_PIECE} AS batch FROM {{ev}})
+        SELECT CAST(batch AS BIGINT) AS batch, stage, count(*) AS rows FROM a, (VALUES ('input'), ('events')) t(stage) GROUP BY ALL""",
+)
+def _(spark, d):
+    path = shared_path(spark, "throughput")
+    listener = ThroughputListener(spark, path)
+    spark.streams.addListener(listener)
+    try:
+        run_in_pieces(spark, d, lambda rows: observed(rows, "events").select("event_id"))
+        # Progress reaches a listener a little after the run has ended.
+        for _ in range(300):
+            if listener.records and stage_throughput(spark, path).where("stage = 'events' AND rows > 0").count() >= PIECES:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    return stage_throughput(spark, path).where("rows > 0").select("batch", "stage", "rows")
+
+
 # A run that fails in its third micro-batch, after that batch was written, and goes on from the checkpoint: each
 # message is stored once per line and reported once.
 @query("s14_resumed_run", "SELECT line AS message, count(*) AS puts, CAST(1 AS BIGINT) AS reported FROM {word_lines} GROUP BY 1")

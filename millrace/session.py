@@ -57,10 +57,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SCRATCH: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, purpose: str) -> str:
-    """A new path in the shared checkpoint folder."""
+    """A new path in a folder of this application in the shared checkpoint folder; removed when the driver ends."""
     checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    base = _SCRATCH.get(sc.applicationId)
+    if base is None:
+        base = _SCRATCH[sc.applicationId] = f"{sc.getCheckpointDir().rstrip('/')}/paths-{uuid.uuid4().hex}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(base)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{base}/{purpose}-{uuid.uuid4().hex}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ class ThroughputListener(StreamingQueryListener):
     """Appends one small record per stage and micro-batch to the table at ``path``; none is dropped."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path, self.records = spark, path, 0
 
     def onQueryStarted(self, event):
         pass
@@ -56,6 +56,7 @@ class ThroughputListener(StreamingQueryListener):
         rows += [(p.name, p.batchId, f"state_{i}", s.numRowsUpdated, None) for i, s in enumerate(p.stateOperators)]
         rows += [(p.name, p.batchId, stage, row["rows"], None) for stage, row in p.observedMetrics.items()]
         self.spark.createDataFrame(rows, RECORD).coalesce(1).write.mode("append").parquet(self.path)
+        self.records += len(rows)
 
 
 def stage_throughput(spark: SparkSession, path: str) -> DataFrame:
