@@ -90,9 +90,14 @@ def ewma(
     if several:
         # One row a block: what it hands to the next and to the one after.
         ends = placed.where(at % span == 0).select(*keys, "__block", last.alias("__last"))
-        before = ends.select(*keys, (F.col("__block") + 1).alias("__block"), "__last", F.lit(0.0).alias("__older"))
-        older = ends.select(*keys, (F.col("__block") + 2).alias("__block"), F.lit(0.0).alias("__last"), F.col("__last").alias("__older"))
-        handed = before.unionByName(older).groupBy(*keys, "__block").agg(F.sum("__last").alias("__last"), F.sum("__older").alias("__older"))
+        hands = F.explode(
+            F.array(
+                F.struct((F.col("__block") + 1).alias("__to"), F.col("__last"), F.lit(0.0).alias("__older")),
+                F.struct((F.col("__block") + 2).alias("__to"), F.lit(0.0).alias("__last"), F.col("__last").alias("__older")),
+            )
+        )
+        handed = ends.select(*keys, hands.alias("h")).groupBy(*keys, F.col("h.__to").alias("__block"))
+        handed = handed.agg(F.sum("h.__last").alias("__last"), F.sum("h.__older").alias("__older"))
         placed = null_safe_join(placed, handed, [*keys, "__block"], "left")
     else:
         along = Window.partitionBy(*keys).orderBy("__block")
