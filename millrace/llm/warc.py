@@ -295,9 +295,6 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False)
         import pyarrow as pa
         from pyarrow import fs
 
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string
-
         disk, _ = fs.FileSystem.from_uri(folder)
         out, held = [], 0
         for batch in batches:

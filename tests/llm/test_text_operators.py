@@ -1,6 +1,5 @@
 """Quality rules, decontamination, secrets and personal data against brute force on small tables."""
 
-import hashlib
 import re
 from collections import Counter
 
