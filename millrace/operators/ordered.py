@@ -12,8 +12,8 @@ bucket needs from its past is small, about one row per (key, bucket):
 
 The side rows are put into the stream by a union, so the table itself is shuffled once.
 
-Cuts are order values of rows chosen by a hash, written to the checkpoint folder once; so a bucket
-is a function of the row, the same on every retry of a task.
+Cuts are order values of rows chosen by a hash, written to the shared folder once; so a bucket is a
+function of the row, the same on every retry of a task.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from millrace.operators.bounded import broadcast_if_small
-from millrace.session import cut_lineage
+from millrace.session import shared_path
 
 BUCKET = "__bucket"
 HALO = "__halo"
@@ -71,7 +71,11 @@ def cut(df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | No
     chosen = df.where(F.pmod(F.xxhash64(*keys, *order), F.lit(1 << 30)) < share).select(*keys, at.alias("__at"))
     along = F.row_number().over(Window.partitionBy(*keys).orderBy("__at"))
     cuts = chosen.withColumn("__no", along).where(F.col("__no") % _SAMPLED == 0)
-    cuts = cut_lineage(cuts.groupBy(*keys).agg(F.array_sort(F.collect_list("__at")).alias("__cuts")))
+    cuts = cuts.groupBy(*keys).agg(F.array_sort(F.collect_list("__at")).alias("__cuts"))
+    # As a table its size is known, so that it is broadcast if it is small.
+    path = shared_path(df.sparkSession, "cuts")
+    cuts.write.parquet(path)
+    cuts = df.sparkSession.read.schema(cuts.schema).parquet(path)
     most = cuts.agg(F.max(F.size("__cuts"))).first()[0] or 0
     bucket = F.coalesce(_cuts_at_or_before(F.col("__cuts"), at, max(most, 1)), F.lit(0))
     if keys:
