@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.common import same, stored
+from millrace.operators.bounded import broadcast_if_small
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 MORE_KINDS = ("masked_mail", "local_phone", "ssn", "iban")
@@ -48,6 +49,8 @@ LIKELY = {
 
 #: Code points of context on either side of a candidate.
 CONTEXT = 24
+#: Bytes of stored spans that are broadcast to the texts.
+MAX_SPAN_BYTES = 32 << 20
 #: Candidates in the training sample.
 SAMPLE_CANDIDATES = 20_000
 #: A kind's precision is shrunk towards that of all kinds together, which counts as so many candidates.
@@ -338,7 +341,8 @@ def redacted(docs: DataFrame, rows: int = SAMPLE_CANDIDATES) -> DataFrame:
     # Written first, so that its size is known: few spans are broadcast and the texts stay where they are.
     # Rows are found again by id and text, which hold for every read; equal rows have equal spans.
     hits = found.where(F.size("chosen") > 0).groupBy("doc_id", "key").agg(F.first("chosen").alias("chosen"))
-    hits = stored(hits, "pii-spans")
+    # The stored table's bytes are known: it is broadcast up to a bound, beyond which the texts are shuffled once.
+    hits = broadcast_if_small(stored(hits, "pii-spans"), MAX_SPAN_BYTES)
     match = same(F.col("doc.doc_id"), F.col("doc_id")) & (F.col("held_key") == F.col("key"))
     both = held.join(hits, match, "left").withColumn("cut", pieces)
     rest = F.substring(F.col("doc.text"), (F.col("cut.at") + 1).cast("int"), F.char_length("doc.text"))
