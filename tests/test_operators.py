@@ -205,6 +205,24 @@ def test_many_centroids_by_a_tree_equal_brute_force(spark, linear):
         assert got[n] == (best[1], best[0])
 
 
+def test_far_points_copy_few_places(spark, monkeypatch):
+    from millrace.operators import nearest
+
+    # All points lie right of a grid of places, so every leaf on its right side is nearly as close as the others.
+    places = spark.range(5000).select("id", (F.col("id") % 100).alias("x"), F.floor(F.col("id") / 100).alias("y"))
+    points = spark.range(3000).select((1e6 + F.col("id")).alias("a"), (F.col("id") % 50).cast("double").alias("b"))
+    plain, copied = nearest._under_nodes, []
+
+    def counting(met, linear, leaf):
+        copied.append(met.agg(F.sum(F.size("under"))).first()[0])
+        return plain(met, linear, leaf)
+
+    monkeypatch.setattr(nearest, "_under_nodes", counting)
+    got = nearest.nearest_of_many(points, places, "a", "b", fan=16).collect()
+    assert {(r["b"], r["centroid_id"]) for r in got} == {(float(y), y * 100 + 99) for y in range(50)}
+    assert len(got) == 3000 and sum(copied) < 10 * 3000, copied
+
+
 # --- one hot key holding most rows, spread over many buckets -----------------------------------
 
 
