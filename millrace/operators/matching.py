@@ -9,6 +9,7 @@ cumulative volume intervals, which is a hash join.
 from __future__ import annotations
 
 import heapq
+from collections import OrderedDict
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -21,18 +22,21 @@ DELETE = "D"
 
 
 class Side:
-    """Resting orders of one direction: a queue per price and a heap of prices."""
+    """Resting orders of one direction: a queue per price and a heap of prices.
+
+    A queue is an ``OrderedDict``: a plain one walks over all that has left its front to find the first.
+    """
 
     def __init__(self, sign: int):
         self.sign = sign
-        self.levels: dict[float, dict] = {}
+        self.levels: dict[float, OrderedDict] = {}
         self.heap: list[float] = []
         self.twins = 0
 
     def add(self, price: float, order_no: str, volume: int) -> None:
         queue = self.levels.get(price)
         if queue is None:
-            queue = self.levels[price] = {}
+            queue = self.levels[price] = OrderedDict()
             heapq.heappush(self.heap, self.sign * price)
         ident = (order_no, 0)
         while ident in queue:
@@ -54,9 +58,13 @@ class Side:
         return True
 
     def best(self) -> float | None:
-        while self.heap and self.sign * self.heap[0] not in self.levels:
-            heapq.heappop(self.heap)
-        return self.sign * self.heap[0] if self.heap else None
+        heap, sign, levels = self.heap, self.sign, self.levels
+        while heap:
+            price = sign * heap[0]
+            if price in levels:
+                return price
+            heapq.heappop(heap)
+        return None
 
     def head(self, price: float):
         return next(iter(self.levels[price].items()))
@@ -84,7 +92,7 @@ class Book:
         self.buys, self.sells = Side(-1), Side(1)
 
     def side(self, direction: str) -> Side | None:
-        return {"B": self.buys, "S": self.sells}.get(direction)
+        return self.buys if direction == "B" else self.sells if direction == "S" else None
 
     def rest(self, direction: str, price: float, order_no: str, volume: int) -> None:
         side = self.side(direction)
@@ -99,7 +107,8 @@ class Book:
         if code == DELETE:
             side.remove(price, order_no)
             return []
-        self.rest(direction, price, order_no, volume)
+        if volume > 0:
+            side.add(price, order_no, volume)
         fills = []
         bid, ask = self.buys.best(), self.sells.best()
         while bid is not None and ask is not None and ask <= bid:

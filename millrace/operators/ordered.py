@@ -35,6 +35,9 @@ HALO = "__halo"
 BUCKET_ROWS = 200_000
 #: Order values looked at per cut.
 _SAMPLED = 32
+#: Tasks of a sequential fold, at least. A row takes time there and few bytes, so adaptive execution would put
+#: many keys into one task; a few dozen large keys fall apart into as many tasks.
+FOLD_TASKS = 200
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -251,6 +254,19 @@ def previous_row(
     )
 
 
+def python_values(column) -> list:
+    """The values of an Arrow column as Python objects; by way of numpy, which is faster, where that keeps them."""
+    import pyarrow as pa
+
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    # Beside nulls numpy would make floats of whole numbers.
+    if not column.null_count and (pa.types.is_integer(kind) or pa.types.is_float64(kind)):
+        return column.to_numpy().tolist()
+    return column.to_pylist()
+
+
 def fold_sorted(
     df: DataFrame,
     keys: Sequence[str],
@@ -294,7 +310,7 @@ def fold_sorted(
         for batch in batches:
             out = []
             # Arrow keeps every value as it is: 64-bit numbers stay whole beside nulls.
-            for row in zip(*[batch.column(c).to_pylist() for c in columns]):
+            for row in zip(*[python_values(batch.column(c)) for c in columns]):
                 if key is None or row[:width] != key:
                     if key is not None and finish is not None:
                         out.extend(finish(state, key))
@@ -307,9 +323,10 @@ def fold_sorted(
             if out:
                 yield packed(out)
 
+    tasks = max(FOLD_TASKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return (
         df.select(*dict.fromkeys([*columns, *order]))
-        .repartition(*[F.col(k) for k in keys])
+        .repartition(tasks, *[F.col(k) for k in keys])
         .sortWithinPartitions(*keys, *order)
         .select(*[sent(c) for c in columns])
         .mapInArrow(run, carried)

@@ -41,6 +41,26 @@ def test_order_book_by_hand(spark):
     assert rows_of(M.resting_orders(book), "trade_dir", "order_price", "order_vol") == [("B", 10.6, 1)]
 
 
+def test_books_of_fifty_securities_are_spread_over_tasks(spark):
+    orders = spark.range(400).select(
+        (F.col("id") % 50).cast("string").alias("sec_code"), F.lit("A").alias("tran_maint_code"),
+        F.when(F.col("id") % 100 < 50, "S").otherwise("B").alias("trade_dir"), F.lit(10.0).alias("order_price"),
+        F.col("id").cast("string").alias("order_no"), F.lit(5).alias("order_vol"), F.timestamp_seconds("id").alias("ts"),
+    )
+    for df in (M.match_orders_book(orders), M.resting_orders(orders.where("trade_dir = 'S'"))):
+        held = df.select("sec_code", F.spark_partition_id().alias("task")).distinct().groupBy("task").count().collect()
+        assert sum(r["count"] for r in held) == 50 and max(r["count"] for r in held) <= 3
+
+
+def test_values_cross_to_python_unchanged():
+    import pyarrow as pa
+
+    for kept in ([2**62 + 1, None], [2**62 + 1, 5], [0.5, None], ["a", None], [True, None], [], [float("inf"), -0.0]):
+        column = pa.array(kept)
+        assert ordered.python_values(column) == kept
+        assert [type(v) for v in ordered.python_values(column)] == [type(v) for v in kept]
+
+
 def test_single_slot_by_hand(spark):
     slots = orders(spark, [("s", "A", "S", 10.0, 5, 1), ("b", "A", "B", 11.0, 3, 2), ("c", "A", "B", 12.0, 2, 3)])
     got = rows_of(M.match_orders_single(slots), "buy_order_no", "sell_order_no", "volume")
