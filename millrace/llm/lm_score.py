@@ -36,6 +36,8 @@ SEGMENT_TEXT_BYTES, LEAST_SEGMENTS = 32 << 20, 32
 HEAVY_WORDS = 1 << 20
 #: Weights tried for the shorter n-gram in the smoothed probability of a word.
 PRIORS = tuple(4.0**k for k in range(12))
+#: Tokens that are counted at once.
+PIECE_TOKENS = 1 << 19
 #: Texts that are scored at once.
 SCORE_ROWS = 200
 #: The end of a text, counted as a token; no word holds a line end.
@@ -145,6 +147,52 @@ def count_of(levels):
     return np.where(levels > 0, 1.5 * np.exp2(levels - 1.0) - 0.5, 0.0)
 
 
+def added(pairs):
+    """The sorted keys of some (keys, counts), each once, with their sums."""
+    import numpy as np
+
+    keys = np.concatenate([k for k, _ in pairs])
+    counts = np.concatenate([c for _, c in pairs])
+    keys, back = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(back, weights=counts, minlength=len(keys)).astype(np.int64)
+
+
+def counted_texts(texts: list, parts: int) -> dict:
+    """A row for each segment (part, keys, counts, words): the words and pairs of the texts, each once, words first.
+
+    Texts are counted some ``PIECE_TOKENS`` at a time and added up segment by segment, so beside the keys
+    themselves only the arrays of a piece are held.
+    """
+    import numpy as np
+
+    out = {"part": [], "keys": [], "counts": [], "words": []}
+    held, piece, n = ([], []), ([], []), 0
+    for i, text in enumerate(texts, 1):
+        tokens = token_hashes(text)
+        piece[0].append(tokens)
+        piece[1].append(pair_hashes(tokens))
+        n += len(tokens)
+        if n < PIECE_TOKENS and i < len(texts):
+            continue
+        for kind, arrays in zip(held, piece):
+            keys, counts = np.unique(np.concatenate(arrays), return_counts=True)
+            arrays.clear()
+            where = (keys % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(where, kind="stable")
+            edges = np.searchsorted(where[order], np.arange(parts + 1))
+            kind.append((keys[order], counts[order].astype("<u4"), edges))
+        n = 0
+    if not texts:
+        return out
+    for p in range(parts):
+        cut = [added([(k[e[p] : e[p + 1]], c[e[p] : e[p + 1]]) for k, c, e in kind]) for kind in held]
+        out["part"].append(p)
+        out["keys"].append(b"".join(k.tobytes() for k, _ in cut))
+        out["counts"].append(b"".join(c.astype("<u4").tobytes() for _, c in cut))
+        out["words"].append(len(cut[0][0]))
+    return out
+
+
 def counted(docs: DataFrame, parts: int) -> DataFrame:
     """(part, words, word_counts, n_entries, bits): exact word counts and the filter of every segment.
 
@@ -154,41 +202,12 @@ def counted(docs: DataFrame, parts: int) -> DataFrame:
     schema = "part int, keys binary, counts binary, words int"
 
     def count_batch(_, texts):
-        import numpy as np
-
-        tokens, pairs = [], []
-        for t in texts:
-            h = token_hashes(t)
-            tokens.append(h)
-            pairs.append(pair_hashes(h))
-        out = {"part": [], "keys": [], "counts": [], "words": []}
-        if not tokens:
-            return out
-        sets = [np.unique(np.concatenate(x), return_counts=True) for x in (tokens, pairs)]
-        split = []
-        for keys, counts in sets:
-            where = (keys % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(where, kind="stable")
-            edges = np.searchsorted(where[order], np.arange(parts + 1))
-            split.append((keys[order], counts[order].astype("<u4"), edges))
-        for p in range(parts):
-            cut = [(k[e[p] : e[p + 1]], c[e[p] : e[p + 1]]) for k, c, e in split]
-            out["part"].append(p)
-            out["keys"].append(b"".join(k.tobytes() for k, _ in cut))
-            out["counts"].append(b"".join(c.tobytes() for _, c in cut))
-            out["words"].append(len(cut[0][0]))
-        return out
+        return counted_texts(texts, parts)
 
     def build(batches):
         import numpy as np
         import pyarrow as pa
 
-        def added(pairs):
-            keys = np.concatenate([k for k, _ in pairs])
-            counts = np.concatenate([c for _, c in pairs])
-            keys, back = np.unique(keys, return_inverse=True)
-            return keys, np.bincount(back, weights=counts, minlength=len(keys)).astype(np.int64)
-
         def finished(part, sets):
             (wk, wc), (pk, pc) = added(sets[0]), added(sets[1])
             bits = built(np.concatenate([wk, pk]), np.concatenate([wc, pc]))

@@ -265,3 +265,31 @@ def test_rows_without_a_whole_vector_are_left_out(spark):
     assert whitening.whitened(embeddings(spark, [(1, None)]).limit(0)).count() == 0
     huge = whitening.whitened(embeddings(spark, [(1, [3e38, 1.0]), (2, [-3e38, 2.0])])).collect()
     assert len(huge) == 4
+
+
+def test_texts_are_counted_in_pieces(monkeypatch):
+    import tracemalloc
+    from collections import Counter
+
+    import numpy as np
+
+    from millrace.llm import lm_score
+
+    texts = [" ".join(f"w{(i % 5 * j) % 997}" for j in range(2000)) for i in range(200)] + [None, ""]
+    monkeypatch.setattr(lm_score, "PIECE_TOKENS", 20_000)
+    tracemalloc.start()
+    rows = lm_score.counted_texts(texts, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # Tokens and pairs of all texts take 6.4 MB as hashes alone.
+    assert peak < 6e6, peak
+    got, words = Counter(), 0
+    for part, keys, counts, n in zip(rows["part"], rows["keys"], rows["counts"], rows["words"]):
+        keys = np.frombuffer(keys, np.uint64)
+        assert (keys % np.uint64(4) == part).all()
+        got.update(dict(zip(keys.tolist(), np.frombuffer(counts, "<u4").tolist())))
+        words += n
+    tokens = [lm_score.token_hashes(t) for t in texts]
+    wanted = Counter(int(k) for t in tokens for k in (*t, *lm_score.pair_hashes(t)))
+    assert got == wanted and words == len({int(k) for t in tokens for k in t})
+    assert lm_score.counted_texts([], 4)["part"] == []
