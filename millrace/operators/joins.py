@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.bounded import broadcast_if_small
+from millrace.operators.bounded import MAX_BROADCAST_BYTES, broadcast_if_small, plan_bytes
 from millrace.operators.nearest import nearest_of_many
 from millrace.operators.ordered import latest_before
 
@@ -150,9 +150,34 @@ def buy_sell_latest_join(
     )
 
 
-def lexicon_join(tokens: DataFrame, lexicon: DataFrame, how: str = "inner") -> DataFrame:
-    """Tokens (column ``word``) with their lexicon score."""
-    return tokens.join(broadcast_if_small(lexicon), "word", how)
+#: Bytes of a table, as the plan estimates them, for each task that works on its words.
+TOKEN_TASK_BYTES = 4 << 20
+
+
+def token_tasks(df: DataFrame) -> int:
+    """So many tasks that none has to hold more words as the table grows."""
+    size, least = plan_bytes(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # An unknown size is given as about 2^63.
+    return max(least, -(-size // TOKEN_TASK_BYTES)) if size < 1 << 50 else least
+
+
+def lexicon_join(
+    tokens: DataFrame, lexicon: DataFrame, how: str = "inner", number: str | None = None, tasks: int | None = None
+) -> DataFrame:
+    """Tokens (column ``word``) with their lexicon score.
+
+    With ``number`` equal rows may come back as one, that column holding how many there are: beside a lexicon
+    that is not broadcast, rows are counted before they meet it, so a word that is everywhere is one row a text.
+    They meet in ``tasks`` tasks, see ``token_tasks``.
+    """
+    if tokens.isStreaming or plan_bytes(lexicon) <= MAX_BROADCAST_BYTES or not number:
+        joined = tokens.join(broadcast_if_small(lexicon), "word", how)
+        return joined.withColumn(number, F.lit(1).cast("bigint")) if number else joined
+    counted = tokens.groupBy(*tokens.columns).agg(F.count(F.lit(1)).alias(number))
+    if tasks:
+        # Both sides, else the join takes the number of whichever is dealt out already.
+        counted, lexicon = counted.repartition(tasks, "word"), lexicon.repartition(tasks, "word")
+    return counted.join(lexicon, "word", how)
 
 
 def transition_lookup(steps: DataFrame, model: DataFrame, columns: Sequence[str] = ("p",)) -> DataFrame:

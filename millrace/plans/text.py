@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.projections import require_keys
 from millrace.functions.scalars import clean_text, parse_tweet_time, trim_token
-from millrace.operators.joins import lexicon_join
+from millrace.operators.bounded import MAX_BROADCAST_BYTES, plan_bytes
+from millrace.operators.joins import lexicon_join, token_tasks
 from millrace.schemas import TWEET
 
 
@@ -27,13 +28,18 @@ def _mood(score: Column) -> Column:
 def sentiment_score(tweets: DataFrame, lexicon: DataFrame, ident: str = "id_str", text: str = "text") -> DataFrame:
     """Sum of the word scores of each text and its sign.
 
-    A word list of bounded size is broadcast, a larger one joined as adaptive execution sees fit.
+    A word list of bounded size is broadcast, a larger one meets each word of a text once, with its number.
     Per-text sums are formed before the exchange. A text without a scored word keeps its row.
     """
+    tasks = None
+    if not tweets.isStreaming and plan_bytes(lexicon) > MAX_BROADCAST_BYTES:
+        # The words of a text are counted where the text is.
+        tasks = token_tasks(tweets)
+        tweets = tweets.select(ident, text).repartition(tasks, ident)
     words = tweets.select(ident, F.explode_outer(F.split(clean_text(F.col(text)), " ")).alias("word"))
     words = words.withColumn("word", trim_token(F.col("word")))
-    scored = lexicon_join(words, lexicon, "left")
-    total = F.sum(F.coalesce(F.col("score"), F.lit(0))).cast("bigint")
+    scored = lexicon_join(words, lexicon, "left", "__n", tasks)
+    total = F.sum(F.coalesce(F.col("score"), F.lit(0)) * F.col("__n")).cast("bigint")
     return scored.groupBy(ident).agg(total.alias("score")).select(
         ident, "score", _mood(F.col("score")).alias("sentiment")
     )

@@ -151,8 +151,8 @@ def _(spark, d):
 
     words = table(spark, d, "documents").select(F.explode(F.split(clean_text(F.col("text")), " ")).alias("word"))
     words = words.withColumn("word", trim_token(F.col("word")))
-    hits = J.lexicon_join(words, lexicon(spark, d))
-    return hits.groupBy("word").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    hits = J.lexicon_join(words, lexicon(spark, d), number="times")
+    return hits.groupBy("word").agg(F.max("score").alias("score"), F.sum("times").alias("n"))
 
 
 @query(

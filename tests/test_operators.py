@@ -157,6 +157,22 @@ def test_sentiment_words(spark):
         text.classify("other", tweets, words)
 
 
+def test_a_word_that_is_everywhere_meets_a_large_lexicon_once_a_text(spark, data, monkeypatch):
+    from millrace.operators import joins
+
+    rows = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").where("doc_id % 4 = 0")
+    words = spark.createDataFrame([("the", 2), ("de", -3), ("a", 1)], "word string, score int")
+    short = rows_of(text.sentiment_score(rows, F.broadcast(words), "doc_id"))
+    monkeypatch.setattr(joins, "MAX_BROADCAST_BYTES", 0)
+    monkeypatch.setattr(text, "MAX_BROADCAST_BYTES", 0)
+    assert rows_of(text.sentiment_score(rows, words, "doc_id")) == short
+    tokens = rows.select(F.explode(F.split("text", " ")).alias("word"))
+    plain = tokens.join(words, "word").groupBy("word").count()
+    found = joins.lexicon_join(tokens, words, number="n")
+    assert found.count() == 3
+    assert rows_of(found, "word", "n") == rows_of(plain, "word", "count")
+
+
 def test_histogram_confidence_single_bin(spark):
     df = spark.createDataFrame([(5, 1), (6, 1)], "v int, w int")
     bins = stats.histogram(df, [], "v", 10)
