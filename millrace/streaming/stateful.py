@@ -12,6 +12,7 @@ as Arrow columns, about their size on the wire, and one piece as rows.
 from __future__ import annotations
 
 import pickle
+from collections import OrderedDict
 from collections.abc import Callable, Iterator, MutableMapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -71,7 +72,9 @@ def in_order(frames: Iterator, order: Sequence[str], piece: int = PIECE_ROWS) ->
         return
     parts += [pa.Table.from_pandas(f, preserve_index=False) for f in held]
     held = None
-    table = pa.concat_tables(parts, promote_options="default")
+    # In one piece: picking rows from a column of many would put the whole of it together for every piece.
+    table = pa.concat_tables(parts, promote_options="default").combine_chunks()
+    parts = None
     places = pc.sort_indices(table.select(list(order)), sort_keys=[(c, "ascending") for c in order])
     for at in range(0, len(places), piece):
         yield table.take(places.slice(at, piece)).to_pandas()
@@ -277,7 +280,7 @@ class BookKeeper(StatefulProcessor):
         import heapq
 
         def read(price):
-            queue = {}
+            queue = OrderedDict()
             names, volumes = self.levels.getValue((direction, price))
             for order_no, volume in zip(names, volumes):
                 ident = (order_no, 0)

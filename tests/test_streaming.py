@@ -320,3 +320,22 @@ def test_user_folds_merge_over_tasks_panes_and_batches(spark, drain, tmp_path):
     want = closed(table, "window_end", df)
     pick = ["k", "window_start", "window_end", F.round("average", 6).alias("a"), "n"]
     assert rows_of(got.select(*pick)) == rows_of(want.select(*pick)) and got.count() >= 12
+
+
+def test_a_stored_queue_finds_its_first_order_at_once():
+    from collections import OrderedDict
+
+    from millrace.operators.matching import Book
+    from millrace.streaming.stateful import BookKeeper
+
+    class Levels:
+        def getValue(self, at):
+            return [str(i) for i in range(50)], [5] * 50
+
+    keeper, book = BookKeeper(), Book()
+    keeper.levels = Levels()
+    keeper._open(book.sells, "S", [10.0])
+    book.rest("S", 11.0, "last", 5)
+    # A plain dict walks over all that has left its front.
+    assert all(type(book.sells.levels[p]) is OrderedDict for p in (10.0, 11.0))
+    assert [f[1] for f in book.apply("A", "B", 11.0, "b", 255)] == [*map(str, range(50)), "last"]
