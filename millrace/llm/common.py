@@ -60,6 +60,11 @@ def kept_in_process(kind: str, name: object, make: Callable[[], object]) -> obje
     return held[1]
 
 
+def let_go(kind: str) -> None:
+    """Drop what ``kept_in_process`` holds of a kind."""
+    sys.__dict__.get("_millrace_llm_cache", {}).pop(kind, None)
+
+
 def _scratch(sc) -> str:
     """A folder of this application in the checkpoint folder; it is removed when the driver ends."""
     base = f"{sc.getCheckpointDir().rstrip('/')}/scratch-{uuid.uuid4().hex}"

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER, kept_in_process, map_columns, shared_folder, stored
+from millrace.llm.common import LOWER, kept_in_process, let_go, map_columns, shared_folder, stored
 
 #: Documents whose id hashes to this remainder are held out.
 HELD_OUT, PARTS = 2, 7
@@ -38,6 +38,12 @@ HEAVY_WORDS = 1 << 20
 PRIORS = tuple(4.0**k for k in range(12))
 #: Tokens that are counted at once.
 PIECE_TOKENS = 1 << 19
+#: Keys of a row on its way to a segment; an Arrow batch of 2000 such rows takes 24 MB.
+ROW_KEYS = 1 << 10
+#: Keys of a segment that are gathered, at least, before they are added up.
+GATHERED_KEYS = 1 << 19
+#: Keys that are entered into a filter at once.
+ENTERED_KEYS = 1 << 18
 #: Texts that are scored at once.
 SCORE_ROWS = 200
 #: The end of a text, counted as a token; no word holds a line end.
@@ -89,13 +95,15 @@ def built(keys, counts):
     """Filter words that hold the keys with their quantised counts."""
     import numpy as np
 
-    levels = np.floor(np.log2(counts)).astype(np.int64) + 1
-    entries = int(levels.sum())
+    levels = np.floor(np.log2(counts)).astype(np.uint8) + np.uint8(1)
+    entries = int(levels.sum(dtype=np.int64))
     words = max(1, -(-entries * BITS_PER_ENTRY // (64 * WORD_STEP))) * WORD_STEP
     bits = np.zeros(words, np.uint64)
-    for level in range(1, int(levels.max()) + 1 if len(levels) else 1):
-        at, mask = entry_places(keys[levels >= level], level, words)
-        np.bitwise_or.at(bits, at.astype(np.int64), mask)
+    for i in range(0, len(keys), ENTERED_KEYS):
+        some, up_to = keys[i : i + ENTERED_KEYS], levels[i : i + ENTERED_KEYS]
+        for level in range(1, int(up_to.max()) + 1):
+            at, mask = entry_places(some[up_to >= level], level, words)
+            np.bitwise_or.at(bits, at.astype(np.int64), mask)
     return bits
 
 
@@ -152,16 +160,21 @@ def added(pairs):
     import numpy as np
 
     keys = np.concatenate([k for k, _ in pairs])
-    counts = np.concatenate([c for _, c in pairs])
-    keys, back = np.unique(keys, return_inverse=True)
-    return keys, np.bincount(back, weights=counts, minlength=len(keys)).astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    counts = np.concatenate([c for _, c in pairs])[order]
+    order = None
+    first = np.flatnonzero(np.concatenate([np.ones(len(keys[:1]), bool), keys[1:] != keys[:-1]]))
+    if not len(first):
+        return keys, counts.astype(np.int64)
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int64)
 
 
 def counted_texts(texts: list, parts: int) -> dict:
-    """A row for each segment (part, keys, counts, words): the words and pairs of the texts, each once, words first.
+    """Rows of each segment (part, keys, counts, words): the words and pairs of the texts, each once, words first.
 
     Texts are counted some ``PIECE_TOKENS`` at a time and added up segment by segment, so beside the keys
-    themselves only the arrays of a piece are held.
+    themselves only the arrays of a piece are held. A row has at most ``ROW_KEYS`` keys, ``words`` of them words.
     """
     import numpy as np
 
@@ -186,32 +199,69 @@ def counted_texts(texts: list, parts: int) -> dict:
         return out
     for p in range(parts):
         cut = [added([(k[e[p] : e[p + 1]], c[e[p] : e[p + 1]]) for k, c, e in kind]) for kind in held]
-        out["part"].append(p)
-        out["keys"].append(b"".join(k.tobytes() for k, _ in cut))
-        out["counts"].append(b"".join(c.astype("<u4").tobytes() for _, c in cut))
-        out["words"].append(len(cut[0][0]))
+        keys = np.concatenate([k for k, _ in cut])
+        counts = np.concatenate([c for _, c in cut]).astype("<u4")
+        for i in range(0, len(keys), ROW_KEYS):
+            out["part"].append(p)
+            out["keys"].append(keys[i : i + ROW_KEYS].tobytes())
+            out["counts"].append(counts[i : i + ROW_KEYS].tobytes())
+            out["words"].append(min(max(len(cut[0][0]) - i, 0), ROW_KEYS))
     return out
 
 
+def gathered(rows):
+    """(part, words and counts, pairs and counts) of every segment, from rows (part, keys, counts, words) sorted by segment.
+
+    One segment is held at a time, and what it has gathered is added up whenever it has grown by half.
+    """
+    import numpy as np
+
+    now, sets, n, limit = None, ([], []), 0, GATHERED_KEYS
+    for part, keys, counts, words in rows:
+        if part != now:
+            if now is not None:
+                yield now, added(sets[0]), added(sets[1])
+            now, sets, n, limit = part, ([], []), 0, GATHERED_KEYS
+        k, c = np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<u4")
+        sets[0].append((k[:words], c[:words]))
+        sets[1].append((k[words:], c[words:]))
+        n += len(k)
+        if n > limit:
+            for held in sets:
+                held[:] = [added(held)]
+            n = sum(len(held[0][0]) for held in sets)
+            limit = n + max(GATHERED_KEYS, n // 2)
+    if now is not None:
+        yield now, added(sets[0]), added(sets[1])
+
+
 def counted(docs: DataFrame, parts: int) -> DataFrame:
     """(part, words, word_counts, n_entries, bits): exact word counts and the filter of every segment.
 
     N-grams are counted within a batch first, so a frequent one reaches its segment as one number per
-    batch. They travel as packed numbers, a row for each batch and segment.
+    batch. They travel as packed numbers in rows of bounded size, so an Arrow batch of them is bounded as well.
     """
     schema = "part int, keys binary, counts binary, words int"
 
     def count_batch(_, texts):
+        # No task probes while texts are counted; a worker may still hold the model of an earlier run.
+        let_go("language model")
         return counted_texts(texts, parts)
 
     def build(batches):
         import numpy as np
         import pyarrow as pa
 
-        def finished(part, sets):
-            (wk, wc), (pk, pc) = added(sets[0]), added(sets[1])
+        def rows():
+            for batch in batches:
+                columns = [batch.column(c) for c in ("part", "keys", "counts", "words")]
+                for i in range(batch.num_rows):
+                    yield [c[i].as_py() for c in columns]
+
+        # Rows come sorted by segment.
+        for part, (wk, wc), (pk, pc) in gathered(rows()):
             bits = built(np.concatenate([wk, pk]), np.concatenate([wc, pc]))
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
                     pa.array([wk.view(np.int64)], pa.list_(pa.int64())),
@@ -221,26 +271,6 @@ def counted(docs: DataFrame, parts: int) -> DataFrame:
                 names=["part", "words", "word_counts", "bits"],
             )
 
-        # Rows come sorted by segment: a task holds one segment at a time.
-        now, sets = None, [[], []]
-        for batch in batches:
-            rows = [batch.column(c) for c in ("part", "keys", "counts", "words")]
-            for i in range(batch.num_rows):
-                part, keys, counts, words = (c[i].as_py() for c in rows)
-                if part != now:
-                    if now is not None:
-                        yield finished(now, sets)
-                    now, sets = part, [[], []]
-                k, c = np.frombuffer(keys, np.uint64), np.frombuffer(counts, "<u4").astype(np.int64)
-                sets[0].append((k[:words], c[:words]))
-                sets[1].append((k[words:], c[words:]))
-                # What has been gathered is merged now and then, so a segment takes memory for what it holds.
-                for j in range(2):
-                    if len(sets[j]) > 32:
-                        sets[j] = [added(sets[j])]
-        if now is not None:
-            yield finished(now, sets)
-
     batches = map_columns(docs, ["text"], count_batch, schema)
     dealt = batches.repartition(parts, "part").sortWithinPartitions("part")
     return dealt.mapInArrow(build, "part int, words array<long>, word_counts array<long>, bits binary")

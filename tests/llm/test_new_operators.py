@@ -293,3 +293,39 @@ def test_texts_are_counted_in_pieces(monkeypatch):
     wanted = Counter(int(k) for t in tokens for k in (*t, *lm_score.pair_hashes(t)))
     assert got == wanted and words == len({int(k) for t in tokens for k in t})
     assert lm_score.counted_texts([], 4)["part"] == []
+
+
+def test_counts_travel_in_rows_of_bounded_size_and_add_up(monkeypatch):
+    from collections import Counter
+
+    import numpy as np
+
+    from millrace.llm import lm_score
+    from millrace.llm.common import kept_in_process, let_go
+
+    monkeypatch.setattr(lm_score, "ROW_KEYS", 100)
+    monkeypatch.setattr(lm_score, "GATHERED_KEYS", 300)
+    texts = [" ".join(f"w{(i * j) % 1009}" for j in range(500)) for i in range(1, 61)] + [None]
+    rows = []
+    for i in range(0, len(texts), 20):
+        out = lm_score.counted_texts(texts[i : i + 20], 3)
+        rows += zip(out["part"], out["keys"], out["counts"], out["words"])
+    assert max(len(r[1]) for r in rows) == 800 and len(rows) > 100
+    got = {p: (dict(zip(*words)), dict(zip(*pairs))) for p, words, pairs in lm_score.gathered(sorted(rows, key=lambda r: r[0]))}
+    for kind, hashes in enumerate((lambda t: t, lm_score.pair_hashes)):
+        wanted = Counter(int(k) for t in texts for k in hashes(lm_score.token_hashes(t)))
+        assert {int(k): int(c) for v in got.values() for k, c in v[kind].items()} == wanted
+        assert all(int(k) % 3 == p for p, v in got.items() for k in v[kind])
+    assert list(lm_score.gathered([])) == []
+    # A filter is entered piece by piece and is the same.
+    keys = np.arange(1, 2001, dtype=np.uint64)
+    whole = lm_score.built(keys, keys.astype(np.int64))
+    monkeypatch.setattr(lm_score, "ENTERED_KEYS", 64)
+    assert (lm_score.built(keys, keys.astype(np.int64)) == whole).all()
+    assert len(lm_score.built(keys[:0], keys[:0].astype(np.int64))) == lm_score.WORD_STEP
+    # A model of an earlier run is not kept beside the counting.
+    kept_in_process("language model", "earlier", lambda: 1)
+    let_go("language model")
+    let_go("language model")
+    assert kept_in_process("language model", "earlier", lambda: 2) == 2
+    let_go("language model")
