@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 # The six groups of a wiki edit line.
 WIKI_LINE = r"\[\[(.*)\]\]\s(.*)\s(.*)\s\*\s(.*)\s\*\s\(\+?(.\d*)\)\s(.*)"
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
-WHITESPACE_ENDS = r"^\s+|\s+$"
+#: The characters that ``\s`` stands for in a regular expression.
+WHITESPACE = " \t\n\x0b\f\r"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SPACES = "\t\n\x0b\x0c\r \x85\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a\u2028\u2029\u205f\u3000"
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace import schemas
+from millrace.functions.scalars import WHITESPACE
 from millrace.registry.core import query
 from millrace.registry.views import lines, table, view
 from millrace.session import shared_path
@@ -128,7 +129,9 @@ def lexicon(spark, d, every_line: bool = False):
     usable = docs.filter(F.col("word") != "")
     if not every_line:
         usable = usable.groupBy("word").agg(F.max("doc_id").alias("doc_id"), F.max_by("n_chars", "doc_id").alias("n_chars"))
-    usable = usable.filter(~F.col("word").rlike(r"\s"))
+    # Words are parted by spaces; what other white space they hold is looked for without a regular expression.
+    for other in WHITESPACE.replace(" ", ""):
+        usable = usable.filter(~F.contains("word", F.lit(other)))
     word_and_score = F.concat(
         F.lit(" "), F.col("word"), F.lit(" \t "), (F.col("n_chars") % 11 - 5).cast("string"), F.lit("\r")
     )

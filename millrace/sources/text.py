@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.scalars import WHITESPACE_ENDS, parse_order_time
+from millrace.functions.scalars import WHITESPACE, parse_order_time
 from millrace.schemas import ORDER_FIELDS, TRADE_FIELDS
 
 MIN_FIELDS = 10
@@ -138,9 +138,12 @@ def number_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def load_lexicon(lines: DataFrame, line_no: str = "line_no", column: str = "value") -> DataFrame:
     """Tab-separated word and score; trimmed, blank lines skipped, the last entry of a word wins."""
-    trim = lambda c: F.regexp_replace(c, WHITESPACE_ENDS, "")
-    parts = F.filter(F.transform(F.split(F.col(column), "\t"), trim), lambda x: x != "")
-    rows = lines.select(F.col(line_no).alias("n"), parts.alias("f")).filter(F.size("f") >= 2)
-    return rows.groupBy(F.get("f", F.lit(0)).alias("word")).agg(
-        F.max_by(F.get("f", F.lit(1)).cast("int"), "n").alias("score")
-    )
+    blank = F.lit(WHITESPACE)
+    # Blank fields are tabs among other white space, so trimming drops them: a trimmed line begins and ends with a
+    # field that is not blank. Trimmed once per row: as a generated column, so that the filter does not do it again.
+    trimmed = F.explode(F.array(F.trim(F.col(column), blank)))
+    rows = lines.select(F.col(line_no).alias("n"), trimmed.alias("line")).filter(F.contains("line", F.lit("\t")))
+    rest = F.ltrim(F.substr("line", F.instr("line", "\t") + 1), blank)
+    fields = rows.select("n", F.rtrim(F.substring_index("line", "\t", 1), blank).alias("word"), rest.alias("rest"))
+    score = F.rtrim(F.substring_index("rest", "\t", 1), blank).cast("int")
+    return fields.groupBy("word").agg(F.max_by(score, "n").alias("score"))

@@ -604,3 +604,20 @@ def test_log_lines_keep_their_order_over_blocks_and_files(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     want = [(n, 40 * p + i, f"{n} {p} line {i}") for n in ("one", "two") for p in (0, 1) for i in range(40 * (p + 1))]
     assert [tuple(r) for r in got] == want
+
+
+def test_a_lexicon_file_is_read_without_regular_expressions(spark, data):
+    from millrace.registry import sources
+
+    plan = sources.lexicon(spark, data, every_line=True)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "regexp" not in plan and "rlike" not in plan and "lambda" not in plan
+    # A line is trimmed at both ends once.
+    assert plan.count("(trim(") == 1
+    lines = [
+        (1, " good \t 1 \r"), (2, "good\t2"), (3, "\t\tbad\t \t-3\tx"), (4, "alone"), (5, " \t\x0b "), (6, ""), (7, None),
+        (8, "\x0c\x0btwo words\t\t4\n"), (9, "one\t "), (10, "ä世\U0001f600 \t+7"),
+        (None, "late\t5"), (11, "\xa0w\xa0\t6"),
+    ]
+    shown = spark.createDataFrame(lines, "line_no bigint, value string")
+    got = {r["word"]: r["score"] for r in T.load_lexicon(shown).collect()}
+    assert got == {"good": 2, "bad": -3, "two words": 4, "ä世\U0001f600": 7, "late": None, "\xa0w\xa0": 6}
