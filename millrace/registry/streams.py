@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from millrace.operators.bounded import plan_bytes
 from millrace.operators.folds import fold_groups, fold_windows
 from millrace.plans import markov
 from millrace.registry.core import query
@@ -25,6 +26,8 @@ from millrace.streaming.monitor import ThroughputListener, observed, stage_throu
 from millrace.streaming.windows import session_count, tumbling_count
 
 HOURS_6 = 6 * 3600.0
+#: Bytes of input for which a stream has a task with a store of its own, up to so many tasks.
+STORE_BYTES, MOST_STORES = 1 << 18, 200
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +40,23 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{r: stream(spark, sf_dir, r) for r in references(sql)})
 
 
-def drained(df: DataFrame, complete: bool = False) -> DataFrame:
-    """Run a stream over all that is there, into a table of the shared folder, and read that table.
+def size_of(spark: SparkSession, sf_dir: str, *names: str) -> int:
+    """Bytes of base tables or derived views, as the optimiser estimates them from their files; nothing is run."""
+    return sum(plan_bytes(view(spark, sf_dir, name)) for name in names)
+
+
+def stores(spark: SparkSession, size: int) -> int:
+    """Tasks of a stream over ``size`` bytes, each with a store of its own.
+
+    All rows of a key meet in one task, so a few dozen keys need many more tasks than keys, or some tasks get
+    several of them. A small input has no more tasks than run at once.
+    """
+    few = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(2, spark.sparkContext.defaultParallelism))
+    return max(few, min(MOST_STORES, -(-size // STORE_BYTES)))
+
+
+def drained(df: DataFrame, size: int, complete: bool = False) -> DataFrame:
+    """Run a stream over all that is there, ``size`` bytes, into a table of the shared folder, and read that table.
 
     ``complete`` keeps the last full result of an aggregate; otherwise rows are appended.
     """
@@ -50,16 +68,16 @@ def drained(df: DataFrame, complete: bool = False) -> DataFrame:
         kept = writer.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(table))
     else:
         kept = writer.outputMode("append").format("parquet").option("path", table)
-    _run(spark, kept)
+    _run(spark, kept, size)
     return spark.read.schema(df.schema).parquet(table)
 
 
-def _run(spark: SparkSession, writer) -> StreamingQuery:
-    """Start a stream and wait for its end."""
+def _run(spark: SparkSession, writer, size: int) -> StreamingQuery:
+    """Start a stream over ``size`` bytes in all and wait for its end."""
     # State has one store for each shuffle partition; the number is fixed when a stream first starts.
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(min(int(before), max(2, spark.sparkContext.defaultParallelism))))
+    spark.conf.set(name, str(stores(spark, size)))
     try:
         run = writer.start()
         run.awaitTermination()
@@ -70,12 +88,12 @@ def _run(spark: SparkSession, writer) -> StreamingQuery:
 
 @query("t1_stream_tumbling_count", _tumbling("{bids_ev}", "auction", 60))
 def _(spark, d):
-    return drained(tumbling_count(stream(spark, d, "bids_ev"), "auction"), complete=True)
+    return drained(tumbling_count(stream(spark, d, "bids_ev"), "auction"), size_of(spark, d, "bids_ev"), complete=True)
 
 
 @query("t5_stream_session_count", _sessions("{bids_ev}", "bidder", 21600))
 def _(spark, d):
-    return drained(session_count(stream(spark, d, "bids_ev"), "bidder", HOURS_6), complete=True)
+    return drained(session_count(stream(spark, d, "bids_ev"), "bidder", HOURS_6), size_of(spark, d, "bids_ev"), complete=True)
 
 
 @query(
@@ -93,7 +111,7 @@ def _(spark, d):
     pairs = S.latest_join_stream(
         stream(spark, d, "page_views"), stream(spark, d, "ad_clicks"), "page_id", 3 * 3600.0, tie="event_id"
     )
-    return drained(pairs).select(
+    return drained(pairs, size_of(spark, d, "page_views", "ad_clicks")).select(
         "page_id",
         F.get_json_object("left", "$.event_id").cast("bigint").alias("view_id"),
         F.get_json_object("right", "$.event_id").cast("bigint").alias("click_id"),
@@ -108,7 +126,7 @@ def _(spark, d):
 )
 def _(spark, d):
     sums = S.running_sum_stream(stream(spark, d, "stock_trades"), "sec_code", "trade_price", ["ts", "trade_no"])
-    return drained(sums).select(
+    return drained(sums, size_of(spark, d, "stock_trades")).select(
         "sec_code", "trade_no", F.round("running_sum", 4).alias("running_sum"), "running_count"
     )
 
@@ -126,7 +144,7 @@ _WHOLE = """o AS (
         r AS ({_PER_ORDER}) SELECT sec_code, order_no, volume, price, fills FROM r""",
 )
 def _(spark, d):
-    return drained(S.match_orders_stream(stream(spark, d, "stock_orders")))
+    return drained(S.match_orders_stream(stream(spark, d, "stock_orders")), size_of(spark, d, "stock_orders"))
 
 
 def _penalties(spark, d) -> dict:
@@ -141,7 +159,8 @@ def _shown(scored: DataFrame) -> DataFrame:
 
 @query("m5_stream_markov_score", _local_score("miss_probability"))
 def _(spark, d):
-    return _shown(drained(S.markov_score_stream(stream(spark, d, "fraud_records"), _penalties(spark, d))))
+    scored = S.markov_score_stream(stream(spark, d, "fraud_records"), _penalties(spark, d))
+    return _shown(drained(scored, size_of(spark, d, "fraud_records")))
 
 
 @query(
@@ -152,12 +171,13 @@ def _(spark, d):
         SELECT entity, event_id, round(score, 6) AS score, score > 0.96 AS outlier FROM w""",
 )
 def _(spark, d):
-    return _shown(drained(S.markov_score_stream(stream(spark, d, "fraud_records"), _penalties(spark, d), whole=True)))
+    scored = S.markov_score_stream(stream(spark, d, "fraud_records"), _penalties(spark, d), whole=True)
+    return _shown(drained(scored, size_of(spark, d, "fraud_records")))
 
 
 @query("t8_stream_upsert_store", "SELECT DISTINCT line AS message FROM {word_lines}")
 def _(spark, d):
-    return drained(S.upsert_store(stream(spark, d, "word_lines"), "line"))
+    return drained(S.upsert_store(stream(spark, d, "word_lines"), "line"), size_of(spark, d, "word_lines"))
 
 
 @query(
@@ -176,7 +196,7 @@ def _(spark, d):
         stream(spark, d, "fraud_records").select("entity", "event_id", "ts"), ["entity"], step,
         "largest bigint, seen bigint", "entity string, event_id bigint, largest bigint, seen bigint", ["ts", "event_id"],
     )
-    return drained(folded)
+    return drained(folded, size_of(spark, d, "fraud_records"))
 
 
 # A watermark runs along and every key's rows leave the store once they can meet no other.
@@ -195,7 +215,7 @@ def _(spark, d):
     pairs = S.latest_join_stream(
         stream(spark, d, "page_views"), stream(spark, d, "ad_clicks"), "page_id", 3 * 3600.0, tie="event_id", late="1 hour"
     )
-    return drained(pairs).select(
+    return drained(pairs, size_of(spark, d, "page_views", "ad_clicks")).select(
         "page_id",
         F.get_json_object("left", "$.event_id").cast("bigint").alias("view_id"),
         F.get_json_object("right", "$.event_id").cast("bigint").alias("click_id"),
@@ -244,7 +264,7 @@ def _(spark, d):
 def _(spark, d):
     rows = stream(spark, d, "ev").withWatermark("ts", "1 hour")
     found = S.fold_windows_stream(rows, ["event_type"], DAY, ["value"], user_folds.AVERAGE, "average double, n bigint")
-    return drained(found).withColumn("average", F.round("average", 6))
+    return drained(found, size_of(spark, d, "ev")).withColumn("average", F.round("average", 6))
 
 
 # --- runs in several pieces ------------------------------------------------------------------
@@ -270,12 +290,13 @@ def run_in_pieces(spark: SparkSession, d: str, operator, named: str | None = Non
     base = shared_path(spark, "pieces")
     source, out = f"{base}/source", f"{base}/out"
     arriving, progress = in_pieces(spark, d), []
+    size = plan_bytes(arriving)
     for piece in range(PIECES):
         arriving.where(F.col("piece") == piece).write.mode("append").parquet(source)
         rows = spark.readStream.schema(arriving.schema).parquet(source)
         writer = operator(rows).writeStream.option("checkpointLocation", f"{base}/checkpoint")
         writer = writer.outputMode("append").format("parquet").option("path", out).trigger(availableNow=True)
-        progress += [(piece, p) for p in _run(spark, writer).recentProgress]
+        progress += [(piece, p) for p in _run(spark, writer, size).recentProgress]
     return out, progress
 
 
@@ -361,7 +382,8 @@ def _(spark, d):
 
         rows = spark.readStream.schema(messages.schema).option("maxFilesPerTrigger", 2).parquet(source)
         writer = S.upsert_store(rows, "line").writeStream.foreachBatch(keep)
-        _run(spark, writer.option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True))
+        writer = writer.option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True)
+        _run(spark, writer, plan_bytes(messages))
 
     try:
         run(stops=True)

@@ -339,3 +339,22 @@ def test_a_stored_queue_finds_its_first_order_at_once():
     # A plain dict walks over all that has left its front.
     assert all(type(book.sells.levels[p]) is OrderedDict for p in (10.0, 11.0))
     assert [f[1] for f in book.apply("A", "B", 11.0, "b", 255)] == [*map(str, range(50)), "last"]
+
+
+def test_a_large_stream_has_more_tasks_than_keys(spark, data, monkeypatch, tmp_path):
+    from millrace import registry
+    from millrace.registry import streams
+
+    few = min(2, max(2, spark.sparkContext.defaultParallelism))
+    assert streams.stores(spark, 0) == streams.stores(spark, streams.STORE_BYTES) == few
+    assert streams.stores(spark, 50 * streams.STORE_BYTES) == 50
+    assert streams.stores(spark, 10**12) == streams.MOST_STORES
+    query = registry.queries()["w1_stream_running_sum"]
+    want = rows_of(query(spark, data))
+    size = streams.size_of(spark, data, "stock_trades")
+    monkeypatch.setattr(streams, "STORE_BYTES", size // 15)
+    monkeypatch.setattr(streams, "shared_path", lambda spark, purpose: str(tmp_path / purpose))
+    assert rows_of(query(spark, data)) == want
+    state = spark.read.format("state-metadata").load(str(tmp_path / "stream" / "checkpoint"))
+    assert {r["numPartitions"] for r in state.collect()} <= {15, 16}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "2"
