@@ -38,20 +38,24 @@ class Side:
         if queue is None:
             queue = self.levels[price] = OrderedDict()
             heapq.heappush(self.heap, self.sign * price)
+        self.join(queue, order_no, volume)
+
+    def join(self, queue: OrderedDict, order_no: str, volume: int) -> None:
         ident = (order_no, 0)
         while ident in queue:
             self.twins += 1
             ident = (order_no, ident[1] + 1)
         queue[ident] = volume
 
-    def remove(self, price: float, order_no: str) -> bool:
-        queue = self.levels.get(price)
-        if queue is None:
-            return False
+    def leave(self, queue: OrderedDict, order_no: str) -> bool:
         ident = (order_no, 0)
         if ident not in queue and self.twins:
             ident = next((i for i in queue if i[0] == order_no), ident)
-        if queue.pop(ident, None) is None:
+        return queue.pop(ident, None) is not None
+
+    def remove(self, price: float, order_no: str) -> bool:
+        queue = self.levels.get(price)
+        if queue is None or not self.leave(queue, order_no):
             return False
         if not queue:
             del self.levels[price]

@@ -5,13 +5,16 @@ Rows of a key are sorted within a micro-batch; across micro-batches they count i
 order. ``ttl_ms`` bounds how long an idle key is kept (0 keeps it for ever); where event time
 decides, a timer lets state go once the watermark has passed it.
 
-A key's rows of one micro-batch are worked on in pieces of ``PIECE_ROWS``. A task holds them once
-as Arrow columns, about their size on the wire, and one piece as rows.
+A key's rows of one micro-batch are worked on in pieces of ``PIECE_ROWS``. A task holds ``RUN_BYTES`` of
+them as Arrow columns; more are sorted in runs that go through a file of the executor's own folder.
 """
 
 from __future__ import annotations
 
+import heapq
+import os
 import pickle
+import tempfile
 from collections import OrderedDict
 from collections.abc import Callable, Iterator, MutableMapping, Sequence
 
@@ -21,9 +24,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.operators.folds import Fold
-from millrace.operators.matching import Book, Slots
+from millrace.operators.matching import Book, Side, Slots
 
 PIECE_ROWS = 50_000
+#: Bytes of a key's rows that a task holds as Arrow columns before it sorts them into a file, and orders of a book
+#: that it holds before it puts them into one.
+RUN_BYTES, HELD_ROWS = 16 << 20, 100_000
 
 
 def _schema(text: str) -> T.StructType:
@@ -49,35 +55,134 @@ def keyed(
     )
 
 
+def scratch_file():
+    """A file without a name in the executor's own folder; it goes when it is closed or the worker ends."""
+    folder = os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0]
+    return tempfile.TemporaryFile(dir=folder if os.path.isdir(folder) else None)
+
+
+class Runs:
+    """Rows of one key as sorted runs in a file, given back in order over all runs.
+
+    A run is cut into ``CUTS`` batches, of which the first rows are kept. A row may go out when it comes
+    before the first row of every batch not yet read, so about one batch of a run is held at a time.
+    """
+
+    CUTS = 64
+
+    def __init__(self, order: Sequence[str]):
+        self.order, self.rows = [*order, "__arrived"], 0
+        self.file, self.batches, self.firsts = None, [], []
+
+    def sorted(self, parts: list):
+        """The rows of some tables as one table in order; rows that tie keep the order of their arrival."""
+        import numpy as np
+        import pyarrow as pa
+
+        table = pa.concat_tables(parts, promote_options="permissive")
+        if "__arrived" not in table.column_names:
+            table = table.append_column("__arrived", pa.array(np.arange(self.rows, self.rows + len(table))))
+            self.rows += len(table)
+        # In one piece: picking rows from a column of many would put the whole of it together for every pick.
+        table = table.combine_chunks()
+        return table.take(self.places(table))
+
+    def places(self, table):
+        import pyarrow.compute as pc
+
+        return pc.sort_indices(table.select(self.order), sort_keys=[(c, "ascending") for c in self.order])
+
+    def add(self, parts: list) -> None:
+        if self.file is None:
+            self.file = scratch_file()
+        table = self.sorted(parts)
+        step = max(1, -(-len(table) // self.CUTS))
+        self.firsts.append(table.select(self.order).take(list(range(0, len(table), step))))
+        for at in range(0, len(table), step):
+            data = table.slice(at, step).to_batches()[0].serialize()
+            self.batches.append((self.file.tell(), data.size, table.schema))
+            self.file.write(data)
+
+    def read(self, number: int):
+        import pyarrow as pa
+
+        at, size, schema = self.batches[number]
+        self.file.seek(at)
+        return pa.Table.from_batches([pa.ipc.read_record_batch(pa.py_buffer(self.file.read(size)), schema)])
+
+    def merged(self, piece: int) -> Iterator:
+        """All rows in order, as tables of at most ``piece`` rows."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        firsts = pa.concat_tables(self.firsts, promote_options="permissive").combine_chunks()
+        turns, at, held = self.places(firsts), 0, []
+        while at < len(turns) or held:
+            fresh = 0
+            while at < len(turns) and fresh < piece:
+                held.append(self.read(turns[at].as_py()))
+                fresh += len(held[-1])
+                at += 1
+            table = self.sorted(held)
+            ready = len(table)
+            if at < len(turns):
+                both = pa.concat_tables(
+                    [table.select(self.order), firsts.take(turns.slice(at, 1))], promote_options="permissive"
+                ).combine_chunks()
+                ready = pc.index(self.places(both), len(table)).as_py()
+            for start in range(0, ready, piece):
+                yield table.slice(start, min(piece, ready - start)).drop_columns(["__arrived"])
+            # A copy, so that what has gone out is let go.
+            held = [table.take(np.arange(ready, len(table)))] if ready < len(table) else []
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
 def in_order(frames: Iterator, order: Sequence[str], piece: int = PIECE_ROWS) -> Iterator:
     """The rows of all frames in order, as frames of at most ``piece`` rows.
 
-    What does not fit in one piece is kept as Arrow columns; the order columns are sorted alone, and every
-    piece is then picked from the columns.
+    What does not fit in one piece is kept as Arrow columns; beyond ``RUN_BYTES`` it is sorted and put into a
+    file, and the sorted runs are merged as they are read back.
     """
     import pandas as pd
     import pyarrow as pa
-    import pyarrow.compute as pc
-
-    held, parts, n = [], [], 0
-    for frame in frames:
-        held.append(frame)
-        n += len(frame)
-        if n > piece:
-            parts += [pa.Table.from_pandas(f, preserve_index=False) for f in held]
-            held, n = [], 0
-    if not parts:
-        if held:
-            yield pd.concat(held, ignore_index=True).sort_values(list(order), kind="stable")
-        return
-    parts += [pa.Table.from_pandas(f, preserve_index=False) for f in held]
-    held = None
-    # In one piece: picking rows from a column of many would put the whole of it together for every piece.
-    table = pa.concat_tables(parts, promote_options="default").combine_chunks()
-    parts = None
-    places = pc.sort_indices(table.select(list(order)), sort_keys=[(c, "ascending") for c in order])
-    for at in range(0, len(places), piece):
-        yield table.take(places.slice(at, piece)).to_pandas()
+
+    held, parts, n, size = [], [], 0, 0
+    runs = Runs(order)
+    try:
+        for frame in frames:
+            held.append(frame)
+            n += len(frame)
+            if n > piece:
+                fresh = [pa.Table.from_pandas(f, preserve_index=False) for f in held]
+                size += sum(t.nbytes for t in fresh)
+                parts += fresh
+                held, n, fresh = [], 0, None
+            if size > RUN_BYTES:
+                runs.add(parts)
+                parts, size = [], 0
+        if not parts and not runs.batches:
+            if held:
+                yield pd.concat(held, ignore_index=True).sort_values(list(order), kind="stable")
+            return
+        parts += [pa.Table.from_pandas(f, preserve_index=False) for f in held]
+        held = None
+        if not runs.batches:
+            table = runs.sorted(parts).drop_columns(["__arrived"])
+            parts = None
+            for at in range(0, len(table), piece):
+                yield table.slice(at, piece).to_pandas()
+            return
+        if parts:
+            runs.add(parts)
+            parts = None
+        for table in runs.merged(piece):
+            yield table.to_pandas()
+    finally:
+        runs.close()
 
 
 class SortedProcessor(StatefulProcessor):
@@ -217,52 +322,167 @@ def markov_score_stream(
 
 
 class StoredLevels(MutableMapping):
-    """The queues of one side of a book by price; a queue is read from the store when it is first needed."""
+    """The queues of one side of a book by price; a queue is put together when it is first needed.
+
+    ``near`` has what is in memory: a queue, or what has happened to one that was not needed yet, a list of the
+    place of the rest of it and then order and volume in turn, volume 0 for an order deleted. ``far`` has the
+    place of what is not: ``STORE``, or where it begins in a file of what memory did not hold.
+    """
+
+    STORE = -1
 
-    def __init__(self, prices: Sequence[float], read: Callable[[float], dict]):
-        self.prices, self.read = set(prices), read
-        self.stored = frozenset(self.prices)
-        self.held: dict[float, dict] = {}
-        self.before: dict[float, list] = {}
+    def __init__(self, prices: Sequence[float], read: Callable[[float], dict], side=None, file=None):
+        self.read, self.side, self.file = read, side, file
+        self.far: dict[float, int] = dict.fromkeys(prices, self.STORE)
+        self.near: dict[float, OrderedDict | list] = {}
+        self.stored = frozenset(self.far)
+        self.unchanged: set[float] = set()
+        self.loaded = 0
 
     def __contains__(self, price):
-        return price in self.prices
+        return price in self.near or price in self.far
 
     def __getitem__(self, price):
-        if price not in self.prices:
-            raise KeyError(price)
-        if price not in self.held:
-            self.held[price] = self.read(price)
-            self.before[price] = list(self.held[price].items())
-        return self.held[price]
+        queue = self.near.get(price)
+        if type(queue) is not OrderedDict:
+            if queue is None and price not in self.far:
+                raise KeyError(price)
+            queue = self.near[price] = self._whole(price)
+            self.loaded += len(queue)
+        return queue
 
     def __setitem__(self, price, queue):
-        self.prices.add(price)
-        self.held[price] = queue
+        self.far.pop(price, None)
+        self.near[price] = queue
 
     def __delitem__(self, price):
-        self.prices.remove(price)
-        self.held.pop(price, None)
+        self.near.pop(price, None)
+        self.far.pop(price, None)
+        self.unchanged.discard(price)
 
     def __iter__(self):
-        return iter(self.prices)
+        yield from self.near
+        yield from self.far
 
     def __len__(self):
-        return len(self.prices)
-
-    def changed(self) -> list[tuple[float, dict]]:
-        """The queues to write."""
-        return [(p, q) for p, q in self.held.items() if p not in self.stored or list(q.items()) != self.before.get(p)]
+        return len(self.near) + len(self.far)
+
+    def log(self, price: float, order_no: str, volume: int) -> None:
+        """Note what happens to a queue that is not in memory, or that is new."""
+        queue = self.near.get(price)
+        if queue is None:
+            queue = self.near[price] = [self.far.pop(price, None)]
+        queue.append(order_no)
+        queue.append(volume)
+
+    def _whole(self, price: float) -> OrderedDict:
+        """A queue put together from the store, the file and what was noted since; it leaves ``far``."""
+        noted = self.near.get(price)
+        logs = [] if noted is None else [noted]
+        place = self.far.pop(price, None) if noted is None else noted[0]
+        if noted is None and place == self.STORE:
+            self.unchanged.add(price)
+        queue = None
+        while place is not None and place != self.STORE:
+            self.file.seek(place)
+            kind, part = pickle.load(self.file)
+            if kind == "queue":
+                queue, place = OrderedDict(part), None
+            else:
+                logs.append(part)
+                place = part[0]
+        if queue is None:
+            queue = self.read(price) if place == self.STORE else OrderedDict()
+        for part in reversed(logs):
+            for order_no, volume in zip(part[1::2], part[2::2]):
+                if volume:
+                    self.side.join(queue, order_no, volume)
+                else:
+                    self.side.leave(queue, order_no)
+        return queue
+
+    def spill(self) -> None:
+        """Let memory go; what changed goes into the file."""
+        place = self.file.seek(0, os.SEEK_END)
+        for price, queue in self.near.items():
+            if price in self.unchanged:
+                self.far[price] = self.STORE
+                continue
+            self.far[price] = place
+            part = ("queue", list(queue.items())) if type(queue) is OrderedDict else ("log", queue)
+            place += self.file.write(pickle.dumps(part, pickle.HIGHEST_PROTOCOL))
+        self.near, self.loaded = {}, 0
+        self.unchanged.clear()
+
+    def changed(self) -> Iterator[tuple[float, dict]]:
+        """The queues to write, one at a time; one that turns out empty is gone."""
+        for price in [p for p in self if self.far.get(p) != self.STORE and p not in self.unchanged]:
+            queue = self.near.get(price)
+            if type(queue) is not OrderedDict:
+                queue = self._whole(price)
+            # All that matters from here on is that the price is there.
+            self.near.pop(price, None)
+            if queue:
+                self.far[price] = self.STORE
+                yield price, queue
 
     def gone(self) -> list[float]:
-        return [p for p in self.stored if p not in self.prices]
+        return [p for p in self.stored if p not in self]
+
+
+class StoredSide(Side):
+    """A side over stored levels: orders join and leave a queue that does not trade without its being read."""
+
+    def add(self, price: float, order_no: str, volume: int) -> None:
+        levels = self.levels
+        queue = levels.near.get(price)
+        if type(queue) is OrderedDict:
+            levels.unchanged.discard(price)
+            self.join(queue, order_no, volume)
+            return
+        if queue is None and price not in levels.far:
+            heapq.heappush(self.heap, self.sign * price)
+        levels.log(price, order_no, volume)
+
+    def remove(self, price: float, order_no: str) -> bool:
+        levels = self.levels
+        queue = levels.near.get(price)
+        if type(queue) is OrderedDict:
+            levels.unchanged.discard(price)
+            return super().remove(price, order_no)
+        if queue is None and price not in levels.far:
+            return False
+        levels.log(price, order_no, 0)
+        return True
+
+    def best(self) -> float | None:
+        heap, sign, levels = self.heap, self.sign, self.levels
+        while heap:
+            price = sign * heap[0]
+            if price in levels:
+                if levels[price]:
+                    return price
+                del levels[price]
+            heapq.heappop(heap)
+        return None
+
+    def take(self, price: float, ident, volume: int) -> None:
+        self.levels.unchanged.discard(price)
+        super().take(price, ident, volume)
+
+    def spill(self) -> None:
+        self.levels.spill()
+        # Prices that have gone and come again are in the heap more than once.
+        self.heap = [self.sign * p for p in self.levels]
+        heapq.heapify(self.heap)
 
 
 class BookKeeper(StatefulProcessor):
     """A price-time book per security, one state row per price level.
 
     A micro-batch reads and writes the levels that its orders join, leave or trade with; the prices of
-    either side are one row, from which the best is known.
+    either side are one row, from which the best is known. Of the book ``HELD_ROWS`` orders or so are in
+    memory besides the queues at its front; the others wait in the store or in a file.
     """
 
     def __init__(self, ttl_ms: int = 0):
@@ -275,33 +495,34 @@ class BookKeeper(StatefulProcessor):
         )
         self.prices = handle.getValueState("prices", "buys array<double>, sells array<double>", ttl)
 
-    def _open(self, side, direction: str, prices: Sequence[float]) -> None:
+    def _open(self, side, direction: str, prices: Sequence[float], file=None) -> None:
         """Let a side of a fresh book read its levels from the store."""
-        import heapq
 
         def read(price):
             queue = OrderedDict()
             names, volumes = self.levels.getValue((direction, price))
             for order_no, volume in zip(names, volumes):
-                ident = (order_no, 0)
-                while ident in queue:
-                    side.twins += 1
-                    ident = (order_no, ident[1] + 1)
-                queue[ident] = int(volume)
+                side.join(queue, order_no, int(volume))
             return queue
 
-        side.levels = StoredLevels(prices, read)
+        side.levels = StoredLevels(prices, read, side, file)
         side.heap = [side.sign * p for p in prices]
         heapq.heapify(side.heap)
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        with scratch_file() as file:
+            yield from self._matched(key, rows, file)
+
+    def _matched(self, key, rows: Iterator, file) -> Iterator:
         import pandas as pd
 
         book = Book()
+        book.buys, book.sells = StoredSide(-1), StoredSide(1)
         sides = {"B": book.buys, "S": book.sells}
         known = self.prices.get() if self.prices.exists() else ([], [])
         for (direction, side), prices in zip(sides.items(), known):
-            self._open(side, direction, [float(p) for p in prices])
+            self._open(side, direction, [float(p) for p in prices], file)
+        held = 0
         for batch in in_order(rows, ["ts", "order_no"]):
             out = []
             for code, direction, price, order_no, volume in zip(
@@ -312,6 +533,11 @@ class BookKeeper(StatefulProcessor):
                     out.append((key[0], order_no, sum(f[3] for f in fills), fills[-1][2], len(fills)))
             if out:
                 yield pd.DataFrame(out, columns=["sec_code", "order_no", "volume", "price", "fills"])
+            held += len(batch)
+            if held + sum(side.levels.loaded for side in sides.values()) > HELD_ROWS:
+                for side in sides.values():
+                    side.spill()
+                held = 0
         for direction, side in sides.items():
             for price, queue in side.levels.changed():
                 level = ([i[0] for i in queue], [int(v) for v in queue.values()])
@@ -321,7 +547,7 @@ class BookKeeper(StatefulProcessor):
         left = [sorted(map(float, side.levels)) for side in sides.values()]
         if not any(left):
             self.prices.clear()
-        elif any(set(side.levels) != side.levels.stored for side in sides.values()) or self.ttl_ms:
+        elif any(side.levels.keys() != side.levels.stored for side in sides.values()) or self.ttl_ms:
             self.prices.update(tuple(left))
 
     def close(self) -> None:

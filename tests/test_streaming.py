@@ -358,3 +358,151 @@ def test_a_large_stream_has_more_tasks_than_keys(spark, data, monkeypatch, tmp_p
     state = spark.read.format("state-metadata").load(str(tmp_path / "stream" / "checkpoint"))
     assert {r["numPartitions"] for r in state.collect()} <= {15, 16}
     assert spark.conf.get("spark.sql.shuffle.partitions") == "2"
+
+
+def test_sorted_runs_of_a_key_leave_memory():
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    n, rng = 800_000, np.random.default_rng(1)
+    order, before, largest = rng.permutation(n), pa.total_allocated_bytes(), 0
+
+    def seen():
+        nonlocal largest
+        largest = max(largest, pa.total_allocated_bytes() - before)
+
+    def frames():
+        for at in range(0, n, 10_000):
+            part = order[at : at + 10_000]
+            yield pd.DataFrame({"ts": part // 3, "id": part, "name": [f"row {i:70}" for i in part]})
+            seen()
+
+    last = -1
+    for piece in S.in_order(frames(), ["ts", "id"]):
+        seen()
+        assert piece["id"].iloc[0] == last + 1 and (np.diff(piece["id"]) == 1).all() and len(piece) <= S.PIECE_ROWS
+        assert piece["name"].iloc[0] == f"row {last + 1:70}"
+        last = int(piece["id"].iloc[-1])
+    # All rows are 76 MB.
+    assert last == n - 1 and largest < 40e6
+
+
+def test_ties_in_sorted_runs_keep_their_order(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(S, "RUN_BYTES", 3000, raising=False)
+    rng = np.random.default_rng(2)
+    for n, order in ((0, ["ts"]), (5, ["ts"]), (900, ["ts", "name"]), (901, ["part"]), (902, ["name"])):
+        rows = pd.DataFrame({"ts": pd.to_datetime(rng.integers(0, 20, n), unit="s"), "id": np.arange(n)})
+        rows["name"] = [f"n{i % 7}" if i % 3 else None for i in range(n)]
+        rows["part"] = np.where(rng.random(n) < 0.1, np.nan, rng.integers(0, 9, n))
+        for piece in (1, 40, 10_000):
+            got = list(S.in_order((rows.iloc[i : i + 7] for i in range(0, n, 7)), order, piece))
+            assert n <= piece or max(map(len, got)) <= piece
+            if n:
+                want = rows.sort_values(order, kind="stable").reset_index(drop=True)
+                pd.testing.assert_frame_equal(pd.concat(got, ignore_index=True), want)
+
+
+class _Levels(dict):
+    def getValue(self, key):
+        return self[key]
+
+    def updateValue(self, key, value):
+        self[key] = value
+
+    def removeKey(self, key):
+        del self[key]
+
+
+class _Prices:
+    held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    def clear(self):
+        self.held = None
+
+
+_ORDER = ["tran_maint_code", "trade_dir", "order_price", "order_no", "order_vol", "ts"]
+
+
+def test_a_deep_book_leaves_memory(monkeypatch):
+    import random
+    import tracemalloc
+
+    import pandas as pd
+
+    class Sizes(_Levels):
+        def updateValue(self, key, value):
+            self[key] = len(value[0])
+
+    monkeypatch.setattr(S, "HELD_ROWS", 20_000, raising=False)
+    n, rng = 150_000, random.Random(3)
+
+    def frames():
+        for at in range(0, n, 10_000):
+            rows = []
+            for i in range(at, at + 10_000):
+                side = "BS"[i % 2]
+                rows.append(("A", side, rng.randrange(500) / 10 + (100 if side == "S" else 0), f"order number {i:09}", 300 + i, i))
+            yield pd.DataFrame(rows, columns=_ORDER)
+
+    keeper, levels = S.BookKeeper(), Sizes()
+    keeper.levels, keeper.prices = levels, _Prices()
+    monkeypatch.setattr(S.in_order, "__defaults__", (10_000,))
+    tracemalloc.start()
+    assert list(keeper.handleInputRows(("1",), frames(), None)) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All held as queues they take 36 MB.
+    assert sum(levels.values()) == n and len(levels) == 1000 and peak < 30e6
+
+
+@pytest.mark.parametrize("held", [1, 20, 10**6])
+def test_a_book_put_into_a_file_trades_like_one_in_memory(monkeypatch, held):
+    import random
+
+    import pandas as pd
+
+    from millrace.operators.matching import Book
+
+    monkeypatch.setattr(S, "HELD_ROWS", held, raising=False)
+    monkeypatch.setattr(S.in_order, "__defaults__", (5,))
+    for seed in range(40):
+        rng = random.Random(seed)
+        keeper, plain, levels = S.BookKeeper(), Book(), _Levels()
+        keeper.levels, keeper.prices = levels, _Prices()
+        spread, numbers, ts = rng.choice([3, 30]), rng.choice([10, 200]), 0
+        for size in (rng.choice([3, 60, 200]) for _ in range(rng.choice([1, 4]))):
+            rows = []
+            for ts in range(ts + 1, ts + 1 + size):
+                no = f"o{rng.randrange(numbers)}"
+                rows.append((rng.choice("AAAD"), rng.choice("BSBSBSX"), float(rng.randint(1, spread)), no, rng.randint(0, 9), ts))
+            want = []
+            for code, side, price, no, volume, _ in rows:
+                fills = plain.apply(code, side, price, no, volume)
+                if fills:
+                    want.append(("1", no, sum(f[3] for f in fills), fills[-1][2], len(fills)))
+            rng.shuffle(rows)
+            frames = (pd.DataFrame(rows[i : i + 7], columns=_ORDER) for i in range(0, size, 7))
+            assert [tuple(r) for f in keeper.handleInputRows(("1",), frames, None) for r in f.itertuples(index=False)] == want
+            sides = {"B": plain.buys, "S": plain.sells}
+            assert {k: list(zip(*v)) for k, v in levels.items()} == {
+                (d, p): [(i[0], v) for i, v in q.items()] for d, s in sides.items() for p, q in s.levels.items()
+            }
+            assert (keeper.prices.held or ([], [])) == tuple(sorted(s.levels) for s in sides.values())
+            # Equal order numbers of a level are counted anew when it is read from the store.
+            plain = Book()
+            for d, s in sides.items():
+                for price, no, volume in s.rows():
+                    plain.rest(d, price, no, volume)
